@@ -7,33 +7,13 @@ decimals are returned as doubles on both sides so values hash identically.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
-
-
-def register(name: str, sql: str | None = None):
-    def wrap(fn):
-        if name in QUERIES:
-            raise ValueError(f"duplicate query {name}")
-        QUERIES[name] = fn
-        if sql is not None:
-            ORACLE[name] = sql
-        return fn
-    return wrap
-
+from quarry.plans.registry import ORACLE, QUERIES, register
+from quarry.plans.sql_fragments import DOC_PATH_SQL, VECTOR_INDEX_SQL
 
-# --- shared SQL fragments (DuckDB) ------------------------------------------------
-DOC_PATH_SQL = "'kb/' || source || '/' || lang || '/doc-' || CAST(doc_id AS VARCHAR) || '.md'"
-
-VECTOR_INDEX_SQL = f"""
-    SELECT {DOC_PATH_SQL} AS source_path, 0 AS chunk_index, d.text AS content, e.embedding
-    FROM documents d LEFT JOIN embeddings e ON d.doc_id = e.vec_id
-"""
+__all__ = ["ORACLE", "QUERIES", "register"]
 
 
 # --- retrieval ---------------------------------------------------------------------
@@ -58,3 +38,7 @@ def q_vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.plans import fixtures as fx
     out = vector_topk(fx.vector_index(spark, sf_dir), fx.vector_queries(spark, sf_dir), k=5)
     return out.withColumn("similarity", F.round("similarity", 6))
+
+
+# Area modules register their queries on import.
+from quarry.plans import q_accounting, q_sessions  # noqa: E402,F401

@@ -47,3 +47,91 @@ def search_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark passages as free-text search queries (whole texts)."""
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"),
                                                     F.col("text").alias("query"))
+
+
+# --- usage log ----------------------------------------------------------------------
+# Per-model pricing configuration used by the registered usage jobs; model m3 is
+# left unpriced so it falls back to the default rates.
+PRICING_JSON = ('{"m0": {"input": 2, "cached_input": 0.2, "output": 8}, '
+                '"m1": {"input": 1.25, "cached_input": 0.125, "output": 10}, '
+                '"m2": {"input": 0.15, "cached_input": 0.075, "output": 0.6}}')
+USAGE_RANGE = ("2024-01-01 00:00:00", "2024-02-01 00:00:00")
+
+
+def usage_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw model-response log: one row per event, usage as JSON text.
+
+    error events carry no usage, view events omit total_tokens, signup events
+    send total_tokens = null (the three missing-value rules of the recorder).
+    """
+    ev = table(spark, sf_dir, "events")
+    it = F.floor(F.col("value") * 10).cast("long").cast("string")
+    ot = F.floor(F.col("value") * 3).cast("long").cast("string")
+    tt = (F.floor(F.col("value") * 10).cast("long") + F.floor(F.col("value") * 3).cast("long")).cast("string")
+    k = F.get_json_object("props", "$.k").cast("long").cast("string")
+    details = F.concat(F.lit(', "input_tokens_details": {"cached_tokens": '), k, F.lit("}}"))
+    head = F.concat(F.lit('{"input_tokens": '), it, F.lit(', "output_tokens": '), ot)
+    usage = (F.when(F.col("event_type") == "error", F.lit(None).cast("string"))
+             .when(F.col("event_type") == "view", F.concat(head, details))
+             .when(F.col("event_type") == "signup", F.concat(head, F.lit(', "total_tokens": null'), details))
+             .otherwise(F.concat(head, F.lit(', "total_tokens": '), tt, details)))
+    return ev.select(F.concat(F.lit("resp-"), F.col("event_id").cast("string")).alias("response_id"),
+                     F.col("ts").alias("created_at"), F.col("event_type").alias("operation"),
+                     F.concat(F.lit("m"), F.pmod(F.col("user_id"), F.lit(4)).cast("string")).alias("model"),
+                     usage.alias("usage_json"))
+
+
+def usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.operators.accounting import pricing_table, usage_cost
+    return usage_cost(usage_log(spark, sf_dir), pricing_table(spark, PRICING_JSON))
+
+
+# --- test sessions ------------------------------------------------------------------
+SESSION_RANGE = ("1995-01-01 00:00:00", "2002-01-01 00:00:00")
+QUESTION_TYPES = ("short_answer", "single_choice", "multiple_choice")
+ANSWER_ORDER = ["answered_at", "l_partkey", "l_suppkey", "l_extendedprice"]
+
+
+def session_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as test starts (one start event per session)."""
+    o = table(spark, sf_dir, "orders")
+    return o.select(F.col("o_orderkey").alias("id"),
+                    F.concat(F.lit("anon-"), F.col("o_custkey").cast("string")).alias("anonymous_session_id"),
+                    F.col("o_orderdate").alias("started_at"),
+                    F.array("o_orderstatus", "o_orderpriority").alias("topics"),
+                    F.lit(7).alias("requested_questions"))
+
+
+def answer_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as answer writes; (session, question) repeats, so first-write-wins matters."""
+    li = table(spark, sf_dir, "lineitem")
+    assigned = F.col("l_quantity").cast("int") % 5 + 1
+    correct = F.col("l_returnflag") == "R"
+    return li.select(
+        F.col("l_orderkey").alias("session_id"), F.col("l_linenumber").alias("question_number"),
+        F.element_at(F.array(*[F.lit(t) for t in QUESTION_TYPES]),
+                     (F.pmod(F.col("l_partkey"), F.lit(3)) + 1).cast("int")).alias("question_type"),
+        assigned.alias("assigned_difficulty"),
+        F.greatest(F.lit(1), F.least(F.lit(5), assigned + F.when(correct, 1).otherwise(-1))).alias("next_difficulty"),
+        correct.alias("is_correct"), F.col("l_shipdate").alias("answered_at"),
+        "l_partkey", "l_suppkey", "l_extendedprice")
+
+
+def finish_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Finished line items as finish calls; several per session, the first one wins."""
+    li = table(spark, sf_dir, "lineitem")
+    return (li.where(F.col("l_linestatus") == "F")
+            .select(F.col("l_orderkey").alias("session_id"), F.col("l_shipdate").alias("finished_at"),
+                    (F.col("l_returnflag") != "N").alias("completed"),
+                    (F.col("l_linenumber") < 4).alias("ended_early"),
+                    F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("tiebreak")))
+
+
+def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.operators.sessions import answers_first_wins
+    return answers_first_wins(answer_events(spark, sf_dir), ANSWER_ORDER)
+
+
+def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.operators.sessions import sessions_build
+    return sessions_build(session_starts(spark, sf_dir), answers(spark, sf_dir), finish_events(spark, sf_dir))
