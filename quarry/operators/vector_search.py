@@ -32,12 +32,11 @@ DEFAULT_BROADCAST_BYTES = 256 << 20
 SCORE_CELLS = 1 << 22  # entries of one query x item score block (32 MB of float64)
 
 
-def _normalise(m: np.ndarray) -> np.ndarray:
-    norms = np.linalg.norm(m, axis=1)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        out = m / norms[:, None]
-    out[~(norms > 0)] = np.nan  # zero or NaN vectors never score
-    return out
+def _norms(m: np.ndarray) -> np.ndarray:
+    """Row norms; zero or NaN rows get NaN so they never score."""
+    n = np.sqrt(np.einsum("ij,ij->i", m, m)) if m.size else np.zeros(m.shape[0])
+    n[~(n > 0)] = np.nan
+    return n
 
 
 def _list_matrix(arr: pa.Array, dim: int | None) -> np.ndarray:
@@ -55,16 +54,21 @@ def _list_matrix(arr: pa.Array, dim: int | None) -> np.ndarray:
     return flat.reshape(n, d)
 
 
-def _block_candidates(qn: np.ndarray, xn: np.ndarray, kmax: int):
-    """Per query: every item whose score reaches the query's k-th best score."""
-    q, n = qn.shape[0], xn.shape[0]
+def _block_candidates(qm: np.ndarray, qnorm: np.ndarray, xm: np.ndarray, xnorm: np.ndarray, kmax: int):
+    """Per query: every item whose score reaches the query's k-th best score.
+
+    cosine = dot / (|q| |x|): exact dot products stay exact (integer-count
+    vectors), so equal vectors always tie exactly.
+    """
+    q, n = qm.shape[0], xm.shape[0]
     if q == 0 or n == 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     step = max(64, SCORE_CELLS // max(q, 1))
     qi_all, ri_all, s_all = [], [], []
     for start in range(0, n, step):
-        block = xn[start:start + step]
-        s = qn @ block.T
+        block = xm[start:start + step]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            s = (qm @ block.T) / (qnorm[:, None] * xnorm[None, start:start + step])
         s[~np.isfinite(s)] = -np.inf
         if block.shape[0] > kmax:
             kth = -np.partition(-s, kmax - 1, axis=1)[:, kmax - 1]
@@ -109,14 +113,14 @@ def _broadcast_candidates(index: DataFrame, queries: DataFrame, kmax: int, key_c
     spark = index.sparkSession
     qtab = queries.select(query_id, query_vector).toArrow()
     qids = qtab.column(0).combine_chunks() if qtab.num_rows else pa.array([], type=qtab.schema.field(0).type)
-    qmat = _normalise(_list_matrix(qtab.column(1), None)) if qtab.num_rows else np.zeros((0, 0))
+    qmat = _list_matrix(qtab.column(1), None) if qtab.num_rows else np.zeros((0, 0))
     dim = qmat.shape[1] if qtab.num_rows else None
-    bc = spark.sparkContext.broadcast((qids, qmat, dim))
+    bc = spark.sparkContext.broadcast((qids, qmat, _norms(qmat), dim))
     arrow_schema = pa.schema([pa.field(f.name, _arrow_type(f.dataType)) for f in schema.fields])
     keys = list(key_cols)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, qn, d = bc.value
+        ids, qn, qnorm, d = bc.value
         pending: list[pa.Table] = []
         pending_rows = 0
 
@@ -129,8 +133,8 @@ def _broadcast_candidates(index: DataFrame, queries: DataFrame, kmax: int, key_c
         for batch in batches:
             if batch.num_rows == 0 or qn.shape[0] == 0:
                 continue
-            x = _normalise(_list_matrix(batch.column(vector_col), d))
-            qi, ri, sims = _block_candidates(qn, x, kmax)
+            x = _list_matrix(batch.column(vector_col), d)
+            qi, ri, sims = _block_candidates(qn, qnorm, x, _norms(x), kmax)
             if len(qi) == 0:
                 continue
             cols = {"_qi": pa.array(qi)}
@@ -174,11 +178,11 @@ def _grid_candidates(index: DataFrame, queries: DataFrame, kmax: int, key_cols,
         import pandas as pd
         if len(qpdf) == 0 or len(ipdf) == 0:
             return pd.DataFrame({f.name: [] for f in schema.fields})
-        qm = _normalise(np.stack(qpdf["_qv"].to_numpy()).astype(np.float64))
+        qm = np.stack(qpdf["_qv"].to_numpy()).astype(np.float64)
         xm = np.stack(ipdf["_iv"].to_numpy()).astype(np.float64)
         if xm.shape[1] != qm.shape[1]:
             raise ValueError(f"embedding dimension {xm.shape[1]} does not match the expected {qm.shape[1]}")
-        qi, ri, sims = _block_candidates(qm, _normalise(xm), kmax)
+        qi, ri, sims = _block_candidates(qm, _norms(qm), xm, _norms(xm), kmax)
         keep = _keep_topk(qi, sims, kmax)
         qi, ri, sims = qi[keep], ri[keep], sims[keep]
         out = {query_id: qpdf[query_id].to_numpy()[qi]}

@@ -135,3 +135,15 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.operators.sessions import sessions_build
     return sessions_build(session_starts(spark, sf_dir), answers(spark, sf_dir), finish_events(spark, sf_dir))
+
+
+# --- hybrid search --------------------------------------------------------------------
+def hybrid_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line chunks with hashed term-count vectors (the default embedder)."""
+    from quarry.operators.embedding import embed_hashing
+    return embed_hashing(line_index(spark, sf_dir), "content")
+
+
+def hybrid_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.operators.embedding import embed_hashing
+    return embed_hashing(search_queries(spark, sf_dir), "query")
