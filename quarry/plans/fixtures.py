@@ -147,3 +147,43 @@ def hybrid_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hybrid_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.operators.embedding import embed_hashing
     return embed_hashing(search_queries(spark, sf_dir), "query")
+
+
+# --- Markdown corpus ------------------------------------------------------------------
+def markdown_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a Markdown file: '# source', '## lang', then its text in one of
+    four layouts chosen by doc_id mod 4 (plain lines; paragraphs; a loose list; a fenced
+    block followed by a rule, a sub-heading and a low-information line)."""
+    docs = table(spark, sf_dir, "documents")
+    text = F.col("text")
+    paragraphs = F.regexp_replace(text, NL, NL + NL)
+    loose_list = F.concat(F.lit("- "), F.regexp_replace(text, NL, NL + NL + "- "))
+    fenced = F.concat(F.lit("```text" + NL), paragraphs, F.lit(NL + "```" + NL + NL + "***" + NL + NL
+                                                              + "### end" + NL + NL + "where"))
+    body = (F.when(F.col("doc_id") % 4 == 0, text).when(F.col("doc_id") % 4 == 1, paragraphs)
+            .when(F.col("doc_id") % 4 == 2, loose_list).otherwise(fenced))
+    content = F.concat(F.lit("# "), F.col("source"), F.lit(NL + NL + "## "), F.col("lang"), F.lit(NL + NL), body)
+    return docs.select(doc_path().alias("source_path"), content.alias("content"))
+
+
+# --- index refresh ---------------------------------------------------------------------
+REFRESH_NOW = "2024-01-31 00:00:00"
+REFRESH_DAYS = 3
+
+
+def kb_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Markdown files with a modification time spread over January 2024."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang")
+    mtime = F.lit("2024-01-01 00:00:00").cast("timestamp") + F.make_dt_interval(
+        F.pmod(F.col("doc_id"), F.lit(30)).cast("int"))
+    meta = docs.select(doc_path().alias("source_path"), mtime.alias("modified_at"))
+    return markdown_files(spark, sf_dir).join(meta, "source_path")
+
+
+def existing_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index before the refresh: line chunks of the documents that carry labels."""
+    labelled = table(spark, sf_dir, "labels").select("doc_id")
+    docs = table(spark, sf_dir, "documents").join(labelled, "doc_id", "left_semi")
+    return (docs.select(doc_path().alias("source_path"),
+                        F.posexplode(F.split(F.col("text"), NL)).alias("chunk_index", "content"))
+            .select("source_path", F.col("chunk_index").cast("int"), "content"))
