@@ -187,3 +187,47 @@ def existing_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (docs.select(doc_path().alias("source_path"),
                         F.posexplode(F.split(F.col("text"), NL)).alias("chunk_index", "content"))
             .select("source_path", F.col("chunk_index").cast("int"), "content"))
+
+
+# --- question bank ---------------------------------------------------------------------
+BANK_THRESHOLD = 0.3  # the embeddings' highest pairwise cosine is ~0.5, so 0.95 would never fire
+
+
+def question_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that carry an embedding as generated question records (whole text as question)."""
+    from quarry.operators.bank import QUESTION_TYPES
+    docs = table(spark, sf_dir, "documents")
+    emb = table(spark, sf_dir, "embeddings")
+    qtype = F.element_at(F.array(*[F.lit(t) for t in QUESTION_TYPES]),
+                         (F.pmod(F.col("doc_id"), F.lit(3)) + 1).cast("int"))
+    options = F.when(qtype == "short_answer", F.array().cast("array<string>")) \
+        .otherwise(F.array(F.col("source"), F.col("lang"), F.concat_ws("-", "source", "lang")))
+    expected = (F.when(qtype == "short_answer", F.array(F.col("lang")))
+                .when(qtype == "single_choice", F.array(F.col("source")))
+                .otherwise(F.array(F.col("source"), F.col("lang"))))
+    question = F.struct(qtype.alias("question_type"), F.col("text").alias("question"),
+                        options.alias("options"), expected.alias("expected_answer"),
+                        F.concat(F.lit("from "), F.col("source")).alias("explanation"))
+    return (docs.join(emb, docs.doc_id == emb.vec_id)
+            .select(F.col("doc_id").alias("candidate_id"), question.alias("question"),
+                    (F.pmod(F.col("doc_id"), F.lit(5)) + 1).cast("int").alias("generation_difficulty"),
+                    F.array(doc_path(), doc_path(), F.lit("")).alias("source_paths"), "embedding"))
+
+
+def question_bank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored bank: records of labelled documents, stamped one minute apart."""
+    from quarry.operators.bank import normalize_records
+    labelled = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("candidate_id"))
+    recs = normalize_records(question_records(spark, sf_dir).join(labelled, "candidate_id", "left_semi"))
+    return recs.select(F.col("candidate_id").alias("id"), "question_type", "question_text", "options",
+                       "correct_answer", "explanation", F.col("paths").alias("source_paths"),
+                       F.col("store_difficulty").alias("difficulty"), "embedding",
+                       (F.lit("2024-01-01 00:00:00").cast("timestamp")
+                        + F.make_dt_interval(F.lit(0), F.lit(0), F.col("candidate_id").cast("int")))
+                       .alias("created_at"))
+
+
+def bank_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A new batch to store: records of the unlabelled documents, in doc order."""
+    labelled = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("candidate_id"))
+    return question_records(spark, sf_dir).join(labelled, "candidate_id", "left_anti")
