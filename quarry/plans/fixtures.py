@@ -231,3 +231,66 @@ def bank_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A new batch to store: records of the unlabelled documents, in doc order."""
     labelled = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("candidate_id"))
     return question_records(spark, sf_dir).join(labelled, "candidate_id", "left_anti")
+
+
+# --- generation attempts and judge outputs ----------------------------------------------
+ATTEMPTS = 3
+
+
+def generation_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw model outputs for three attempts per labelled document (a question slot).
+
+    (doc_id + attempt) mod 10 picks the shape: 0 blank, 1 broken JSON, 2 a JSON
+    array, 3 an unsupported type, 4 a choice question with one option, otherwise
+    a well-formed question whose text is the document.  Judge scores derive from
+    the labels; some are out of range (mod 13) or booleans (mod 17).
+    """
+    from quarry.operators.bank import QUESTION_TYPES
+    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
+    a = docs.select("*", F.explode(F.sequence(F.lit(1), F.lit(ATTEMPTS))).alias("attempt_number"))
+    k = F.pmod(F.col("doc_id") + F.col("attempt_number"), F.lit(10))
+    qtype = F.element_at(F.array(*[F.lit(t) for t in QUESTION_TYPES]),
+                         (F.pmod(F.col("doc_id"), F.lit(3)) + 1).cast("int"))
+    qtype = F.when(k == 3, F.lit("essay")).when(k == 4, F.lit("multiple_choice")).otherwise(qtype)
+    options = (F.when(k == 4, F.array(F.col("source")))
+               .when(qtype == "short_answer", F.array().cast("array<string>"))
+               .otherwise(F.array(F.col("source"), F.col("lang"), F.concat_ws("-", "source", "lang"))))
+    expected = (F.when(qtype == "short_answer", F.array(F.col("lang")))
+                .when(qtype == "single_choice", F.array(F.col("source")))
+                .otherwise(F.array(F.col("source"), F.col("lang"))))
+    question = F.to_json(F.struct(qtype.alias("question_type"), F.col("text").alias("question"),
+                                  options.alias("options"), expected.alias("expected_answer"),
+                                  F.concat(F.lit("from "), F.col("source")).alias("explanation")))
+    output = (F.when(k == 0, F.lit("")).when(k == 1, F.lit('{"question": '))
+              .when(k == 2, F.lit("[1, 2]")).otherwise(question))
+    d, n = F.col("doc_id"), F.col("attempt_number")
+    g = F.when(F.pmod(d + n, F.lit(13)) == 0, F.lit(6)).otherwise(F.pmod(d + 2 * n, F.lit(5)) + 1)
+    c = F.least(F.lit(5), F.lit(2) + F.col("quality") * 2 + F.pmod(n, F.lit(2)))
+    cl = F.lit(5) - F.col("toxic") * 3
+    df = F.pmod(d * 7 + n, F.lit(5)) + 1
+    cl_json = F.when(F.pmod(d + n, F.lit(17)) == 0, F.lit("true")).otherwise(cl.cast("string"))
+    judge = F.concat(F.lit('{"groundedness_score": '), g.cast("string"),
+                     F.lit(', "answer_correctness_score": '), c.cast("string"),
+                     F.lit(', "clarity_score": '), cl_json,
+                     F.lit(', "difficulty_score": '), df.cast("string"),
+                     F.lit(', "groundedness_explanation": "g'), g.cast("string"),
+                     F.lit('", "answer_correctness_explanation": "c'), c.cast("string"),
+                     F.lit('", "clarity_explanation": "l'), cl.cast("string"),
+                     F.lit('", "difficulty_explanation": "d'), df.cast("string"), F.lit('"}'))
+    return a.select(F.col("doc_id").alias("slot_id"), F.col("source").alias("session_id"), "attempt_number",
+                    F.col("text").alias("question_text"), output.alias("output_text"), judge.alias("judge_text"),
+                    (F.pmod(F.col("doc_id"), F.lit(5)) + 1).cast("int").alias("assigned_difficulty"))
+
+
+def question_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions already asked in a session: the unlabelled documents of the same source."""
+    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left_anti")
+    return docs.select(F.col("source").alias("session_id"), F.col("text").alias("question_text"))
+
+
+def judged_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.operators import quality as q
+    a = generation_attempts(spark, sf_dir)
+    a = q.question_rules(q.parse_outputs(a))
+    a = q.mark_duplicates(a, question_history(spark, sf_dir))
+    return q.attempt_outcomes(q.quality_gate(a))
