@@ -294,3 +294,25 @@ def judged_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = q.question_rules(q.parse_outputs(a))
     a = q.mark_duplicates(a, question_history(spark, sf_dir))
     return q.attempt_outcomes(q.quality_gate(a))
+
+
+# --- test sessions over the knowledge base ------------------------------------------------
+RESULTS_PER_SESSION = 5
+
+
+def topic_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each benchmark passage is a test session whose topics are its sentences / clauses."""
+    from quarry.functions.text import parse_topics
+    b = table(spark, sf_dir, "benchmark")
+    return b.select(F.col("item_id").alias("session_id"),
+                    parse_topics(F.regexp_replace("text", "[.!?]", ",")).alias("topics"),
+                    F.lit(RESULTS_PER_SESSION).alias("total_results"),
+                    (F.pmod(F.col("item_id"), F.lit(9)) + 2).cast("int").alias("requested"))
+
+
+def session_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.operators.embedding import embed_hashing
+    from quarry.operators.retrieval import multi_topic_retrieve
+    return multi_topic_retrieve(hybrid_index(spark, sf_dir), topic_sessions(spark, sf_dir),
+                                total_col="total_results",
+                                topic_vector_fn=lambda df, c: embed_hashing(df, c))
