@@ -71,17 +71,42 @@ def _sized(df: DataFrame, bound_rows: int | None) -> DataFrame:
     return F.broadcast(df) if bound_rows is not None and bound_rows <= MAX_BROADCAST_TERMS else df
 
 
+def lexeme_frequency(post: DataFrame) -> DataFrame:
+    """Postings per lexeme (map-side combined); a stored index keeps this table beside the postings."""
+    return post.groupBy("lexeme").agg(F.count(F.lit(1)).alias("df"))
+
+
+def candidate_hits(post: DataFrame, terms: DataFrame, key_cols: Sequence[str] = ("source_path", "chunk_index"),
+                   query_id: str = "query_id", term_rows: int | None = None,
+                   frequency: DataFrame | None = None) -> DataFrame:
+    """Postings of query lexemes, restricted to chunks that can satisfy some OR group.
+
+    A chunk can satisfy a group only if it holds the group's rarest positive
+    lexeme, so candidates come from that lexeme's postings alone; every other
+    lexeme is then looked up only inside the candidate chunks.  The result is
+    exact: (query, chunk, group) triples outside the candidates cannot match.
+    """
+    keys = list(key_cols)
+    freq = frequency if frequency is not None else lexeme_frequency(post)
+    pos = terms.where(~F.col("negated")).select(query_id, "group_id", "lexeme").distinct()
+    rated = (_sized(pos, term_rows).join(freq, "lexeme", "left")
+             .withColumn("df", F.coalesce("df", F.lit(0))))
+    rarest = (rated.groupBy(query_id, "group_id")
+              .agg(F.min_by("lexeme", F.struct("df", "lexeme")).alias("lexeme")))
+    cands = post.join(_sized(rarest, term_rows), "lexeme").select(query_id, "group_id", *keys).distinct()
+    # Every (candidate chunk, lexeme of the group, incl. negated) the chunk has to be probed for.
+    needed = cands.join(_sized(terms, term_rows), [query_id, "group_id"])
+    return needed.join(post, [*keys, "lexeme"])
+
+
 def lexical_hits(post: DataFrame, terms: DataFrame, key_cols: Sequence[str],
                  query_id: str = "query_id", term_rows: int | None = None) -> DataFrame:
-    """postings x query terms on lexeme."""
-    return post.join(_sized(terms, term_rows), "lexeme")
+    """postings x query terms on lexeme, restricted to candidate chunks."""
+    return candidate_hits(post, terms, key_cols, query_id, term_rows)
 
 
-def lexical_match(post: DataFrame, terms: DataFrame, key_cols: Sequence[str] = ("source_path", "chunk_index"),
-                  query_id: str = "query_id", term_rows: int | None = None) -> DataFrame:
-    """(query_id, *keys) for every chunk that satisfies the query (``@@``)."""
-    keys = list(key_cols)
-    hits = lexical_hits(post, terms, keys, query_id, term_rows)
+def _match_from_hits(hits: DataFrame, terms: DataFrame, keys: list[str], query_id: str,
+                     term_rows: int | None) -> DataFrame:
     # An item is present at anchor (pos - offset) when all its offsets are there.
     item_hit = (hits.groupBy(query_id, *keys, "group_id", "item_id", "negated", "n_item_terms",
                              (F.col("pos") - F.col("term_offset")).alias("anchor"))
@@ -98,9 +123,19 @@ def lexical_match(post: DataFrame, terms: DataFrame, key_cols: Sequence[str] = (
     return groups.select(query_id, *keys).distinct()
 
 
+def lexical_match(post: DataFrame, terms: DataFrame, key_cols: Sequence[str] = ("source_path", "chunk_index"),
+                  query_id: str = "query_id", term_rows: int | None = None,
+                  hits: DataFrame | None = None) -> DataFrame:
+    """(query_id, *keys) for every chunk that satisfies the query (``@@``)."""
+    keys = list(key_cols)
+    h = hits if hits is not None else candidate_hits(post, terms, keys, query_id, term_rows)
+    return _match_from_hits(h, terms, keys, query_id, term_rows)
+
+
 def cover_density(post: DataFrame, terms: DataFrame, matched: DataFrame,
                   key_cols: Sequence[str] = ("source_path", "chunk_index"),
-                  query_id: str = "query_id", term_rows: int | None = None) -> DataFrame:
+                  query_id: str = "query_id", term_rows: int | None = None,
+                  hits: DataFrame | None = None) -> DataFrame:
     """Cover-density score for matched (query, chunk) pairs.
 
     Positive lexemes only (negations and phrase order do not change covers).
@@ -110,12 +145,13 @@ def cover_density(post: DataFrame, terms: DataFrame, matched: DataFrame,
     (r - left) - (hit positions inside the cover - 1); returned as float4.
     """
     keys = list(key_cols)
-    pos_terms = terms.where(~F.col("negated")).select(query_id, "group_id", "lexeme").distinct()
-    hits = (post.join(_sized(pos_terms.select(query_id, "lexeme").distinct(), term_rows), "lexeme")
-            .join(matched, [query_id, *keys], "left_semi")
-            .select(query_id, *keys, "pos", "lexeme").distinct())
     part = [query_id, *keys]
-    positions = (hits.groupBy(*part, "pos").agg(F.collect_set("lexeme").alias("lexs"))
+    pos_terms = terms.where(~F.col("negated")).select(query_id, "group_id", "lexeme").distinct()
+    qlex = pos_terms.select(query_id, "lexeme").distinct()
+    # Positions of every positive query lexeme inside the matched chunks (all OR groups count).
+    hits_m = (post.join(matched.select(*part), keys).join(_sized(qlex, term_rows), [query_id, "lexeme"])
+              .select(*part, "pos", "lexeme").distinct())
+    positions = (hits_m.groupBy(*part, "pos").agg(F.collect_set("lexeme").alias("lexs"))
                  .withColumn("entry", F.row_number().over(Window.partitionBy(*part).orderBy("pos"))))
     # Every (hit position, group lexeme) pair: is the lexeme at this position?
     grid = positions.join(_sized(pos_terms, term_rows), query_id)
@@ -145,7 +181,8 @@ def lexical_topk(post: DataFrame, terms: DataFrame, k: int,
                  query_id: str = "query_id", term_rows: int | None = None) -> DataFrame:
     """Matching chunks ranked by cover density, first ``k`` per query (ties: key order)."""
     keys = list(key_cols)
-    matched = lexical_match(post, terms, keys, query_id, term_rows)
+    hits = candidate_hits(post, terms, keys, query_id, term_rows)
+    matched = _match_from_hits(hits, terms, keys, query_id, term_rows)
     scored = cover_density(post, terms, matched, keys, query_id, term_rows)
     w = Window.partitionBy(query_id).orderBy(F.col("lexical_score").desc(), *[F.col(c).asc() for c in keys])
     return (scored.withColumn("lexical_rank", F.row_number().over(w))
