@@ -64,7 +64,11 @@ def usage_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     error events carry no usage, view events omit total_tokens, signup events
     send total_tokens = null (the three missing-value rules of the recorder).
     """
-    ev = table(spark, sf_dir, "events")
+    return usage_rows(table(spark, sf_dir, "events"))
+
+
+def usage_rows(ev: DataFrame) -> DataFrame:
+    """Projection of event rows (batch or stream) to response-log rows."""
     it = F.floor(F.col("value") * 10).cast("long").cast("string")
     ot = F.floor(F.col("value") * 3).cast("long").cast("string")
     tt = (F.floor(F.col("value") * 10).cast("long") + F.floor(F.col("value") * 3).cast("long")).cast("string")
@@ -104,7 +108,11 @@ def session_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def answer_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as answer writes; (session, question) repeats, so first-write-wins matters."""
-    li = table(spark, sf_dir, "lineitem")
+    return answer_rows(table(spark, sf_dir, "lineitem"))
+
+
+def answer_rows(li: DataFrame) -> DataFrame:
+    """Projection of line items (batch or stream) to answer writes."""
     assigned = F.col("l_quantity").cast("int") % 5 + 1
     correct = F.col("l_returnflag") == "R"
     return li.select(
@@ -154,7 +162,11 @@ def markdown_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as a Markdown file: '# source', '## lang', then its text in one of
     four layouts chosen by doc_id mod 4 (plain lines; paragraphs; a loose list; a fenced
     block followed by a rule, a sub-heading and a low-information line)."""
-    docs = table(spark, sf_dir, "documents")
+    return markdown_rows(table(spark, sf_dir, "documents"))
+
+
+def markdown_rows(docs: DataFrame) -> DataFrame:
+    """Projection of document rows (batch or stream) to Markdown files."""
     text = F.col("text")
     paragraphs = F.regexp_replace(text, NL, NL + NL)
     loose_list = F.concat(F.lit("- "), F.regexp_replace(text, NL, NL + NL + "- "))
