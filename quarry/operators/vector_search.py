@@ -353,3 +353,64 @@ def similarity_join(left: DataFrame, right: DataFrame, threshold: float, *,
 
     return (l_side.groupBy("_lb", "_rb").cogroup(r_side.groupBy("_lb", "_rb"))
             .applyInPandas(cell, schema))
+
+
+def lsh_signatures(df: DataFrame, id_cols, vector_col: str, dim: int, bands: int = 8, bits: int = 8,
+                   seed: int = 17) -> DataFrame:
+    """Sign-random-projection signatures (Charikar 2002): one row per (row, band, signature).
+
+    The hyperplanes are a seeded (bands*bits x dim) matrix, tiny and fixed by the
+    parameters, so it travels in the task closure; numpy does the projection per
+    Arrow batch.
+    """
+    planes = np.random.default_rng(seed).standard_normal((bands * bits, dim))
+    weights = (1 << np.arange(bits)).astype(np.int64)
+    ids = list(id_cols)
+    schema = T.StructType([*[df.schema[c] for c in ids], T.StructField("band", T.IntegerType()),
+                           T.StructField("sig", T.LongType())])
+    arrow_schema = pa.schema([pa.field(f.name, _arrow_type(f.dataType)) for f in schema.fields])
+
+    def project(batches):
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            x = _list_matrix(batch.column(vector_col), dim)
+            signs = (x @ planes.T > 0).reshape(batch.num_rows, bands, bits)
+            sig = (signs * weights).sum(axis=2)
+            rows = np.repeat(np.arange(batch.num_rows), bands)
+            cols = [batch.column(c).take(pa.array(rows)) for c in ids]
+            yield pa.RecordBatch.from_arrays(
+                cols + [pa.array(np.tile(np.arange(bands, dtype=np.int32), batch.num_rows)),
+                        pa.array(sig.reshape(-1).astype(np.int64))], schema=arrow_schema)
+
+    return df.where(F.col(vector_col).isNotNull()).select(*ids, vector_col).mapInArrow(project, schema)
+
+
+def vector_topk_lsh(index: DataFrame, queries: DataFrame, k: int = 5, *,
+                    key_cols=("source_path", "chunk_index"), vector_col: str = "embedding",
+                    query_id: str = "query_id", query_vector: str = "embedding",
+                    bands: int = 16, bits: int = 6, seed: int = 17) -> DataFrame:
+    """Approximate top-k: candidates share a (band, signature) bucket with the query
+    (an equi-join; AQE splits hot buckets), then exact cosine re-rank.  Returns
+    query_id, rank, keys, similarity; recall is measured against ``vector_topk``."""
+    keys = list(key_cols)
+    dim_row = queries.select(F.size(query_vector).alias("d")).head(1)
+    if not dim_row:
+        return index.sparkSession.createDataFrame([], _output_schema(index, queries, query_id, keys))
+    dim = dim_row[0]["d"]
+    qs = lsh_signatures(queries, [query_id], query_vector, dim, bands, bits, seed)
+    ix = lsh_signatures(index, keys, vector_col, dim, bands, bits, seed)
+    cand = qs.join(ix, ["band", "sig"]).select(query_id, *keys).distinct()
+    scored = (cand.join(queries.select(query_id, F.col(query_vector).alias("_qv")), query_id)
+              .join(index.select(*keys, F.col(vector_col).alias("_iv")), keys)
+              .withColumn("similarity", cosine_expr("_qv", "_iv")).where(F.col("similarity").isNotNull()))
+    w = Window.partitionBy(query_id).orderBy(F.col("similarity").desc(), *[F.col(c).asc() for c in keys])
+    return (scored.withColumn("rank", F.row_number().over(w).cast("int")).where(F.col("rank") <= k)
+            .select(query_id, "rank", *keys, "similarity"))
+
+
+def recall_at_k(approx: DataFrame, exact: DataFrame, query_id: str, keys) -> DataFrame:
+    """Share of exact top-k rows that the approximate search also returned."""
+    hit = exact.join(approx.select(query_id, *keys).withColumn("_hit", F.lit(1)), [query_id, *keys], "left")
+    return hit.agg(F.count(F.lit(1)).alias("exact_rows"), F.count("_hit").alias("found"),
+                   (F.count("_hit") / F.count(F.lit(1))).alias("recall"))

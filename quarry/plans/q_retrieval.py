@@ -113,3 +113,21 @@ def q_hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = hy.hybrid_search(fx.hybrid_index(spark, sf_dir), fx.hybrid_queries(spark, sf_dir), k=5)
     return rounded(out.select("query_id", "source_path", "chunk_index", "content", *SCORES[:2],
                               "vector_rank", "lexical_rank", "hybrid_score", "hybrid_rank"))
+
+
+@register("vector_topk_lsh")
+def q_vector_topk_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Approximate top-5 with sign-random-projection bands, re-ranked exactly."""
+    from quarry.operators.vector_search import vector_topk_lsh
+    out = vector_topk_lsh(fx.vector_index(spark, sf_dir), fx.vector_queries(spark, sf_dir), 5)
+    return out.withColumn("similarity", F.round("similarity", 6))
+
+
+@register("lsh_recall")
+def q_lsh_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recall@5 of the LSH search against the exact search over the same tables."""
+    from quarry.operators.vector_search import recall_at_k, vector_topk, vector_topk_lsh
+    idx, qs = fx.vector_index(spark, sf_dir), fx.vector_queries(spark, sf_dir)
+    exact = vector_topk(idx, qs, 5, payload_cols=())
+    approx = vector_topk_lsh(idx, qs, 5)
+    return recall_at_k(approx, exact, "query_id", ["source_path", "chunk_index"])

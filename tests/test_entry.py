@@ -2,7 +2,7 @@
 
 import __spark_entry__ as entry_mod
 
-ROWS_ONLY = {"chunk_markdown", "index_replace", "stream_usage_hourly", "stream_first_answers",
+ROWS_ONLY = {"chunk_markdown", "index_replace", "stream_usage_hourly", "stream_first_answers", "lsh_recall",
              "stream_difficulty", "stream_session_counters", "stream_index_refresh", "vector_topk_lsh"}
 
 
