@@ -188,3 +188,14 @@ def bank_list(bank: DataFrame, question_type: str | None = None, difficulty: int
             .select("id", "question_type", "question_text", "options", "correct_answer", "explanation",
                     "source_paths", "difficulty", "created_at"))
     return page.withColumn("total_count", total)
+
+
+def bank_candidates(answered: DataFrame, open_questions: DataFrame, sessions: DataFrame,
+                    session_col: str = "session_id", passed_col: str = "judge_passed",
+                    identity: tuple[str, ...] = ("slot_id",)) -> DataFrame:
+    """Questions to store for finished tests (OP-B5): every answered question, plus the
+    open (unanswered) question of a test that ended early; approved ones only; each
+    question once per test."""
+    early = sessions.where(F.col("ended_early")).select(session_col)
+    extra = open_questions.join(early, session_col, "left_semi")
+    return approved_only(answered.unionByName(extra), passed_col).dropDuplicates([session_col, *identity])

@@ -232,3 +232,35 @@ SELECT candidate_id, [path] AS source_paths FROM ({GRADE_BASE_SQL})
 def q_source_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.question_records(spark, sf_dir).select("candidate_id",
                                                      source_paths("source_paths").alias("source_paths"))
+
+
+# A prompt template of this library (placeholders are filled per row).
+PROMPT_TEMPLATE = ("Write one question at difficulty {difficulty} of 5 about: {topics}.\n"
+                   "Angle: {angle}.\nContext:\n{context}")
+
+
+@register("prompt_rows", f"""
+WITH rr AS ({ROUND_ROBIN_SQL}),
+m AS ({MERGED_SQL}),
+t AS (SELECT DISTINCT session_id, topic, topic_pos FROM ({TOPICS_SQL})),
+lab AS (SELECT session_id, string_agg(topic, '; ' ORDER BY topic_pos) AS topics FROM t GROUP BY ALL)
+SELECT rr.session_id, CAST(rr.slot AS INTEGER) AS slot,
+       'Write one question at difficulty 3 of 5 about: ' || lab.topics || '.' || chr(10) || 'Angle: ' ||
+       ['explain a mechanism or cause', 'identify an effect or consequence', 'compare two related concepts',
+        'apply a concept to a concrete scenario', 'explain a trade-off or design decision',
+        'trace a process or sequence'][
+           (('0x' || substr(md5(concat_ws(':', '0', CAST(rr.session_id AS VARCHAR), CAST(rr.slot AS VARCHAR))),
+                            1, 8))::BIGINT % 6) + 1] || '.' || chr(10) || 'Context:' || chr(10) ||
+       'Topics: ' || array_to_string(m.matched_topics, ', ') || chr(10) || 'Source: ' || m.source_path || chr(10)
+       || m.content AS prompt
+FROM rr JOIN m USING (session_id, source_path, chunk_index) JOIN lab USING (session_id)
+""")
+def q_prompt_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Generation prompt per scheduled slot: one chunk's context, seeded angle, topic label."""
+    from quarry.functions.text import topic_label
+    slots = _round_robin(spark, sf_dir).join(fx.topic_sessions(spark, sf_dir).select("session_id", "topics"), "session_id")
+    prompt = rt.fill_template(
+        PROMPT_TEMPLATE, difficulty=F.lit(3), topics=topic_label("topics"),
+        angle=sc.choose_angle(F.col("session_id"), F.col("slot"), seed=0),
+        context=rt.context_block(F.col("matched_topics"), F.col("source_path"), F.col("content")))
+    return slots.select("session_id", F.col("slot").cast("int"), prompt.alias("prompt"))

@@ -182,3 +182,39 @@ FROM (
 def q_parse_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.line_index(spark, sf_dir).select("source_path", "chunk_index",
                                                parse_topics(F.col("content")).alias("topics"))
+
+
+CHOSEN_SQL = f"""
+    SELECT o.session_id, o.slot_id, o.attempt_number, o.toxic,
+           w.a IS NOT NULL AS judge_passed,
+           o.slot_id = max(o.slot_id) OVER (PARTITION BY o.session_id) AS is_open
+    FROM ({OUTCOMES_SQL}) o
+    JOIN (SELECT slot_id, coalesce(min(attempt_number) FILTER (WHERE attempt_error IS NULL), max(attempt_number)) AS a0,
+                 min(attempt_number) FILTER (WHERE attempt_error IS NULL) AS a
+          FROM ({OUTCOMES_SQL}) GROUP BY slot_id) w ON w.slot_id = o.slot_id AND w.a0 = o.attempt_number
+"""
+
+
+@register("bank_candidates", f"""
+SELECT session_id, slot_id, attempt_number FROM ({CHOSEN_SQL}) c
+WHERE judge_passed AND (NOT is_open OR EXISTS (
+    SELECT 1 FROM ({CHOSEN_SQL}) e WHERE e.session_id = c.session_id AND e.is_open AND e.toxic = 1))
+""")
+def q_bank_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per session (source): the last slot is the open question; the session ended early when
+    that slot's document is labelled toxic."""
+    from pyspark.sql import Window
+    from quarry.operators.bank import bank_candidates
+    outcomes = fx.judged_attempts(spark, sf_dir)
+    first = q.first_passing_attempt(outcomes, ["slot_id"])
+    shown = F.coalesce(F.col("passing_attempt"), F.col("attempts_made"))
+    chosen = (outcomes.join(first.select("slot_id", shown.alias("attempt_number"),
+                                         F.col("passed").alias("judge_passed")), ["slot_id", "attempt_number"])
+              .join(fx.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("slot_id"), "toxic"), "slot_id")
+              .withColumn("is_open", F.col("slot_id") == F.max("slot_id").over(Window.partitionBy("session_id")))
+              .select("session_id", "slot_id", "attempt_number", "judge_passed", "is_open", "toxic"))
+    sessions = chosen.where("is_open").select("session_id", (F.col("toxic") == 1).alias("ended_early"))
+    cols = ["session_id", "slot_id", "attempt_number", "judge_passed"]
+    out = bank_candidates(chosen.where(~F.col("is_open")).select(*cols),
+                          chosen.where("is_open").select(*cols), sessions)
+    return out.select("session_id", "slot_id", "attempt_number")
