@@ -11,7 +11,7 @@ functions over (source_path ORDER BY line):
   blank, heading, rule); run j joins run j-1 when only blank lines lie between,
   run j-1 has a list line and run j starts with one (blank lines kept);
 * long prose blocks: sentence split, greedy packing to 500 characters with
-  an ``aggregate`` fold per (block, group), oversize sentences word-packed.
+  one ``aggregate`` fold per block (oversize sentences word-packed by a nested fold).
 
 All windows share the partitioning on source_path, so after the one
 repartition by document no further shuffle is needed (the block group-by is
@@ -146,28 +146,34 @@ def emit_blocks(blocks: DataFrame, path_col: str = "source_path") -> DataFrame:
     return b.withColumn("atomic", atomic)
 
 
+def split_long(text: Column) -> Column:
+    """Pieces of a prose block: sentences packed greedily to CHUNK_SIZE; an oversize
+    sentence flushes the current piece and is word-packed on its own (one fold, with a
+    nested fold for the words), so a block never leaves its row."""
+    init = F.struct(F.array().cast("array<string>").alias("pieces"), F.lit(None).cast("string").alias("cur"))
+
+    def step(acc, s):
+        flushed = F.when(acc["cur"].isNull(), acc["pieces"]).otherwise(F.concat(acc["pieces"], F.array(acc["cur"])))
+        words = _pack(F.filter(F.split(s, WORD_SPLIT), lambda w: w != ""))
+        fits = F.length(acc["cur"]) + 1 + F.length(s) <= CHUNK_SIZE
+        return (F.when(F.length(s) > CHUNK_SIZE,
+                       F.struct(F.concat(flushed, words).alias("pieces"), F.lit(None).cast("string").alias("cur")))
+                .when(acc["cur"].isNull(), F.struct(acc["pieces"].alias("pieces"), s.alias("cur")))
+                .when(fits, F.struct(acc["pieces"].alias("pieces"), F.concat(acc["cur"], F.lit(" "), s).alias("cur")))
+                .otherwise(F.struct(F.concat(acc["pieces"], F.array(acc["cur"])).alias("pieces"), s.alias("cur"))))
+
+    return F.aggregate(F.split(text, SENTENCE_SPLIT), init, step,
+                       lambda acc: F.when(acc["cur"].isNull(), acc["pieces"])
+                       .otherwise(F.concat(acc["pieces"], F.array(acc["cur"]))))
+
+
 def split_pieces(blocks: DataFrame, path_col: str = "source_path") -> DataFrame:
-    """Long prose blocks -> pieces of at most CHUNK_SIZE (whole words; an oversize word stays whole)."""
-    whole = (blocks.where(F.col("atomic") | (F.length("text") <= CHUNK_SIZE))
-             .select(path_col, "block_id", "context", F.lit(0).alias("grp"), F.lit(0).alias("piece"),
-                     F.col("text").alias("piece_text")))
-    long = blocks.where(~F.col("atomic") & (F.length("text") > CHUNK_SIZE))
-    sents = long.select(path_col, "block_id", "context",
-                        F.posexplode(F.split("text", SENTENCE_SPLIT)).alias("si", "sentence"))
-    w = (Window.partitionBy(path_col).orderBy("block_id", "si")
-         .rowsBetween(Window.unboundedPreceding, 0))
-    over = F.length("sentence") > CHUNK_SIZE
-    n_over = F.sum(over.cast("int")).over(w)
-    sents = sents.withColumn("grp", F.lit(2) * n_over - over.cast("int"))
-    # An oversize sentence becomes its words; the others stay whole units.
-    units = F.when(over, F.filter(F.split("sentence", WORD_SPLIT), lambda t: t != "")).otherwise(F.array("sentence"))
-    u = sents.select(path_col, "block_id", "context", "grp", "si",
-                     F.posexplode(units).alias("ui", "unit"))
-    groups = (u.groupBy(path_col, "block_id", "context", "grp")
-              .agg(F.sort_array(F.collect_list(F.struct("si", "ui", "unit"))).alias("us")))
-    packed = groups.select(path_col, "block_id", "context", "grp",
-                           F.posexplode(_pack(F.transform("us", lambda s: s["unit"]))).alias("piece", "piece_text"))
-    return whole.unionByName(packed)
+    """Block -> pieces of at most CHUNK_SIZE (whole words; an oversize word stays whole);
+    atomic blocks and blocks of at most CHUNK_SIZE characters stay whole."""
+    pieces = F.when(F.col("atomic") | (F.length("text") <= CHUNK_SIZE), F.array(F.col("text"))) \
+        .otherwise(split_long(F.col("text")))
+    return blocks.select(path_col, "block_id", "context",
+                         F.posexplode(pieces).alias("piece", "piece_text"))
 
 
 def chunk_markdown(files: DataFrame, path_col: str = "source_path", text_col: str = "content") -> DataFrame:
@@ -177,6 +183,6 @@ def chunk_markdown(files: DataFrame, path_col: str = "source_path", text_col: st
     pieces = split_pieces(blocks, path_col)
     content = F.when(F.col("context") != "", F.concat(F.col("context"), F.lit("\n\n"), F.col("piece_text"))) \
         .otherwise(F.col("piece_text"))
-    w = Window.partitionBy(path_col).orderBy("block_id", "grp", "piece")
+    w = Window.partitionBy(path_col).orderBy("block_id", "piece")
     return pieces.select(path_col, (F.row_number().over(w) - 1).cast("int").alias("chunk_index"),
                          content.alias("content"))

@@ -1,8 +1,8 @@
 """Text embedding (OP-C12) and the vector text codec (OP-C13).
 
 Default embedder: feature hashing.  Tokens are hashed JVM-side (md5 prefix ->
-bucket); a vectorised pandas UDF only turns each row's bucket array into a
-count vector with ``numpy.bincount``.  A model embedder plugs in through
+bucket); an Arrow UDF turns a whole batch of bucket arrays into count vectors
+with a single ``numpy.bincount``.  A model embedder plugs in through
 ``embed_with`` (iterator pandas UDF, model loaded once per task); both check
 the dimension.
 """
@@ -13,6 +13,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,10 +34,18 @@ def hash_buckets(text: Column | str, dim: int = DEFAULT_DIM) -> Column:
 
 
 def _bincount_udf(dim: int):
-    @F.pandas_udf("array<float>")
-    def bincount(buckets: pd.Series) -> pd.Series:
-        return pd.Series([np.bincount(np.asarray(b, dtype=np.int64), minlength=dim).astype(np.float32)
-                          if b is not None else None for b in buckets])
+    @F.arrow_udf("array<float>")
+    def bincount(buckets: pa.Array) -> pa.Array:
+        """All rows of an Arrow batch at once: one bincount over (row * dim + bucket)."""
+        if isinstance(buckets, pa.ChunkedArray):
+            buckets = buckets.combine_chunks()
+        n = len(buckets)
+        lengths = pc.fill_null(pc.list_value_length(buckets), 0).to_numpy(zero_copy_only=False)
+        values = pc.list_flatten(buckets).to_numpy(zero_copy_only=False).astype(np.int64)
+        rows = np.repeat(np.arange(n, dtype=np.int64), lengths)
+        counts = np.bincount(rows * dim + values, minlength=n * dim).astype(np.float32)
+        offsets = pa.array(np.arange(0, (n + 1) * dim, dim, dtype=np.int32))
+        return pa.ListArray.from_arrays(offsets, pa.array(counts), mask=buckets.is_null())
     return bincount
 
 

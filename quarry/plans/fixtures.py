@@ -36,8 +36,12 @@ def vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def line_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lexical/hybrid index: every line of every document is one chunk."""
-    docs = table(spark, sf_dir, "documents")
+    """Lexical/hybrid index: every line of every document is one chunk.
+
+    Building an index repartitions the corpus by document once, so the explode and
+    the embedding run in parallel even when the input has few row groups."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    docs = docs.repartition(doc_path())
     return (docs.select(doc_path().alias("source_path"),
                         F.posexplode(F.split(F.col("text"), NL)).alias("chunk_index", "content"))
             .select("source_path", F.col("chunk_index").cast("int"), "content"))
