@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.operators.lexical import lexical_topk, postings, query_terms
+from quarry.operators.lexical import build_postings, lexical_topk, query_terms
 from quarry.operators.vector_search import vector_topk
 
 RRF_K = 60
@@ -52,7 +52,9 @@ def hybrid_search(index: DataFrame, queries: DataFrame, k: int = 5, *,
                    F.col("rank").cast("long").alias("vector_rank")))
     terms = query_terms(queries.select(query_id, query_text), query_id, query_text)
     n_terms = terms.count()  # the query side: small, counted once to prove a broadcast bound
-    post = index_postings if index_postings is not None else postings(index, keys, content_col)
+    # The postings are the inverted index: built once, cut from lineage (a reliable
+    # checkpoint in the shared folder) and reused by every lexical step below.
+    post = index_postings if index_postings is not None else build_postings(index, keys, content_col)
     lex = lexical_topk(post, terms, cand, keys, query_id, n_terms)
     # At most n_queries * cand rows: broadcast them against a pruned re-scan of the index.
     lex = index.select(*keys, content_col).join(F.broadcast(lex), keys)

@@ -38,6 +38,13 @@ def postings(chunks: DataFrame, key_cols: Sequence[str] = ("source_path", "chunk
             .select(*keys, (F.col("pos") + 1).cast("int").alias("pos"), s_stem("token").alias("lexeme")))
 
 
+def build_postings(chunks: DataFrame, key_cols: Sequence[str] = ("source_path", "chunk_index"),
+                   text_col: str = "content") -> DataFrame:
+    """Postings materialised once (reliable checkpoint), for jobs that probe them repeatedly."""
+    from quarry.session import cut_lineage
+    return cut_lineage(postings(chunks, key_cols, text_col))
+
+
 def query_terms(queries: DataFrame, query_id: str = "query_id", text_col: str = "query") -> DataFrame:
     """Parse web-search syntax into term rows.
 

@@ -48,25 +48,29 @@ def parse_outputs(df: DataFrame, text_col: str = "output_text", schema: T.Struct
                   name: str = "test_question") -> DataFrame:
     """Non-blank text, valid JSON, a JSON object; adds ``parse_error`` and ``parsed``."""
     raw = F.col(text_col)
-    return (df.withColumn("parse_error", _parse_error(raw, name))
-            .withColumn("parsed", F.when(F.col("parse_error").isNull(), F.from_json(raw, schema))))
+    # One parse per output: the VARIANT feeds the error, the typed struct and the type checks.
+    return (df.withColumn("_json", F.try_parse_json(raw))
+            .withColumn("parse_error", _parse_error(raw, name, F.col("_json")))
+            .withColumn("parsed", F.when(F.col("parse_error").isNull(),
+                                         F.try_variant_get(F.col("_json"), "$", schema.simpleString()))))
 
 
-def _parse_error(raw: Column, name: str) -> Column:
+def _parse_error(raw: Column, name: str, parsed: Column | None = None) -> Column:
+    v = parsed if parsed is not None else F.try_parse_json(raw)
     return (F.when(raw.isNull() | (strip_unicode(raw) == ""), F.lit(f"returned no structured {name} output"))
-            .when(F.try_parse_json(raw).isNull(), F.lit(f"returned invalid {name} JSON"))
-            .when(F.json_object_keys(raw).isNull(), F.lit(f"returned an invalid {name} object")))
+            .when(v.isNull(), F.lit(f"returned invalid {name} JSON"))
+            .when(~F.schema_of_variant(v).startswith("OBJECT"), F.lit(f"returned an invalid {name} object")))
 
 
-def _is_string_array(raw_json: Column, path: str) -> Column:
+def _is_string_array(json_value: Column, path: str) -> Column:
     """The JSON value at ``path`` is an array whose items are all strings."""
-    kind = F.schema_of_variant(F.try_parse_json(F.get_json_object(raw_json, path)))
+    kind = F.schema_of_variant(F.try_variant_get(json_value, path, "variant"))
     return F.coalesce(kind.isin("ARRAY<STRING>", "ARRAY<VOID>"), F.lit(False))
 
 
 def question_rules(df: DataFrame, text_col: str = "output_text") -> DataFrame:
     """First failing rule, in the reference's order (null when the question is valid)."""
-    raw = F.col(text_col)
+    raw = F.col("_json")
     p = F.col("parsed")
     qtype = p["question_type"]
     opts = F.coalesce(F.size(p["options"]), F.lit(0))

@@ -53,24 +53,24 @@ def random_schedule(schedule: DataFrame, seed: int = 0, session_col: str = "sess
     """Up to ten seeded shuffles; keep the first without adjacent repeats, else the original order.
 
     Output: the schedule rows with ``position`` (0-based) and ``shuffle_try`` (-1 = original).
+    One pass: after a single repartition by session, every window below is satisfied
+    by that partitioning (no further shuffle) and the input is read once.
     """
     keys = list(key_cols)
-    tries = schedule.select("*", F.explode(F.sequence(F.lit(0), F.lit(SHUFFLE_TRIES - 1))).alias("shuffle_try"))
-    order = Window.partitionBy(session_col, "shuffle_try").orderBy(
-        seeded_hash(F.lit(seed), F.col(session_col), F.col("shuffle_try"), F.col("slot")), "slot")
+    tries = (schedule.repartition(session_col)
+             .select("*", F.explode(F.sequence(F.lit(-1), F.lit(SHUFFLE_TRIES - 1))).alias("shuffle_try")))
+    sort_key = F.when(F.col("shuffle_try") == -1, F.col("slot").cast("long")).otherwise(
+        seeded_hash(F.lit(seed), F.col(session_col), F.col("shuffle_try"), F.col("slot")))
+    order = Window.partitionBy(session_col, "shuffle_try").orderBy(sort_key, "slot")
     tries = tries.withColumn("position", (F.row_number().over(order) - 1).cast("int"))
     tries = tries.withColumn("_rep", has_adjacent_repeat(tries, [session_col, "shuffle_try"], "position", keys))
-    sizes = schedule.groupBy(session_col).agg(F.count(F.lit(1)).alias("_n"))
-    valid = (tries.groupBy(session_col, "shuffle_try").agg(F.max(F.col("_rep").cast("int")).alias("_bad"))
-             .where("_bad = 0").groupBy(session_col).agg(F.min("shuffle_try").alias("_chosen")))
-    chosen = (sizes.join(valid, session_col, "left")
-              .select(session_col, F.when(F.col("_n") < 2, F.lit(-1))
-                      .otherwise(F.coalesce("_chosen", F.lit(-1))).alias("_chosen")))
-    shuffled = (tries.join(chosen, session_col).where(F.col("shuffle_try") == F.col("_chosen"))
-                .drop("_rep", "_chosen"))
-    original = (schedule.join(chosen.where(F.col("_chosen") == -1), session_col, "left_semi")
-                .withColumn("shuffle_try", F.lit(-1)).withColumn("position", F.col("slot").cast("int")))
-    return shuffled.unionByName(original)
+    per_try = Window.partitionBy(session_col, "shuffle_try")
+    tries = (tries.withColumn("_bad", F.max(F.col("_rep").cast("int")).over(per_try))
+             .withColumn("_n", F.count(F.lit(1)).over(per_try)))
+    ok = (F.col("shuffle_try") >= 0) & (F.col("_bad") == 0) & (F.col("_n") >= 2)
+    chosen = F.coalesce(F.min(F.when(ok, F.col("shuffle_try"))).over(Window.partitionBy(session_col)), F.lit(-1))
+    tries = tries.withColumn("_chosen", chosen)
+    return tries.where(F.col("shuffle_try") == F.col("_chosen")).drop("_rep", "_bad", "_n", "_chosen")
 
 
 def strict_count_check(schedule: DataFrame, counts: DataFrame, session_col: str = "session_id") -> DataFrame:

@@ -31,7 +31,7 @@ def q_query_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("lexical_match", f"{HEAD} {LEX_CTE} SELECT * FROM matched_")
 def q_lexical_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     terms = lx.query_terms(fx.search_queries(spark, sf_dir))
-    return lx.lexical_match(lx.postings(fx.line_index(spark, sf_dir)), terms, term_rows=terms.count())
+    return lx.lexical_match(lx.build_postings(fx.line_index(spark, sf_dir)), terms, term_rows=terms.count())
 
 
 @register("cover_density", f"""{HEAD} {LEX_CTE}
@@ -39,7 +39,7 @@ SELECT query_id, source_path, chunk_index, round(lexical_score, 6) AS lexical_sc
 def q_cover_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     terms = lx.query_terms(fx.search_queries(spark, sf_dir))
     n = terms.count()
-    post = lx.postings(fx.line_index(spark, sf_dir))
+    post = lx.build_postings(fx.line_index(spark, sf_dir))
     matched = lx.lexical_match(post, terms, term_rows=n)
     return (lx.cover_density(post, terms, matched, term_rows=n)
             .withColumn("lexical_score", F.round("lexical_score", 6)))
