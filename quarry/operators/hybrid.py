@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.operators.lexical import build_postings, lexical_topk, query_terms
+from quarry.operators.lexical import build_postings, lexical_topk, prepared_terms
 from quarry.operators.vector_search import vector_topk
 
 RRF_K = 60
@@ -50,8 +50,7 @@ def hybrid_search(index: DataFrame, queries: DataFrame, k: int = 5, *,
                        vector_col=vector_col, query_id=query_id, query_vector=query_vector)
            .select(query_id, *keys, content_col, F.col("similarity").alias("vector_similarity"),
                    F.col("rank").cast("long").alias("vector_rank")))
-    terms = query_terms(queries.select(query_id, query_text), query_id, query_text)
-    n_terms = terms.count()  # the query side: small, counted once to prove a broadcast bound
+    terms, n_terms = prepared_terms(queries.select(query_id, query_text), query_id, query_text)
     # The postings are the inverted index: built once, cut from lineage (a reliable
     # checkpoint in the shared folder) and reused by every lexical step below.
     post = index_postings if index_postings is not None else build_postings(index, keys, content_col)

@@ -45,6 +45,14 @@ def build_postings(chunks: DataFrame, key_cols: Sequence[str] = ("source_path",
     return cut_lineage(postings(chunks, key_cols, text_col))
 
 
+def prepared_terms(queries: DataFrame, query_id: str = "query_id", text_col: str = "query"):
+    """Query terms materialised once (they feed several joins) and their row count,
+    which proves the broadcast bound of the query side."""
+    from quarry.session import cut_lineage
+    terms = cut_lineage(query_terms(queries, query_id, text_col))
+    return terms, terms.count()
+
+
 def query_terms(queries: DataFrame, query_id: str = "query_id", text_col: str = "query") -> DataFrame:
     """Parse web-search syntax into term rows.
 
@@ -96,10 +104,15 @@ def candidate_hits(post: DataFrame, terms: DataFrame, key_cols: Sequence[str] =
     keys = list(key_cols)
     freq = frequency if frequency is not None else lexeme_frequency(post)
     pos = terms.where(~F.col("negated")).select(query_id, "group_id", "lexeme").distinct()
-    rated = (_sized(pos, term_rows).join(freq, "lexeme", "left")
-             .withColumn("df", F.coalesce("df", F.lit(0))))
+    # Frequencies stream against the broadcast query lexemes (never the other way round).
+    rated = freq.join(_sized(pos, term_rows), "lexeme")
+    n_pos = pos.groupBy(query_id, "group_id").agg(F.count(F.lit(1)).alias("n_pos"))
+    # A group with a lexeme absent from the index can never match: it yields no candidates.
     rarest = (rated.groupBy(query_id, "group_id")
-              .agg(F.min_by("lexeme", F.struct("df", "lexeme")).alias("lexeme")))
+              .agg(F.min_by("lexeme", F.struct("df", "lexeme")).alias("lexeme"),
+                   F.count(F.lit(1)).alias("n_found"))
+              .join(_sized(n_pos, term_rows), [query_id, "group_id"])
+              .where(F.col("n_found") == F.col("n_pos")).select(query_id, "group_id", "lexeme"))
     cands = post.join(_sized(rarest, term_rows), "lexeme").select(query_id, "group_id", *keys).distinct()
     # Every (candidate chunk, lexeme of the group, incl. negated) the chunk has to be probed for.
     needed = cands.join(_sized(terms, term_rows), [query_id, "group_id"])
@@ -160,6 +173,9 @@ def cover_density(post: DataFrame, terms: DataFrame, matched: DataFrame,
               .select(*part, "pos", "lexeme").distinct())
     positions = (hits_m.groupBy(*part, "pos").agg(F.collect_set("lexeme").alias("lexs"))
                  .withColumn("entry", F.row_number().over(Window.partitionBy(*part).orderBy("pos"))))
+    # Used twice below (grid and cover starts): materialise once instead of re-running the match.
+    from quarry.session import cut_lineage
+    positions = cut_lineage(positions)
     # Every (hit position, group lexeme) pair: is the lexeme at this position?
     grid = positions.join(_sized(pos_terms, term_rows), query_id)
     grid = grid.select(*part, "pos", "entry", "group_id", "lexeme",
@@ -188,8 +204,9 @@ def lexical_topk(post: DataFrame, terms: DataFrame, k: int,
                  query_id: str = "query_id", term_rows: int | None = None) -> DataFrame:
     """Matching chunks ranked by cover density, first ``k`` per query (ties: key order)."""
     keys = list(key_cols)
+    from quarry.session import cut_lineage
     hits = candidate_hits(post, terms, keys, query_id, term_rows)
-    matched = _match_from_hits(hits, terms, keys, query_id, term_rows)
+    matched = cut_lineage(_match_from_hits(hits, terms, keys, query_id, term_rows))
     scored = cover_density(post, terms, matched, keys, query_id, term_rows)
     w = Window.partitionBy(query_id).orderBy(F.col("lexical_score").desc(), *[F.col(c).asc() for c in keys])
     return (scored.withColumn("lexical_rank", F.row_number().over(w))

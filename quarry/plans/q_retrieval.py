@@ -10,6 +10,7 @@ from quarry.operators import lexical as lx
 from quarry.operators.embedding import embed_hashing
 from quarry.plans import fixtures as fx
 from quarry.plans.registry import register
+from quarry.session import cut_lineage
 from quarry.plans.sql_fragments import (
     LINE_INDEX_SQL, SEARCH_QUERIES_SQL, bucket_counts_sql, lexical_sql, postings_sql, query_terms_sql,
 )
@@ -30,17 +31,16 @@ def q_query_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("lexical_match", f"{HEAD} {LEX_CTE} SELECT * FROM matched_")
 def q_lexical_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    terms = lx.query_terms(fx.search_queries(spark, sf_dir))
-    return lx.lexical_match(lx.build_postings(fx.line_index(spark, sf_dir)), terms, term_rows=terms.count())
+    terms, n = lx.prepared_terms(fx.search_queries(spark, sf_dir))
+    return lx.lexical_match(lx.build_postings(fx.line_index(spark, sf_dir)), terms, term_rows=n)
 
 
 @register("cover_density", f"""{HEAD} {LEX_CTE}
 SELECT query_id, source_path, chunk_index, round(lexical_score, 6) AS lexical_score FROM scored_""")
 def q_cover_density(spark: SparkSession, sf_dir: str) -> DataFrame:
-    terms = lx.query_terms(fx.search_queries(spark, sf_dir))
-    n = terms.count()
+    terms, n = lx.prepared_terms(fx.search_queries(spark, sf_dir))
     post = lx.build_postings(fx.line_index(spark, sf_dir))
-    matched = lx.lexical_match(post, terms, term_rows=n)
+    matched = cut_lineage(lx.lexical_match(post, terms, term_rows=n))
     return (lx.cover_density(post, terms, matched, term_rows=n)
             .withColumn("lexical_score", F.round("lexical_score", 6)))
 
