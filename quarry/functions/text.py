@@ -24,6 +24,11 @@ STOP_WORDS = (
 # Fixed value: words a block may consist of and still carry no content (chunker).
 LOW_INFORMATION_FRAGMENTS = ("where", "and", "or", "because", "therefore")
 
+# Fixed value: the characters Python's str.split() / str.strip() treat as whitespace.
+PY_WHITESPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004"
+                 "\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+_WS_CLASS = "[" + "".join(f"\\x{{{ord(c):04x}}}" for c in PY_WHITESPACE) + "]"
+
 TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
 # Python str.splitlines() boundaries (after \r\n has been folded to \n).
 LINE_SPLIT = "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x85\\u2028\\u2029]"
@@ -65,19 +70,20 @@ def _s_stem_expr(t: Column) -> Column:
 
 
 def strip_unicode(c) -> Column:
-    """Python ``str.strip()``: remove leading/trailing Unicode whitespace."""
-    return F.regexp_replace(col(c), r"(?U)^\s+|\s+$", "")
+    """Python ``str.strip()``: remove leading/trailing whitespace (Python's set)."""
+    return F.regexp_replace(col(c), f"^{_WS_CLASS}+|{_WS_CLASS}+$", "")
 
 
 def normalize_question_text(c) -> Column:
-    """``" ".join(text.split()).casefold()``; casefold approximated by lower + ß -> ss."""
-    return F.replace(F.lower(strip_unicode(F.regexp_replace(col(c), UNICODE_SPACE, " "))),
-                     F.lit("ß"), F.lit("ss"))
+    """``" ".join(text.split()).casefold()``: every whitespace character becomes a space
+    (``translate``), runs collapse, ends trimmed; casefold approximated by lower + ß -> ss."""
+    spaced = F.translate(col(c), PY_WHITESPACE, " " * len(PY_WHITESPACE))
+    return F.replace(F.lower(F.trim(F.regexp_replace(spaced, " {2,}", " "))), F.lit("ß"), F.lit("ss"))
 
 
 def parse_topics(c) -> Column:
     """Comma-separated topics: trimmed, empty dropped, ordered distinct (case-sensitive)."""
-    parts = F.transform(F.split(col(c), ","), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", ""))
+    parts = F.transform(F.split(col(c), ","), strip_unicode)
     return F.array_distinct(F.filter(parts, lambda x: x != ""))
 
 

@@ -14,7 +14,7 @@ from quarry.plans import fixtures as fx
 from quarry.plans.registry import register
 from quarry.plans.sql_fragments import DOC_PATH_SQL, LINE_INDEX_SQL, bucket_counts_sql
 
-WS = r"[\t\n\x{0B}\f\r\x{85}\p{Z}]"
+WS = r"[\t\n\x{0B}\f\r\x{1C}-\x{1F}\x{85}\p{Z}]"
 
 TOPICS_SQL = f"""
     SELECT session_id, unnest(topics) AS topic, generate_subscripts(topics, 1) - 1 AS topic_pos,

@@ -11,7 +11,7 @@ from quarry.plans import fixtures as fx
 from quarry.plans.registry import register
 from quarry.plans.sql_fragments import LINE_INDEX_SQL
 
-WS = r"[\t\n\x{0B}\f\r\x{85}\p{Z}]"
+WS = r"[\t\n\x{0B}\f\r\x{1C}-\x{1F}\x{85}\p{Z}]"
 
 
 def norm_sql(x: str) -> str:
