@@ -28,10 +28,14 @@ def answers_first_wins(answers: DataFrame, order_cols: list[str]) -> DataFrame:
     """``ON CONFLICT (session_id, question_number) DO NOTHING``: the earliest write wins.
 
     ``order_cols`` must make the order total within a key (e.g. answered_at, then a
-    tiebreak).  Catalyst turns ``row_number() = 1`` into a group limit before the shuffle.
+    tiebreak).  A ``min_by`` aggregate is combined map-side, so a key repeated by a
+    third of all rows is reduced before the shuffle instead of landing in one task.
     """
-    w = Window.partitionBy("session_id", "question_number").orderBy(*[F.col(c).asc() for c in order_cols])
-    return answers.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    keys = ["session_id", "question_number"]
+    rest = [c for c in answers.columns if c not in keys]
+    first = (answers.groupBy(*keys)
+             .agg(F.min_by(F.struct(*rest), F.struct(*order_cols)).alias("_first")))
+    return first.select(*keys, *[F.col(f"_first.{c}").alias(c) for c in rest]).select(*answers.columns)
 
 
 def session_counters(answers: DataFrame) -> DataFrame:
@@ -153,28 +157,64 @@ def constraint_report(answers: DataFrame, sessions: DataFrame) -> DataFrame:
     return out
 
 
-def difficulty_path(answers: DataFrame) -> DataFrame:
+def _compose(members):
+    """Tables applied in member order: result[s] = state after all members, from state s."""
+    start = F.array(*[F.lit(v) for v in range(MIN_DIFFICULTY, MAX_DIFFICULTY + 1)])
+    return F.aggregate(members, start, lambda acc, m: F.transform(acc, lambda x: F.element_at(m["table"], x)))
+
+
+def _entries(members, entry):
+    """Entry state of every member of a group, given the group's entry state."""
+    init = F.struct(entry.alias("state"), F.array().cast("array<struct<member:bigint,entry:int>>").alias("out"))
+    return F.aggregate(
+        members, init,
+        lambda acc, m: F.struct(F.element_at(m["table"], acc["state"]).alias("state"),
+                                F.concat(acc["out"], F.array(F.struct(m["member"].cast("long").alias("member"),
+                                                                      acc["state"].alias("entry")))).alias("out")),
+        lambda acc: acc["out"])
+
+
+def difficulty_path(answers: DataFrame, block: int = 256) -> DataFrame:
     """Adaptive difficulty per answer: start 3, +1 when correct, -1 when wrong, clamp 1..5.
 
-    One ordered fold per session.  A session holds at most its requested number
-    of questions, so the folded array is bounded by the test length.
+    A segmented parallel prefix scan: each answer is a transition table over the five
+    states; tables are composed in groups of at most ``block`` (question-number
+    ranges, so no window over a whole session), level by level, then entry states
+    are pushed back down.  No group ever holds more than ``block`` items, however
+    long a session is.
     """
-    steps = (answers.groupBy("session_id")
-             .agg(F.array_sort(F.collect_list(F.struct("question_number", "is_correct"))).alias("steps")))
-    init = F.array().cast("array<int>")
-    path = F.aggregate(
-        "steps", init,
-        lambda acc, x: F.concat(acc, F.array(
-            F.greatest(F.lit(MIN_DIFFICULTY), F.least(F.lit(MAX_DIFFICULTY),
-                       F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(START_DIFFICULTY))
-                       + F.when(x["is_correct"], 1).otherwise(-1))))))
-    assigned = F.concat(F.array(F.lit(START_DIFFICULTY)), F.slice("nexts", 1, F.size("nexts") - 1))
-    return (steps.select("session_id", "steps", path.alias("nexts"))
-            .select("session_id", F.explode(F.arrays_zip("steps", assigned.alias("assigned"), "nexts")).alias("z"))
-            .select("session_id", F.col("z.steps.question_number").alias("question_number"),
-                    F.col("z.steps.is_correct").alias("is_correct"),
-                    F.col("z.assigned").alias("assigned_difficulty"),
-                    F.col("z.nexts").alias("next_difficulty")))
+    from quarry.session import cut_lineage
+    step = F.when(F.col("is_correct"), 1).otherwise(-1)
+    table = F.array(*[F.greatest(F.lit(MIN_DIFFICULTY), F.least(F.lit(MAX_DIFFICULTY), F.lit(v) + step))
+                      for v in range(MIN_DIFFICULTY, MAX_DIFFICULTY + 1)])
+    base = answers.select("session_id", F.col("question_number").cast("long").alias("member"), "is_correct",
+                          table.alias("table"))
+    top = base.agg(F.max("member").alias("m")).head()["m"] or 0
+    levels = []
+    cur = base.select("session_id", "member", "table")
+    span = 1
+    while True:
+        grouped = (cur.withColumn("grp", F.floor(F.col("member") / block).cast("long"))
+                   .groupBy("session_id", "grp")
+                   .agg(F.sort_array(F.collect_list(F.struct("member", "table"))).alias("ms")))
+        grouped = cut_lineage(grouped.withColumn("table", _compose(F.col("ms"))))
+        levels.append(grouped)
+        span *= block
+        if top < span:
+            break
+        cur = grouped.select("session_id", F.col("grp").alias("member"), "table")
+    # Downward pass: the single top group of a session enters at the start difficulty.
+    entry = levels[-1].select("session_id", "grp", F.lit(START_DIFFICULTY).alias("entry"))
+    for lvl in reversed(levels):
+        e = (lvl.join(entry, ["session_id", "grp"])
+             .select("session_id", F.explode(_entries(F.col("ms"), F.col("entry"))).alias("x"))
+             .select("session_id", F.col("x.member").alias("grp"), F.col("x.entry").alias("entry")))
+        entry = e
+    out = entry.withColumnRenamed("grp", "member")
+    res = base.join(out, ["session_id", "member"])
+    return res.select("session_id", F.col("member").cast("int").alias("question_number"), "is_correct",
+                      F.col("entry").alias("assigned_difficulty"),
+                      F.element_at(F.col("table"), F.col("entry")).alias("next_difficulty"))
 
 
 def running_history(turns: DataFrame, session_col: str, order_col: str, item_cols: list[str]) -> DataFrame:

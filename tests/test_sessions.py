@@ -38,3 +38,21 @@ def test_first_finish_wins(spark):
                               "session_id long, finished_at timestamp, completed boolean, ended_early boolean, tiebreak int")
     r = ss.session_finish(f).head()
     assert (r.completed_at, r.completed, r.ended_early) == (T0, True, True)
+
+
+def test_difficulty_prefix_scan_long_sessions(spark):
+    import random
+    rng = random.Random(5)
+    rows, expected = [], {}
+    for sess, n in ((1, 1500), (2, 37), (3, 1)):
+        d = 3
+        numbers = sorted(rng.sample(range(1, 5000), n))
+        for qn in numbers:
+            c = rng.random() < 0.6
+            nxt = max(1, min(5, d + (1 if c else -1)))
+            rows.append((sess, qn, c, T0, 0))
+            expected[(sess, qn)] = (d, nxt)
+            d = nxt
+    got = {(r.session_id, r.question_number): (r.assigned_difficulty, r.next_difficulty)
+           for r in ss.difficulty_path(_answers(spark, rows), block=8).collect()}
+    assert got == expected
