@@ -69,9 +69,11 @@ def record_rules(records: DataFrame) -> DataFrame:
 
 def check_batch(records: DataFrame) -> None:
     """Whole-batch abort: any invalid record fails the batch before anything is written."""
-    bad = record_rules(records).where(F.col("reject_reason").isNotNull()).select("reject_reason").head(1)
-    if bad:
-        raise ValueError(bad[0]["reject_reason"])
+    # One aggregate pass (a limit would run several incremental jobs when nothing is bad).
+    row = record_rules(records).agg(F.min_by("reject_reason", F.col("reject_reason").isNull()).alias("r"),
+                                    F.count_if(F.col("reject_reason").isNotNull()).alias("n")).head()
+    if row["n"]:
+        raise ValueError(row["r"])
 
 
 def bank_nearest(candidates: DataFrame, bank: DataFrame, threshold: float, *,
@@ -131,7 +133,8 @@ def bank_store(candidates: DataFrame, bank: DataFrame, threshold: float = DEFAUL
     ('bank' | 'batch' | null), best_bank_similarity.
     """
     check_threshold(threshold)
-    cands = candidates.withColumn("_vid", F.col(order_col).cast("long"))
+    # The batch feeds several jobs (bank probe, theta join, verdicts): materialise it once.
+    cands = cut_lineage(candidates.withColumn("_vid", F.col(order_col).cast("long")))
     near = bank_nearest(cands, bank, threshold, cand_id="_vid", bank_id=bank_id,
                         cand_vector=cand_vector, bank_vector=bank_vector)
     near = cut_lineage(near)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.sources.tables import table
+from quarry.sources.tables import spread, table
 
 NL = "\n"
 
@@ -262,7 +262,7 @@ def generation_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     the labels; some are out of range (mod 13) or booleans (mod 17).
     """
     from quarry.operators.bank import QUESTION_TYPES
-    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
+    docs = spread(table(spark, sf_dir, "documents")).join(table(spark, sf_dir, "labels"), "doc_id")
     a = docs.select("*", F.explode(F.sequence(F.lit(1), F.lit(ATTEMPTS))).alias("attempt_number"))
     k = F.pmod(F.col("doc_id") + F.col("attempt_number"), F.lit(10))
     qtype = F.element_at(F.array(*[F.lit(t) for t in QUESTION_TYPES]),
@@ -300,7 +300,7 @@ def generation_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def question_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Questions already asked in a session: the unlabelled documents of the same source."""
-    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left_anti")
+    docs = spread(table(spark, sf_dir, "documents")).join(table(spark, sf_dir, "labels"), "doc_id", "left_anti")
     return docs.select(F.col("source").alias("session_id"), F.col("text").alias("question_text"))
 
 

@@ -38,6 +38,24 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     return spark
 
 
+_SHIPPED: set[int] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``quarry`` importable in Python workers (UDFs, mapInArrow, state functions):
+    zip the package once per SparkContext and add it with ``addPyFile``, which
+    distributes it to every executor."""
+    sc = spark.sparkContext
+    if id(sc) in _SHIPPED:
+        return
+    import shutil
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    out = tempfile.mkdtemp(prefix="quarry-pkg-")
+    archive = shutil.make_archive(os.path.join(out, "quarry"), "zip", os.path.dirname(pkg), "quarry")
+    sc.addPyFile(archive)
+    _SHIPPED.add(id(sc))
+
+
 def _is_local(spark: SparkSession) -> bool:
     return spark.sparkContext.master.startswith("local")
 
@@ -56,6 +74,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", configured)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(configured)
+    ship_package(spark)
     return configured
 
 

@@ -11,19 +11,17 @@ TABLES = (
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Parquet scan; Catalyst prunes columns and pushes filters into it.
-
-    A scan that splits into fewer partitions than the cluster runs tasks (a file
-    written as a single row group cannot be split) is spread round-robin once, so
-    the row-wise work after it uses every core.  A large table already has at
-    least that many splits and is left untouched.
-    """
+    """Plain parquet scan; Catalyst prunes columns and pushes filters into it."""
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
-    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def spread(df: DataFrame) -> DataFrame:
+    """Spread a scan that splits into fewer partitions than the cluster runs tasks (a
+    file written as one row group cannot be split) before heavy row-wise work.  A
+    large table already has at least that many splits and is returned untouched;
+    the check is planning only (no job)."""
     target = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < target:
         return df.repartition(2 * target)
