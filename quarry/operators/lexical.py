@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.text import is_stop_word, s_stem, tokens
+from quarry.session import bounded
 
 # Fixed value: weight of unlabelled text in cover-density ranking.
 DEFAULT_WEIGHT = 0.1
@@ -115,8 +116,9 @@ def candidate_hits(post: DataFrame, terms: DataFrame, key_cols: Sequence[str] =
               .where(F.col("n_found") == F.col("n_pos")).select(query_id, "group_id", "lexeme"))
     cands = post.join(_sized(rarest, term_rows), "lexeme").select(query_id, "group_id", *keys).distinct()
     # Every (candidate chunk, lexeme of the group, incl. negated) the chunk has to be probed for.
-    needed = cands.join(_sized(terms, term_rows), [query_id, "group_id"])
-    return needed.join(post, [*keys, "lexeme"])
+    # Counted, then broadcast against the postings stream; the postings are never broadcast.
+    needed = bounded(cands.join(_sized(terms, term_rows), [query_id, "group_id"]))
+    return post.join(needed, [*keys, "lexeme"])
 
 
 def lexical_hits(post: DataFrame, terms: DataFrame, key_cols: Sequence[str],
@@ -169,7 +171,7 @@ def cover_density(post: DataFrame, terms: DataFrame, matched: DataFrame,
     pos_terms = terms.where(~F.col("negated")).select(query_id, "group_id", "lexeme").distinct()
     qlex = pos_terms.select(query_id, "lexeme").distinct()
     # Positions of every positive query lexeme inside the matched chunks (all OR groups count).
-    hits_m = (post.join(matched.select(*part), keys).join(_sized(qlex, term_rows), [query_id, "lexeme"])
+    hits_m = (post.join(bounded(matched.select(*part)), keys).join(_sized(qlex, term_rows), [query_id, "lexeme"])
               .select(*part, "pos", "lexeme").distinct())
     positions = (hits_m.groupBy(*part, "pos").agg(F.collect_set("lexeme").alias("lexs"))
                  .withColumn("entry", F.row_number().over(Window.partitionBy(*part).orderBy("pos"))))

@@ -82,3 +82,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint (survives executor loss); never a local checkpoint."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def bounded(df: DataFrame, max_rows: int = 2_000_000):
+    """Materialise ``df`` and return it with its broadcast form when its counted size is
+    within ``max_rows`` (a proven bound), else with itself for a shuffle join."""
+    from pyspark.sql import functions as F
+    m = cut_lineage(df)
+    return F.broadcast(m) if m.count() <= max_rows else m
