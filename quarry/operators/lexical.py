@@ -41,9 +41,11 @@ def postings(chunks: DataFrame, key_cols: Sequence[str] = ("source_path", "chunk
 
 def build_postings(chunks: DataFrame, key_cols: Sequence[str] = ("source_path", "chunk_index"),
                    text_col: str = "content") -> DataFrame:
-    """Postings materialised once (reliable checkpoint), for jobs that probe them repeatedly."""
-    from quarry.session import cut_lineage
-    return cut_lineage(postings(chunks, key_cols, text_col))
+    """Postings kept for the jobs that probe them repeatedly: persisted (memory, then
+    disk), so they are tokenised once; a lost block is rebuilt from lineage.  A
+    deployment that serves many query batches stores them as a table instead."""
+    from pyspark import StorageLevel
+    return postings(chunks, key_cols, text_col).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def prepared_terms(queries: DataFrame, query_id: str = "query_id", text_col: str = "query"):

@@ -84,6 +84,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def write_table(df: DataFrame, name: str = "table") -> DataFrame:
+    """Cut lineage by writing a parquet table into the shared checkpoint folder and
+    reading it back (columnar, compressed, with file statistics for the planner)."""
+    import uuid
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def bounded(df: DataFrame, max_rows: int = 2_000_000):
     """Materialise ``df`` and return it with its broadcast form when its counted size is
     within ``max_rows`` (a proven bound), else with itself for a shuffle join."""
