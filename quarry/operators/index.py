@@ -41,8 +41,9 @@ def index_present(files: DataFrame, index: DataFrame) -> DataFrame:
 def refresh_select(files: DataFrame, index: DataFrame, now, days=DEFAULT_DAYS_AGO) -> DataFrame:
     """Files that are recent (mtime >= now - days) or absent from the index."""
     d = days_ago(days)
-    cutoff = F.lit(now).cast("timestamp") - F.make_dt_interval(F.lit(d))
-    recent = F.col("modified_at").cast("timestamp") >= cutoff
+    kind = files.schema["modified_at"].dataType  # compare in the column's own type (with or without zone)
+    cutoff = F.lit(now).cast(kind) - F.make_dt_interval(F.lit(d))
+    recent = F.col("modified_at") >= cutoff
     present = index.select("source_path").distinct().withColumn("_present", F.lit(True))
     return (files.join(present, "source_path", "left")
             .where(recent | F.col("_present").isNull()).drop("_present"))

@@ -190,7 +190,7 @@ REFRESH_DAYS = 3
 def kb_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Markdown files with a modification time spread over January 2024."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang")
-    mtime = F.lit("2024-01-01 00:00:00").cast("timestamp") + F.make_dt_interval(
+    mtime = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(
         F.pmod(F.col("doc_id"), F.lit(30)).cast("int"))
     meta = docs.select(doc_path().alias("source_path"), mtime.alias("modified_at"))
     return markdown_files(spark, sf_dir).join(meta, "source_path")
@@ -238,7 +238,7 @@ def question_bank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recs.select(F.col("candidate_id").alias("id"), "question_type", "question_text", "options",
                        "correct_answer", "explanation", F.col("paths").alias("source_paths"),
                        F.col("store_difficulty").alias("difficulty"), "embedding",
-                       (F.lit("2024-01-01 00:00:00").cast("timestamp")
+                       (F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
                         + F.make_dt_interval(F.lit(0), F.lit(0), F.col("candidate_id").cast("int")))
                        .alias("created_at"))
 
