@@ -72,4 +72,4 @@ def q_stream_index_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     handler = st.index_refresh_stream(f"{root}/versions", f"{root}/initial",
                                       lambda b: chunk_markdown(b), index_replace)
     st.run_available_now(files, "index_refresh", foreach_batch=handler)
-    return spark.read.parquet(f"{root}/versions/v={0:08d}")
+    return spark.read.parquet(handler.latest)

@@ -90,12 +90,14 @@ def index_refresh_stream(index_base: str, initial_index: str | None, build_rows,
     base = index_base.rstrip("/")
 
     def handle(batch: DataFrame, epoch: int) -> None:
+        handle.latest = f"{base}/v={epoch:08d}"
         spark = batch.sparkSession
         previous = f"{base}/v={epoch - 1:08d}" if epoch > 0 else initial_index
         new_rows = build_rows(batch)
         out = new_rows if previous is None else replace(spark.read.parquet(previous), new_rows,
                                                          batch.select("source_path"))
         out.write.mode("overwrite").parquet(f"{base}/v={epoch:08d}")
+    handle.latest = initial_index  # foreachBatch runs on the driver: the newest version is known here
     return handle
 
 
