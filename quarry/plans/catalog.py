@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.plans.registry import ORACLE, QUERIES, register
-from quarry.plans.sql_fragments import DOC_PATH_SQL, VECTOR_INDEX_SQL
+from quarry.plans.sql_fragments import VECTOR_INDEX_SQL
 
 __all__ = ["ORACLE", "QUERIES", "register"]
 
