@@ -332,3 +332,14 @@ def session_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multi_topic_retrieve(hybrid_index(spark, sf_dir), topic_sessions(spark, sf_dir),
                                 total_col="total_results",
                                 topic_vector_fn=lambda df, c: embed_hashing(df, c))
+
+
+def search_query_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each benchmark passage in two more web-search forms: as one quoted phrase, and with
+    its commas turned into ``or`` (clauses become alternative AND groups)."""
+    b = table(spark, sf_dir, "benchmark")
+    phrase = b.select((F.col("item_id") * 10 + 1).alias("query_id"),
+                      F.concat(F.lit('"'), F.regexp_replace("text", '"', ""), F.lit('"')).alias("query"))
+    either = b.select((F.col("item_id") * 10 + 2).alias("query_id"),
+                      F.replace(F.col("text"), F.lit(","), F.lit(" or ")).alias("query"))
+    return phrase.unionByName(either)

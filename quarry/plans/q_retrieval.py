@@ -131,3 +131,22 @@ def q_lsh_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     exact = vector_topk(idx, qs, 5, payload_cols=())
     approx = vector_topk_lsh(idx, qs, 5)
     return recall_at_k(approx, exact, "query_id", ["source_path", "chunk_index"])
+
+
+VARIANTS_SQL = """
+    SELECT item_id * 10 + 1 AS query_id, '"' || replace(text, '"', '') || '"' AS query FROM benchmark
+    UNION ALL
+    SELECT item_id * 10 + 2 AS query_id, replace(text, ',', ' or ') AS query FROM benchmark
+"""
+VARIANT_CTE = lexical_sql(postings_sql("SELECT * FROM idx"), query_terms_sql("SELECT * FROM q"))
+
+
+@register("lexical_syntax", f"""WITH idx AS ({LINE_INDEX_SQL}), q AS ({VARIANTS_SQL}), {VARIANT_CTE}
+SELECT query_id, source_path, chunk_index, round(lexical_score, 6) AS lexical_score FROM scored_""")
+def q_lexical_syntax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrase and OR forms of every benchmark passage: match + cover density."""
+    terms, n = lx.prepared_terms(fx.search_query_variants(spark, sf_dir))
+    post = lx.build_postings(fx.line_index(spark, sf_dir))
+    matched = cut_lineage(lx.lexical_match(post, terms, term_rows=n))
+    return (lx.cover_density(post, terms, matched, term_rows=n)
+            .withColumn("lexical_score", F.round("lexical_score", 6)))
