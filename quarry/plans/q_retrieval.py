@@ -110,7 +110,11 @@ def rounded(df: DataFrame, cols=SCORES) -> DataFrame:
 
 @register("hybrid_search", HYBRID_SQL)
 def q_hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = hy.hybrid_search(fx.hybrid_index(spark, sf_dir), fx.hybrid_queries(spark, sf_dir), k=5)
+    from pyspark import StorageLevel
+    # The built index (line chunks + vectors) feeds scoring, postings and both payload
+    # joins: kept once for the job (memory, then disk; lost blocks rebuild from lineage).
+    index = fx.hybrid_index(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
+    out = hy.hybrid_search(index, fx.hybrid_queries(spark, sf_dir), k=5)
     return rounded(out.select("query_id", "source_path", "chunk_index", "content", *SCORES[:2],
                               "vector_rank", "lexical_rank", "hybrid_score", "hybrid_rank"))
 
