@@ -329,7 +329,9 @@ def topic_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def session_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.operators.embedding import embed_hashing
     from quarry.operators.retrieval import multi_topic_retrieve
-    return multi_topic_retrieve(hybrid_index(spark, sf_dir), topic_sessions(spark, sf_dir),
+    from pyspark import StorageLevel
+    index = hybrid_index(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)  # scored, then re-read for payload
+    return multi_topic_retrieve(index, topic_sessions(spark, sf_dir),
                                 total_col="total_results",
                                 topic_vector_fn=lambda df, c: embed_hashing(df, c))
 
