@@ -112,7 +112,7 @@ def session_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def answer_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as answer writes; (session, question) repeats, so first-write-wins matters."""
-    return answer_rows(table(spark, sf_dir, "lineitem"))
+    return answer_rows(spread(table(spark, sf_dir, "lineitem")))
 
 
 def answer_rows(li: DataFrame) -> DataFrame:
@@ -131,7 +131,7 @@ def answer_rows(li: DataFrame) -> DataFrame:
 
 def finish_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Finished line items as finish calls; several per session, the first one wins."""
-    li = table(spark, sf_dir, "lineitem")
+    li = spread(table(spark, sf_dir, "lineitem"))
     return (li.where(F.col("l_linestatus") == "F")
             .select(F.col("l_orderkey").alias("session_id"), F.col("l_shipdate").alias("finished_at"),
                     (F.col("l_returnflag") != "N").alias("completed"),
