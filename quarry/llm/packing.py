@@ -25,7 +25,7 @@ from quarry.session import checkpoint_dir, write_table
 
 WINDOW, UNIT, DEPTH = 4096, 64, 3
 #: Pieces of one length that are ranked in one task, on average.
-RANK_ROWS = 50_000
+RANK_ROWS = 5_000
 
 
 def cut_points(n: int, window: int = WINDOW, unit: int = UNIT) -> list[int]:
