@@ -16,10 +16,15 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.session import checkpoint_dir
+from quarry.session import checkpoint_dir, write_table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State on disk; what a batch adds is logged, and small stores take no disk in advance.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 
 def lower_ascii(col) -> Column:
@@ -41,16 +46,18 @@ def dedup_state(digests: str, spark, batch_bytes: str | None = None) -> DataFram
         reader = reader.option("maxBytesPerTrigger", batch_bytes)
     seen = reader.parquet(digests).groupBy("digest").agg(
         F.max(F.struct("id", "row", "file", "n_bytes")).alias("stay"), F.count(F.lit(1)).alias("group_size"))
-    conf, before = "spark.sql.streaming.stateStore.providerClass", spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
-    spark.conf.set(conf, ROCKSDB)
+    before = {k: spark.conf.get(k, None) for k in STATE}
+    for k, v in STATE.items():
+        spark.conf.set(k, v)
     try:
         query = (seen.writeStream.outputMode("update").format("noop")
                  .option("checkpointLocation", folder).trigger(availableNow=True).start())
         query.awaitTermination()
+        state = spark.read.format("statestore").load(folder)
+        return write_table(state.select("key.digest", F.col("value.max").alias("stay"), F.col("value.count").alias("group_size")), "dedup-state")
     finally:
-        spark.conf.unset(conf) if before is None else spark.conf.set(conf, before)
-    state = spark.read.format("statestore").load(folder)
-    return state.select("key.digest", F.col("value.max").alias("stay"), F.col("value.count").alias("group_size"))
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
