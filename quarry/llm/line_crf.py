@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.session import checkpoint_dir
+from quarry.session import bounded, checkpoint_dir
 
 #: Documents of either label in the training sample, on average, and the longest text in it.
 SAMPLE, LONGEST = 1000, 100_000
@@ -210,9 +210,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, longest: int
     if not counts:
         return None
     draw = F.pmod(F.xxhash64(F.lit("line-crf"), "doc_id"), F.lit(1_000_000))
-    limit = F.when(F.col("quality") == 1, int(min(1.0, sample / counts.get(1, 1)) * 1_000_000)).otherwise(int(min(1.0, sample / counts.get(0, 1)) * 1_000_000))
-    drawn = known.where(draw < limit)
-    rows = docs.select("doc_id", "text").where(F.char_length("text") <= longest).join(drawn, "doc_id")
+    below = {k: int(min(1.0, sample / n) * 1_000_000) for k, n in counts.items()}
+    limit = F.when(F.col("quality") == 1, below.get(1, 0)).otherwise(below.get(0, 0))
+    drawn = bounded(known.where(draw < limit), 8 * sample)
+    # Only drawn documents travel to the join.
+    rows = docs.select("doc_id", "text").where((draw < max(below.values())) & (F.char_length("text") <= longest)).join(drawn, "doc_id")
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
