@@ -18,7 +18,7 @@ from quarry.session import write_table
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of a range within which running sums are taken, on average.
-RANGE_ROWS = 50_000
+RANGE_ROWS = 10_000
 
 
 def word_count(col) -> Column:
