@@ -31,11 +31,11 @@ def days_ago(value) -> int:
 
 def index_missing(files: DataFrame, index: DataFrame) -> DataFrame:
     """Files whose source has no row in the index (batch form of the EXISTS probe)."""
-    return files.join(index.select("source_path"), "source_path", "left_anti")
+    return files.join(index.select("source_path").distinct(), "source_path", "left_anti")
 
 
 def index_present(files: DataFrame, index: DataFrame) -> DataFrame:
-    return files.join(index.select("source_path"), "source_path", "left_semi")
+    return files.join(index.select("source_path").distinct(), "source_path", "left_semi")
 
 
 def refresh_select(files: DataFrame, index: DataFrame, now, days=DEFAULT_DAYS_AGO) -> DataFrame:
