@@ -1,75 +1,83 @@
-"""Registered streaming jobs: each runs to completion over the driver tables used as a
-file stream (trigger availableNow) and returns what its sink holds.  No SQL oracle:
-the tests compare each stream with its batch job."""
+"""Registered streaming jobs: each runs to completion over the driver tables used as a file
+stream (trigger availableNow) and returns what its sink holds, which must equal the batch
+job's result (the oracle SQL is the batch queries')."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from quarry.operators.accounting import pricing_table
+from quarry.operators.chunking import chunk_markdown
+from quarry.operators.sessions import difficulty_path, session_counters
 from quarry.plans import fixtures as fx
-from quarry.plans.registry import register
+from quarry.plans.registry import ORACLE, register
+from quarry.plans.sql_fragments import ANSWERS_SQL, USAGE_SQL
+from quarry.plans import q_index, q_sessions  # noqa: F401  (their oracle SQL is reused)
 from quarry.sources.tables import table
 from quarry.streaming import streams as st
 
+FIRST_ANSWER_COLS = ["session_id", "question_number", "is_correct", "answered_at"]
+
 
 def file_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table as a stream, one file a trigger.  The glob matches a single file as well as a
+    folder of part files (a plain path would have to be a folder)."""
     schema = table(spark, sf_dir, name).schema
     return (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
-            .option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir))
+            .parquet(f"{sf_dir.rstrip('/')}/{name}.parque[t]"))
+
+
+def _first_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return st.first_answers_stream(fx.answer_rows(file_stream(spark, sf_dir, "lineitem")), fx.ANSWER_ORDER)
+
+
+def _upserts(stream: DataFrame, name: str, keys: list[str]) -> DataFrame:
+    spark = stream.sparkSession
+    root = st.stream_root(spark, name)
+    out = st.start_sink(spark, f"{root}/out", stream.schema)
+    st.run_available_now(stream, root, lambda batch, epoch: st.append_epoch(batch, out, epoch))
+    return st.newest(spark.read.parquet(out), keys)
 
 
-@register("stream_usage_hourly")
+def _per_session(spark: SparkSession, sf_dir: str, name: str, schema: str, keys: list[str], derive) -> DataFrame:
+    root = st.stream_root(spark, name)
+    out = st.start_sink(spark, f"{root}/out", schema)
+    stream = _first_answers(spark, sf_dir).select("session_id", "question_number", "is_correct")
+    st.run_available_now(stream, root, st.session_refresh(root, derive))
+    return st.newest(spark.read.parquet(out), keys)
+
+
+@register("stream_usage_hourly", f"""
+SELECT date_trunc('hour', created_at) AS time, CAST(sum(total_cost_usd) AS DOUBLE) AS cost_usd,
+       sum(input_tokens) AS input_tokens, sum(output_tokens) AS output_tokens
+FROM ({USAGE_SQL}) GROUP BY 1
+""")
 def q_stream_usage_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = st.usage_hourly_stream(fx.usage_rows(file_stream(spark, sf_dir, "events")),
                                pricing_table(spark, fx.PRICING_JSON))
-    return spark.read.parquet(st.run_available_now(s, "usage_hourly"))
+    return _upserts(s, "usage_hourly", ["time"])
 
 
-@register("stream_first_answers")
+@register("stream_first_answers", f"SELECT {', '.join(FIRST_ANSWER_COLS)} FROM ({ANSWERS_SQL})")
 def q_stream_first_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = st.first_answers_stream(fx.answer_rows(file_stream(spark, sf_dir, "lineitem")))
-    return spark.read.parquet(st.run_available_now(
-        s.select("session_id", "question_number", "is_correct", "answered_at"), "first_answers"))
+    return _upserts(_first_answers(spark, sf_dir).select(*FIRST_ANSWER_COLS), "first_answers", st.ANSWER_KEYS)
 
 
-@register("stream_difficulty")
+@register("stream_difficulty", ORACLE["difficulty_path"])
 def q_stream_difficulty(spark: SparkSession, sf_dir: str) -> DataFrame:
-    answers = st.first_answers_stream(fx.answer_rows(file_stream(spark, sf_dir, "lineitem")))
-    return spark.read.parquet(st.run_available_now(st.difficulty_stream(answers), "difficulty"))
+    return _per_session(spark, sf_dir, "difficulty", st.DIFFICULTY_SCHEMA, st.ANSWER_KEYS, difficulty_path)
 
 
-@register("stream_session_counters")
+@register("stream_session_counters", ORACLE["session_counters"])
 def q_stream_session_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    answers = st.first_answers_stream(fx.answer_rows(file_stream(spark, sf_dir, "lineitem")))
-    counters = st.session_counters_stream(answers)
-    out = {}
-
-    def upsert(batch: DataFrame, epoch: int) -> None:
-        # Update mode: the rows changed in this micro-batch, appended with their epoch.
-        batch.withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(out["path"])
-
-    import uuid
-    from quarry.session import checkpoint_dir
-    out["path"] = f"{checkpoint_dir(spark).rstrip('/')}/streams/counters-{uuid.uuid4().hex[:8]}/updates"
-    st.run_available_now(counters, "counters", mode="update", foreach_batch=upsert)
-    latest = Window.partitionBy("session_id").orderBy(F.col("epoch").desc())
-    return (spark.read.parquet(out["path"]).withColumn("_rn", F.row_number().over(latest))
-            .where("_rn = 1").drop("_rn", "epoch"))
+    return _per_session(spark, sf_dir, "counters", st.COUNTERS_SCHEMA, ["session_id"], session_counters)
 
 
-@register("stream_index_refresh")
+@register("stream_index_refresh", ORACLE["chunk_markdown"])
 def q_stream_index_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents arriving as a file stream are chunked and replace their source in the index."""
-    import uuid
-    from quarry.operators.chunking import chunk_markdown
-    from quarry.operators.index import index_replace
-    from quarry.session import checkpoint_dir
-    root = f"{checkpoint_dir(spark).rstrip('/')}/streams/index-{uuid.uuid4().hex[:8]}"
-    fx.existing_index(spark, sf_dir).write.parquet(f"{root}/initial")
+    root = st.stream_root(spark, "index")
+    st.start_index(root, fx.existing_index(spark, sf_dir))
     files = fx.markdown_rows(file_stream(spark, sf_dir, "documents"))
-    handler = st.index_refresh_stream(f"{root}/versions", f"{root}/initial",
-                                      lambda b: chunk_markdown(b), index_replace)
-    st.run_available_now(files, "index_refresh", foreach_batch=handler)
-    return spark.read.parquet(handler.latest)
+    st.run_available_now(files, root, st.index_refresh_stream(root, chunk_markdown))
+    return st.current_index(spark, root)

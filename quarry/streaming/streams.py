@@ -1,117 +1,137 @@
 """Structured Streaming forms of the per-event writes (OP-X1..X5, OP-D5).
 
-The reference writes one row per event in its own transaction and refreshes
-the index by polling; here the same rules run incrementally:
-
-* X1 ``index_refresh_stream``: new Markdown files -> chunks, replace by source
-  (``foreachBatch``, one new index version per micro-batch).
-* X2 ``usage_hourly_stream``: cost / tokens per hour, watermark + tumbling window,
-  append mode (a window is emitted once the watermark passes its end).
-* X3 ``first_answers_stream``: first write wins per (session, question) with
-  ``dropDuplicatesWithinWatermark``; duplicates later than the watermark need the
-  batch job (``answers_first_wins``).
-* X4 ``difficulty_stream``: adaptive difficulty with per-session state
-  (``applyInPandasWithState``).
-* X5 ``session_counters_stream``: answered / correct per session, update mode.
+The reference writes one row per event in its own transaction and refreshes the index by
+polling; here the same rules run incrementally, over files in any order, and no row is ever
+late: keyed state has no watermark, and what a later file corrects is emitted again.
+
+Every stream appends what changed under ``epoch=<n>`` of its sink (a replayed epoch
+overwrites its own folder only) and ``newest`` reads the current row of every key.
+
+* X1 ``index_refresh_stream``: new Markdown files -> chunks; an epoch stores its chunks and the
+  sources it replaces, so a trigger costs its own files and never copies the index.
+* X2 ``usage_hourly_stream``: cost / tokens per hour, update mode, open hours included.
+* X3 ``first_answers_stream``: earliest write per (session, question), update mode.
+* X4, X5, D5 ``session_refresh``: changed first answers -> the touched sessions' difficulty path
+  or counters, recomputed from the stored first answers (an answer that arrives late
+  corrects all that follow it).
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql import types as T
 
 from quarry.operators.accounting import usage_cost
-from quarry.operators.sessions import MAX_DIFFICULTY, MIN_DIFFICULTY, START_DIFFICULTY, session_counters
+from quarry.operators.sessions import answers_first_wins
 from quarry.session import checkpoint_dir
 
-
-def usage_hourly_stream(log_stream: DataFrame, pricing: DataFrame, lateness: str = "1 hour") -> DataFrame:
-    u = (usage_cost(log_stream, pricing).withColumn("created_at", F.col("created_at").cast("timestamp"))
-         .withWatermark("created_at", lateness))
-    return (u.groupBy(F.window("created_at", "1 hour").alias("w"))
+ANSWER_KEYS = ["session_id", "question_number"]
+DIFFICULTY_SCHEMA = ("session_id long, question_number int, is_correct boolean, "
+                     "assigned_difficulty int, next_difficulty int")
+COUNTERS_SCHEMA = "session_id long, answered_questions long, correct_answers long"
+#: Session buckets of the stored first answers; an epoch reads the buckets it touches.
+SESSION_BUCKETS = 64
+#: Keyed state lives on disk, not in the executors' heaps.
+STATE_CONF = {
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+
+
+def usage_hourly_stream(log_stream: DataFrame, pricing: DataFrame) -> DataFrame:
+    u = usage_cost(log_stream, pricing)
+    hour = F.date_trunc("hour", "created_at").cast(u.schema["created_at"].dataType)
+    return (u.groupBy(hour.alias("time"))
             .agg(F.sum("total_cost_usd").cast("double").alias("cost_usd"),
-                 F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"))
-            .select(F.col("w.start").alias("time"), "cost_usd", "input_tokens", "output_tokens"))
-
-
-def first_answers_stream(answer_stream: DataFrame, lateness: str = "30 days") -> DataFrame:
-    return (answer_stream.withColumn("answered_at", F.col("answered_at").cast("timestamp"))
-            .withWatermark("answered_at", lateness)
-            .dropDuplicatesWithinWatermark(["session_id", "question_number"]))
-
-
-def session_counters_stream(answer_stream: DataFrame) -> DataFrame:
-    return session_counters(answer_stream)
-
-
-DIFFICULTY_OUT = ("session_id long, question_number int, is_correct boolean, "
-                  "assigned_difficulty int, next_difficulty int")
-DIFFICULTY_STATE = "difficulty int, last_question int"
-
-
-def _advance(key, batches, state):
-    """Per session: fold this micro-batch's answers (question order) onto the stored difficulty."""
-    if state.exists:
-        difficulty, last_q = state.get
-    else:
-        difficulty, last_q = START_DIFFICULTY, 0
-    frames = [b for b in batches if len(b)]
-    if not frames:
-        return
-    rows = pd.concat(frames).sort_values("question_number")
-    out = []
-    for qn, correct in zip(rows["question_number"], rows["is_correct"]):
-        nxt = max(MIN_DIFFICULTY, min(MAX_DIFFICULTY, difficulty + (1 if correct else -1)))
-        out.append((key[0], int(qn), bool(correct), difficulty, nxt))
-        difficulty, last_q = nxt, int(qn)
-    state.update((difficulty, last_q))
-    yield pd.DataFrame(out, columns=["session_id", "question_number", "is_correct",
-                                     "assigned_difficulty", "next_difficulty"])
-
-
-def difficulty_stream(answer_stream: DataFrame) -> DataFrame:
-    """Answers must reach a session in question order across micro-batches (within a
-    micro-batch they are sorted); the batch job ``difficulty_path`` is the reference."""
-    return (answer_stream.select("session_id", "question_number", "is_correct")
-            .groupBy("session_id")
-            .applyInPandasWithState(_advance, DIFFICULTY_OUT, DIFFICULTY_STATE, "append",
-                                    GroupStateTimeout.NoTimeout))
-
-
-def index_refresh_stream(index_base: str, initial_index: str | None, build_rows, replace):
-    """``foreachBatch`` handler: micro-batch ``e`` of changed files turns version ``e-1``
-    (or the initial index) into version ``e``.  Versions are never overwritten by a
-    different input: a retried epoch rewrites the same version from the same inputs.
-    """
-    base = index_base.rstrip("/")
+                 F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens")))
+
+
+def first_answers_stream(answer_stream: DataFrame, order_cols: list[str]) -> DataFrame:
+    return answers_first_wins(answer_stream, order_cols)
+
+
+def start_sink(spark: SparkSession, path: str, schema: str | T.StructType) -> str:
+    """An empty sink of a known schema, so that a stream without rows reads as empty."""
+    spark.createDataFrame([], schema).write.parquet(f"{path}/epoch=-1")
+    return path
+
+
+def append_epoch(batch: DataFrame, path: str, epoch: int) -> None:
+    batch.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+
+
+def newest(df: DataFrame, keys: list[str]) -> DataFrame:
+    """The row of the last epoch per key (``max_by`` combines map-side)."""
+    rest = [c for c in df.columns if c not in (*keys, "epoch")]
+    last = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), "epoch").alias("_last"))
+    return last.select(*keys, *[F.col(f"_last.{c}").alias(c) for c in rest])
+
+
+def session_refresh(root: str, derive: Callable[[DataFrame], DataFrame]):
+    """``foreachBatch`` handler on ``first_answers_stream`` in update mode: stores the changed
+    first answers by session bucket, then writes ``derive`` of the touched sessions."""
 
     def handle(batch: DataFrame, epoch: int) -> None:
-        handle.latest = f"{base}/v={epoch:08d}"
         spark = batch.sparkSession
-        previous = f"{base}/v={epoch - 1:08d}" if epoch > 0 else initial_index
-        new_rows = build_rows(batch)
-        out = new_rows if previous is None else replace(spark.read.parquet(previous), new_rows,
-                                                         batch.select("source_path"))
-        out.write.mode("overwrite").parquet(f"{base}/v={epoch:08d}")
-    handle.latest = initial_index  # foreachBatch runs on the driver: the newest version is known here
+        bucket = F.pmod(F.hash("session_id"), F.lit(SESSION_BUCKETS))
+        (batch.withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket")
+         .parquet(f"{root}/answers/epoch={epoch}"))
+        schema = T.StructType([*batch.schema.fields, T.StructField("bucket", T.IntegerType())])
+        changed = spark.read.schema(schema).parquet(f"{root}/answers/epoch={epoch}")
+        touched = changed.select("session_id", "bucket").distinct()
+        buckets = [r["bucket"] for r in touched.select("bucket").distinct().collect()]  # at most SESSION_BUCKETS
+        if not buckets:
+            return
+        stored = spark.read.parquet(f"{root}/answers").where(F.col("bucket").isin(buckets)).drop("bucket")
+        current = newest(stored.join(touched.select("session_id"), "session_id", "left_semi"), ANSWER_KEYS)
+        append_epoch(derive(current), f"{root}/out", epoch)
     return handle
 
 
-def run_available_now(stream: DataFrame, name: str, mode: str = "append", fmt: str = "parquet",
-                      foreach_batch=None) -> str:
-    """Run a stream to completion over what is available now; returns the output path.
+def index_refresh_stream(root: str, build_rows: Callable[[DataFrame], DataFrame]):
+    """``foreachBatch`` handler: an epoch of changed files writes its chunks and its sources.
 
-    Output and checkpoint live under the shared ``spark.checkpoint.dir``.
+    The index is ``current_index(root)``.  The chunks are written before the sources, and only
+    listed sources count, so readers never see half an epoch.
     """
-    base = f"{checkpoint_dir(stream.sparkSession).rstrip('/')}/streams/{name}-{uuid.uuid4().hex[:8]}"
-    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/_checkpoint")
-    if foreach_batch is not None:
-        q = writer.foreachBatch(foreach_batch).trigger(availableNow=True).start()
-    else:
-        q = writer.format(fmt).option("path", f"{base}/out").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return f"{base}/out"
+
+    def handle(batch: DataFrame, epoch: int) -> None:
+        append_epoch(build_rows(batch), f"{root}/chunks", epoch)
+        append_epoch(batch.select("source_path").distinct(), f"{root}/sources", epoch)
+    return handle
+
+
+def start_index(root: str, index: DataFrame) -> None:
+    """The index before the stream, as epoch -1."""
+    append_epoch(index, f"{root}/chunks", -1)
+    append_epoch(index.select("source_path").distinct(), f"{root}/sources", -1)
+
+
+def current_index(spark: SparkSession, root: str) -> DataFrame:
+    """Chunks of every source's last epoch; a source whose file lost all its text has none."""
+    last = spark.read.parquet(f"{root}/sources").groupBy("source_path").agg(F.max("epoch").alias("epoch"))
+    return spark.read.parquet(f"{root}/chunks").join(last, ["source_path", "epoch"], "left_semi").drop("epoch")
+
+
+def stream_root(spark: SparkSession, name: str) -> str:
+    """A new folder for one run of a stream under the shared ``spark.checkpoint.dir``."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/streams/{name}-{uuid.uuid4().hex[:8]}"
+
+
+def run_available_now(stream: DataFrame, root: str, handle: Callable[[DataFrame, int], None]) -> None:
+    """Run a stream in update mode over what is available now; its checkpoint is kept in ``root``."""
+    conf = stream.sparkSession.conf
+    before = {k: conf.get(k, None) for k in STATE_CONF}
+    for k, v in STATE_CONF.items():
+        conf.set(k, v)
+    try:
+        (stream.writeStream.outputMode("update").option("checkpointLocation", f"{root}/_checkpoint")
+         .foreachBatch(handle).trigger(availableNow=True).start().awaitTermination())
+    finally:
+        for k, v in before.items():
+            conf.unset(k) if v is None else conf.set(k, v)
