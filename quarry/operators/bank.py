@@ -13,6 +13,7 @@ ends with a reliable checkpoint, so a lost executor never replays earlier rounds
 
 from __future__ import annotations
 
+import itertools
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -88,18 +89,17 @@ def bank_nearest(candidates: DataFrame, bank: DataFrame, threshold: float, *,
             .withColumn("is_duplicate", F.coalesce(F.col("best_similarity") >= threshold, F.lit(False))))
 
 
-def first_independent_set(vertices: DataFrame, edges: DataFrame, vid: str = "vid",
-                          max_rounds: int = 200) -> DataFrame:
+def first_independent_set(vertices: DataFrame, edges: DataFrame, vid: str = "vid") -> DataFrame:
     """Lexicographically-first maximal independent set.
 
     ``vertices``: (vid) with vid the processing order; ``edges``: (src, dst) with
-    src < dst.  Returns (vid, accepted, round).  Fails loudly past ``max_rounds``
-    (a similarity chain in input order decides one link per round).
+    src < dst.  Returns (vid, accepted, round).  Every round decides the first undecided
+    vertex at least, so the loop ends (a similarity chain in input order takes a round for two links).
     """
     status = vertices.select(F.col(vid).alias("v"), F.lit("u").alias("st"), F.lit(0).alias("round"))
     status = cut_lineage(status)
     live = cut_lineage(edges.select(F.col("src").cast("long"), F.col("dst").cast("long")))
-    for rnd in range(1, max_rounds + 1):
+    for rnd in itertools.count(1):
         if not status.where(F.col("st") == "u").head(1):
             return status.select(F.col("v").alias(vid), (F.col("st") == "a").alias("accepted"), "round")
         alive_src = status.where(F.col("st") != "d").select(F.col("v").alias("src"))
@@ -121,12 +121,11 @@ def first_independent_set(vertices: DataFrame, edges: DataFrame, vid: str = "vid
         undecided = status.where(F.col("st") == "u").select(F.col("v").alias("dst"))
         not_dropped = status.where(F.col("st") != "d").select(F.col("v").alias("src"))
         live = cut_lineage(live.join(undecided, "dst", "left_semi").join(not_dropped, "src", "left_semi"))
-    raise RuntimeError(f"de-duplication did not converge within {max_rounds} rounds")
 
 
 def bank_store(candidates: DataFrame, bank: DataFrame, threshold: float = DEFAULT_SIMILARITY_THRESHOLD, *,
                order_col: str = "candidate_id", cand_vector: str = "embedding",
-               bank_id: str = "id", bank_vector: str = "embedding", max_rounds: int = 200) -> DataFrame:
+               bank_id: str = "id", bank_vector: str = "embedding") -> DataFrame:
     """Verdict per candidate, equal to sequential insertion in ``order_col`` order.
 
     Output: candidate columns + verdict ('inserted' | 'skipped'), reason
@@ -143,7 +142,7 @@ def bank_store(candidates: DataFrame, bank: DataFrame, threshold: float = DEFAUL
                             fresh.select(F.col("_vid").alias("b"), F.col(cand_vector).alias("vb")),
                             threshold, left_id="a", right_id="b", left_vector="va", right_vector="vb")
     edges = pairs.where(F.col("a") < F.col("b")).select(F.col("a").alias("src"), F.col("b").alias("dst"))
-    mis = first_independent_set(fresh.select(F.col("_vid").alias("vid")), edges, "vid", max_rounds)
+    mis = first_independent_set(fresh.select(F.col("_vid").alias("vid")), edges, "vid")
     verdict = (cands.join(near.select("_vid", F.col("best_similarity").alias("best_bank_similarity"),
                                       "is_duplicate"), "_vid", "left")
                .join(mis.select(F.col("vid").alias("_vid"), "accepted"), "_vid", "left"))

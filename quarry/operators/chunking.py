@@ -67,7 +67,9 @@ def segment_blocks(lines: DataFrame, path_col: str = "source_path") -> DataFrame
     doc = Window.partitionBy(path_col).orderBy("ln")
     before = doc.rowsBetween(Window.unboundedPreceding, -1)
     upto = doc.rowsBetween(Window.unboundedPreceding, 0)
-    after = doc.rowsBetween(1, Window.unboundedFollowing)
+    # What follows a line, read backwards: a growing frame costs one step a line.
+    after = (Window.partitionBy(path_col).orderBy(F.col("ln").desc())
+             .rowsBetween(Window.unboundedPreceding, -1))
 
     in_fence = (F.coalesce(F.sum(F.col("is_fence").cast("int")).over(before), F.lit(0)) % 2) == 1
     x = lines.withColumn("in_fence", in_fence)
@@ -108,7 +110,7 @@ def segment_blocks(lines: DataFrame, path_col: str = "source_path") -> DataFrame
     x = x.withColumn("joins", F.when(~F.col("sep"), joins)).withColumn("run_start", run_start)
     x = x.withColumn("block_start", F.col("run_start") & ~F.coalesce(F.col("joins"), F.lit(False)))
     x = x.withColumn("block_id", F.sum(F.col("block_start").cast("int")).over(upto))
-    next_joins = F.first(F.when(~F.col("sep"), F.col("joins")), ignorenulls=True).over(after)
+    next_joins = _last(F.when(~F.col("sep"), F.col("joins")), after)
     keep_blank = F.col("is_blank") & ~F.col("in_fence") & F.coalesce(next_joins, F.lit(False))
     x = x.withColumn("keep_blank", keep_blank)
     return x.where(~F.col("sep") | F.col("keep_blank")).select(path_col, "ln", "line", "is_list", "block_id", "context")

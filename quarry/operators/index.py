@@ -34,10 +34,6 @@ def index_missing(files: DataFrame, index: DataFrame) -> DataFrame:
     return files.join(index.select("source_path").distinct(), "source_path", "left_anti")
 
 
-def index_present(files: DataFrame, index: DataFrame) -> DataFrame:
-    return files.join(index.select("source_path").distinct(), "source_path", "left_semi")
-
-
 def refresh_select(files: DataFrame, index: DataFrame, now, days=DEFAULT_DAYS_AGO) -> DataFrame:
     """Files that are recent (mtime >= now - days) or absent from the index."""
     d = days_ago(days)
@@ -67,10 +63,3 @@ def index_replace(old: DataFrame, new_rows: DataFrame, updated_sources: DataFram
     """
     kept = old.join(updated_sources.select("source_path").distinct(), "source_path", "left_anti")
     return kept.unionByName(new_rows.select(*old.columns))
-
-
-def write_version(df: DataFrame, base_path: str, version: int) -> str:
-    """Write a new index version under ``base_path/v=<version>`` (never the one being read)."""
-    path = f"{base_path.rstrip('/')}/v={version}"
-    df.write.mode("errorifexists").parquet(path)
-    return path

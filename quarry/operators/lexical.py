@@ -48,6 +48,9 @@ def build_postings(chunks: DataFrame, key_cols: Sequence[str] = ("source_path",
     return postings(chunks, key_cols, text_col).persist(StorageLevel.MEMORY_AND_DISK)
 
 
+ITEM_STRIDE = 1 << 32
+
+
 def prepared_terms(queries: DataFrame, query_id: str = "query_id", text_col: str = "query"):
     """Query terms materialised once (they feed several joins) and their row count,
     which proves the broadcast bound of the query side."""
@@ -76,7 +79,9 @@ def query_terms(queries: DataFrame, query_id: str = "query_id", text_col: str =
                         F.posexplode(tokens(F.col("raw"))).alias("term_offset", "token"))
     toks = toks.where(~is_stop_word("token"))
     # A bare item with several tokens ("well-known") contributes each token as its own item.
-    item_id = F.when(F.col("is_phrase"), F.col("item_pos") * 1000).otherwise(F.col("item_pos") * 1000 + F.col("term_offset"))
+    # Both numbers are 32-bit, so the id is unique however long an item is.
+    first_id = F.col("item_pos").cast("long") * F.lit(ITEM_STRIDE)
+    item_id = F.when(F.col("is_phrase"), first_id).otherwise(first_id + F.col("term_offset"))
     offset = F.when(F.col("is_phrase"), F.col("term_offset")).otherwise(F.lit(0))
     terms = toks.select(query_id, "group_id", item_id.cast("long").alias("item_id"), "negated",
                         offset.cast("int").alias("term_offset"), s_stem("token").alias("lexeme"))

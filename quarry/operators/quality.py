@@ -7,7 +7,7 @@ tables and every rule of the reference runs as columns over whole batches.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -62,10 +62,14 @@ def _parse_error(raw: Column, name: str, parsed: Column | None = None) -> Column
             .when(~F.schema_of_variant(v).startswith("OBJECT"), F.lit(f"returned an invalid {name} object")))
 
 
+def json_kind(value: Column, path: str) -> Column:
+    """Type name of the JSON value at ``path`` (null when absent)."""
+    return F.schema_of_variant(F.try_variant_get(value, path, "variant"))
+
+
 def _is_string_array(json_value: Column, path: str) -> Column:
     """The JSON value at ``path`` is an array whose items are all strings."""
-    kind = F.schema_of_variant(F.try_variant_get(json_value, path, "variant"))
-    return F.coalesce(kind.isin("ARRAY<STRING>", "ARRAY<VOID>"), F.lit(False))
+    return F.coalesce(json_kind(json_value, path).isin("ARRAY<STRING>", "ARRAY<VOID>"), F.lit(False))
 
 
 def question_rules(df: DataFrame, text_col: str = "output_text") -> DataFrame:
@@ -76,7 +80,8 @@ def question_rules(df: DataFrame, text_col: str = "output_text") -> DataFrame:
     opts = F.coalesce(F.size(p["options"]), F.lit(0))
     exp = F.coalesce(F.size(p["expected_answer"]), F.lit(0))
     reason = (F.when(~F.coalesce(qtype.isin(*QUESTION_TYPES), F.lit(False)), F.lit("unsupported question type"))
-              .when(p["question"].isNull() | (strip_unicode(p["question"]) == ""), F.lit("empty question"))
+              .when(~F.coalesce(json_kind(raw, "$.question") == "STRING", F.lit(False))
+                    | (strip_unicode(p["question"]) == ""), F.lit("empty question"))
               .when(~_is_string_array(raw, "$.options"), F.lit("invalid question options"))
               .when(~_is_string_array(raw, "$.expected_answer") | (exp == 0), F.lit("invalid expected answer"))
               .when((qtype == "short_answer") & (opts > 0), F.lit("short-answer questions must not have options"))
@@ -87,11 +92,9 @@ def question_rules(df: DataFrame, text_col: str = "output_text") -> DataFrame:
     return df.withColumn("rule_error", F.when(F.col("parse_error").isNull(), reason))
 
 
-def _score(raw: Column, field: str) -> Column:
-    """Integer score in 1..5, else null (booleans, fractions and strings are rejected)."""
-    v = F.get_json_object(raw, f"$.{field}")
-    ok = F.coalesce(F.regexp_like(v, F.lit(r"^-?[0-9]+$")), F.lit(False))
-    n = F.when(ok, v.try_cast("int"))
+def _score(judged: Column, field: str) -> Column:
+    """JSON integer in 1..5, else null (booleans, fractions and strings are rejected)."""
+    n = F.when(json_kind(judged, f"$.{field}") == "BIGINT", F.try_variant_get(judged, f"$.{field}", "int"))
     return F.when(n.between(1, 5), n)
 
 
@@ -99,11 +102,12 @@ def quality_gate(df: DataFrame, judge_col: str = "judge_text", threshold: float
     """Four judge scores -> overall mean, passed flag, status passed / failed / error."""
     check_gate_config(threshold, 1)
     raw = F.col(judge_col)
-    parsed = df.withColumn("judge_parse_error", _parse_error(raw, "question_quality_judge"))
-    for f in SCORE_FIELDS:
-        parsed = parsed.withColumn(f, _score(raw, f))
-    for f in EXPLANATION_FIELDS:
-        parsed = parsed.withColumn(f, F.coalesce(F.get_json_object(raw, f"$.{f}"), F.lit("")))
+    judged = F.col("_judged")  # one parse feeds the error, the scores and the explanations
+    parsed = (df.withColumn("_judged", F.try_parse_json(raw))
+              .withColumn("judge_parse_error", _parse_error(raw, "question_quality_judge", judged)))
+    parsed = parsed.withColumns({f: _score(judged, f) for f in SCORE_FIELDS})
+    parsed = parsed.withColumns({f: F.coalesce(F.try_variant_get(judged, f"$.{f}", "string"), F.lit(""))
+                                 for f in EXPLANATION_FIELDS})
     first_bad = F.coalesce(*[F.when(F.col(f).isNull(), F.lit(f"returned an invalid {f}")) for f in SCORE_FIELDS])
     judge_error = F.coalesce(F.col("judge_parse_error"), first_bad)
     overall = sum(F.col(f) for f in SCORE_FIELDS) / F.lit(4.0)
@@ -112,7 +116,7 @@ def quality_gate(df: DataFrame, judge_col: str = "judge_text", threshold: float
             .withColumn("passed", F.coalesce(F.col("overall_score") >= F.lit(float(threshold)), F.lit(False)))
             .withColumn("judge_status", F.when(F.col("judge_error").isNotNull(), F.lit("error"))
                         .when(F.col("passed"), F.lit("passed")).otherwise(F.lit("failed")))
-            .drop("judge_parse_error"))
+            .drop("judge_parse_error", "_judged"))
 
 
 def history_dedup(attempts: DataFrame, history: DataFrame, session_col: str = "session_id",
@@ -153,10 +157,22 @@ def attempt_outcomes(attempts: DataFrame, threshold: float = DEFAULT_PASS_THRESH
     return o.withColumn("ok", F.col("attempt_error").isNull())
 
 
+def attempts_run(outcomes: DataFrame, slot_cols: list[str],
+                 max_attempts: int = DEFAULT_MAX_ATTEMPTS) -> DataFrame:
+    """The attempts a slot really makes: up to the limit, and none after the first that passes."""
+    o = outcomes.where(F.col("attempt_number").between(1, max_attempts))
+    earlier = Window.partitionBy(*slot_cols).orderBy("attempt_number").rangeBetween(Window.unboundedPreceding, -1)
+    return (o.withColumn("_done", F.coalesce(F.bool_or("ok").over(earlier), F.lit(False)))
+            .where(~F.col("_done")).drop("_done"))
+
+
 def first_passing_attempt(outcomes: DataFrame, slot_cols: list[str],
                           max_attempts: int = DEFAULT_MAX_ATTEMPTS) -> DataFrame:
-    """One row per question slot: the first passing attempt, else the last attempt's error."""
-    o = outcomes.where(F.col("attempt_number").between(1, max_attempts))
+    """One row per question slot: the first passing attempt, else the last attempt's error.
+
+    ``attempts_made`` ends with the passing attempt: later rows of the slot were never asked for.
+    """
+    o = attempts_run(outcomes, slot_cols, max_attempts)
     return (o.groupBy(*slot_cols)
             .agg(F.min(F.when(F.col("ok"), F.col("attempt_number"))).alias("passing_attempt"),
                  F.max_by("attempt_error", "attempt_number").alias("last_error"),
@@ -168,14 +184,18 @@ def first_passing_attempt(outcomes: DataFrame, slot_cols: list[str],
             .drop("last_error"))
 
 
-def judgment_audit(outcomes: DataFrame) -> DataFrame:
-    """Audit rows: every judged attempt (passed / failed) plus attempts that reached the judge
-    step and failed there or were duplicates (status error).  No row when parsing or the
-    question rules failed first."""
+def judgment_audit(outcomes: DataFrame, slot_cols: list[str],
+                   max_attempts: int = DEFAULT_MAX_ATTEMPTS) -> DataFrame:
+    """Audit rows of the attempts made: every judged attempt (passed / failed) plus attempts that
+    reached the judge step and failed there or were duplicates (status error, no scores and no
+    explanations).  No row when parsing or the question rules failed first."""
     reached = F.col("parse_error").isNull() & F.col("rule_error").isNull()
     status = F.when(F.col("is_duplicate"), F.lit("error")).otherwise(F.col("judge_status"))
-    return (outcomes.where(reached).withColumn("judge_status", status)
-            .withColumn("passed", F.when(F.col("judge_status") == "passed", F.lit(True)).otherwise(F.lit(False))))
+    rows = attempts_run(outcomes, slot_cols, max_attempts).where(reached).withColumn("judge_status", status)
+    judged = F.col("judge_status") != "error"
+    return rows.withColumns({
+        **{c: F.when(judged, F.col(c)) for c in ("overall_score", *SCORE_FIELDS, *EXPLANATION_FIELDS)},
+        "passed": F.when(F.col("judge_status") == "passed", F.lit(True)).otherwise(F.lit(False))})
 
 
 def _norm_set(c: Column) -> Column:
@@ -205,9 +225,8 @@ def grade_short(df: DataFrame, answer_col: str = "user_answer", expected_col: st
 
 def grade_records(df: DataFrame, text_col: str = "grade_text") -> DataFrame:
     """Model grade output: parsed, and rejected unless ``is_correct`` is a JSON boolean."""
-    raw = F.col(text_col)
     g = parse_outputs(df, text_col, GRADE_SCHEMA, "answer_grade")
-    flag = F.get_json_object(raw, "$.is_correct")
+    is_boolean = F.coalesce(json_kind(F.col("_json"), "$.is_correct") == "BOOLEAN", F.lit(False))
     return g.withColumn("grade_error", F.coalesce(
         F.col("parse_error"),
-        F.when(~F.coalesce(flag.isin("true", "false"), F.lit(False)), F.lit("returned an invalid correctness value"))))
+        F.when(~is_boolean, F.lit("returned an invalid correctness value"))))

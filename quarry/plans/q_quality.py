@@ -90,6 +90,22 @@ OUTCOMES_SQL = f"""
 """
 
 
+#: The loop over attempts stops at the first that passes.
+RUN_SQL = f"""
+    SELECT o.* FROM ({OUTCOMES_SQL}) o
+    WHERE NOT EXISTS (SELECT 1 FROM ({OUTCOMES_SQL}) e WHERE e.slot_id = o.slot_id
+                      AND e.attempt_number < o.attempt_number AND e.attempt_error IS NULL)
+"""
+#: Audit columns that hold a value only when the judge gave a valid answer.
+AUDIT_VALUES = {
+    "overall_score": "CAST(overall_score AS DOUBLE)",
+    "groundedness_score": "g", "answer_correctness_score": "CAST(c AS INTEGER)",
+    "clarity_score": "CAST(cl AS INTEGER)", "difficulty_score": "CAST(df AS INTEGER)",
+    "groundedness_explanation": "'g' || g", "answer_correctness_explanation": "'c' || c",
+    "clarity_explanation": "'l' || cl", "difficulty_explanation": "'d' || df",
+}
+
+
 @register("parse_outputs", f"SELECT slot_id, attempt_number, parse_error FROM ({CHECKED_SQL})")
 def q_parse_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.parse_outputs(fx.generation_attempts(spark, sf_dir)).select("slot_id", "attempt_number", "parse_error")
@@ -127,21 +143,26 @@ SELECT slot_id, min(attempt_number) FILTER (WHERE attempt_error IS NULL) AS pass
        CASE WHEN min(attempt_number) FILTER (WHERE attempt_error IS NULL) IS NULL
             THEN 'Could not generate a quality-approved question: ' || arg_max(attempt_error, attempt_number) END
          AS error
-FROM ({OUTCOMES_SQL}) GROUP BY slot_id
+FROM ({RUN_SQL}) GROUP BY slot_id
 """)
 def q_first_passing_attempt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.first_passing_attempt(fx.judged_attempts(spark, sf_dir), ["slot_id"])
 
 
 @register("judgment_audit", f"""
-SELECT slot_id, attempt_number, CASE WHEN is_duplicate OR judge_error IS NOT NULL THEN 'error'
-                                     WHEN passed THEN 'passed' ELSE 'failed' END AS judge_status,
-       CAST(overall_score AS DOUBLE) AS overall_score, assigned_difficulty
-FROM ({OUTCOMES_SQL}) WHERE parse_error IS NULL AND rule_error IS NULL
+SELECT slot_id, attempt_number, judge_status, assigned_difficulty, question_text AS question, qtype AS question_type,
+       opts AS options, expected AS expected_answer,
+       {", ".join(f"CASE WHEN judge_status <> 'error' THEN {v} END AS {c}" for c, v in AUDIT_VALUES.items())}
+FROM (SELECT *, CASE WHEN is_duplicate OR judge_error IS NOT NULL THEN 'error'
+                     WHEN passed THEN 'passed' ELSE 'failed' END AS judge_status
+      FROM ({RUN_SQL}) WHERE parse_error IS NULL AND rule_error IS NULL)
 """)
 def q_judgment_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return (q.judgment_audit(fx.judged_attempts(spark, sf_dir))
-            .select("slot_id", "attempt_number", "judge_status", "overall_score", "assigned_difficulty"))
+    return (q.judgment_audit(fx.judged_attempts(spark, sf_dir), ["slot_id"])
+            .select("slot_id", "attempt_number", "judge_status", "assigned_difficulty",
+                    *[F.col(f"parsed.{c}").alias(c)
+                      for c in ("question", "question_type", "options", "expected_answer")],
+                    *AUDIT_VALUES))
 
 
 @register("approved_only", f"""

@@ -164,7 +164,7 @@ def query_terms_sql(q: str) -> str:
     SELECT *, count(DISTINCT term_offset) OVER (PARTITION BY query_id, group_id, item_id) AS n_item_terms
     FROM (
       SELECT DISTINCT query_id, group_id,
-             CAST(CASE WHEN is_phrase THEN item_pos * 1000 ELSE item_pos * 1000 + o END AS BIGINT) AS item_id,
+             CAST(CAST(item_pos AS BIGINT) * 4294967296 + CASE WHEN is_phrase THEN 0 ELSE o END AS BIGINT) AS item_id,
              negated, CAST(CASE WHEN is_phrase THEN o ELSE 0 END AS INTEGER) AS term_offset,
              {stem_sql('token')} AS lexeme
       FROM (

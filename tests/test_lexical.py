@@ -54,3 +54,10 @@ def test_corpus_with_query_variants(spark):
     for qid, q in qs:
         variants += [(qid * 10, q), (qid * 10 + 1, '"' + q + '"'), (qid * 10 + 2, q.replace(" ", " or ", 3))]
     _compare(spark, chunks, variants)
+
+
+def test_long_item_needs_every_token(spark):
+    from quarry.operators.lexical import query_terms
+    words = "-".join(f"w{i}x" for i in range(1005))
+    rows = query_terms(spark.createDataFrame([(1, f"{words} last")], "query_id int, query string")).collect()
+    assert len({r.item_id for r in rows}) == 1006

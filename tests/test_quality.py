@@ -49,3 +49,34 @@ def test_grading(spark):
     s = spark.createDataFrame([(1, "  Paris ", ["paris"]), (2, "Lyon", ["paris"])],
                               "id long, user_answer string, expected_answer array<string>")
     assert {r.id: r.is_correct for r in q.grade_short(s).collect()} == {1: True, 2: False}
+
+
+def test_json_types_are_checked(spark):
+    rows = [(1, _judge('"5"', 5, 5, 5)), (2, _judge("true", 5, 5, 5)), (3, _judge(4.5, 5, 5, 5)),
+            (4, _judge(6, 5, 5, 5)), (5, _judge(5, 5, 5, 5))]
+    got = {r.n: (r.judge_status, r.groundedness_score) for r in
+           q.quality_gate(spark.createDataFrame(rows, "n int, judge_text string")).collect()}
+    assert got == {**{n: ("error", None) for n in (1, 2, 3, 4)}, 5: ("passed", 5)}
+    outs = [(1, QUESTION.replace('"Why?"', "5")), (2, QUESTION.replace('"Why?"', '" "')), (3, QUESTION)]
+    got = {r.n: r.rule_error for r in q.question_rules(q.parse_outputs(
+        spark.createDataFrame(outs, "n int, output_text string"))).collect()}
+    assert got == {1: "empty question", 2: "empty question", 3: None}
+    grades = [(1, '{"is_correct": "true"}'), (2, '{"is_correct": true}'), (3, "{}"), (4, '{"is_correct": 1}')]
+    got = {r.n: r.grade_error is None for r in q.grade_records(
+        spark.createDataFrame(grades, "n int, grade_text string")).collect()}
+    assert got == {1: False, 2: True, 3: False, 4: False}
+
+
+def test_audit_ends_with_the_passing_attempt(spark):
+    attempts = [(1, "s", 1, "Old", QUESTION, _judge(5, 5, 5, 5)), (1, "s", 2, "Why?", QUESTION, _judge('"4"', 5, 5, 5)),
+                (1, "s", 3, "Why?", QUESTION, _judge(5, 5, 5, 5)), (1, "s", 4, "Why?", QUESTION, _judge(1, 1, 1, 1))]
+    df = spark.createDataFrame(attempts, "slot_id long, session_id string, attempt_number int, question_text string, "
+                                         "output_text string, judge_text string")
+    a = q.mark_duplicates(q.question_rules(q.parse_outputs(df)),
+                          spark.createDataFrame([("s", "old")], "session_id string, question_text string"))
+    o = q.attempt_outcomes(q.quality_gate(a))
+    got = {r.attempt_number: (r.judge_status, r.clarity_score, r.overall_score)
+           for r in q.judgment_audit(o, ["slot_id"], 4).collect()}
+    assert got == {1: ("error", None, None), 2: ("error", None, None), 3: ("passed", 5, 5.0)}
+    r = q.first_passing_attempt(o, ["slot_id"], 4).head()
+    assert (r.passing_attempt, r.attempts_made) == (3, 3)
