@@ -24,6 +24,7 @@ from quarry.session import cut_lineage
 # Fixed values from the reference.
 DEFAULT_SIMILARITY_THRESHOLD = 0.95
 QUESTION_TYPES = ("short_answer", "single_choice", "multiple_choice")
+DIFFICULTIES = range(1, 6)
 DEFAULT_PAGE = 200
 MAX_PAGE = 500
 
@@ -123,6 +124,32 @@ def first_independent_set(vertices: DataFrame, edges: DataFrame, vid: str = "vid
         live = cut_lineage(live.join(undecided, "dst", "left_semi").join(not_dropped, "src", "left_semi"))
 
 
+def duplicate_graph(records: DataFrame, threshold: float, vid: str, vector: str):
+    """(vertices, edges, copies) of the similarity graph, each text of equal vectors joined once.
+
+    Only the first record of equal vectors enters the theta join.  If that vector is similar to itself,
+    its later records are ``copies``: whatever accepts or blocks the first one blocks them too, and they never
+    block another.  Records of a vector not similar to itself (zero, a threshold above the
+    rounded self cosine) remain vertices with all their edges; null vectors have none.
+    """
+    m = records.select(F.col(vid).alias("m"), F.col(vector).alias("v"))
+    firsts = cut_lineage(m.where(F.col("v").isNotNull()).groupBy("v").agg(F.min("m").alias("rep")))
+    pairs = cut_lineage(similarity_join(firsts.select(F.col("rep").alias("a"), F.col("v").alias("va")),
+                                        firsts.select(F.col("rep").alias("b"), F.col("v").alias("vb")),
+                                        threshold, left_id="a", right_id="b", left_vector="va", right_vector="vb")
+                        .select("a", "b"))
+    alike = pairs.where(F.col("a") == F.col("b")).select(F.col("a").alias("rep"), F.lit(True).alias("alike"))
+    members = cut_lineage(m.join(firsts, "v", "left").join(alike, "rep", "left")
+                          .select("m", "rep", (F.col("alike").isNotNull() & (F.col("m") != F.col("rep"))).alias("copy")))
+    vertices = members.where(~F.coalesce("copy", F.lit(False)))
+    ends = vertices.where(F.col("rep").isNotNull())
+    edges = (pairs.where(F.col("a") != F.col("b"))
+             .join(ends.select(F.col("rep").alias("a"), F.col("m").alias("src")), "a")
+             .join(ends.select(F.col("rep").alias("b"), F.col("m").alias("dst")), "b")
+             .where(F.col("src") < F.col("dst")).select("src", "dst"))
+    return vertices.select(F.col("m").alias("vid")), edges, members.where("copy").select(F.col("m").alias("vid"))
+
+
 def bank_store(candidates: DataFrame, bank: DataFrame, threshold: float = DEFAULT_SIMILARITY_THRESHOLD, *,
                order_col: str = "candidate_id", cand_vector: str = "embedding",
                bank_id: str = "id", bank_vector: str = "embedding") -> DataFrame:
@@ -138,11 +165,9 @@ def bank_store(candidates: DataFrame, bank: DataFrame, threshold: float = DEFAUL
                         cand_vector=cand_vector, bank_vector=bank_vector)
     near = cut_lineage(near)
     fresh = cands.join(near.where(~F.col("is_duplicate")).select("_vid"), "_vid", "left_semi")
-    pairs = similarity_join(fresh.select(F.col("_vid").alias("a"), F.col(cand_vector).alias("va")),
-                            fresh.select(F.col("_vid").alias("b"), F.col(cand_vector).alias("vb")),
-                            threshold, left_id="a", right_id="b", left_vector="va", right_vector="vb")
-    edges = pairs.where(F.col("a") < F.col("b")).select(F.col("a").alias("src"), F.col("b").alias("dst"))
-    mis = first_independent_set(fresh.select(F.col("_vid").alias("vid")), edges, "vid")
+    vertices, edges, copies = duplicate_graph(fresh, threshold, "_vid", cand_vector)
+    mis = (first_independent_set(vertices, edges, "vid").select("vid", "accepted")
+           .unionByName(copies.withColumn("accepted", F.lit(False))))
     verdict = (cands.join(near.select("_vid", F.col("best_similarity").alias("best_bank_similarity"),
                                       "is_duplicate"), "_vid", "left")
                .join(mis.select(F.col("vid").alias("_vid"), "accepted"), "_vid", "left"))
@@ -164,12 +189,15 @@ def approved_only(results: DataFrame, passed_col: str = "passed") -> DataFrame:
 
 
 def check_list_args(question_type, difficulty, limit) -> None:
-    if question_type not in {None, *QUESTION_TYPES}:
-        raise ValueError("invalid question_type")
-    if difficulty is not None and difficulty not in range(1, 6):
-        raise ValueError("difficulty must be between 1 and 5")
-    if isinstance(limit, bool) or not isinstance(limit, int) or not 1 <= limit <= MAX_PAGE:
-        raise ValueError("limit must be between 1 and 500")
+    """Names every filter of ``bank_list`` whose value no bank row or page can have."""
+    allowed = {
+        "question_type": question_type is None or question_type in QUESTION_TYPES,
+        "difficulty": difficulty is None or difficulty in DIFFICULTIES,
+        "limit": type(limit) is int and limit in range(1, MAX_PAGE + 1),
+    }
+    wrong = [name for name, ok in allowed.items() if not ok]
+    if wrong:
+        raise ValueError(f"value not allowed: {', '.join(wrong)}")
 
 
 def bank_list(bank: DataFrame, question_type: str | None = None, difficulty: int | None = None,

@@ -8,7 +8,7 @@ overwrites the path it reads.  Sources removed from disk are not purged
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.operators.chunking import chunk_markdown
@@ -18,15 +18,10 @@ from quarry.operators.embedding import DEFAULT_DIM, embed_hashing
 DEFAULT_DAYS_AGO = 3
 
 
-def days_ago(value) -> int:
-    """Refresh window from a setting: invalid or negative values fall back to 3."""
-    if value is None:
-        return DEFAULT_DAYS_AGO
-    try:
-        days = int(value)
-    except (TypeError, ValueError):
-        return DEFAULT_DAYS_AGO
-    return days if days >= 0 else DEFAULT_DAYS_AGO
+def refresh_window(setting) -> Column:
+    """Days of the refresh window: the setting as a whole number of days, else the default."""
+    days = F.lit(None if setting is None else str(setting)).try_cast("int")
+    return F.when(days >= 0, days).otherwise(F.lit(DEFAULT_DAYS_AGO))
 
 
 def index_missing(files: DataFrame, index: DataFrame) -> DataFrame:
@@ -36,9 +31,8 @@ def index_missing(files: DataFrame, index: DataFrame) -> DataFrame:
 
 def refresh_select(files: DataFrame, index: DataFrame, now, days=DEFAULT_DAYS_AGO) -> DataFrame:
     """Files that are recent (mtime >= now - days) or absent from the index."""
-    d = days_ago(days)
     kind = files.schema["modified_at"].dataType  # compare in the column's own type (with or without zone)
-    cutoff = F.lit(now).cast(kind) - F.make_dt_interval(F.lit(d))
+    cutoff = F.lit(now).cast(kind) - F.make_dt_interval(refresh_window(days))
     recent = F.col("modified_at") >= cutoff
     present = index.select("source_path").distinct().withColumn("_present", F.lit(True))
     return (files.join(present, "source_path", "left")

@@ -91,3 +91,24 @@ def test_bank_list_page_and_total(spark):
         bk.bank_list(bank, limit=501)
     with pytest.raises(ValueError):
         bk.bank_list(bank, "essay")
+
+
+def test_equal_vectors_join_once_and_equal_the_sequential_fold(spark):
+    rng = random.Random(11)
+    angles = [rng.choice([0.0, 0.2, 0.5, 0.9, 1.3]) for _ in range(60)]
+    vectors = [None if i % 17 == 5 else [0.0, 0.0] if i % 19 == 7 else _vec(a) for i, a in enumerate(angles)]
+    cands = spark.createDataFrame([(i, v) for i, v in enumerate(vectors)], "candidate_id long, embedding array<double>")
+    bank = spark.createDataFrame([], "id long, embedding array<double>")
+    real = lambda v: v is not None and any(v)
+    edges = [(a, b) for b in range(60) for a in range(b) if real(vectors[a]) and real(vectors[b])
+             and sum(x * y for x, y in zip(vectors[a], vectors[b])) >= 0.95]
+    got = {r.candidate_id for r in bk.bank_store(cands, bank, 0.95).where("verdict = 'inserted'").collect()}
+    assert got == _sequential(60, edges)
+    _, joined, copies = bk.duplicate_graph(cands, 0.95, "candidate_id", "embedding")
+    assert copies.count() > 40 and joined.count() < 10
+
+
+@pytest.mark.parametrize("bad", [{"question_type": "essay"}, {"difficulty": 0}, {"limit": 501}, {"limit": True}])
+def test_list_filters_are_checked(bad):
+    with pytest.raises(ValueError, match=next(iter(bad))):
+        bk.check_list_args(**{"question_type": None, "difficulty": None, "limit": 5, **bad})
