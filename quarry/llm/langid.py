@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.memory import tidy
 from quarry.session import checkpoint_dir
 
 #: Columns of the hashed n-grams; documents of one language in the training sample, on average.
@@ -143,7 +144,7 @@ def _document_frequency(texts: DataFrame) -> tuple[np.ndarray, int]:
         yield pa.RecordBatch.from_arrays([pa.array(np.append(cols, -1)), pa.array(np.append(df[cols], n))], ["col", "n"])
 
     out, n = np.zeros(BUCKETS), 0
-    for r in texts.mapInArrow(count, "col bigint, n bigint").groupBy("col").agg(F.sum("n").alias("n")).collect():  # at most BUCKETS + 1 rows
+    for r in texts.mapInArrow(tidy(count), "col bigint, n bigint").groupBy("col").agg(F.sum("n").alias("n")).collect():  # at most BUCKETS + 1 rows
         if r["col"] < 0:
             n = r["n"]
         else:
@@ -194,8 +195,8 @@ def train(learnable: DataFrame, sample: int = SAMPLE) -> LanguageModel | None:
         t = fit_temperature(np.array([v @ w[c] + bias for c, v in (x[i] for i in held)]), y[held]) if len(held) else 1.0
         yield pa.RecordBatch.from_arrays([pa.array([w.astype(np.float32).tobytes()]), pa.array([bias.tobytes()]), pa.array([t])], ["w", "bias", "t"])
 
-    got = (drawn.mapInArrow(sparse, "key bigint, lang string, cols array<int>, counts array<float>")
-           .repartition(1).mapInArrow(fit, "w binary, bias binary, t double").collect())  # the bounded sample; one row back
+    got = (drawn.mapInArrow(tidy(sparse), "key bigint, lang string, cols array<int>, counts array<float>")
+           .repartition(1).mapInArrow(tidy(fit), "w binary, bias binary, t double").collect())  # the bounded sample; one row back
     if not got:
         return None
     r = got[0]
@@ -237,7 +238,7 @@ def predict(docs: DataFrame, model: LanguageModel | None, keep: tuple = ("doc_id
             yield pa.RecordBatch.from_arrays([*b.columns[:len(keep)], pa.array(pred), pa.array(score)], [*keep, "lang_pred", "score"])
 
     schema = src.select(*keep).withColumn("lang_pred", F.lit("")).withColumn("score", F.lit(0.0)).schema
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(tidy(run), schema)
 
 
 def held_out(remainder: int, parts: int):

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quarry.llm.memory import tidy
 from quarry.llm.tokens import tokenizer
 from quarry.session import checkpoint_dir, write_table
 
@@ -69,7 +70,7 @@ def document_pieces(docs: DataFrame, vocabulary: str, end_id: int = 2, window: i
             yield pa.RecordBatch.from_arrays(cols, names)
 
     schema = f"`{id_col}` bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint" + (", ids array<int>" if ids else "")
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(tidy(run), schema)
 
 
 def nnls(a: np.ndarray, b: np.ndarray, rounds: int | None = None) -> np.ndarray:
@@ -180,7 +181,7 @@ def pack(pieces: DataFrame, window: int = WINDOW, unit: int = UNIT, depth: int =
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(sequence), pa.array(offset)], [*b.schema.names[:-1], "sequence_id", "offset"])
 
     schema = pieces.withColumn("sequence_id", F.lit(0).cast("bigint")).withColumn("offset", F.lit(0).cast("bigint")).schema
-    return p.mapInArrow(place, schema)
+    return p.mapInArrow(tidy(place), schema)
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 2, window: int = WINDOW, unit: int = UNIT,

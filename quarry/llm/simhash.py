@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.components import connected_components
+from quarry.llm.memory import tidy
 from quarry.session import checkpoint_dir, write_table
 
 SEED = 42
@@ -62,7 +63,7 @@ def simhash(docs: DataFrame, text_col: str = "text", width: int = 3, keep: tuple
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fp)], [*keep, "fp"])
 
     schema = src.drop("_text").withColumn("fp", F.lit(0).cast("bigint")).schema
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(tidy(run), schema)
 
 
 def gray_rank(codes: np.ndarray) -> np.ndarray:

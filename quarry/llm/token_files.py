@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quarry.llm.memory import tidy
 from quarry.llm.tokens import tokenizer
 from quarry.session import checkpoint_dir
 
@@ -157,7 +158,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int =
         if held:
             yield segment()
 
-    rows.mapInArrow(encode, SEGMENTS).write.parquet(path)
+    rows.mapInArrow(tidy(encode), SEGMENTS).write.parquet(path)
 
 
 def _decode(words: bytes, offsets: bytes, n: int) -> np.ndarray:
@@ -197,4 +198,4 @@ def read_token_files(spark: SparkSession, path: str, ids: bool = True) -> DataFr
                 yield pa.RecordBatch.from_arrays(cols, names)
 
     schema = "part int, seq int, doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint" + (", ids array<int>" if ids else "")
-    return _with_start(spark, path, spark.read.schema(SEGMENTS).parquet(path).mapInArrow(decode, schema))
+    return _with_start(spark, path, spark.read.schema(SEGMENTS).parquet(path).mapInArrow(tidy(decode), schema))
