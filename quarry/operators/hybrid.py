@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from quarry.operators.lexical import build_postings, lexical_topk, prepared_terms
 from quarry.operators.vector_search import vector_topk
+from quarry.session import bounded, cut_lineage
 
 RRF_K = 60
 CANDIDATE_MULTIPLIER = 4
@@ -36,8 +37,9 @@ def hybrid_search(index: DataFrame, queries: DataFrame, k: int = 5, *,
                   content_col: str = "content", vector_col: str = "embedding",
                   query_id: str = "query_id", query_text: str = "query",
                   query_vector: str = "embedding", index_postings: DataFrame | None = None,
-                  rrf_k: int = RRF_K) -> DataFrame:
-    """Top-k fused results per query.
+                  rrf_k: int = RRF_K, limit_col: str | None = None) -> DataFrame:
+    """Top-k fused results per query; ``limit_col`` names a per-query limit (1 to k) in ``queries``,
+    which sets that query's candidate lists too.
 
     Output: query_id, source_path, chunk_index, content, vector_similarity,
     lexical_score, vector_rank, lexical_rank, hybrid_score, hybrid_rank.
@@ -46,7 +48,12 @@ def hybrid_search(index: DataFrame, queries: DataFrame, k: int = 5, *,
     check_k(k)
     keys = list(key_cols)
     cand = candidate_limit(k)
-    vec = (vector_topk(index, queries, cand, key_cols=keys, payload_cols=(content_col,),
+    limits = None
+    if limit_col is not None:
+        own = F.greatest(F.col(limit_col) * CANDIDATE_MULTIPLIER, F.lit(MIN_CANDIDATES)).cast("int")
+        queries = cut_lineage(queries.withColumn("_cand", own))
+        limits = bounded(queries.select(query_id, F.col(limit_col).alias("_limit"), "_cand"))
+    vec = (vector_topk(index, queries, cand, limit_col=None if limits is None else "_cand", key_cols=keys, payload_cols=(content_col,),
                        vector_col=vector_col, query_id=query_id, query_vector=query_vector)
            .select(query_id, *keys, content_col, F.col("similarity").alias("vector_similarity"),
                    F.col("rank").cast("long").alias("vector_rank")))
@@ -55,8 +62,10 @@ def hybrid_search(index: DataFrame, queries: DataFrame, k: int = 5, *,
     # checkpoint in the shared folder) and reused by every lexical step below.
     post = index_postings if index_postings is not None else build_postings(index, keys, content_col)
     lex = lexical_topk(post, terms, cand, keys, query_id, n_terms)
-    # At most n_queries * cand rows: broadcast them against a pruned re-scan of the index.
-    lex = index.select(*keys, content_col).join(F.broadcast(lex), keys)
+    if limits is not None:
+        lex = lex.join(limits, query_id).where(F.col("lexical_rank") <= F.col("_cand")).drop("_limit", "_cand")
+    # At most n_queries * cand rows: measured, then broadcast against a pruned re-scan of the index.
+    lex = index.select(*keys, content_col).join(bounded(lex), keys)
     typed_null = lambda t: F.lit(None).cast(t)
     ranked = (vec.select(query_id, *keys, content_col, "vector_similarity", "vector_rank",
                          typed_null("double").alias("lexical_score"), typed_null("long").alias("lexical_rank"),
@@ -72,8 +81,10 @@ def hybrid_search(index: DataFrame, queries: DataFrame, k: int = 5, *,
                   F.max("lexical_rank").alias("lexical_rank"),
                   F.sum("rrf").alias("hybrid_score")))
     w = Window.partitionBy(query_id).orderBy(F.col("hybrid_score").desc(), *[F.col(c).asc() for c in keys])
-    return (fused.withColumn("hybrid_rank", F.row_number().over(w).cast("long"))
-            .where(F.col("hybrid_rank") <= k))
+    top = fused.withColumn("hybrid_rank", F.row_number().over(w).cast("long")).where(F.col("hybrid_rank") <= k)
+    if limits is None:
+        return top
+    return top.join(limits, query_id).where(F.col("hybrid_rank") <= F.col("_limit")).drop("_limit", "_cand")
 
 
 def search(index: DataFrame, queries: DataFrame, k: int = 5, mode: str = "hybrid", **kw) -> DataFrame:

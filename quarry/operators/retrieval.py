@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.operators.hybrid import hybrid_search
 from quarry.operators.vector_search import vector_topk
 
 IDENTITY = ("source_path", "chunk_index", "content")
@@ -52,25 +53,35 @@ def merge_by_identity(hits: DataFrame, session_col: str = "session_id",
 
 def multi_topic_retrieve(index: DataFrame, sessions: DataFrame, *, default_k: int = 5,
                          total_col: str | None = None, session_col: str = "session_id",
-                         topics_col: str = "topics", topic_vector_fn=None) -> DataFrame:
-    """Vector-mode retrieval of every (session, topic) with its budget, then merge.
+                         topics_col: str = "topics", topic_vector_fn=None, mode: str = "vector") -> DataFrame:
+    """Retrieval of every (session, topic) with its budget, then merge.  ``mode`` 'hybrid' fuses the
+    vector and the lexical list of each topic, 'vector' ranks by similarity alone.
 
     ``topic_vector_fn(df, text_col) -> df with 'embedding'`` embeds topic text.
-    Output: session, identity, similarity, matched_topics, first_topic_pos, first_rank, order.
+    Output: session, identity, scores (similarity; in hybrid mode vector_similarity, lexical_score,
+    hybrid_score), matched_topics, first_topic_pos, first_rank, order.
     """
     t = explode_topics(sessions, session_col, topics_col)
     t = t.withColumn("topic_limit", topic_budget(t, total_col, default_k)).where(F.col("topic_limit") > 0)
-    t = t.withColumn("query_id", F.xxhash64(session_col, "topic_pos"))
+    t = t.withColumn("query_id", F.concat_ws(":", session_col, "topic_pos"))  # no two topics share it
     q = topic_vector_fn(t, "topic") if topic_vector_fn else t
     kmax = default_k if total_col is None else None
     if kmax is None:
         row = t.agg(F.max("topic_limit").alias("m")).head()
         kmax = int(row["m"] or 1)
-    hits = vector_topk(index, q.select("query_id", "embedding", "topic_limit"), kmax,
-                       payload_cols=("content",), limit_col="topic_limit")
+    if mode == "hybrid":
+        hits = (hybrid_search(index, q.select("query_id", "topic", "embedding", "topic_limit"), kmax,
+                              query_text="topic", limit_col="topic_limit").withColumnRenamed("hybrid_rank", "rank"))
+        scores = ("vector_similarity", "lexical_score", "hybrid_score")
+    elif mode == "vector":
+        hits = vector_topk(index, q.select("query_id", "embedding", "topic_limit"), kmax,
+                           payload_cols=("content",), limit_col="topic_limit")
+        scores = ("similarity",)
+    else:
+        raise ValueError("search_mode must be 'hybrid' or 'vector'")
     # Topic rows are as many as (sessions x topics): bounded by the session table, broadcast when small.
     hits = hits.join(t.select("query_id", session_col, "topic_pos", "topic"), "query_id")
-    merged = merge_by_identity(hits, session_col)
+    merged = merge_by_identity(hits, session_col, scores)
     w = Window.partitionBy(session_col).orderBy("first_topic_pos", "first_rank")
     return merged.withColumn("order", F.row_number().over(w).cast("int"))
 

@@ -313,7 +313,7 @@ def judged_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # --- test sessions over the knowledge base ------------------------------------------------
-RESULTS_PER_SESSION = 5
+RESULTS_PER_SESSION = 20  # fixed value: questions of a test by default
 
 
 def topic_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -326,13 +326,13 @@ def topic_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
                     (F.pmod(F.col("item_id"), F.lit(9)) + 2).cast("int").alias("requested"))
 
 
-def session_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
+def session_retrieval(spark: SparkSession, sf_dir: str, mode: str = "vector") -> DataFrame:
     from quarry.operators.embedding import embed_hashing
     from quarry.operators.retrieval import multi_topic_retrieve
     from pyspark import StorageLevel
     index = hybrid_index(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)  # scored, then re-read for payload
     return multi_topic_retrieve(index, topic_sessions(spark, sf_dir),
-                                total_col="total_results",
+                                total_col="total_results", mode=mode,
                                 topic_vector_fn=lambda df, c: embed_hashing(df, c))
 
 

@@ -11,6 +11,7 @@ from quarry.operators import retrieval as rt
 from quarry.operators import schedule as sc
 from quarry.operators import sessions as ss
 from quarry.plans import fixtures as fx
+from quarry.plans.q_retrieval import HYBRID_CTES
 from quarry.plans.registry import register
 from quarry.plans.sql_fragments import DOC_PATH_SQL, LINE_INDEX_SQL, bucket_counts_sql
 
@@ -18,7 +19,7 @@ WS = r"[\t\n\x{0B}\f\r\x{1C}-\x{1F}\x{85}\p{Z}]"
 
 TOPICS_SQL = f"""
     SELECT session_id, unnest(topics) AS topic, generate_subscripts(topics, 1) - 1 AS topic_pos,
-           len(topics) AS n_topics, 5 AS total_results, requested
+           len(topics) AS n_topics, {fx.RESULTS_PER_SESSION} AS total_results, requested
     FROM (
         SELECT session_id, requested, list_filter(parts, lambda x, i: list_position(parts, x) = i) AS topics
         FROM (
@@ -83,6 +84,33 @@ def q_multi_topic_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
                                         F.round("similarity", 6).alias("similarity"), "matched_topics", "order")
 
 
+@register("multi_topic_hybrid", f"""
+WITH idx AS ({LINE_INDEX_SQL}),
+tl AS (SELECT *, session_id || ':' || topic_pos AS query_id, topic AS query FROM ({BUDGET_SQL}) WHERE topic_limit > 0),
+q AS (SELECT query_id, query FROM tl),
+lim AS (SELECT query_id, greatest(4 * topic_limit, 20) AS cand, topic_limit AS k FROM tl),
+{HYBRID_CTES},
+merged AS (
+    SELECT tl.session_id, f.source_path, f.chunk_index, i.content,
+           arg_min(struct_pack(v := vector_similarity, l := lexical_score, h := hybrid_score),
+                   struct_pack(p := topic_pos, r := hybrid_rank)) AS s,
+           list(topic ORDER BY topic_pos) AS matched_topics,
+           min(struct_pack(p := topic_pos, r := hybrid_rank)) AS f
+    FROM final f JOIN tl USING (query_id) JOIN idx i USING (source_path, chunk_index)
+    WHERE f.hybrid_rank <= tl.topic_limit GROUP BY ALL)
+SELECT session_id, source_path, chunk_index, round(s.v, 6) AS vector_similarity, round(s.l, 6) AS lexical_score,
+       round(s.h, 6) AS hybrid_score, matched_topics,
+       CAST(row_number() OVER (PARTITION BY session_id ORDER BY f.p, f.r) AS INTEGER) AS "order"
+FROM merged
+""")
+def q_multi_topic_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The default mode: each topic's vector and lexical lists fused, then merged by chunk."""
+    out = fx.session_retrieval(spark, sf_dir, mode="hybrid")
+    return out.select("session_id", "source_path", "chunk_index",
+                      *[F.round(c, 6).alias(c) for c in ("vector_similarity", "lexical_score", "hybrid_score")],
+                      "matched_topics", "order")
+
+
 @register("context_assembly", f"""
 SELECT session_id, string_agg('Topics: ' || array_to_string(matched_topics, ', ') || chr(10) || 'Source: '
                               || source_path || chr(10) || content, chr(10) || chr(10) ORDER BY "order") AS context

@@ -57,7 +57,8 @@ def q_embed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_hashing(fx.line_index(spark, sf_dir), "content").select("source_path", "chunk_index", "embedding")
 
 
-HYBRID_SQL = f"""{HEAD} {LEX_CTE},
+# idx (chunks), q (query_id, query), lim (query_id, candidates of a list, results) -> final.
+HYBRID_CTES = f"""{LEX_CTE},
 cb AS ({bucket_counts_sql("SELECT * FROM idx", "source_path, chunk_index", "content")}),
 qb AS ({bucket_counts_sql("SELECT * FROM q", "query_id", "query")}),
 cn AS (SELECT source_path, chunk_index, sqrt(sum(c * c)) AS n FROM cb GROUP BY ALL),
@@ -71,13 +72,13 @@ vec AS (
     SELECT * FROM (
         SELECT query_id, source_path, chunk_index, sim AS vector_similarity,
                row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, source_path, chunk_index) AS vector_rank
-        FROM vsim) WHERE vector_rank <= 20),
+        FROM vsim) JOIN lim USING (query_id) WHERE vector_rank <= cand),
 lex AS (
     SELECT * FROM (
         SELECT query_id, source_path, chunk_index, lexical_score,
                row_number() OVER (PARTITION BY query_id ORDER BY lexical_score DESC, source_path, chunk_index)
                  AS lexical_rank
-        FROM scored_) WHERE lexical_rank <= 20),
+        FROM scored_) JOIN lim USING (query_id) WHERE lexical_rank <= cand),
 ranked AS (
     SELECT query_id, source_path, chunk_index, vector_similarity, vector_rank,
            CAST(NULL AS DOUBLE) AS lexical_score, CAST(NULL AS BIGINT) AS lexical_rank,
@@ -94,11 +95,14 @@ final AS (
     SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hybrid_score DESC, source_path, chunk_index)
                 AS hybrid_rank
     FROM fused)
+"""
+
+HYBRID_SQL = f"""{HEAD} lim AS (SELECT query_id, 20 AS cand, 5 AS k FROM q), {HYBRID_CTES}
 SELECT f.query_id, f.source_path, f.chunk_index, i.content, round(f.vector_similarity, 6) AS vector_similarity,
        round(f.lexical_score, 6) AS lexical_score, f.vector_rank, f.lexical_rank,
        round(f.hybrid_score, 6) AS hybrid_score, f.hybrid_rank
-FROM final f JOIN idx i USING (source_path, chunk_index)
-WHERE f.hybrid_rank <= 5
+FROM final f JOIN idx i USING (source_path, chunk_index) JOIN lim USING (query_id)
+WHERE f.hybrid_rank <= lim.k
 """
 
 SCORES = ("vector_similarity", "lexical_score", "hybrid_score")

@@ -93,9 +93,15 @@ def write_table(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def bounded(df: DataFrame, max_rows: int = 2_000_000):
-    """Materialise ``df`` and return it with its broadcast form when its counted size is
-    within ``max_rows`` (a proven bound), else with itself for a shuffle join."""
+def bounded(df: DataFrame, max_rows: int = 2_000_000, max_bytes: int = 256 << 20) -> DataFrame:
+    """Materialise ``df``; the result is marked for broadcast when its counted rows and measured
+    bytes are within the bounds, else it is left to a shuffle join."""
     from pyspark.sql import functions as F
     m = cut_lineage(df)
-    return F.broadcast(m) if m.count() <= max_rows else m
+    nested = ("string", "binary", "array", "map", "struct")
+    width = F.lit(16 * len(m.columns))
+    for c, kind in m.dtypes:
+        if kind.startswith(nested):
+            width = width + F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0))
+    size = m.agg(F.count(F.lit(1)).alias("n"), F.sum(width.cast("bigint")).alias("b")).head()
+    return F.broadcast(m) if size["n"] <= max_rows and (size["b"] or 0) <= max_bytes else m
