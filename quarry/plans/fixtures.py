@@ -210,7 +210,8 @@ BANK_THRESHOLD = 0.3  # the embeddings' highest pairwise cosine is ~0.5, so 0.95
 
 
 def question_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that carry an embedding as generated question records (whole text as question)."""
+    """Every document as a generated question record (whole text as question); one without a vector
+    is never a duplicate."""
     from quarry.operators.bank import QUESTION_TYPES
     docs = table(spark, sf_dir, "documents")
     emb = table(spark, sf_dir, "embeddings")
@@ -224,7 +225,7 @@ def question_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     question = F.struct(qtype.alias("question_type"), F.col("text").alias("question"),
                         options.alias("options"), expected.alias("expected_answer"),
                         F.concat(F.lit("from "), F.col("source")).alias("explanation"))
-    return (docs.join(emb, docs.doc_id == emb.vec_id)
+    return (docs.join(emb, docs.doc_id == emb.vec_id, "left")
             .select(F.col("doc_id").alias("candidate_id"), question.alias("question"),
                     (F.pmod(F.col("doc_id"), F.lit(5)) + 1).cast("int").alias("generation_difficulty"),
                     F.array(doc_path(), doc_path(), F.lit("")).alias("source_paths"), "embedding"))
