@@ -61,7 +61,7 @@ def hybrid_search(index: DataFrame, queries: DataFrame, k: int = 5, *,
     # The postings are the inverted index: built once, cut from lineage (a reliable
     # checkpoint in the shared folder) and reused by every lexical step below.
     post = index_postings if index_postings is not None else build_postings(index, keys, content_col)
-    lex = lexical_topk(post, terms, cand, keys, query_id, n_terms)
+    lex = lexical_topk(post, terms, cand, keys, query_id, n_terms, index.select(*keys))
     if limits is not None:
         lex = lex.join(limits, query_id).where(F.col("lexical_rank") <= F.col("_cand")).drop("_limit", "_cand")
     # At most n_queries * cand rows: measured, then broadcast against a pruned re-scan of the index.

@@ -134,14 +134,35 @@ def lexical_hits(post: DataFrame, terms: DataFrame, key_cols: Sequence[str],
     return candidate_hits(post, terms, key_cols, query_id, term_rows)
 
 
+def _item_hits(hits: DataFrame, keys: list[str], query_id: str) -> DataFrame:
+    """Items present in a chunk: at some anchor (pos - offset) all their offsets are there."""
+    return (hits.groupBy(query_id, *keys, "group_id", "item_id", "negated", "n_item_terms",
+                         (F.col("pos") - F.col("term_offset")).alias("anchor"))
+            .agg(F.count_distinct("term_offset").alias("c"))
+            .where(F.col("c") == F.col("n_item_terms"))
+            .select(query_id, *keys, "group_id", "item_id", "negated").distinct())
+
+
+def negated_groups(terms: DataFrame, query_id: str = "query_id") -> DataFrame:
+    """OR groups that hold negated items only."""
+    return (terms.groupBy(query_id, "group_id").agg(F.bool_and("negated").alias("only"))
+            .where("only").select(query_id, "group_id"))
+
+
+def _match_negated(post: DataFrame, terms: DataFrame, chunks: DataFrame, keys: list[str], query_id: str,
+                   term_rows: int | None) -> DataFrame:
+    """Chunks without any item of a negated group.  The answer is nearly every chunk for each such
+    query, so the (stated) groups meet the chunks in one pass over them."""
+    groups = _sized(negated_groups(terms, query_id), term_rows)
+    items = terms.join(groups, [query_id, "group_id"], "left_semi")
+    held = _item_hits(post.join(_sized(items, term_rows), "lexeme"), keys, query_id)
+    return (chunks.select(*keys).join(groups, F.lit(True))
+            .join(held, [query_id, "group_id", *keys], "left_anti").select(query_id, *keys).distinct())
+
+
 def _match_from_hits(hits: DataFrame, terms: DataFrame, keys: list[str], query_id: str,
                      term_rows: int | None) -> DataFrame:
-    # An item is present at anchor (pos - offset) when all its offsets are there.
-    item_hit = (hits.groupBy(query_id, *keys, "group_id", "item_id", "negated", "n_item_terms",
-                             (F.col("pos") - F.col("term_offset")).alias("anchor"))
-                .agg(F.count_distinct("term_offset").alias("c"))
-                .where(F.col("c") == F.col("n_item_terms"))
-                .select(query_id, *keys, "group_id", "item_id", "negated").distinct())
+    item_hit = _item_hits(hits, keys, query_id)
     sizes = (terms.where(~F.col("negated")).groupBy(query_id, "group_id")
              .agg(F.count_distinct("item_id").alias("n_items")))
     groups = (item_hit.groupBy(query_id, *keys, "group_id")
@@ -154,11 +175,15 @@ def _match_from_hits(hits: DataFrame, terms: DataFrame, keys: list[str], query_i
 
 def lexical_match(post: DataFrame, terms: DataFrame, key_cols: Sequence[str] = ("source_path", "chunk_index"),
                   query_id: str = "query_id", term_rows: int | None = None,
-                  hits: DataFrame | None = None) -> DataFrame:
-    """(query_id, *keys) for every chunk that satisfies the query (``@@``)."""
+                  hits: DataFrame | None = None, chunks: DataFrame | None = None) -> DataFrame:
+    """(query_id, *keys) for every chunk that satisfies the query (``@@``).  ``chunks`` holds the keys of
+    every chunk, also of those without a lexeme: an OR group of negated items only matches among them."""
     keys = list(key_cols)
     h = hits if hits is not None else candidate_hits(post, terms, keys, query_id, term_rows)
-    return _match_from_hits(h, terms, keys, query_id, term_rows)
+    out = _match_from_hits(h, terms, keys, query_id, term_rows)
+    if chunks is None or not negated_groups(terms, query_id).head(1):
+        return out
+    return out.unionByName(_match_negated(post, terms, chunks, keys, query_id, term_rows)).distinct()
 
 
 def cover_density(post: DataFrame, terms: DataFrame, matched: DataFrame,
@@ -210,13 +235,17 @@ def cover_density(post: DataFrame, terms: DataFrame, matched: DataFrame,
 
 def lexical_topk(post: DataFrame, terms: DataFrame, k: int,
                  key_cols: Sequence[str] = ("source_path", "chunk_index"),
-                 query_id: str = "query_id", term_rows: int | None = None) -> DataFrame:
-    """Matching chunks ranked by cover density, first ``k`` per query (ties: key order)."""
+                 query_id: str = "query_id", term_rows: int | None = None,
+                 chunks: DataFrame | None = None) -> DataFrame:
+    """Matching chunks ranked by cover density, first ``k`` per query (ties: key order); a chunk
+    matched only by the absence of words (``chunks``, see ``lexical_match``) scores 0."""
     keys = list(key_cols)
     from quarry.session import cut_lineage
     hits = candidate_hits(post, terms, keys, query_id, term_rows)
-    matched = cut_lineage(_match_from_hits(hits, terms, keys, query_id, term_rows))
+    matched = cut_lineage(lexical_match(post, terms, keys, query_id, term_rows, hits, chunks))
     scored = cover_density(post, terms, matched, keys, query_id, term_rows)
+    if chunks is not None and negated_groups(terms, query_id).head(1):
+        scored = matched.join(scored, [query_id, *keys], "left").fillna(0.0, ["lexical_score"])
     w = Window.partitionBy(query_id).orderBy(F.col("lexical_score").desc(), *[F.col(c).asc() for c in keys])
     return (scored.withColumn("lexical_rank", F.row_number().over(w))
             .where(F.col("lexical_rank") <= k)

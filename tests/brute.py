@@ -52,7 +52,7 @@ def parse_query(q: str):
             for _, lx in toks:
                 cur.append((neg, [(0, lx)]))
     groups.append(cur)
-    return [g for g in groups if any(not n for n, _ in g)]
+    return [g for g in groups if g]
 
 
 def item_present(item, vec):
@@ -80,6 +80,7 @@ def matches(q: str, text: str) -> bool:
 def cover_density(q: str, text: str) -> float:
     """Sequential minimal-cover scan (Clarke et al.), weight 0.1 per cover."""
     groups = [set(lx for neg, it in g if not neg for _, lx in it) for g in parse_query(q)]
+    groups = [g for g in groups if g]  # a group of negated items has no cover
     allq = set().union(*groups) if groups else set()
     vec = doc_vector(text)
     entries = sorted({p for p, lx in vec if lx in allq})

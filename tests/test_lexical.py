@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import brute
 from quarry.functions.text import s_stem
-from quarry.operators.lexical import cover_density, lexical_match, postings, query_terms
+from quarry.operators.lexical import lexical_match, lexical_topk, postings, query_terms
 from quarry.plans import fixtures as fx
 
 
@@ -22,9 +22,10 @@ def _compare(spark, chunks, queries):
     idx = spark.createDataFrame(chunks, "source_path string, chunk_index int, content string")
     qs = spark.createDataFrame(queries, "query_id long, query string")
     post, terms = postings(idx), query_terms(qs)
-    m = lexical_match(post, terms)
     got = {(r.query_id, r.source_path, r.chunk_index): r.lexical_score
-           for r in cover_density(post, terms, m).collect()}
+           for r in lexical_topk(post, terms, len(chunks), chunks=idx).collect()}
+    m = lexical_match(post, terms, chunks=idx)
+    assert {(r.query_id, r.source_path, r.chunk_index) for r in m.collect()} == set(got)
     exp = {}
     for qid, q in queries:
         for sp, ci, text in chunks:
@@ -42,7 +43,8 @@ def test_query_syntax_hand_cases(spark):
               ("b", 2, "the the the"), ("b", 3, "rats rats fat rats")]
     queries = [(1, "fat rats"), (2, '"supernovae stars" -crab'), (3, 'signal -"segmentation fault"'),
                (4, "cats or stars"), (5, "the of"), (6, '"fat rats"'), (7, "rat"), (8, "or fat"),
-               (9, '"sad cat" or "fat rat"'), (10, "-fat")]
+               (9, '"sad cat" or "fat rat"'), (10, "-fat"), (11, 'cats or -"fat rats"'), (12, "-rats -signal"),
+               (13, "-the"), (14, "-zebra")]
     _compare(spark, chunks, queries)
 
 

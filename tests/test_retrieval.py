@@ -67,3 +67,16 @@ def test_context_block(spark):
                                "session_id long, order int, matched_topics array<string>, source_path string, content string")
     ctx = rt.context_assembly(df).head().context
     assert ctx == "Topics: t1, t2\nSource: s.md\nbody\n\nTopics: t1\nSource: u.md\nmore"
+
+
+def test_multi_topic_hybrid_limits_each_topic(spark):
+    from quarry.operators.embedding import embed_hashing
+    chunks = [(f"d{i}", 0, f"{w} text number {i}") for i, w in enumerate(["river delta", "river silt", "wind sail", "wind kite", "moon"])]
+    index = embed_hashing(spark.createDataFrame(chunks, "source_path string, chunk_index int, content string"), "content")
+    sessions = spark.createDataFrame([(1, ["river", "wind"], 3), (2, ["moon"], 1)], "session_id long, topics array<string>, n int")
+    out = rt.multi_topic_retrieve(index, sessions, total_col="n", topic_vector_fn=lambda df, c: embed_hashing(df, c),
+                                  mode="hybrid").orderBy("session_id", "order").collect()
+    assert [(r.session_id, r.matched_topics, r.first_rank) for r in out] == [
+        (1, ["river"], 1), (1, ["river"], 2), (1, ["wind"], 1), (2, ["moon"], 1)]
+    assert {r.source_path for r in out if r.matched_topics == ["river"]} == {"d0", "d1"}
+    assert all(r.lexical_score > 0 and r.vector_similarity > 0 for r in out)
