@@ -213,6 +213,17 @@ def fingerprint_links(fps: DataFrame, max_bits: int = 3, cell: int = CELL, hot:
     return plain.unionByName(dealt).groupBy("cell").applyInArrow(links, "a bigint, b bigint")
 
 
+def _components(docs: DataFrame, width: int, max_bits: int, id_col: str, text_col: str, keep: tuple) -> tuple[DataFrame, DataFrame]:
+    """The rows' fingerprints; and of each fingerprint its smallest id ``rep`` and its
+    component's ``label``, the smallest linked fingerprint, which is never null."""
+    checkpoint_dir(docs.sparkSession)
+    fps = write_table(simhash(docs, text_col, width, (id_col, *keep)), "fingerprints")
+    nodes = write_table(fps.groupBy("fp").agg(F.min(id_col).alias("rep")), "fingerprint-nodes")
+    labels = connected_components(fingerprint_links(nodes.select("fp"), max_bits))
+    return fps, nodes.join(labels.select(F.col("node").alias("fp"), "label"), "fp", "left").select(
+        "fp", "rep", F.coalesce("label", "fp").alias("label"))
+
+
 def near_duplicates(docs: DataFrame, width: int = 3, max_bits: int = 3, id_col: str = "doc_id",
                     text_col: str = "text", keep: tuple = ()) -> DataFrame:
     """One row per row of ``docs``: id_col, the ``keep`` columns, ``fp`` and ``component_id``,
@@ -221,12 +232,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, max_bits: int = 3, id_col:
     Wordless and null texts have fingerprint 0 and link like any other.  Null ids count
     after all others (a component of null ids only has a null component_id).  Repeated rows
     stay repeated.  Extra columns of ``docs`` are not read."""
-    checkpoint_dir(docs.sparkSession)
-    fps = write_table(simhash(docs, text_col, width, (id_col, *keep)), "fingerprints")
-    nodes = write_table(fps.groupBy("fp").agg(F.min(id_col).alias("rep")), "fingerprint-nodes")
-    labels = connected_components(fingerprint_links(nodes.select("fp"), max_bits))
-    named = nodes.join(labels.select(F.col("node").alias("fp"), "label"), "fp", "left").select(
-        "fp", "rep", F.coalesce("label", "fp").alias("label"))
+    fps, named = _components(docs, width, max_bits, id_col, text_col, keep)
     least = named.groupBy("label").agg(F.min("rep").alias("component_id"))
     return fps.join(named.join(least, "label").select("fp", "component_id"), "fp").select(id_col, *keep, "fp", "component_id")
 
@@ -239,8 +245,9 @@ def one_of_each(docs: DataFrame, width: int = 3, max_bits: int = 3) -> DataFrame
     """The rows of ``docs`` with only one row of each near-duplicate group: that of the
     smallest doc_id, then of the smallest text hash; rows repeated in full collapse."""
     mark = F.xxhash64(F.coalesce("text", F.lit("")), "text")
-    groups = near_duplicates(docs.withColumn("__q_mark", mark), width, max_bits, keep=("__q_mark",))
-    stay = groups.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("id"), F.col("__q_mark").alias("mark"))).alias("s")).select("s.*")
+    fps, named = _components(docs.withColumn("__q_mark", mark), width, max_bits, "doc_id", "text", ("__q_mark",))
+    groups = fps.join(named.select("fp", "label"), "fp")
+    stay = groups.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("id"), F.col("__q_mark").alias("mark"))).alias("s")).select("s.*")
     rows = docs.withColumn("__q_mark", mark).withColumn("__q_id", F.coalesce("doc_id", F.lit(0))).withColumn("__q_no", F.col("doc_id").isNull())
     stay = stay.select(F.coalesce("id", F.lit(0)).alias("__q_id"), F.col("no").alias("__q_no"), F.col("mark").alias("__q_mark"))
     return rows.join(stay, ["__q_id", "__q_no", "__q_mark"], "left_semi").dropDuplicates(["__q_id", "__q_no", "__q_mark"]).select(*docs.columns)

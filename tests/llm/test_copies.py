@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm import exact_dedup, simhash, suffix_array, suffix_dedup
 
-from .conftest import rows_of
+from .conftest import prose, rows_of
 
 ASCII_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -105,6 +105,15 @@ def test_one_of_each(clashing, none):
     assert simhash.one_of_each(none).count() == 0
 
 
+def test_one_of_each_without_ids(spark):
+    """Unrelated texts stay, also if all their ids are null or the same."""
+    texts = [prose(f"odd{i}", 60) for i in range(8)]
+    rows = [(None, t) for t in texts[:5]] + [(None, texts[0].upper()), (7, texts[5]), (7, texts[6]), (7, texts[7]), (8, texts[7])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    left = rows_of(simhash.one_of_each(docs), "doc_id", "text")
+    assert len(left) == 8 and {(i, t.lower()) for i, t in left} == {(None, t) for t in texts[:5]} | {(7, t) for t in texts[5:]}
+
+
 @pytest.mark.parametrize(("bits", "hot", "cell"), [(3, 2048, 16384), (3, 4, 50), (0, 2, 50), (5, 10, 200)])
 def test_fingerprint_links(spark, bits, hot, cell):
     """Random clusters, chains and crowded blocks: the same components as all pairs."""
