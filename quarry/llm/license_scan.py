@@ -1,10 +1,11 @@
 """License scans: MinHash bands over overlapping windows, then exact shingle containment.
 
 Texts and templates are lower-cased words (runs of letters, digits and non-ASCII bytes) and
-shingles of five.  For a template of T shingles, windows of 2T shingles start every T, so any
-place that holds the template lies whole in one of them.  A window that contains at least
-``least`` of the template's shingles has a Jaccard similarity with it of at least
-least T / (2 T + (1 - least) T); the number of bands follows from that bound and the wanted
+shingles of five.  For a template of T shingles, windows of 2T shingles (up to
+a whole step) start every T/2, so any stretch of at most 3T/2 shingles lies whole in one of
+them, wherever it begins; a copy that insertions make longer than that may be cut.  A window
+of W shingles that contains k of the template's has a Jaccard similarity with it of at least
+k / (W + T - k); the number of bands follows from the least such bound and the wanted
 probability that such a window shares a band.  Windows retrieved so are compared shingle by
 shingle.
 """
@@ -57,10 +58,21 @@ def shingles_of(words: list[bytes]) -> set[tuple[bytes, ...]]:
     return {tuple(words[i:i + SHINGLE]) for i in range(len(words) - SHINGLE + 1)}
 
 
-def bands_needed(least: float, probability: float, rows: int) -> int:
-    """Bands of ``rows`` hashes so that a window with containment ``least`` shares one."""
-    similarity = least / (2 + (1 - least))
-    return math.ceil(math.log(1 - probability) / math.log(1 - similarity ** rows))
+def grid_of(size: int) -> tuple[int, int]:
+    """Step between windows of a template of ``size`` shingles, and steps in a window."""
+    step = -(-size // 2)
+    return step, -(-2 * size // step)
+
+
+def bands_needed(sizes: list[int], least: float, probability: float, rows: int) -> int:
+    """Bands of ``rows`` hashes so that a window with containment ``least`` of any template shares one."""
+    need = 1
+    for size in sizes:
+        step, wide = grid_of(size)
+        k = max(1, math.ceil(least * size - 1e-9))
+        same = (k / (step * wide + size - k)) ** rows
+        need = max(need, math.ceil(math.log(1 - probability) / math.log(1 - same)) if same < 1 else 1)
+    return need
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -92,17 +104,19 @@ class Templates:
     """Band signatures of templates, by window length."""
 
     def __init__(self, texts: dict[str, str], least: float = LEAST, probability: float = PROBABILITY, rows: int = ROWS):
-        self.least, self.rows, self.bands = least, rows, bands_needed(least, probability, rows)
-        self.seeds = np.random.default_rng(7).integers(0, 1 << 63, self.bands * rows, dtype=np.uint64)
-        self.shingles, self.steps = {}, {}
-        for name, text in sorted(texts.items()):
-            words = words_of(text)
+        known = {name: words_of(text) for name, text in sorted(texts.items())}
+        for name, words in known.items():
             if len(words) < SHINGLE:
                 raise ValueError(f"template {name!r} has fewer than {SHINGLE} words")
+        self.least, self.rows = least, rows
+        self.bands = bands_needed([len(w) - SHINGLE + 1 for w in known.values()], least, probability, rows)
+        self.seeds = np.random.default_rng(7).integers(0, 1 << 63, self.bands * rows, dtype=np.uint64)
+        self.shingles, self.steps, self.size = {}, {}, {}
+        for name, words in known.items():
             raw = np.frombuffer(b" ".join(words), np.uint8)
             end = np.cumsum([len(w) + 1 for w in words]) - 1
             h = shingle_hashes(_word_hashes(raw, end - [len(w) for w in words], end))
-            self.shingles[name] = shingles_of(words)
+            self.shingles[name], self.size[name] = shingles_of(words), len(h)
             self.steps.setdefault(len(h), []).append((name, np.array([_mix(h ^ s).min() for s in self.seeds])))
 
     def candidates(self, h: np.ndarray, first: np.ndarray, n: np.ndarray) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
@@ -112,19 +126,24 @@ class Templates:
         if not len(use):
             return
         grids = {}
-        for step in self.steps:
+        for size in self.steps:
+            step, wide = grid_of(size)
             blocks = -(-n[use] // step)
             text = np.repeat(use, blocks)
             nth = np.arange(len(text)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-            grids[step] = (text, nth * step, first[text] + nth * step, np.concatenate([text[1:] == text[:-1], [False]]))
+            last = np.repeat(np.cumsum(blocks), blocks) - 1
+            follow = [np.minimum(np.arange(len(text)) + i, last) for i in range(1, wide)]
+            grids[size] = (text, nth * step, first[text] + nth * step, follow)
         hit = {(s, name): np.zeros(len(grids[s][0]), bool) for s, of in self.steps.items() for name, _ in of}
         for band in range(self.bands):
             same = {k: np.ones(len(v), bool) for k, v in hit.items()}
             for row in range(band * self.rows, (band + 1) * self.rows):
                 p = _mix(h ^ self.seeds[row])
-                for step, (_, _, at, more) in grids.items():
+                for step, (_, _, at, follow) in grids.items():
                     low = np.minimum.reduceat(p, at)
-                    wide = np.where(more, np.minimum(low, np.append(low[1:], low[-1])), low)
+                    wide = low
+                    for i in follow:
+                        wide = np.minimum(wide, low[i])
                     for name, signature in self.steps[step]:
                         same[step, name] &= wide == signature[row]
             for k, v in same.items():
@@ -136,7 +155,8 @@ class Templates:
 
     def span(self, name: str) -> int:
         """Words of a window of this template."""
-        return 2 * next(s for s, of in self.steps.items() if any(x == name for x, _ in of)) + SHINGLE - 1
+        step, wide = grid_of(self.size[name])
+        return step * wide + SHINGLE - 1
 
 
 def scan_texts(texts: list[str], templates: Templates) -> Iterator[tuple[int, str, float, int, int]]:

@@ -194,3 +194,18 @@ def test_license_scan_against_all_windows(spark):
                     want.add((r.doc_id, name))
     got = set(rows_of(license_scan.scan_licenses(table(spark, SF, "documents")), "doc_id", "license"))
     assert got == want and got
+
+
+def test_license_scan_at_every_place():
+    """An altered copy is found wherever it begins; the brute force has a window at every word."""
+    text = license_scan.TEMPLATES["GPL-3.0"]
+    t = license_scan.Templates({"GPL-3.0": text})
+    words, need = text.split(), t.shingles["GPL-3.0"]
+    altered = " ".join(words[:20] + ["and", "so", "on", "with", "some", "words", "put", "in"] + words[20:])
+    before = prose("before", 120).split()
+    for at in range(len(need) + 2):
+        whole = " ".join(before[:60 + at]) + " " + altered + " " + prose("after", 80)
+        own = license_scan.words_of(whole)
+        best = max(len(need & license_scan.shingles_of(own[p:p + 2 * len(need) + 4])) for p in range(len(own))) / len(need)
+        assert best > 0.89
+        assert [(n, s) for _, n, s, _, _ in license_scan.scan_texts([whole], t)] == [("GPL-3.0", best)]
