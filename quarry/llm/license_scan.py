@@ -7,12 +7,15 @@ them, wherever it begins; a copy that insertions make longer than that may be cu
 of W shingles that contains k of the template's has a Jaccard similarity with it of at least
 k / (W + T - k); the number of bands follows from the least such bound and the wanted
 probability that such a window shares a band.  Windows retrieved so are compared shingle by
-shingle.
+shingle.  Templates of different licenses that share shingles (versions of one license, say) are
+rivals: of their matches on the same stretch of text only those of the best containment stay.
 """
 
 from __future__ import annotations
 
+import bisect
 import math
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,22 +29,68 @@ SHINGLE, LEAST, PROBABILITY, ROWS = 5, 0.8, 0.9999, 1
 #: Bytes of text worked on at once.
 CHUNK = 4 << 20
 
-# Well-known public license notices.
+# Well-known public license notices, by license and form (``-header``, ``-notice``).
 TEMPLATES = {
-    "MIT-notice": "Released under the MIT License.",
-    "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
-    "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
+    "AGPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "AGPL-3.0-notice": "GNU Affero General Public License, version 3",
+    "AGPL-3.0-notice-v": "GNU Affero General Public License v3",
     "Apache-2.0": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at",
-    "GPL-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
-    "GPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    "LGPL-3.0": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
+    "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
+    "Apache-2.0-notice-released": "Released under the Apache License 2.0",
+    "Apache-2.0-notice-short": "Licensed under the Apache License 2.0",
     "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
-    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-    "CC-BY-NC-4.0-notice": "Licensed under CC BY-NC 4.0.",
+    "BSD-notice": "Licensed under the BSD License",
+    "BSD-notice-released": "Released under the BSD License",
+    "BSD-2-Clause-notice": "Licensed under the BSD 2-Clause License",
+    "BSD-3-Clause": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "BSD-3-Clause-notice": "Licensed under the BSD 3-Clause License",
+    "BSL-1.0-notice": "Distributed under the Boost Software License, Version 1.0.",
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "CC-BY-4.0-notice": "Licensed under CC BY 4.0",
+    "CC-BY-NC-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    "CC-BY-NC-4.0-notice": "Licensed under CC BY-NC 4.0.",
+    "CC-BY-NC-ND-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.",
+    "CC-BY-NC-ND-4.0-notice": "Licensed under CC BY-NC-ND 4.0",
+    "CC-BY-NC-SA-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+    "CC-BY-NC-SA-4.0-notice": "Licensed under CC BY-NC-SA 4.0",
+    "CC-BY-ND-4.0": "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    "CC-BY-ND-4.0-notice": "Licensed under CC BY-ND 4.0",
     "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "CC-BY-SA-4.0-notice": "Licensed under CC BY-SA 4.0",
+    "CC0-1.0": "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide.",
+    "CC0-1.0-header-waiver": "has waived all copyright and related or neighboring rights to this work",
+    "CC0-1.0-notice": "Licensed under CC0 1.0 Universal",
+    "CC0-1.0-notice-short": "CC0 1.0 Universal Public Domain Dedication",
+    "GPL-2.0": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "GPL-2.0-header-only": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.",
+    "GPL-2.0-notice": "GNU General Public License, version 2",
+    "GPL-2.0-notice-short": "Licensed under the GNU GPL, version 2",
+    "GPL-2.0-notice-v": "GNU General Public License v2",
+    "GPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "GPL-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
+    "GPL-3.0-notice-short": "Licensed under the GNU GPL, version 3",
+    "GPL-3.0-notice-terms": "under the terms of the GNU General Public License, version 3",
+    "GPL-3.0-notice-v": "GNU General Public License v3",
+    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "ISC-notice": "Licensed under the ISC License",
+    "ISC-notice-released": "Released under the ISC License",
+    "LGPL-2.1": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "LGPL-2.1-notice": "GNU Lesser General Public License, version 2.1",
+    "LGPL-2.1-notice-v": "GNU Lesser General Public License v2.1",
+    "LGPL-3.0": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version.",
+    "LGPL-3.0-notice": "GNU Lesser General Public License, version 3",
+    "LGPL-3.0-notice-v": "GNU Lesser General Public License v3",
+    "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+    "MIT-notice": "Released under the MIT License.",
+    "MIT-notice-available": "Available under the MIT License",
+    "MIT-notice-distributed": "Distributed under the MIT License",
+    "MIT-notice-licensed": "Licensed under the MIT License",
+    "MIT-notice-terms": "Under the terms of the MIT License",
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "MPL-2.0-notice": "Licensed under the Mozilla Public License, version 2.0",
+    "MPL-2.0-notice-short": "Licensed under the Mozilla Public License 2.0",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
+    "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
 }
 
 _LETTER = np.zeros(256, bool)
@@ -54,6 +103,11 @@ def words_of(text: str) -> list[bytes]:
     return [raw[i:j] for i, j in zip(a[::2].tolist(), a[1::2].tolist(), strict=True)]
 
 
+def license_of(name: str) -> str:
+    """The license of a template's name, without its form."""
+    return name.split("-notice")[0].split("-header")[0]
+
+
 def shingles_of(words: list[bytes]) -> set[tuple[bytes, ...]]:
     return {tuple(words[i:i + SHINGLE]) for i in range(len(words) - SHINGLE + 1)}
 
@@ -119,6 +173,8 @@ class Templates:
             self.shingles[name], self.size[name] = shingles_of(words), len(h)
             self.steps.setdefault(len(h), []).append((name, np.array([_mix(h ^ s).min() for s in self.seeds])))
 
+        self.rivals = {a: [b for b in known if license_of(a) != license_of(b) and self.shingles[a] & self.shingles[b]] for a in known}
+
     def candidates(self, h: np.ndarray, first: np.ndarray, n: np.ndarray) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
         """h: shingle hashes of texts end to end; first, n: where each text's begin, how many.
         Yields (template, text of each retrieved window, its first shingle within the text)."""
@@ -159,6 +215,44 @@ class Templates:
         return step * wide + SHINGLE - 1
 
 
+def stretch(words: list[bytes], want: set[tuple[bytes, ...]]) -> tuple[int, int]:
+    """First and last shingle of the shortest stretch with all of ``want`` that ``words`` hold."""
+    at = [(i, s) for i in range(len(words) - SHINGLE + 1) if (s := tuple(words[i:i + SHINGLE])) in want]
+    held, left, distinct, best = Counter(), 0, len({s for _, s in at}), (at[0][0], at[-1][0])
+    for i, s in at:
+        held[s] += 1
+        while len(held) == distinct:
+            j, first = at[left]
+            best = min(best, (j, i), key=lambda x: x[1] - x[0])
+            held[first] -= 1
+            if not held[first]:
+                del held[first]
+            left += 1
+    return best
+
+
+def without_rivals(matches: list[tuple], templates: Templates) -> Iterator[tuple]:
+    """Matches (template, containment, first word, stretch) of a text, without those that share more than
+    half of the shorter stretch with a better match of a rival."""
+    places = defaultdict(list)
+    for name, share, _, (lo, hi) in matches:
+        places[name].append((lo, hi, share))
+    for of in places.values():
+        of.sort()
+    for match in matches:
+        name, share, _, (lo, hi) = match
+        beaten = False
+        for rival in templates.rivals[name]:
+            of = places.get(rival, ())
+            for at in range(bisect.bisect_left(of, (lo - templates.span(rival),)), len(of)):
+                a, b, other = of[at]
+                if beaten or a > hi:
+                    break
+                beaten = other > share and 2 * (min(hi, b) - max(lo, a) + SHINGLE) > min(hi - lo, b - a) + SHINGLE
+        if not beaten:
+            yield match
+
+
 def scan_texts(texts: list[str], templates: Templates) -> Iterator[tuple[int, str, float, int, int]]:
     """(text, template, best containment, first word of the best window, windows that match)."""
     raw = "\n".join(texts).encode().lower()
@@ -169,7 +263,7 @@ def scan_texts(texts: list[str], templates: Templates) -> Iterator[tuple[int, st
     word_at = np.searchsorted(start, np.concatenate([[0], size]))
     hashes = shingle_hashes(_word_hashes(data, start, end))
     n = np.maximum(np.diff(word_at) - SHINGLE + 1, 0)
-    found: dict[tuple[int, str], list] = {}
+    matches = defaultdict(list)
     for name, text, place in templates.candidates(hashes, word_at[:-1], n):
         want, span = templates.shingles[name], templates.span(name)
         for t, p in zip(text.tolist(), place.tolist(), strict=True):
@@ -177,10 +271,15 @@ def scan_texts(texts: list[str], templates: Templates) -> Iterator[tuple[int, st
             own = [raw[i:j] for i, j in zip(start[a:b].tolist(), end[a:b].tolist(), strict=True)]
             share = len(want & shingles_of(own)) / len(want)
             if share >= templates.least:
-                best = found.setdefault((t, name), [0.0, 0, 0])
-                best[2] += 1
-                if share > best[0]:
-                    best[:2] = share, p
+                lo, hi = stretch(own, want)
+                matches[t].append((name, share, p, (p + lo, p + hi)))
+    found: dict[tuple[int, str], list] = {}
+    for t, of in matches.items():
+        for name, share, p, _ in without_rivals(of, templates):
+            best = found.setdefault((t, name), [0.0, 0, 0])
+            best[2] += 1
+            if share > best[0]:
+                best[:2] = share, p
     for (t, name), (share, p, times) in sorted(found.items()):
         yield t, name, share, p, times
 

@@ -209,3 +209,28 @@ def test_license_scan_at_every_place():
         best = max(len(need & license_scan.shingles_of(own[p:p + 2 * len(need) + 4])) for p in range(len(own))) / len(need)
         assert best > 0.89
         assert [(n, s) for _, n, s, _, _ in license_scan.scan_texts([whole], t)] == [("GPL-3.0", best)]
+
+
+@pytest.mark.parametrize(("text", "licenses"), [
+    ("Licensed under the MIT License.", {"MIT"}), ("Licensed under CC BY 4.0", {"CC-BY-4.0"}), ("Licensed under the ISC License", {"ISC"}),
+    ("Licensed under CC0 1.0 Universal", {"CC0-1.0"}), ("This library is under the GNU Lesser General Public License, version 2.1.", {"LGPL-2.1"}),
+    ("Licensed under the BSD 3-Clause License", {"BSD-3-Clause"}), ("Licensed under the Mozilla Public License, version 2.0", {"MPL-2.0"}),
+    ("This work is licensed under the GNU General Public License, version 2.", {"GPL-2.0"}),
+    ("This work is licensed under the GNU General Public License, version 3.", {"GPL-3.0"}), ("under the GNU General Public License v2", {"GPL-2.0"})])
+def test_license_notices(text, licenses):
+    t = license_scan.Templates(license_scan.TEMPLATES)
+    for whole in (text, prose(1, 45) + " " + text + " " + prose(2, 70)):
+        assert {license_scan.license_of(n) for _, n, *_ in license_scan.scan_texts([whole], t)} == licenses
+
+
+def test_license_versions():
+    """Each header is its own license only, also beside another's."""
+    t = license_scan.Templates(license_scan.TEMPLATES)
+    names = ["GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0"]
+    of = lambda text: {license_scan.license_of(n) for _, n, *_ in license_scan.scan_texts([text], t)}
+    for a in license_scan.TEMPLATES:
+        assert of(prose(3, 33) + " " + license_scan.TEMPLATES[a] + " " + prose(4, 50)) >= {license_scan.license_of(a)}
+    for a in names:
+        assert of(prose(3, 33) + " " + license_scan.TEMPLATES[a] + " " + prose(4, 50)) == {a}
+        for b in names:
+            assert of(license_scan.TEMPLATES[a] + " " + prose(5, 40) + " " + license_scan.TEMPLATES[b]) == {a, b}
