@@ -356,15 +356,21 @@ def similarity_join(left: DataFrame, right: DataFrame, threshold: float, *,
 
 
 def lsh_signatures(df: DataFrame, id_cols, vector_col: str, dim: int, bands: int = 8, bits: int = 8,
-                   seed: int = 17) -> DataFrame:
+                   seed: int = 17, probes: int = 1) -> DataFrame:
     """Sign-random-projection signatures (Charikar 2002): one row per (row, band, signature).
 
+    With ``probes`` above 1 each band also has the neighbouring signatures (at most two bits
+    flipped) whose flipped projections are the smallest (Lv et al. 2007).
+
     The hyperplanes are a seeded (bands*bits x dim) matrix, tiny and fixed by the
     parameters, so it travels in the task closure; numpy does the projection per
     Arrow batch.
     """
     planes = np.random.default_rng(seed).standard_normal((bands * bits, dim))
     weights = (1 << np.arange(bits)).astype(np.int64)
+    masks = np.array([0, *(1 << i for i in range(bits)), *(1 << i | 1 << j for i in range(bits) for j in range(i))])
+    probes = min(probes, len(masks))
+    flips = (masks[:, None] >> np.arange(bits)) & 1
     ids = list(id_cols)
     schema = T.StructType([*[df.schema[c] for c in ids], T.StructField("band", T.IntegerType()),
                            T.StructField("sig", T.LongType())])
@@ -375,12 +381,15 @@ def lsh_signatures(df: DataFrame, id_cols, vector_col: str, dim: int, bands: int
             if batch.num_rows == 0:
                 continue
             x = _list_matrix(batch.column(vector_col), dim)
-            signs = (x @ planes.T > 0).reshape(batch.num_rows, bands, bits)
-            sig = (signs * weights).sum(axis=2)
-            rows = np.repeat(np.arange(batch.num_rows), bands)
+            side = (x @ planes.T).reshape(batch.num_rows, bands, bits)
+            sig = ((side > 0) * weights).sum(axis=2)[:, :, None]
+            if probes > 1:
+                near = np.argsort(side ** 2 @ flips.T, axis=2, kind="stable")[:, :, :probes]
+                sig = sig ^ masks[near]
+            rows = np.repeat(np.arange(batch.num_rows), bands * probes)
             cols = [batch.column(c).take(pa.array(rows)) for c in ids]
             yield pa.RecordBatch.from_arrays(
-                cols + [pa.array(np.tile(np.arange(bands, dtype=np.int32), batch.num_rows)),
+                cols + [pa.array(np.tile(np.repeat(np.arange(bands, dtype=np.int32), probes), batch.num_rows)),
                         pa.array(sig.reshape(-1).astype(np.int64))], schema=arrow_schema)
 
     return df.where(F.col(vector_col).isNotNull()).select(*ids, vector_col).mapInArrow(project, schema)
@@ -389,16 +398,16 @@ def lsh_signatures(df: DataFrame, id_cols, vector_col: str, dim: int, bands: int
 def vector_topk_lsh(index: DataFrame, queries: DataFrame, k: int = 5, *,
                     key_cols=("source_path", "chunk_index"), vector_col: str = "embedding",
                     query_id: str = "query_id", query_vector: str = "embedding",
-                    bands: int = 16, bits: int = 6, seed: int = 17) -> DataFrame:
-    """Approximate top-k: candidates share a (band, signature) bucket with the query
-    (an equi-join; AQE splits hot buckets), then exact cosine re-rank.  Returns
+                    bands: int = 16, bits: int = 6, seed: int = 17, probes: int = 3) -> DataFrame:
+    """Approximate top-k: candidates share a (band, signature) bucket with the query or
+    one of its ``probes`` likeliest buckets a band (an equi-join; AQE splits hot buckets), then exact cosine re-rank.  Returns
     query_id, rank, keys, similarity; recall is measured against ``vector_topk``."""
     keys = list(key_cols)
     dim_row = queries.select(F.size(query_vector).alias("d")).head(1)
     if not dim_row:
         return index.sparkSession.createDataFrame([], _output_schema(index, queries, query_id, keys))
     dim = dim_row[0]["d"]
-    qs = lsh_signatures(queries, [query_id], query_vector, dim, bands, bits, seed)
+    qs = lsh_signatures(queries, [query_id], query_vector, dim, bands, bits, seed, probes)
     ix = lsh_signatures(index, keys, vector_col, dim, bands, bits, seed)
     cand = qs.join(ix, ["band", "sig"]).select(query_id, *keys).distinct()
     scored = (cand.join(queries.select(query_id, F.col(query_vector).alias("_qv")), query_id)

@@ -73,3 +73,9 @@ def test_similarity_join(spark, strategy):
     exp = {(j, i) for j, qv in enumerate(qs) for i, v in enumerate(items)
            if norms[i] > 0 and qv @ v / (np.linalg.norm(qv) * norms[i]) >= 0.5}
     assert got == exp
+
+
+def test_lsh_recall(spark):
+    """Of the whole embedding table's true top 5 at least 0.9 are found."""
+    from quarry.plans.q_retrieval import q_lsh_recall
+    assert q_lsh_recall(spark, "/root/testdata/sf0.01").first().recall >= 0.9
