@@ -13,10 +13,13 @@ from quarry.llm import (
     exact_dedup,
     graph_ann,
     langid,
+    lexical_scan,
     license_scan,
     line_crf,
     mixing,
     packing,
+    resampling,
+    secret_scan,
     simhash,
     suffix_dedup,
     token_files,
@@ -109,9 +112,22 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), VOCABULARY, END_ID)
 
 
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=25, least_words=20, seed=7)
+
+
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
+
+
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_scan.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_graph_ann": op1, "op2_suffix_dedup": op2, "op3_language_id": op3, "op4_token_files": op4,
     "op5_exact_dedup": op5, "op6_source_mixing": op6, "op7_simhash_dedup": op7, "op8_line_crf": op8,
-    "op9_license_scan": op9, "op10_packing": op10,
+    "op9_license_scan": op9, "op10_packing": op10, "op11_importance_resampling": op11, "op12_secret_scan": op12,
+    "op13_lexical_search": op13,
 }
 ORACLE: dict[str, str] = {"op5_exact_dedup": OP5_SQL, "op6_source_mixing": OP6_SQL}
