@@ -18,8 +18,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.text import source_paths, strip_unicode
-from quarry.operators.vector_search import similarity_join, vector_topk
-from quarry.session import cut_lineage
+from quarry.operators.cells import cosine_join
+from quarry.operators.vector_search import cosine_expr, vector_topk
+from quarry.session import cut_lineage, write_table
 
 # Fixed values from the reference.
 DEFAULT_SIMILARITY_THRESHOLD = 0.95
@@ -127,26 +128,22 @@ def first_independent_set(vertices: DataFrame, edges: DataFrame, vid: str = "vid
 def duplicate_graph(records: DataFrame, threshold: float, vid: str, vector: str):
     """(vertices, edges, copies) of the similarity graph, each text of equal vectors joined once.
 
-    Only the first record of equal vectors enters the theta join.  If that vector is similar to itself,
+    Only the first record of equal vectors enters the pruned join.  If that vector is similar to itself,
     its later records are ``copies``: whatever accepts or blocks the first one blocks them too, and they never
     block another.  Records of a vector not similar to itself (zero, a threshold above the
     rounded self cosine) remain vertices with all their edges; null vectors have none.
     """
     m = records.select(F.col(vid).alias("m"), F.col(vector).alias("v"))
-    firsts = cut_lineage(m.where(F.col("v").isNotNull()).groupBy("v").agg(F.min("m").alias("rep")))
-    pairs = cut_lineage(similarity_join(firsts.select(F.col("rep").alias("a"), F.col("v").alias("va")),
-                                        firsts.select(F.col("rep").alias("b"), F.col("v").alias("vb")),
-                                        threshold, left_id="a", right_id="b", left_vector="va", right_vector="vb")
-                        .select("a", "b"))
-    alike = pairs.where(F.col("a") == F.col("b")).select(F.col("a").alias("rep"), F.lit(True).alias("alike"))
-    members = cut_lineage(m.join(firsts, "v", "left").join(alike, "rep", "left")
-                          .select("m", "rep", (F.col("alike").isNotNull() & (F.col("m") != F.col("rep"))).alias("copy")))
+    firsts = write_table(m.where(F.col("v").isNotNull()).groupBy("v").agg(F.min("m").alias("rep")), "firsts")
+    firsts = firsts.withColumn("alike", F.coalesce(cosine_expr("v", "v") >= threshold, F.lit(False)))
+    pairs, _ = cosine_join(firsts.select(F.col("rep").alias("a"), "v"), None, threshold, left_id="a", right_id="b", vector_col="v")
+    members = write_table(m.join(firsts, "v", "left")
+                          .select("m", "rep", (F.col("alike") & (F.col("m") != F.col("rep"))).alias("copy")), "members")
     vertices = members.where(~F.coalesce("copy", F.lit(False)))
     ends = vertices.where(F.col("rep").isNotNull())
-    edges = (pairs.where(F.col("a") != F.col("b"))
-             .join(ends.select(F.col("rep").alias("a"), F.col("m").alias("src")), "a")
-             .join(ends.select(F.col("rep").alias("b"), F.col("m").alias("dst")), "b")
-             .where(F.col("src") < F.col("dst")).select("src", "dst"))
+    edges = (pairs.join(ends.select(F.col("rep").alias("a"), F.col("m").alias("ma")), "a")
+             .join(ends.select(F.col("rep").alias("b"), F.col("m").alias("mb")), "b")
+             .select(F.least("ma", "mb").alias("src"), F.greatest("ma", "mb").alias("dst")))
     return vertices.select(F.col("m").alias("vid")), edges, members.where("copy").select(F.col("m").alias("vid"))
 
 

@@ -206,15 +206,15 @@ def existing_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # --- question bank ---------------------------------------------------------------------
-BANK_THRESHOLD = 0.3  # the embeddings' highest pairwise cosine is ~0.5, so 0.95 would never fire
+BANK_THRESHOLD = 0.95  # fixed value: the default similarity threshold
 
 
 def question_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document as a generated question record (whole text as question); one without a vector
-    is never a duplicate."""
+    """Every document as a generated question record: the whole text is the question, its vector
+    that of the question text.  Only a text without a token is never a duplicate."""
     from quarry.operators.bank import QUESTION_TYPES
-    docs = table(spark, sf_dir, "documents")
-    emb = table(spark, sf_dir, "embeddings")
+    from quarry.operators.embedding import embed_hashing
+    docs = embed_hashing(spread(table(spark, sf_dir, "documents")), "text")
     qtype = F.element_at(F.array(*[F.lit(t) for t in QUESTION_TYPES]),
                          (F.pmod(F.col("doc_id"), F.lit(3)) + 1).cast("int"))
     options = F.when(qtype == "short_answer", F.array().cast("array<string>")) \
@@ -225,10 +225,9 @@ def question_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     question = F.struct(qtype.alias("question_type"), F.col("text").alias("question"),
                         options.alias("options"), expected.alias("expected_answer"),
                         F.concat(F.lit("from "), F.col("source")).alias("explanation"))
-    return (docs.join(emb, docs.doc_id == emb.vec_id, "left")
-            .select(F.col("doc_id").alias("candidate_id"), question.alias("question"),
-                    (F.pmod(F.col("doc_id"), F.lit(5)) + 1).cast("int").alias("generation_difficulty"),
-                    F.array(doc_path(), doc_path(), F.lit("")).alias("source_paths"), "embedding"))
+    return docs.select(F.col("doc_id").alias("candidate_id"), question.alias("question"),
+                       (F.pmod(F.col("doc_id"), F.lit(5)) + 1).cast("int").alias("generation_difficulty"),
+                       F.array(doc_path(), doc_path(), F.lit("")).alias("source_paths"), "embedding")
 
 
 def question_bank(spark: SparkSession, sf_dir: str) -> DataFrame:
