@@ -15,7 +15,13 @@ functions over (source_path ORDER BY line):
 
 All windows share the partitioning on source_path, so after the one
 repartition by document no further shuffle is needed (the block group-by is
-satisfied by the same hash partitioning).  A document is processed by one task.
+satisfied by the same hash partitioning).
+
+Documents over LARGE_CHARS are cut into segments of SEGMENT_LINES lines that tasks share.  A segment is
+summarised by what it passes on (fence count, last heading of each level, last separator, list, hard
+break and run, whether its last run has a list, block starts, its first join); the summaries
+are composed in order, a few rows a document, and each segment runs the same rules with what
+came before (and, for kept blank lines, after) it carried in.
 """
 
 from __future__ import annotations
@@ -24,6 +30,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.text import LOW_INFORMATION_FRAGMENTS, split_lines
+from quarry.session import write_table
+
+#: Characters beyond which a document is processed by segments, lines of a segment, pieces numbered by one task.
+LARGE_CHARS, SEGMENT_LINES, NUMBERED = 1 << 20, 4096, 1024
 
 # Fixed values (the reference's chunker patterns and size bound), in Java syntax
 # with Unicode character classes to match Python's str regex semantics.
@@ -47,12 +57,17 @@ def _last(expr: Column, w) -> Column:
     return F.last(expr, ignorenulls=True).over(w)
 
 
-def classify_lines(files: DataFrame, path_col: str = "source_path", text_col: str = "content") -> DataFrame:
-    """(source_path, ln, line) plus the raw pattern flags."""
-    lines = (files.repartition(path_col)
-             .select(path_col, F.posexplode(split_lines(F.col(text_col))).alias("ln", "line")))
+def classify_lines(files: DataFrame, path_col: str = "source_path", text_col: str = "content",
+                   segment_lines: int | None = None) -> DataFrame:
+    """(source_path, ln, line) plus the raw pattern flags; by document, or with ``seg`` by segment of a document."""
+    if segment_lines is None:
+        lines = (files.repartition(path_col)
+                 .select(path_col, F.posexplode(split_lines(F.col(text_col))).alias("ln", "line")))
+    else:
+        lines = files.select(path_col, F.posexplode(split_lines(F.col(text_col))).alias("ln", "line"))
+        lines = lines.withColumn("seg", F.floor(F.col("ln") / segment_lines)).repartition(path_col, "seg")
     return lines.select(
-        path_col, "ln", "line",
+        *[c for c in lines.columns],
         F.col("line").rlike(HEADING_PATTERN).alias("is_heading"),
         F.length(F.regexp_extract("line", HEADING_LEVEL_PATTERN, 1)).alias("level"),
         F.col("line").rlike(FENCE_PATTERN).alias("is_fence"),
@@ -62,6 +77,28 @@ def classify_lines(files: DataFrame, path_col: str = "source_path", text_col: st
     )
 
 
+def _line_kinds(lines: DataFrame, fences: Column) -> DataFrame:
+    """Fence state and separators, from the number of fence lines before each line."""
+    x = lines.withColumn("in_fence", fences % 2 == 1)
+    return (x.withColumn("eff_heading", F.col("is_heading") & ~F.col("in_fence"))
+            .withColumn("eff_rule", F.col("is_rule") & ~F.col("in_fence") & ~F.col("eff_heading"))
+            .withColumn("hard", F.col("eff_heading") | F.col("eff_rule"))
+            .withColumn("sep", F.col("hard") | (F.col("is_blank") & ~F.col("in_fence"))))
+
+
+def _with_context(x: DataFrame) -> DataFrame:
+    """``context`` from the place (_hp1.._hp6) and text (_ht1.._ht6) of the last heading of each level."""
+    alive = []
+    for lv in range(1, 7):
+        shallower = [F.coalesce(F.col(f"_hp{s}"), F.lit(-1)) for s in range(1, lv)]
+        cond = F.col(f"_hp{lv}").isNotNull()
+        if shallower:
+            cond = cond & (F.col(f"_hp{lv}") > F.greatest(*shallower, F.lit(-1)))
+        alive.append(F.when(cond, F.col(f"_ht{lv}")))
+    x = x.withColumn("context", F.array_join(F.array_compact(F.array(*alive)), "\n"))
+    return x.drop(*[f"_hp{lv}" for lv in range(1, 7)], *[f"_ht{lv}" for lv in range(1, 7)])
+
+
 def segment_blocks(lines: DataFrame, path_col: str = "source_path") -> DataFrame:
     """Lines that belong to a block, with block id and heading context."""
     doc = Window.partitionBy(path_col).orderBy("ln")
@@ -71,12 +108,8 @@ def segment_blocks(lines: DataFrame, path_col: str = "source_path") -> DataFrame
     after = (Window.partitionBy(path_col).orderBy(F.col("ln").desc())
              .rowsBetween(Window.unboundedPreceding, -1))
 
-    in_fence = (F.coalesce(F.sum(F.col("is_fence").cast("int")).over(before), F.lit(0)) % 2) == 1
-    x = lines.withColumn("in_fence", in_fence)
-    x = (x.withColumn("eff_heading", F.col("is_heading") & ~F.col("in_fence"))
-         .withColumn("eff_rule", F.col("is_rule") & ~F.col("in_fence") & ~F.col("eff_heading"))
-         .withColumn("hard", F.col("eff_heading") | F.col("eff_rule"))
-         .withColumn("sep", F.col("hard") | (F.col("is_blank") & ~F.col("in_fence"))))
+    fences = F.coalesce(F.sum(F.col("is_fence").cast("int")).over(before), F.lit(0))
+    x = _line_kinds(lines, fences)
 
     # Heading stack: the latest heading per level, alive if no shallower heading came after it.
     hpos = {lv: _last(F.when(F.col("eff_heading") & (F.col("level") == lv), F.col("ln")), upto)
@@ -85,15 +118,7 @@ def segment_blocks(lines: DataFrame, path_col: str = "source_path") -> DataFrame
             for lv in range(1, 7)}
     for lv in range(1, 7):
         x = x.withColumn(f"_hp{lv}", hpos[lv]).withColumn(f"_ht{lv}", htxt[lv])
-    alive = []
-    for lv in range(1, 7):
-        shallower = [F.coalesce(F.col(f"_hp{s}"), F.lit(-1)) for s in range(1, lv)]
-        cond = F.col(f"_hp{lv}").isNotNull()
-        if shallower:
-            cond = cond & (F.col(f"_hp{lv}") > F.greatest(*shallower, F.lit(-1)))
-        alive.append(F.when(cond, F.col(f"_ht{lv}")))
-    x = x.withColumn("context", F.array_join(F.array_compact(F.array(*alive)), "\n"))
-    x = x.drop(*[f"_hp{lv}" for lv in range(1, 7)], *[f"_ht{lv}" for lv in range(1, 7)])
+    x = _with_context(x)
 
     # Runs of non-separator lines and the list-join rule between consecutive runs.
     sep_ln = _last(F.when(F.col("sep"), F.col("ln")), upto)
@@ -116,6 +141,72 @@ def segment_blocks(lines: DataFrame, path_col: str = "source_path") -> DataFrame
     return x.where(~F.col("sep") | F.col("keep_blank")).select(path_col, "ln", "line", "is_list", "block_id", "context")
 
 
+def _carried(x: DataFrame, path_col: str, sums: dict | None = None, lasts: dict | None = None, nexts: dict | None = None) -> DataFrame:
+    """``x`` with, a line, what the segments before its own pass on: _c_<name> of the ``sums`` (a column added up) and the
+    ``lasts`` (value, condition: the value at the last line that meets it); of ``nexts`` what those after it pass back."""
+    sums, lasts, nexts = sums or {}, lasts or {}, nexts or {}
+    key = [path_col, "seg"]
+    summary = x.groupBy(*key).agg(
+        *[F.sum(c).alias(n) for n, c in sums.items()],
+        *[F.max_by(v, F.when(cond, F.col("ln"))).alias(n) for n, (v, cond) in lasts.items()],
+        *[F.min_by(v, F.when(cond, F.col("ln"))).alias(n) for n, (v, cond) in nexts.items()])
+    above = Window.partitionBy(path_col).orderBy("seg").rowsBetween(Window.unboundedPreceding, -1)
+    below = Window.partitionBy(path_col).orderBy(F.desc("seg")).rowsBetween(Window.unboundedPreceding, -1)
+    carry = summary.select(
+        *key, *[F.coalesce(F.sum(n).over(above), F.lit(0)).alias(f"_c_{n}") for n in sums],
+        *[_last(F.col(n), above).alias(f"_c_{n}") for n in lasts], *[_last(F.col(n), below).alias(f"_c_{n}") for n in nexts])
+    return x.join(carry, key)
+
+
+def segment_blocks_carried(lines: DataFrame, path_col: str = "source_path") -> DataFrame:
+    """The same rows as ``segment_blocks`` from lines with ``seg``: each window runs over one segment."""
+    doc = Window.partitionBy(path_col, "seg").orderBy("ln")
+    before = doc.rowsBetween(Window.unboundedPreceding, -1)
+    upto = doc.rowsBetween(Window.unboundedPreceding, 0)
+    after = (Window.partitionBy(path_col, "seg").orderBy(F.col("ln").desc())
+             .rowsBetween(Window.unboundedPreceding, -1))
+    ln, levels = F.col("ln"), range(1, 7)
+
+    def since(value: Column, frame, name: str) -> Column:
+        return F.coalesce(_last(value, frame), F.col(f"_c_{name}"))
+
+    x = _carried(write_table(lines, "lines"), path_col, sums={"fences": F.col("is_fence").cast("int")})
+    x = _line_kinds(x, F.col("_c_fences") + F.coalesce(F.sum(F.col("is_fence").cast("int")).over(before), F.lit(0)))
+    x = write_table(x.drop("_c_fences"), "line-kinds")
+
+    heading = {lv: F.col("eff_heading") & (F.col("level") == lv) for lv in levels}
+    text, run = _strip(F.col("line")), ~F.col("sep")
+    lasts = {**{f"hp{lv}": (ln, heading[lv]) for lv in levels}, **{f"ht{lv}": (text, heading[lv]) for lv in levels},
+             "sep": (ln, F.col("sep")), "list": (ln, F.col("is_list") & run), "end": (ln, run), "hard": (ln, F.col("hard")),
+             "was_sep": (F.col("sep"), F.lit(True))}
+    x = _carried(x, path_col, lasts=lasts)
+    for lv in levels:
+        x = (x.withColumn(f"_hp{lv}", since(F.when(heading[lv], ln), upto, f"hp{lv}"))
+             .withColumn(f"_ht{lv}", since(F.when(heading[lv], text), upto, f"ht{lv}")))
+    x = _with_context(x)
+    sep_ln = since(F.when(F.col("sep"), ln), upto, "sep")
+    list_ln = since(F.when(F.col("is_list") & run, ln), upto, "list")
+    x = x.withColumn("run_has_list", F.when(run, F.coalesce(list_ln, F.lit(-1)) > F.coalesce(sep_ln, F.lit(-1))))
+    x = x.withColumns({"prev_end": since(F.when(run, ln), before, "end"), "last_hard": since(F.when(F.col("hard"), ln), before, "hard"),
+                       "prev_sep": F.coalesce(F.lag("sep").over(doc), F.col("_c_was_sep"), F.lit(True))})
+    x = write_table(x.drop(*[c for c in x.columns if c.startswith("_c_")]), "line-runs")
+
+    x = _carried(x, path_col, lasts={"had_list": (F.col("run_has_list"), run)})
+    prev_list = since(F.when(run, F.col("run_has_list")), before, "had_list")
+    run_start = run & F.col("prev_sep")
+    joins = (run_start & F.col("prev_end").isNotNull() & (F.coalesce("last_hard", F.lit(-1)) < F.col("prev_end"))
+             & F.coalesce(prev_list, F.lit(False)) & F.col("is_list"))
+    x = x.withColumn("joins", F.when(run, joins))
+    x = x.withColumn("block_start", (run_start & ~F.coalesce(F.col("joins"), F.lit(False))).cast("int"))
+    x = write_table(x.drop("_c_had_list"), "line-blocks")
+
+    x = _carried(x, path_col, sums={"blocks": F.col("block_start")}, nexts={"joined": (F.col("joins"), run)})
+    x = x.withColumn("block_id", F.col("_c_blocks") + F.sum("block_start").over(upto))
+    next_joins = F.coalesce(_last(F.when(run, F.col("joins")), after), F.col("_c_joined"))
+    x = x.withColumn("keep_blank", F.col("is_blank") & ~F.col("in_fence") & F.coalesce(next_joins, F.lit(False)))
+    return x.where(run | F.col("keep_blank")).select(path_col, "ln", "line", "is_list", "block_id", "context")
+
+
 def _pack(units: Column) -> Column:
     """Greedy fold: append a unit while the piece stays within CHUNK_SIZE, else start a new piece."""
     init = F.struct(F.array().cast("array<string>").alias("pieces"), F.lit(None).cast("string").alias("cur"))
@@ -178,13 +269,31 @@ def split_pieces(blocks: DataFrame, path_col: str = "source_path") -> DataFrame:
                          F.posexplode(pieces).alias("piece", "piece_text"))
 
 
+def _content() -> Column:
+    return F.when(F.col("context") != "", F.concat(F.col("context"), F.lit("\n\n"), F.col("piece_text"))) \
+        .otherwise(F.col("piece_text"))
+
+
+def _chunks_of_large(files: DataFrame, path_col: str, text_col: str) -> DataFrame:
+    """Chunks of documents whose lines, blocks and pieces are shared by many tasks."""
+    lines = classify_lines(files, path_col, text_col, SEGMENT_LINES)
+    blocks = emit_blocks(segment_blocks_carried(lines, path_col), path_col)
+    pieces = write_table(split_pieces(blocks, path_col).withColumn("part", F.floor(F.col("block_id") / NUMBERED)), "pieces")
+    counts = pieces.groupBy(path_col, "part").agg(F.count(F.lit(1)).alias("n"))
+    above = Window.partitionBy(path_col).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    base = counts.select(path_col, "part", F.coalesce(F.sum("n").over(above), F.lit(0)).alias("base"))
+    place = F.row_number().over(Window.partitionBy(path_col, "part").orderBy("block_id", "piece"))
+    return (pieces.withColumn("place", place).join(base, [path_col, "part"])
+            .select(path_col, (F.col("base") + F.col("place") - 1).cast("int").alias("chunk_index"), _content().alias("content")))
+
+
 def chunk_markdown(files: DataFrame, path_col: str = "source_path", text_col: str = "content") -> DataFrame:
     """Markdown files -> (source_path, chunk_index, content), chunk_index from 0 in document order."""
-    lines = classify_lines(files, path_col, text_col)
-    blocks = emit_blocks(segment_blocks(lines, path_col), path_col)
+    is_large = F.char_length(text_col) > LARGE_CHARS
+    small = files.where(~F.coalesce(is_large, F.lit(False)))
+    blocks = emit_blocks(segment_blocks(classify_lines(small, path_col, text_col), path_col), path_col)
     pieces = split_pieces(blocks, path_col)
-    content = F.when(F.col("context") != "", F.concat(F.col("context"), F.lit("\n\n"), F.col("piece_text"))) \
-        .otherwise(F.col("piece_text"))
     w = Window.partitionBy(path_col).orderBy("block_id", "piece")
-    return pieces.select(path_col, (F.row_number().over(w) - 1).cast("int").alias("chunk_index"),
-                         content.alias("content"))
+    chunks = pieces.select(path_col, (F.row_number().over(w) - 1).cast("int").alias("chunk_index"), _content().alias("content"))
+    large = files.where(is_large)
+    return chunks if large.isEmpty() else chunks.unionByName(_chunks_of_large(large, path_col, text_col))

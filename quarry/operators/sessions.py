@@ -217,8 +217,43 @@ def difficulty_path(answers: DataFrame, block: int = 256) -> DataFrame:
                       F.element_at(F.col("table"), F.col("entry")).alias("next_difficulty"))
 
 
-def running_history(turns: DataFrame, session_col: str, order_col: str, item_cols: list[str]) -> DataFrame:
-    """History before each item of a session: the list the next prompt receives."""
-    w = (Window.partitionBy(session_col).orderBy(order_col)
-         .rowsBetween(Window.unboundedPreceding, -1))
-    return turns.withColumn("history", F.collect_list(F.struct(*item_cols)).over(w))
+#: Characters that an item of the history takes beside its texts.
+ITEM_OVERHEAD = 64
+
+
+def history_items(turns: DataFrame, session: str = "session_id", order: str = "question_number", block: int = 1024) -> DataFrame:
+    """Graded answers (session, question_number, question, answer, is_correct) with ``offset``, the characters of
+    the session's history before each.
+
+    Running sums in two levels (blocks of question numbers, then items of a block), so a session
+    of any length is not gathered in one task."""
+    size = F.coalesce(F.char_length("question"), F.lit(0)) + F.coalesce(F.char_length("answer"), F.lit(0)) + ITEM_OVERHEAD
+    items = turns.withColumn("_size", size.cast("long")).withColumn("_block", F.floor(F.col(order) / block))
+    sums = items.groupBy(session, "_block").agg(F.sum("_size").alias("_s"))
+    before = Window.partitionBy(session).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    base = sums.select(session, "_block", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_base"))
+    within = Window.partitionBy(session, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return (items.withColumn("_in", F.coalesce(F.sum("_size").over(within), F.lit(0))).join(base, [session, "_block"])
+            .withColumn("offset", F.col("_base") + F.col("_in")).drop("_size", "_block", "_base", "_in"))
+
+
+def running_history(items: DataFrame, budget: int, session: str = "session_id", order: str = "question_number", texts: bool = False) -> DataFrame:
+    """History of each item by reference: ``first_item``, the earliest item whose history up to this one fits
+    ``budget`` characters (null when none does), and ``n_items`` of them; with ``texts`` the list ``history`` of
+    (question, answer, correct) itself, which is no longer than the budget.
+
+    Items meet their history within two stretches of ``budget`` characters, so no window runs over a whole session."""
+    part = F.floor(F.col("offset") / budget)
+    both = items.withColumn("_part", F.explode(F.array(part, part + 1))).withColumn("_own", F.col("_part") == part)
+    frame = Window.partitionBy(session, "_part").orderBy("offset").rangeBetween(-budget, -1)
+    out = both.withColumn("first_item", F.min(order).over(frame)).withColumn("n_items", F.count(F.lit(1)).over(frame))
+    if texts:
+        out = out.withColumn("history", F.collect_list(F.struct("question", "answer", F.col("is_correct").alias("correct"))).over(frame))
+    return out.where("_own").drop("_part", "_own")
+
+
+def start_rows(starts: DataFrame) -> DataFrame:
+    """Start events as rows of the session table: nothing answered, not finished (OP-S10)."""
+    return starts.select("id", "anonymous_session_id", "started_at", F.lit(None).cast(starts.schema["started_at"].dataType).alias("completed_at"),
+                         "topics", "requested_questions", F.lit(0).cast("long").alias("answered_questions"),
+                         F.lit(0).cast("long").alias("correct_answers"), F.lit(False).alias("completed"), F.lit(False).alias("ended_early"))

@@ -1,19 +1,16 @@
 """Structured Streaming forms of the per-event writes (OP-X1..X5, OP-D5).
 
 The reference writes one row per event in its own transaction and refreshes the index by
-polling; here the same rules run incrementally, over files in any order, and no row is ever
-late: keyed state has no watermark, and what a later file corrects is emitted again.
-
-Every stream appends what changed under ``epoch=<n>`` of its sink (a replayed epoch
-overwrites its own folder only) and ``newest`` reads the current row of every key.
-
-* X1 ``index_refresh_stream``: new Markdown files -> chunks; an epoch stores its chunks and the
-  sources it replaces, so a trigger costs its own files and never copies the index.
-* X2 ``usage_hourly_stream``: cost / tokens per hour, update mode, open hours included.
-* X3 ``first_answers_stream``: earliest write per (session, question), update mode.
-* X4, X5, D5 ``session_refresh``: changed first answers -> the touched sessions' difficulty path
-  or counters, recomputed from the stored first answers (an answer that arrives late
-  corrects all that follow it).
+polling; here the same rules run incrementally, over files in any order, and no row is ever late.
+
+* X1 ``index_refresh``: new Markdown files -> chunks, a refresh of the versioned index an epoch.
+* X2, X3 ``fold_sink``: an epoch appends its own partial result (sums an hour, first answer a key), and
+  every few epochs the partial results so far are folded into one.  There is no state to age
+  out: a late row is one more partial result, merged when it is read.
+* X4, X5, D5 ``session_stream``: keyed state on disk (``difficulty.SessionAnswers``); an epoch reads its own
+  rows and emits the answers, or counters, that they change.  ``newest`` reads the last row of every key.
+
+A replayed epoch overwrites its own folder only.
 """
 
 from __future__ import annotations
@@ -26,15 +23,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.operators.accounting import usage_cost
-from quarry.operators.sessions import answers_first_wins
+from quarry.operators.versions import refresh_index
 from quarry.session import checkpoint_dir
+from quarry.streaming.difficulty import SessionAnswers
 
 ANSWER_KEYS = ["session_id", "question_number"]
 DIFFICULTY_SCHEMA = ("session_id long, question_number int, is_correct boolean, "
                      "assigned_difficulty int, next_difficulty int")
 COUNTERS_SCHEMA = "session_id long, answered_questions long, correct_answers long"
-#: Session buckets of the stored first answers; an epoch reads the buckets it touches.
-SESSION_BUCKETS = 64
+#: Epochs of a fold sink that are folded into one.
+FOLD_EPOCHS = 16
 #: Keyed state lives on disk, not in the executors' heaps.
 STATE_CONF = {
     "spark.sql.streaming.stateStore.providerClass":
@@ -43,16 +41,51 @@ STATE_CONF = {
 }
 
 
-def usage_hourly_stream(log_stream: DataFrame, pricing: DataFrame) -> DataFrame:
-    u = usage_cost(log_stream, pricing)
+def usage_hourly(log: DataFrame, pricing: DataFrame) -> DataFrame:
+    """Sums an hour of one epoch's responses."""
+    u = usage_cost(log, pricing)
     hour = F.date_trunc("hour", "created_at").cast(u.schema["created_at"].dataType)
-    return (u.groupBy(hour.alias("time"))
-            .agg(F.sum("total_cost_usd").cast("double").alias("cost_usd"),
-                 F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens")))
+    return merge_hours(u.select(hour.alias("time"), F.col("total_cost_usd").cast("decimal(38,10)").alias("cost_usd"), "input_tokens", "output_tokens"))
+
+
+def merge_hours(partial: DataFrame) -> DataFrame:
+    return partial.groupBy("time").agg(*[F.sum(c).cast(partial.schema[c].dataType).alias(c) for c in ("cost_usd", "input_tokens", "output_tokens")])
+
+
+def folded(spark: SparkSession, path: str, merge: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The merged partial results of a fold sink: its last base and the epochs after it."""
+    return merge(_since_base(spark, path).drop("epoch", "kind"))
+
+
+def _since_base(spark: SparkSession, path: str) -> DataFrame:
+    parts = spark.read.parquet(path)
+    base = parts.where(F.col("kind") == "base").agg(F.max("epoch")).first()[0]
+    if base is None:
+        return parts.where(F.col("kind") == "delta")
+    return parts.where(((F.col("kind") == "base") & (F.col("epoch") == base)) | ((F.col("kind") == "delta") & (F.col("epoch") > base)))
+
+
+def fold_sink(path: str, partial: Callable[[DataFrame], DataFrame], merge: Callable[[DataFrame], DataFrame], every: int = FOLD_EPOCHS):
+    """``foreachBatch`` handler: appends the epoch's partial result; every ``every`` epochs the sink is folded."""
+    def handle(batch: DataFrame, epoch: int) -> None:
+        partial(batch).write.mode("overwrite").parquet(f"{path}/epoch={epoch}/kind=delta")
+        if (epoch + 1) % every == 0:
+            spark = batch.sparkSession
+            merged = folded(spark, path, merge)
+            merged.write.mode("overwrite").parquet(f"{path}/epoch={epoch}/kind=base")
+    return handle
+
 
+def start_fold(spark: SparkSession, path: str, schema: T.StructType) -> None:
+    """An empty fold sink of a known schema, so that a stream without rows reads as empty."""
+    spark.createDataFrame([], schema).write.parquet(f"{path}/epoch=-1/kind=delta")
 
-def first_answers_stream(answer_stream: DataFrame, order_cols: list[str]) -> DataFrame:
-    return answers_first_wins(answer_stream, order_cols)
+
+def session_stream(answers: DataFrame, order_cols: list[str], emit: str) -> DataFrame:
+    """Changed difficulties ("path") or counters ("counters") of the sessions that an epoch's answers touch."""
+    schema = DIFFICULTY_SCHEMA if emit == "path" else COUNTERS_SCHEMA
+    return answers.groupBy("session_id").transformWithStateInPandas(
+        SessionAnswers(tuple(order_cols), emit), schema, "update", "none")
 
 
 def start_sink(spark: SparkSession, path: str, schema: str | T.StructType) -> str:
@@ -72,52 +105,18 @@ def newest(df: DataFrame, keys: list[str]) -> DataFrame:
     return last.select(*keys, *[F.col(f"_last.{c}").alias(c) for c in rest])
 
 
-def session_refresh(root: str, derive: Callable[[DataFrame], DataFrame]):
-    """``foreachBatch`` handler on ``first_answers_stream`` in update mode: stores the changed
-    first answers by session bucket, then writes ``derive`` of the touched sessions."""
-
-    def handle(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        bucket = F.pmod(F.hash("session_id"), F.lit(SESSION_BUCKETS))
-        (batch.withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket")
-         .parquet(f"{root}/answers/epoch={epoch}"))
-        schema = T.StructType([*batch.schema.fields, T.StructField("bucket", T.IntegerType())])
-        changed = spark.read.schema(schema).parquet(f"{root}/answers/epoch={epoch}")
-        touched = changed.select("session_id", "bucket").distinct()
-        buckets = [r["bucket"] for r in touched.select("bucket").distinct().collect()]  # at most SESSION_BUCKETS
-        if not buckets:
-            return
-        stored = spark.read.parquet(f"{root}/answers").where(F.col("bucket").isin(buckets)).drop("bucket")
-        current = newest(stored.join(touched.select("session_id"), "session_id", "left_semi"), ANSWER_KEYS)
-        append_epoch(derive(current), f"{root}/out", epoch)
-    return handle
-
-
-def index_refresh_stream(root: str, build_rows: Callable[[DataFrame], DataFrame]):
-    """``foreachBatch`` handler: an epoch of changed files writes its chunks and its sources.
-
-    The index is ``current_index(root)``.  The chunks are written before the sources, and only
-    listed sources count, so readers never see half an epoch.
-    """
-
+def index_refresh(root: str, build_rows: Callable[[DataFrame], DataFrame]):
+    """``foreachBatch`` handler: an epoch of changed files replaces its sources in the index at ``root``.  The
+    files are read once; an epoch that was committed before is not written again."""
     def handle(batch: DataFrame, epoch: int) -> None:
-        append_epoch(build_rows(batch), f"{root}/chunks", epoch)
-        append_epoch(batch.select("source_path").distinct(), f"{root}/sources", epoch)
+        batch.persist()
+        try:
+            refresh_index(root, batch, build_rows, tag=f"epoch-{epoch}")
+        finally:
+            batch.unpersist()
     return handle
 
 
-def start_index(root: str, index: DataFrame) -> None:
-    """The index before the stream, as epoch -1."""
-    append_epoch(index, f"{root}/chunks", -1)
-    append_epoch(index.select("source_path").distinct(), f"{root}/sources", -1)
-
-
-def current_index(spark: SparkSession, root: str) -> DataFrame:
-    """Chunks of every source's last epoch; a source whose file lost all its text has none."""
-    last = spark.read.parquet(f"{root}/sources").groupBy("source_path").agg(F.max("epoch").alias("epoch"))
-    return spark.read.parquet(f"{root}/chunks").join(last, ["source_path", "epoch"], "left_semi").drop("epoch")
-
-
 def stream_root(spark: SparkSession, name: str) -> str:
     """A new folder for one run of a stream under the shared ``spark.checkpoint.dir``."""
     return f"{checkpoint_dir(spark).rstrip('/')}/streams/{name}-{uuid.uuid4().hex[:8]}"

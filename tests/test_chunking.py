@@ -5,6 +5,7 @@ import random
 import brute
 from conftest import SF_SMALL
 
+from quarry.operators import chunking
 from quarry.operators.chunking import chunk_markdown
 from quarry.plans import fixtures as fx
 
@@ -77,3 +78,17 @@ def test_corpus_matches_rule(spark):
     for r in files.collect():
         g = got.get(r.source_path, {})
         assert [g[i] for i in range(len(g))] == brute.chunk(r.content), r.source_path
+
+
+def test_segments_match_rule(spark, monkeypatch):
+    """Documents cut into segments of a few lines: same chunks as line by line."""
+    rng = random.Random(3)
+    pieces = ["# H1", "## H2", "### H3 ", "text here", "more text, longer than the others.", "", "", "- item", "1. one", "```", "---", "   ", "word " * 130, "where", "~~~ x"]
+    texts = ["\n".join(rng.choice(pieces) for _ in range(rng.randint(20, 160))) for _ in range(25)]
+    texts += ["```\n" + "\n\n".join(f"line {i}" for i in range(40)), "- a\n" + "\n" * 30 + "- b\n\n- c", "\n" * 60 + "end", "# A\n" + "b\n" * 50]
+    want = [brute.chunk(t) for t in texts]
+    monkeypatch.setattr(chunking, "LARGE_CHARS", 30)
+    for lines in (3, 7):
+        monkeypatch.setattr(chunking, "SEGMENT_LINES", lines)
+        monkeypatch.setattr(chunking, "NUMBERED", lines)
+        assert run(spark, texts) == want
