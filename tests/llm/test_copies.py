@@ -191,3 +191,13 @@ def test_suffix_dedup(docs, clashing, hot, bucket):
 
 def test_suffix_dedup_empty(none):
     assert suffix_dedup.remove_repeats(none).count() == 0
+
+
+def test_suffix_buckets_are_even():
+    """Anchors have the least hashes of their windows, yet no bucket holds much more than its share."""
+    texts = [prose(f"even{i}", 2000).encode() for i in range(60)]
+    block = suffix_dedup.Block(np.arange(60), np.array([len(t) for t in texts]), b"".join(texts))
+    _, number, bucket = block.distinct(6)
+    size = np.bincount(bucket[number], block.count, 64)
+    assert size.max() < 2 * size.mean()
+    assert np.all(np.diff(bucket) >= 0)
