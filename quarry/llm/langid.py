@@ -16,6 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarry.llm.memory import tidy
@@ -152,11 +153,23 @@ def _document_frequency(texts: DataFrame) -> tuple[np.ndarray, int]:
     return out, n
 
 
+def sampled(rows: DataFrame, counts: dict, by: str, sample: int, columns: tuple = ("doc_id", "text")) -> DataFrame:
+    """About ``sample`` of ``rows`` for each value of ``by`` (``counts``: how many there are), with ``key``, the hash
+    of ``columns`` that draws them.  Rows of equal columns count once; at most twice the sample stays."""
+    full = (1 << 63) - 1
+    limit = F.create_map(*[F.lit(x) for k, c in counts.items() for x in (k, min(full, full * sample // c))])
+    key = F.shiftrightunsigned(F.xxhash64(F.lit("sample"), *columns), 1)
+    drawn = rows.withColumn("key", key).where(F.col("key") <= limit[F.col(by)]).dropDuplicates(["key", by])
+    place = F.row_number().over(W.partitionBy(by).orderBy("key"))
+    return drawn.withColumn("place", place).where(F.col("place") <= 2 * sample).drop("place")
+
+
 def train(learnable: DataFrame, sample: int = SAMPLE) -> LanguageModel | None:
     """Fit on rows (doc_id, text, lang) that may be learned from; None if no lang is known.
 
     Document frequencies count every row.  Weights and temperature use about ``sample`` rows a
-    language, drawn by a hash of doc_id; their texts are read whole."""
+    language and never more than twice as many, drawn by a hash of doc_id and text, equal ones once; their
+    texts are read whole."""
     checkpoint_dir(learnable.sparkSession)
     known = learnable.where("lang IS NOT NULL")
     counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
@@ -165,9 +178,7 @@ def train(learnable: DataFrame, sample: int = SAMPLE) -> LanguageModel | None:
     languages = sorted(counts)
     df, n = _document_frequency(learnable.select("text"))
     idf = np.where(df > 0, np.log((1 + n) / (1 + df)) + 1, 0).astype(np.float32)
-    share = F.create_map(*[F.lit(x) for k, c in counts.items() for x in (k, int(min(1.0, sample / c) * 1_000_000))])
-    draw = F.pmod(F.xxhash64(F.lit("langid"), "doc_id"), F.lit(1_000_000))
-    drawn = known.where(draw < share[F.col("lang")]).select(F.xxhash64(F.lit("order"), "doc_id", "text").alias("key"), "text", "lang")
+    drawn = sampled(known, counts, "lang", sample).select("key", "text", "lang")
     number = {k: i for i, k in enumerate(languages)}
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,8 +266,8 @@ def identify(docs: DataFrame, sample: int = SAMPLE, keep: tuple = ("doc_id",)) -
     return predict(rows, model, (*keep, "held_out"))
 
 
-def accepted(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` whose language is determined with a score of at least ``least``."""
+def accepted(docs: DataFrame, least: float = 0.0) -> DataFrame:
+    """The rows of ``docs`` whose language is determined, with a score of at least ``least``."""
     names = [f"_q{i}" for i in range(len(docs.columns))]  # clear of the columns that are added
     own = dict(zip(docs.columns, names, strict=True))
     rows = docs.toDF(*names)

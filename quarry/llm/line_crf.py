@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.langid import sampled
 from quarry.session import bounded, checkpoint_dir
 
 #: Documents of either label in the training sample, on average, and the longest text in it.
@@ -202,19 +203,17 @@ def train_crf(texts: list[str], label: np.ndarray, rounds: int = 150, rate: floa
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, longest: int = LONGEST) -> LineCrf | None:
     """Fit on documents (doc_id, text) with a quality in ``labels`` (doc_id, quality); None without any.
 
-    About ``sample`` documents of either label, drawn by a hash of doc_id, of at most ``longest``
-    characters; texts are read whole."""
+    About ``sample`` documents of either label, drawn by a hash of doc_id and never more than twice as
+    many, of at most ``longest`` characters; texts are read whole, equal rows once."""
     checkpoint_dir(docs.sparkSession)
     known = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     counts = {r["quality"]: r["count"] for r in known.groupBy("quality").count().collect()}
     if not counts:
         return None
-    draw = F.pmod(F.xxhash64(F.lit("line-crf"), "doc_id"), F.lit(1_000_000))
-    below = {k: int(min(1.0, sample / n) * 1_000_000) for k, n in counts.items()}
-    limit = F.when(F.col("quality") == 1, below.get(1, 0)).otherwise(below.get(0, 0))
-    drawn = bounded(known.where(draw < limit), 8 * sample)
-    # Only drawn documents travel to the join.
-    rows = docs.select("doc_id", "text").where((draw < max(below.values())) & (F.char_length("text") <= longest)).join(drawn, "doc_id")
+    drawn = bounded(sampled(known, counts, "quality", sample, ("doc_id",)).drop("key"), 8 * sample)
+    # Only drawn documents travel to the join.  Those of repeated ids are cut to the bound again.
+    rows = docs.select("doc_id", "text").where(F.char_length("text") <= longest).join(drawn, "doc_id")
+    rows = sampled(rows, {k: 1 for k in counts}, "quality", sample).select("doc_id", "text", "quality")
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]

@@ -50,6 +50,19 @@ def test_prediction_ignores_labels(spark, docs):
     assert a == b
 
 
+def test_sample_of_any_size(spark):
+    """A language of thousands of millions of documents still has a sample, and one id on all rows a bounded one."""
+    rows = spark.createDataFrame([(i if i % 2 else 7, prose(i, 12), "en" if i % 3 else "de") for i in range(3000)] + [(7, "same", "en")] * 2000, "doc_id bigint, text string, lang string")
+    n = {r["lang"]: r["n"] for r in langid.sampled(rows, {"en": 4000, "de": 1000}, "lang", 100).groupBy("lang").agg(F.count("key").alias("n")).collect()}
+    assert all(20 < n[k] <= 200 for k in ("en", "de"))
+    every = langid.sampled(rows, {"en": 1, "de": 1}, "lang", 100)
+    assert {r["lang"]: r["n"] for r in every.groupBy("lang").agg(F.count("key").alias("n")).collect()} == {"en": 200, "de": 200}
+    assert every.where("text = 'same'").count() <= 1
+    # 2e9 rows counted: the limit is a share of 2**63, not of a million.
+    few = langid.sampled(rows.withColumn("doc_id", F.lit(None).cast("bigint")), {"en": 2_000_000_000, "de": 2_000_000_000}, "lang", 1_200_000)
+    assert few.count() <= 12
+
+
 def test_no_language(docs):
     got = langid.identify(docs.withColumn("lang", F.lit(None).cast("string")))
     assert {(r.lang_pred, r.score) for r in got.collect()} == {("und", 0.0)}
