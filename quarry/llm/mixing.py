@@ -94,7 +94,8 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: fl
 
 def mixed(docs: DataFrame, **kw) -> DataFrame:
     """``docs`` with each row repeated as often as the mix takes it whole; same columns."""
-    marked = docs.withColumn("__q_mark", F.xxhash64("doc_id", "source", "text")).withColumn("__q_id", F.coalesce("doc_id", F.lit(0)))
+    text, source = (F.coalesce(F.sha2(c, 256), F.lit("-")) for c in ("text", "source"))
+    marked = docs.withColumn("__q_mark", F.sha2(F.concat(text, source), 256)).withColumn("__q_id", F.coalesce("doc_id", F.lit(0)))
     picked = mix_sources(marked, keep=("__q_id", "__q_mark"), **kw).groupBy("__q_id", "__q_mark").agg(F.sum("copies").alias("__q_copies")).where("__q_copies > 0")
     return (marked.dropDuplicates(["__q_id", "__q_mark"]).join(picked, ["__q_id", "__q_mark"])
             .withColumn("__q_copy", F.explode(F.sequence(F.lit(1), F.col("__q_copies").cast("int")))).select(*docs.columns))

@@ -244,7 +244,7 @@ def hex_fingerprint(col) -> F.Column:
 def one_of_each(docs: DataFrame, width: int = 3, max_bits: int = 3) -> DataFrame:
     """The rows of ``docs`` with only one row of each near-duplicate group: that of the
     smallest doc_id, then of the smallest text hash; rows repeated in full collapse."""
-    mark = F.xxhash64(F.coalesce("text", F.lit("")), "text")
+    mark = F.coalesce(F.unhex(F.sha2("text", 256)), F.lit(b""))  # of a null text: empty
     fps, named = _components(docs.withColumn("__q_mark", mark), width, max_bits, "doc_id", "text", ("__q_mark",))
     groups = fps.join(named.select("fp", "label"), "fp")
     stay = groups.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("id"), F.col("__q_mark").alias("mark"))).alias("s")).select("s.*")
