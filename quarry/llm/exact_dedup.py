@@ -16,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.session import checkpoint_dir, write_table
+from quarry.session import bounded, checkpoint_dir, write_table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: State on disk; what a batch adds is logged, and small stores take no disk in advance.
@@ -77,8 +77,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     marks.write.parquet(path)
     marks = spark.read.parquet(path)
     state = dedup_state(path, spark, batch_bytes)
-    # Full bytes of every digest; copies collapse before the shuffle.
-    checked = norm.select(digest(F.col("text")).alias("digest"), "text").groupBy("digest").agg(F.min("text").alias("lo"), F.max("text").alias("hi"))
+    # Full bytes of every digest seen more than once; copies collapse before the shuffle.
+    hits = bounded(state.where("group_size > 1").select("digest"))
+    checked = norm.select(digest(F.col("text")).alias("digest"), "text").join(hits, "digest", "left_semi").groupBy("digest").agg(F.min("text").alias("lo"), F.max("text").alias("hi"))
     clash_path = f"{checkpoint_dir(spark).rstrip('/')}/tables/clashes-{uuid.uuid4().hex}"
     checked.where("lo <> hi").select("digest").write.parquet(clash_path)
     clash = spark.read.parquet(clash_path)
