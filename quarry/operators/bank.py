@@ -14,11 +14,12 @@ ends with a reliable checkpoint, so a lost executor never replays earlier rounds
 from __future__ import annotations
 
 import itertools
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.text import source_paths, strip_unicode
 from quarry.operators.cells import cosine_join
+from quarry.operators.rejects import first_broken
 from quarry.operators.vector_search import cosine_expr, vector_topk
 from quarry.session import cut_lineage, write_table
 
@@ -61,13 +62,15 @@ def normalize_records(records: DataFrame) -> DataFrame:
     )
 
 
+def bad_record() -> list[tuple[str, Column]]:
+    """Rules that a normalised record may break, with the condition that it does."""
+    return [("question records must contain non-empty question text", F.col("question_text").isNull() | (F.col("question_text") == "")),
+            ("question difficulty must be between 1 and 5", F.col("store_difficulty").isNull() | ~F.col("store_difficulty").between(1, 5))]
+
+
 def record_rules(records: DataFrame) -> DataFrame:
     """Reject reason per normalised record (null when valid)."""
-    reason = (F.when(F.col("question_text").isNull() | (F.col("question_text") == ""),
-                     F.lit("question records must contain non-empty question text"))
-              .when(F.col("store_difficulty").isNull() | ~F.col("store_difficulty").between(1, 5),
-                    F.lit("question difficulty must be between 1 and 5")))
-    return records.withColumn("reject_reason", reason)
+    return records.withColumn("reject_reason", first_broken(bad_record()))
 
 
 def check_batch(records: DataFrame) -> None:
@@ -217,6 +220,14 @@ def bank_list(bank: DataFrame, question_type: str | None = None, difficulty: int
     return page.withColumn("total_count", total)
 
 
+def display_rows(bank: DataFrame) -> DataFrame:
+    """Bank rows as a table shows them: type in title case, sources joined (OP-P12)."""
+    return bank.select(F.col("id").alias("ID"), F.col("question_text").alias("Question"),
+                       F.initcap(F.replace("question_type", F.lit("_"), F.lit(" "))).alias("Type"), F.col("difficulty").alias("Difficulty"),
+                       F.array_join(F.coalesce("source_paths", F.array().cast("array<string>")), ", ").alias("Sources"),
+                       F.col("created_at").alias("Created"))
+
+
 def bank_candidates(answered: DataFrame, open_questions: DataFrame, sessions: DataFrame,
                     session_col: str = "session_id", passed_col: str = "judge_passed",
                     identity: tuple[str, ...] = ("slot_id",)) -> DataFrame:

@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,32 +23,24 @@ class Table:
 
 
 def store(rows: DataFrame, root: str, table: Table) -> None:
-    """Append rows; ``epoch`` tells them from rows that were deleted before them."""
+    """Append rows to a table, which starts with empty delete vectors."""
     rows.write.mode("append").parquet(f"{root}/{table.name}/rows")
+    for column in _columns(table):
+        _write_vector(rows.select(column).limit(0), root, table, column)
+
+
+def _columns(table: Table) -> tuple[str, ...]:
+    return (table.key, *(c for c, _ in table.parents))
 
 
 def live(spark: SparkSession, root: str, table: Table) -> DataFrame:
     """Rows of the table without those that a delete vector names."""
     rows = spark.read.parquet(f"{root}/{table.name}/rows")
-    for column in (table.key, *(c for c, _ in table.parents)):
-        vector = _vector(spark, root, table, column, rows)
-        if vector is not None:
-            rows = rows.join(vector, column, "left_anti")
+    for column in _columns(table):
+        rows = rows.join(spark.read.parquet(f"{root}/{table.name}/deleted-by-{column}").distinct(), column, "left_anti")
     return rows
 
 
-def _vector(spark: SparkSession, root: str, table: Table, column: str, rows: DataFrame) -> DataFrame | None:
-    path = f"{root}/{table.name}/deleted-by-{column}"
-    schema = f"`{column}` {rows.schema[column].dataType.simpleString()}"
-    found = spark.read.schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet")
-    try:
-        return found.parquet(path)
-    except AnalysisException as e:  # nothing was deleted by this column
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
-
-
 def _write_vector(keys: DataFrame, root: str, table: Table, column: str) -> None:
     keys.distinct().write.mode("append").parquet(f"{root}/{table.name}/deleted-by-{column}")
 

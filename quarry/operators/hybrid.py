@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.operators.blockmax import BlockIndex, lexical_topk_blocks
 from quarry.operators.lexical import build_postings, lexical_topk, prepared_terms
 from quarry.operators.vector_search import vector_topk
 from quarry.session import bounded, cut_lineage
@@ -37,9 +38,10 @@ def hybrid_search(index: DataFrame, queries: DataFrame, k: int = 5, *,
                   content_col: str = "content", vector_col: str = "embedding",
                   query_id: str = "query_id", query_text: str = "query",
                   query_vector: str = "embedding", index_postings: DataFrame | None = None,
-                  rrf_k: int = RRF_K, limit_col: str | None = None) -> DataFrame:
+                  block_index: BlockIndex | None = None, rrf_k: int = RRF_K, limit_col: str | None = None) -> DataFrame:
     """Top-k fused results per query; ``limit_col`` names a per-query limit (1 to k) in ``queries``,
-    which sets that query's candidate lists too.
+    which sets that query's candidate lists too.  With a stored ``block_index`` the lexical list
+    comes from it.
 
     Output: query_id, source_path, chunk_index, content, vector_similarity,
     lexical_score, vector_rank, lexical_rank, hybrid_score, hybrid_rank.
@@ -57,11 +59,13 @@ def hybrid_search(index: DataFrame, queries: DataFrame, k: int = 5, *,
                        vector_col=vector_col, query_id=query_id, query_vector=query_vector)
            .select(query_id, *keys, content_col, F.col("similarity").alias("vector_similarity"),
                    F.col("rank").cast("long").alias("vector_rank")))
-    terms, n_terms = prepared_terms(queries.select(query_id, query_text), query_id, query_text)
-    # The postings are the inverted index: built once, cut from lineage (a reliable
-    # checkpoint in the shared folder) and reused by every lexical step below.
-    post = index_postings if index_postings is not None else build_postings(index, keys, content_col)
-    lex = lexical_topk(post, terms, cand, keys, query_id, n_terms, index.select(*keys))
+    if block_index is not None:
+        lex, _ = lexical_topk_blocks(block_index, queries, cand, query_id, query_text)
+    else:
+        terms, n_terms = prepared_terms(queries.select(query_id, query_text), query_id, query_text)
+        # The postings are the inverted index: built once and reused by every lexical step below.
+        post = index_postings if index_postings is not None else build_postings(index, keys, content_col)
+        lex = lexical_topk(post, terms, cand, keys, query_id, n_terms, index.select(*keys))
     if limits is not None:
         lex = lex.join(limits, query_id).where(F.col("lexical_rank") <= F.col("_cand")).drop("_limit", "_cand")
     # At most n_queries * cand rows: measured, then broadcast against a pruned re-scan of the index.

@@ -46,7 +46,7 @@ def build_chunks(files: DataFrame, processed_at, dim: int = DEFAULT_DIM) -> Data
     return (embed_hashing(stamped, "content", dim=dim)
             .select("source_path", "chunk_index", "content", "embedding",
                     F.col("modified_at").alias("source_last_updated_date"),
-                    F.lit(processed_at).cast("timestamp").alias("last_processed_date")))
+                    (processed_at if isinstance(processed_at, Column) else F.lit(processed_at).cast("timestamp")).alias("last_processed_date")))
 
 
 def index_replace(old: DataFrame, new_rows: DataFrame, updated_sources: DataFrame) -> DataFrame:

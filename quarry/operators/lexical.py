@@ -101,13 +101,14 @@ def lexeme_frequency(post: DataFrame) -> DataFrame:
 
 def candidate_hits(post: DataFrame, terms: DataFrame, key_cols: Sequence[str] = ("source_path", "chunk_index"),
                    query_id: str = "query_id", term_rows: int | None = None,
-                   frequency: DataFrame | None = None) -> DataFrame:
+                   frequency: DataFrame | None = None, allowed: DataFrame | None = None) -> DataFrame:
     """Postings of query lexemes, restricted to chunks that can satisfy some OR group.
 
     A chunk can satisfy a group only if it holds the group's rarest positive
     lexeme, so candidates come from that lexeme's postings alone; every other
     lexeme is then looked up only inside the candidate chunks.  The result is
-    exact: (query, chunk, group) triples outside the candidates cannot match.
+    exact: (query, chunk, group) triples outside the candidates cannot match.  ``allowed``
+    (query and some of the key columns) keeps candidates of those pairs only.
     """
     keys = list(key_cols)
     freq = frequency if frequency is not None else lexeme_frequency(post)
@@ -122,18 +123,14 @@ def candidate_hits(post: DataFrame, terms: DataFrame, key_cols: Sequence[str] =
               .join(_sized(n_pos, term_rows), [query_id, "group_id"])
               .where(F.col("n_found") == F.col("n_pos")).select(query_id, "group_id", "lexeme"))
     cands = post.join(_sized(rarest, term_rows), "lexeme").select(query_id, "group_id", *keys).distinct()
+    if allowed is not None:
+        cands = cands.join(bounded(allowed), allowed.columns, "left_semi")
     # Every (candidate chunk, lexeme of the group, incl. negated) the chunk has to be probed for.
     # Counted, then broadcast against the postings stream; the postings are never broadcast.
     needed = bounded(cands.join(_sized(terms, term_rows), [query_id, "group_id"]))
     return post.join(needed, [*keys, "lexeme"])
 
 
-def lexical_hits(post: DataFrame, terms: DataFrame, key_cols: Sequence[str],
-                 query_id: str = "query_id", term_rows: int | None = None) -> DataFrame:
-    """postings x query terms on lexeme, restricted to candidate chunks."""
-    return candidate_hits(post, terms, key_cols, query_id, term_rows)
-
-
 def _item_hits(hits: DataFrame, keys: list[str], query_id: str) -> DataFrame:
     """Items present in a chunk: at some anchor (pos - offset) all their offsets are there."""
     return (hits.groupBy(query_id, *keys, "group_id", "item_id", "negated", "n_item_terms",
@@ -149,7 +146,7 @@ def negated_groups(terms: DataFrame, query_id: str = "query_id") -> DataFrame:
             .where("only").select(query_id, "group_id"))
 
 
-def _match_negated(post: DataFrame, terms: DataFrame, chunks: DataFrame, keys: list[str], query_id: str,
+def match_negated(post: DataFrame, terms: DataFrame, chunks: DataFrame, keys: list[str], query_id: str,
                    term_rows: int | None) -> DataFrame:
     """Chunks without any item of a negated group.  The answer is nearly every chunk for each such
     query, so the (stated) groups meet the chunks in one pass over them."""
@@ -183,7 +180,7 @@ def lexical_match(post: DataFrame, terms: DataFrame, key_cols: Sequence[str] = (
     out = _match_from_hits(h, terms, keys, query_id, term_rows)
     if chunks is None or not negated_groups(terms, query_id).head(1):
         return out
-    return out.unionByName(_match_negated(post, terms, chunks, keys, query_id, term_rows)).distinct()
+    return out.unionByName(match_negated(post, terms, chunks, keys, query_id, term_rows)).distinct()
 
 
 def cover_density(post: DataFrame, terms: DataFrame, matched: DataFrame,

@@ -92,6 +92,15 @@ def question_rules(df: DataFrame, text_col: str = "output_text") -> DataFrame:
     return df.withColumn("rule_error", F.when(F.col("parse_error").isNull(), reason))
 
 
+def output_errors(reason: Column) -> list[tuple[str, Column]]:
+    """Every error of parsing and of the question rules, with the condition that an output has it."""
+    parse = [f"returned {x}" for x in ("no structured test_question output", "invalid test_question JSON", "an invalid test_question object")]
+    rules = ["unsupported question type", "empty question", "invalid question options", "invalid expected answer",
+             "short-answer questions must not have options", "choice questions must have between 2 and 5 options",
+             "single-choice questions must have one expected answer"]
+    return [(name, F.coalesce(reason == name, F.lit(False))) for name in (*parse, *rules)]
+
+
 def _score(judged: Column, field: str) -> Column:
     """JSON integer in 1..5, else null (booleans, fractions and strings are rejected)."""
     n = F.when(json_kind(judged, f"$.{field}") == "BIGINT", F.try_variant_get(judged, f"$.{field}", "int"))

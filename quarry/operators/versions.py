@@ -14,7 +14,6 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,15 +28,10 @@ def _bucket(buckets: int):
 
 
 def manifest(spark: SparkSession, root: str) -> tuple[int, list]:
-    """(latest version, its rows: at most buckets x MOST_PARTS); (-1, []) when there is none."""
-    try:
-        rows = spark.read.schema(f"{MANIFEST}, version int").parquet(f"{root}/manifest")
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return -1, []
+    """(current version, its rows: at most buckets x MOST_PARTS)."""
+    rows = spark.read.schema(f"{MANIFEST}, version int").parquet(f"{root}/manifest")
     last = rows.agg(F.max("version")).first()[0]
-    return (-1, []) if last is None else (last, rows.where(F.col("version") == last).collect())
+    return last, rows.where(F.col("version") == last).collect()
 
 
 def _live(spark: SparkSession, root: str, entries: list, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
@@ -70,14 +64,18 @@ def _commit(spark: SparkSession, root: str, version: int, entries: list[tuple],
     spark.createDataFrame(rows or [(None, None, 0, 0, buckets, tag, schema.json())], MANIFEST).coalesce(1).write.mode("overwrite").parquet(f"{root}/manifest/version={version}")
 
 
-def create_index(root: str, rows: DataFrame, buckets: int = 64, tag: str | None = None) -> int:
-    """A full (re)index: a version with ``rows`` only; returns its number."""
-    spark = rows.sparkSession
-    version = manifest(spark, root)[0] + 1
-    schema = rows.schema
+def create_index(root: str, rows: DataFrame, buckets: int = 64, version: int = 0) -> None:
+    """A new index of ``rows``, or as a later ``version`` a full reindex of the one at ``root``."""
+    spark, schema = rows.sparkSession, rows.schema
     sizes = _write_part(spark, root, version, rows, rows.select("source_path"), buckets, schema)
-    _commit(spark, root, version, [(b, version, *n) for b, n in sizes.items()], buckets, tag, schema)
-    return version
+    _commit(spark, root, version, [(b, version, *n) for b, n in sizes.items()], buckets, None, schema)
+
+
+def reindex(root: str, rows: DataFrame) -> int:
+    """Every source replaced: the next version holds ``rows`` only."""
+    version, current = manifest(rows.sparkSession, root)
+    create_index(root, rows, current[0]["buckets"], version + 1)
+    return version + 1
 
 
 def refresh_index(root: str, updated: DataFrame, build: Callable[[DataFrame], DataFrame], tag: str | None = None) -> int:
@@ -87,8 +85,6 @@ def refresh_index(root: str, updated: DataFrame, build: Callable[[DataFrame], Da
     carries has been done already.  A source without new rows ends without rows."""
     spark = updated.sparkSession
     version, current = manifest(spark, root)
-    if version < 0:
-        raise ValueError(f"no index at {root}")
     if tag is not None and current[0]["tag"] == tag:
         return version
     buckets, schema = current[0]["buckets"], T.StructType.fromJson(json.loads(current[0]["row_schema"]))
@@ -114,8 +110,6 @@ def refresh_index(root: str, updated: DataFrame, build: Callable[[DataFrame], Da
 
 def read_index(spark: SparkSession, root: str) -> DataFrame:
     """Rows of the current version."""
-    version, entries = manifest(spark, root)
-    if version < 0:
-        raise ValueError(f"no index at {root}")
+    _, entries = manifest(spark, root)
     schema = T.StructType.fromJson(json.loads(entries[0]["row_schema"]))
     return _live(spark, root, [e for e in entries if e["bucket"] is not None], schema)[0].select(*schema.names)

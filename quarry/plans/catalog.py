@@ -41,4 +41,4 @@ def q_vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Area modules register their queries on import.
-from quarry.plans import q_accounting, q_bank, q_index, q_plan, q_quality, q_retrieval, q_sessions, q_streams  # noqa: E402,F401
+from quarry.plans import q_accounting, q_bank, q_index, q_more, q_plan, q_quality, q_retrieval, q_sessions, q_streams  # noqa: E402,F401

@@ -345,3 +345,60 @@ def search_query_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     either = b.select((F.col("item_id") * 10 + 2).alias("query_id"),
                       F.replace(F.col("text"), F.lit(","), F.lit(" or ")).alias("query"))
     return phrase.unionByName(either)
+
+
+def word_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Short queries from every benchmark passage: at each of its first words two words, a quoted pair, three words
+    of which the last is negated, and two alternatives (query_id = item * 1000 + place * 4 + form)."""
+    words = F.regexp_extract_all(F.col("text"), F.lit(r"(\p{L}+)"), 1)
+    w = (table(spark, sf_dir, "benchmark").select("item_id", words.alias("w"))
+         .select("item_id", "w", F.explode(F.sequence(F.lit(0), F.least(F.size("w") - 4, F.lit(11)))).alias("i")).where("size(w) >= 4"))
+    at = lambda k: F.col("w")[F.col("i") + k]
+    forms = [F.concat_ws(" ", at(0), at(1)), F.concat(F.lit('"'), at(0), F.lit(" "), at(1), F.lit('"')),
+             F.concat(at(0), F.lit(" "), at(1), F.lit(" -"), at(3)), F.concat(at(0), F.lit(" "), at(2), F.lit(" or "), at(3))]
+    return w.select("item_id", "i", F.posexplode(F.array(*forms)).alias("form", "query")).select(
+        (F.col("item_id") * 1000 + F.col("i") * 4 + F.col("form")).alias("query_id"), "query")
+
+
+def search_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark passages as search requests; every eleventh is blank and some ask for no or fewer results."""
+    b = table(spark, sf_dir, "benchmark")
+    return b.select(F.col("item_id").alias("query_id"),
+                    F.when(F.col("item_id") % 11 == 0, F.lit(" \t")).otherwise(F.col("text")).alias("query"),
+                    (F.col("item_id") % 7 - 1).cast("int").alias("num_results"))
+
+
+def unchecked_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Question records as they arrive: some difficulties are out of range, some texts blank."""
+    d = table(spark, sf_dir, "documents")
+    return d.select(F.col("doc_id").alias("candidate_id"), F.lit("short_answer").alias("question_type"),
+                    F.when(F.col("doc_id") % 13 == 0, F.lit("  ")).otherwise(F.col("text")).alias("question"),
+                    F.array().cast("array<string>").alias("options"), F.array("lang").alias("expected_answer"),
+                    F.lit("").alias("explanation"), (F.col("doc_id") % 7).cast("int").alias("difficulty"),
+                    F.array(doc_path()).alias("source_paths"))
+
+
+# --- graded turns -----------------------------------------------------------------------
+HISTORY_BUDGET = 2000
+
+
+def graded_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user turn with the reply that follows it, as question, answer and the grader's raw output; one
+    output in nine is no valid grade."""
+    c = table(spark, sf_dir, "conversations")
+    asked = c.where("role = 'user'").select(F.col("conv_id").alias("session_id"), F.col("turn").alias("question_number"), F.col("text").alias("question"))
+    said = c.where("role = 'assistant'").select(F.col("conv_id").alias("session_id"), (F.col("turn") - 1).alias("question_number"), F.col("text").alias("answer"))
+    k = F.pmod(F.col("session_id") + F.col("question_number"), F.lit(9))
+    grade = (F.when(k == 0, F.lit('{"is_correct": "yes"}')).when(k % 2 == 0, F.lit('{"is_correct": true}'))
+             .otherwise(F.lit('{"is_correct": false}')))
+    return asked.join(said, ["session_id", "question_number"]).withColumn("grade_text", grade)
+
+
+# --- prices as a table ------------------------------------------------------------------
+def price_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One pricing entry a supplier: its balance sets the rates (a negative one is no rate), a third lacks a field."""
+    s = table(spark, sf_dir, "supplier")
+    cents = F.floor("s_acctbal").cast("long").cast("string")
+    full = F.concat(F.lit('{"input": '), cents, F.lit(', "cached_input": 1, "output": 3}'))
+    short = F.concat(F.lit('{"input": '), cents, F.lit(', "output": 3}'))
+    return s.select(F.col("s_name").alias("model"), F.when(F.col("s_suppkey") % 3 == 0, short).otherwise(full).alias("rates_json"))

@@ -9,7 +9,6 @@ from quarry.functions.text import source_paths
 from quarry.operators import quality as q
 from quarry.operators import retrieval as rt
 from quarry.operators import schedule as sc
-from quarry.operators import sessions as ss
 from quarry.plans import fixtures as fx
 from quarry.plans.q_retrieval import HYBRID_CTES
 from quarry.plans.registry import register
@@ -189,19 +188,6 @@ def q_schedule_check(spark: SparkSession, sf_dir: str) -> DataFrame:
         "session_id", "requested", "scheduled", "count_ok")
 
 
-@register("running_history", """
-SELECT conv_id, turn, coalesce(list(text) FILTER (WHERE role = 'user') OVER (
-           PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), []) AS history
-FROM conversations
-""")
-def q_running_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    conv = fx.table(spark, sf_dir, "conversations")
-    h = ss.running_history(conv.withColumn("q", F.when(F.col("role") == "user", F.col("text"))),
-                           "conv_id", "turn", ["q"])
-    return h.select("conv_id", "turn",
-                    F.filter(F.transform("history", lambda x: x["q"]), lambda x: x.isNotNull()).alias("history"))
-
-
 GRADE_BASE_SQL = f"""
     SELECT d.doc_id AS candidate_id, ['short_answer', 'single_choice', 'multiple_choice'][(d.doc_id % 3) + 1] AS qtype,
            d.source, d.lang, {DOC_PATH_SQL} AS path

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from datetime import date
 
 import pandas as pd
 from pyspark.sql import types as T
@@ -111,7 +112,7 @@ class SessionAnswers(StatefulProcessor):
         known = json.loads(self.session.get()[0]) if self.session.exists() else {"levels": 0, "last": -1, "answered": 0, "correct": 0}
         best: dict[int, list] = {}
         for part in rows:
-            orders = zip(*(part[c].map(_plain) for c in self.order_cols), strict=True)
+            orders = zip(*([_plain(v) for v in part[c]] for c in self.order_cols), strict=True)
             for q, correct, order in zip(part["question_number"], part["is_correct"], orders, strict=True):
                 one = [list(order), bool(correct) if correct is not None and not pd.isna(correct) else None]
                 if int(q) not in best or _rank(one[0]) < _rank(best[int(q)][0]):
@@ -182,6 +183,8 @@ def _plain(v):
         return None
     if isinstance(v, pd.Timestamp):
         return v.value
+    if isinstance(v, date):
+        return v.isoformat()
     return v.item() if hasattr(v, "item") else v if isinstance(v, (int, float, str, bool)) else str(v)
 
 

@@ -84,8 +84,14 @@ def start_fold(spark: SparkSession, path: str, schema: T.StructType) -> None:
 def session_stream(answers: DataFrame, order_cols: list[str], emit: str) -> DataFrame:
     """Changed difficulties ("path") or counters ("counters") of the sessions that an epoch's answers touch."""
     schema = DIFFICULTY_SCHEMA if emit == "path" else COUNTERS_SCHEMA
-    return answers.groupBy("session_id").transformWithStateInPandas(
-        SessionAnswers(tuple(order_cols), emit), schema, "update", "none")
+    # Each order column as a flag and a value that is never null: pandas would make numbers beside nulls inexact.
+    order = {}
+    for i, c in enumerate(order_cols):
+        kind = answers.schema[c].dataType
+        none = F.lit(0) if isinstance(kind, T.NumericType) else F.lit("") if isinstance(kind, T.StringType) else F.lit("1970-01-01")
+        order |= {f"_given{i}": F.col(c).isNotNull(), f"_order{i}": F.coalesce(F.col(c), none.cast(kind))}
+    rows = answers.select("session_id", "question_number", "is_correct", *[v.alias(k) for k, v in order.items()])
+    return rows.groupBy("session_id").transformWithStateInPandas(SessionAnswers(tuple(order), emit), schema, "update", "none")
 
 
 def start_sink(spark: SparkSession, path: str, schema: str | T.StructType) -> str:
