@@ -310,9 +310,12 @@ GRADE_TEMPLATE = "Grade this answer.\nQuestion: {question}\nAnswer: {answer}"
 
 
 @register("judge_prompts", f"""
-SELECT slot_id, attempt_number, 'Rate this question for difficulty ' || assigned_difficulty || ' of 5.' || chr(10) || 'Question: ' || output_text
+SELECT slot_id, attempt_number, 'Rate this question for difficulty ' || assigned_difficulty || ' of 5.' || chr(10) || 'Question: '
+       || CAST(to_json(struct_pack(question_type := qtype, question := question_text, options := opts, expected_answer := expected,
+                                   explanation := 'from ' || session_id)) AS VARCHAR)
        || chr(10) || 'Context:' || chr(10) || 'Topics: ' || session_id || chr(10) || 'Source: ' || path || chr(10) || question_text AS prompt
-FROM (SELECT a.*, {DOC_PATH_SQL.replace("CAST(doc_id", "CAST(d.doc_id").replace("source ||", "d.source ||").replace("lang ||", "d.lang ||")} AS path
+FROM (SELECT a.slot_id, a.attempt_number, a.assigned_difficulty, a.qtype, a.question_text, a.opts, a.expected, a.session_id,
+             a.parse_error, a.rule_error, {DOC_PATH_SQL.replace("CAST(doc_id", "CAST(d.doc_id").replace("source ||", "d.source ||").replace("lang ||", "d.lang ||")} AS path
       FROM ({CHECKED_SQL}) a JOIN documents d ON d.doc_id = a.slot_id) WHERE coalesce(parse_error, rule_error) IS NULL
 """)
 def q_judge_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -89,7 +89,7 @@ def session_stream(answers: DataFrame, order_cols: list[str], emit: str) -> Data
     for i, c in enumerate(order_cols):
         kind = answers.schema[c].dataType
         none = F.lit(0) if isinstance(kind, T.NumericType) else F.lit("") if isinstance(kind, T.StringType) else F.lit("1970-01-01")
-        order |= {f"_given{i}": F.col(c).isNotNull(), f"_order{i}": F.coalesce(F.col(c), none.cast(kind))}
+        order |= {f"given{i}": F.col(c).isNotNull(), f"order{i}": F.coalesce(F.col(c), none.cast(kind))}
     rows = answers.select("session_id", "question_number", "is_correct", *[v.alias(k) for k, v in order.items()])
     return rows.groupBy("session_id").transformWithStateInPandas(SessionAnswers(tuple(order), emit), schema, "update", "none")
 
