@@ -128,20 +128,25 @@ def quality_gate(df: DataFrame, judge_col: str = "judge_text", threshold: float
             .drop("judge_parse_error", "_judged"))
 
 
+def _text_key(text_col: str) -> Column:
+    """SHA-256 of the normalised question: texts of any length meet by 32 bytes, not as shuffle keys."""
+    return F.unhex(F.sha2(normalize_question_text(F.col(text_col)), 256))
+
+
 def history_dedup(attempts: DataFrame, history: DataFrame, session_col: str = "session_id",
                   text_col: str = "question_text") -> DataFrame:
     """Attempts whose normalised question is not already in the session's history (anti join)."""
-    a = attempts.withColumn("_norm", normalize_question_text(F.col(text_col)))
-    h = history.select(session_col, normalize_question_text(F.col(text_col)).alias("_norm")).distinct()
+    a = attempts.withColumn("_norm", _text_key(text_col))
+    h = history.select(session_col, _text_key(text_col).alias("_norm")).distinct()
     return a.join(h, [session_col, "_norm"], "left_anti").drop("_norm")
 
 
 def mark_duplicates(attempts: DataFrame, history: DataFrame, session_col: str = "session_id",
                     text_col: str = "question_text") -> DataFrame:
     """Same as ``history_dedup`` but keeps every attempt with an ``is_duplicate`` flag."""
-    h = (history.select(session_col, normalize_question_text(F.col(text_col)).alias("_norm")).distinct()
+    h = (history.select(session_col, _text_key(text_col).alias("_norm")).distinct()
          .withColumn("_dup", F.lit(True)))
-    return (attempts.withColumn("_norm", normalize_question_text(F.col(text_col)))
+    return (attempts.withColumn("_norm", _text_key(text_col))
             .join(h, [session_col, "_norm"], "left")
             .withColumn("is_duplicate", F.coalesce(F.col("_dup"), F.lit(False))).drop("_norm", "_dup"))
 

@@ -5,7 +5,7 @@ Exact search never materialises the query x item pair table:
 * ``broadcast`` plan: the query matrix (size checked against a byte budget) is
   broadcast once; ``mapInArrow`` scores each index partition in place with a
   numpy block product and emits only the per-partition top-k of every query
-  (ties at the k-th value kept, so the final cut stays exact).  The index is
+  (equal scores by key, as the final cut has them, so it stays exact).  The index is
   never shuffled.
 * ``grid`` plan, for query sets over the budget: queries are hashed into Bq
   blocks, items into Bi blocks, each (query block, item block) cell is
@@ -54,8 +54,26 @@ def _list_matrix(arr: pa.Array, dim: int | None) -> np.ndarray:
     return flat.reshape(n, d)
 
 
-def _block_candidates(qm: np.ndarray, qnorm: np.ndarray, xm: np.ndarray, xnorm: np.ndarray, kmax: int):
-    """Per query: every item whose score reaches the query's k-th best score.
+def _key_order(table: pa.Table | pa.RecordBatch, keys: Sequence[str]) -> np.ndarray:
+    """Place of each row in ascending order of its key columns."""
+    place = np.empty(table.num_rows, np.int64)
+    place[pc.sort_indices(table.select(list(keys)), [(c, "ascending") for c in keys]).to_numpy()] = np.arange(table.num_rows)
+    return place
+
+
+def _first_k(qi: np.ndarray, sims: np.ndarray, place: np.ndarray, k: int) -> np.ndarray:
+    """Indices of each query's first ``k`` rows by score, equal scores by place."""
+    if len(qi) == 0:
+        return np.zeros(0, np.int64)
+    order = np.lexsort((place, -sims, qi))
+    q = qi[order]
+    first = np.r_[0, np.flatnonzero(np.diff(q)) + 1]
+    nth = np.arange(len(q)) - np.repeat(first, np.diff(np.r_[first, len(q)]))
+    return order[nth < k]
+
+
+def _block_candidates(qm: np.ndarray, qnorm: np.ndarray, xm: np.ndarray, xnorm: np.ndarray, place: np.ndarray, kmax: int):
+    """Each query's first ``kmax`` items of every score block, equal scores by place.
 
     cosine = dot / (|q| |x|): exact dot products stay exact (integer-count
     vectors), so equal vectors always tie exactly.
@@ -72,33 +90,17 @@ def _block_candidates(qm: np.ndarray, qnorm: np.ndarray, xm: np.ndarray, xnorm:
         s[~np.isfinite(s)] = -np.inf
         if block.shape[0] > kmax:
             kth = -np.partition(-s, kmax - 1, axis=1)[:, kmax - 1]
-            mask = (s >= kth[:, None]) & np.isfinite(s)
+            qi, ri = np.nonzero((s >= kth[:, None]) & np.isfinite(s))
+            keep = _first_k(qi, s[qi, ri], place[ri + start], kmax)
+            qi, ri = qi[keep], ri[keep]
         else:
-            mask = np.isfinite(s)
-        qi, ri = np.nonzero(mask)
+            qi, ri = np.nonzero(np.isfinite(s))
         qi_all.append(qi)
         ri_all.append(ri + start)
         s_all.append(s[qi, ri])
     return np.concatenate(qi_all), np.concatenate(ri_all), np.concatenate(s_all)
 
 
-def _keep_topk(qi: np.ndarray, sims: np.ndarray, kmax: int) -> np.ndarray:
-    """Indices of rows whose score reaches their query's k-th best score."""
-    if len(qi) == 0:
-        return np.zeros(0, np.int64)
-    order = np.lexsort((-sims, qi))
-    q_sorted = qi[order]
-    s_sorted = sims[order]
-    first = np.r_[0, np.flatnonzero(np.diff(q_sorted)) + 1]
-    counts = np.diff(np.r_[first, len(q_sorted)])
-    rank = np.arange(len(q_sorted)) - np.repeat(first, counts)
-    kth_pos = first + np.minimum(counts, kmax) - 1
-    kth = np.repeat(s_sorted[kth_pos], counts)
-    keep_sorted = s_sorted >= kth
-    del rank
-    return order[keep_sorted]
-
-
 def _output_schema(index: DataFrame, queries: DataFrame, query_id: str,
                    key_cols: Sequence[str]) -> T.StructType:
     fields = [T.StructField(query_id, queries.schema[query_id].dataType, True)]
@@ -128,13 +130,13 @@ def _broadcast_candidates(index: DataFrame, queries: DataFrame, kmax: int, key_c
             tab = pa.concat_tables(tables)
             qi = tab.column("_qi").to_numpy()
             sims = tab.column("similarity").to_numpy()
-            return tab.take(pa.array(_keep_topk(qi, sims, kmax)))
+            return tab.take(pa.array(_first_k(qi, sims, _key_order(tab, keys), kmax)))
 
         for batch in batches:
             if batch.num_rows == 0 or qn.shape[0] == 0:
                 continue
             x = _list_matrix(batch.column(vector_col), d)
-            qi, ri, sims = _block_candidates(qn, qnorm, x, _norms(x), kmax)
+            qi, ri, sims = _block_candidates(qn, qnorm, x, _norms(x), _key_order(batch, keys), kmax)
             if len(qi) == 0:
                 continue
             cols = {"_qi": pa.array(qi)}
@@ -182,8 +184,10 @@ def _grid_candidates(index: DataFrame, queries: DataFrame, kmax: int, key_cols,
         xm = np.stack(ipdf["_iv"].to_numpy()).astype(np.float64)
         if xm.shape[1] != qm.shape[1]:
             raise ValueError(f"embedding dimension {xm.shape[1]} does not match the expected {qm.shape[1]}")
-        qi, ri, sims = _block_candidates(qm, _norms(qm), xm, _norms(xm), kmax)
-        keep = _keep_topk(qi, sims, kmax)
+        place = np.empty(len(ipdf), np.int64)
+        place[ipdf.reset_index(drop=True).sort_values(keys).index.to_numpy()] = np.arange(len(ipdf))
+        qi, ri, sims = _block_candidates(qm, _norms(qm), xm, _norms(xm), place, kmax)
+        keep = _first_k(qi, sims, place[ri], kmax)
         qi, ri, sims = qi[keep], ri[keep], sims[keep]
         out = {query_id: qpdf[query_id].to_numpy()[qi]}
         for c in keys:
@@ -271,90 +275,6 @@ def cosine_expr(a: str, b: str):
     return F.when((na > 0) & (nb > 0), dot / (na * nb))
 
 
-def _pairs_above(qm, qnorm, xm, xnorm, threshold):
-    """All (query row, item row, cosine) with cosine >= threshold, in score blocks."""
-    q, n = qm.shape[0], xm.shape[0]
-    out_q, out_x, out_s = [], [], []
-    if q == 0 or n == 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    step = max(64, SCORE_CELLS // max(q, 1))
-    for start in range(0, n, step):
-        with np.errstate(divide="ignore", invalid="ignore"):
-            s = (qm @ xm[start:start + step].T) / (qnorm[:, None] * xnorm[None, start:start + step])
-        qi, ri = np.nonzero(np.isfinite(s) & (s >= threshold))
-        out_q.append(qi)
-        out_x.append(ri + start)
-        out_s.append(s[qi, ri])
-    return np.concatenate(out_q), np.concatenate(out_x), np.concatenate(out_s)
-
-
-def similarity_join(left: DataFrame, right: DataFrame, threshold: float, *,
-                    left_id: str = "left_id", right_id: str = "right_id",
-                    left_vector: str = "embedding", right_vector: str = "embedding",
-                    strategy: str = "auto", max_broadcast_bytes: int = DEFAULT_BROADCAST_BYTES,
-                    grid_left_rows: int = 16384, grid_right_rows: int = 4096) -> DataFrame:
-    """Theta join on cosine similarity: every (left_id, right_id, similarity >= threshold).
-
-    No candidate cap: every qualifying pair is emitted, and nothing else.  The
-    right side is broadcast when its matrix fits the byte budget (left side
-    scored in place, never shuffled); otherwise both sides are hashed into a
-    grid of bounded cells.
-    """
-    l = left.where(F.col(left_vector).isNotNull()).select(left_id, left_vector)
-    r = right.where(F.col(right_vector).isNotNull()).select(right_id, right_vector)
-    schema = T.StructType([T.StructField(left_id, left.schema[left_id].dataType),
-                           T.StructField(right_id, right.schema[right_id].dataType),
-                           T.StructField("similarity", T.DoubleType())])
-    n_right = r.count()
-    dim_row = r.select(F.size(right_vector).alias("d")).head(1)
-    dim = dim_row[0]["d"] if dim_row else 0
-    if strategy == "auto":
-        strategy = "broadcast" if n_right * max(dim, 1) * 8 <= max_broadcast_bytes else "grid"
-    if strategy == "broadcast":
-        rtab = r.toArrow()
-        rids = rtab.column(0).combine_chunks() if rtab.num_rows else pa.array([], type=rtab.schema.field(0).type)
-        rmat = _list_matrix(rtab.column(1), None) if rtab.num_rows else np.zeros((0, 0))
-        bc = l.sparkSession.sparkContext.broadcast((rids, rmat, _norms(rmat), rmat.shape[1] if rtab.num_rows else None))
-        arrow_schema = pa.schema([pa.field(f.name, _arrow_type(f.dataType)) for f in schema.fields])
-
-        def score(batches):
-            ids, rm, rnorm, d = bc.value
-            for batch in batches:
-                if batch.num_rows == 0 or rm.shape[0] == 0:
-                    continue
-                x = _list_matrix(batch.column(left_vector), d)
-                ri, xi, sims = _pairs_above(rm, rnorm, x, _norms(x), threshold)
-                if len(ri) == 0:
-                    continue
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(left_id).take(pa.array(xi)), ids.take(pa.array(ri)), pa.array(sims, pa.float64())],
-                    schema=arrow_schema)
-
-        return l.mapInArrow(score, schema)
-    n_left = l.count()
-    bl = max(1, math.ceil(n_left / grid_left_rows))
-    br = max(1, math.ceil(n_right / grid_right_rows))
-    l_side = (l.withColumnRenamed(left_vector, "_lv")
-              .withColumn("_lb", F.pmod(F.xxhash64(left_id), F.lit(bl)))
-              .withColumn("_rb", F.explode(F.sequence(F.lit(0), F.lit(br - 1)))))
-    r_side = (r.withColumnRenamed(right_vector, "_rv")
-              .withColumn("_rb", F.pmod(F.xxhash64(right_id), F.lit(br)))
-              .withColumn("_lb", F.explode(F.sequence(F.lit(0), F.lit(bl - 1)))))
-
-    def cell(lpdf, rpdf):
-        import pandas as pd
-        if len(lpdf) == 0 or len(rpdf) == 0:
-            return pd.DataFrame({f.name: [] for f in schema.fields})
-        lm = np.stack(lpdf["_lv"].to_numpy()).astype(np.float64)
-        rm = np.stack(rpdf["_rv"].to_numpy()).astype(np.float64)
-        ri, li, sims = _pairs_above(rm, _norms(rm), lm, _norms(lm), threshold)
-        return pd.DataFrame({left_id: lpdf[left_id].to_numpy()[li], right_id: rpdf[right_id].to_numpy()[ri],
-                             "similarity": sims})
-
-    return (l_side.groupBy("_lb", "_rb").cogroup(r_side.groupBy("_lb", "_rb"))
-            .applyInPandas(cell, schema))
-
-
 def lsh_signatures(df: DataFrame, id_cols, vector_col: str, dim: int, bands: int = 8, bits: int = 8,
                    seed: int = 17, probes: int = 1) -> DataFrame:
     """Sign-random-projection signatures (Charikar 2002): one row per (row, band, signature).
