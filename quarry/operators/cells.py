@@ -29,7 +29,7 @@ from quarry.operators.vector_search import _arrow_type, _list_matrix, _norms
 from quarry.session import checkpoint_dir, write_table
 
 #: Rows of the training sample, most centroids, rounds of k-means.
-SAMPLE, MOST_CELLS, ROUNDS = 16_384, 1024, 10
+SAMPLE, MOST_CELLS, ROUNDS = 16_384, 2048, 10
 #: Rows of a chunk of a cell, and of a block of its visitors.
 MAX_ROWS = 8192
 #: Rows of a cell of the join, on average: below that, sending a visitor costs more than scoring it.
@@ -68,12 +68,12 @@ def kmeans(points: np.ndarray, k: int, rounds: int = ROUNDS, seed: int = 11) ->
 
 
 def train_cells(vectors: DataFrame, vector_col: str, n_cells: int | None = None, sample: int = SAMPLE) -> np.ndarray:
-    """Centroids (cells x dimension) from the ``sample`` vectors of least hash; about the square root of the
-    number of rows, at most MOST_CELLS, unless ``n_cells`` says how many."""
+    """Centroids (cells x dimension) from the ``sample`` vectors of least hash; about twice the square root
+    of the number of rows, at most MOST_CELLS, unless ``n_cells`` says how many."""
     checkpoint_dir(vectors.sparkSession)
     rows = vectors.where(F.col(vector_col).isNotNull()).select(F.col(vector_col).alias("v"))
     n = rows.count()
-    k = n_cells or max(1, min(MOST_CELLS, math.isqrt(n)))
+    k = n_cells or max(1, min(MOST_CELLS, 2 * math.isqrt(n)))
     drawn = rows.withColumn("h", F.xxhash64("v")).orderBy("h").limit(sample)
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
