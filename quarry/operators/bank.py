@@ -159,9 +159,11 @@ def bank_store(candidates: DataFrame, bank: DataFrame, threshold: float = DEFAUL
     ('bank' | 'batch' | null), best_bank_similarity.
     """
     check_threshold(threshold)
-    # The batch feeds several jobs (bank probe, theta join, verdicts): materialise it once.
-    cands = cut_lineage(candidates.withColumn("_vid", F.col(order_col).cast("long")))
-    near = bank_nearest(cands, bank, threshold, cand_id="_vid", bank_id=bank_id,
+    # The batch feeds several jobs (bank probe, pruned join, verdicts), each of which needs some columns of it; the
+    # bank's vectors are filtered and scored.  Both are embedded once.
+    cands = write_table(candidates.withColumn("_vid", F.col(order_col).cast("long")), "candidates")
+    stored = write_table(bank.select(bank_id, bank_vector), "bank-vectors")
+    near = bank_nearest(cands, stored, threshold, cand_id="_vid", bank_id=bank_id,
                         cand_vector=cand_vector, bank_vector=bank_vector)
     near = cut_lineage(near)
     fresh = cands.join(near.where(~F.col("is_duplicate")).select("_vid"), "_vid", "left_semi")
