@@ -159,7 +159,9 @@ def build_index(rows: DataFrame, shard_rows: int = SHARD, degree: int = DEGREE,
         graph = _bytes(unit=unit, own=own, edges=edges, start=np.array(start), ids=ids[by_node], at=np.searchsorted(node[by_node], np.arange(len(first) + 1)))
         return pa.table({"dim": pa.array([key[0].as_py()], pa.int32()), "shard": pa.array([key[1].as_py()], pa.int32()), "graph": [graph]})
 
-    return dealt.groupBy("dim", "shard").applyInArrow(build, "dim int, shard int, graph binary")
+    # Bytes do not show the work of a shard: each has a partition of its own, which is not merged with others.
+    n = sum(max(1, -(-c // shard_rows)) for c in sizes.values())
+    return dealt.repartition(n, "dim", "shard").groupBy("dim", "shard").applyInArrow(build, "dim int, shard int, graph binary")
 
 
 def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
