@@ -116,6 +116,37 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=25, least_words=20, seed=7)
 
 
+OP11_SQL = r"""
+WITH byte(b, c) AS (SELECT range, list_reduce(list_prepend(range, [1, 2, 3, 4, 5, 6, 7, 8]), lambda c, i: xor(c >> 1, (c & 1) * 3988292384)) FROM range(256)),
+step AS (SELECT list(c ORDER BY b) AS step FROM byte),
+texts AS (SELECT 0 AS side, doc_id AS id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark),
+words AS (
+    SELECT side, id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                 '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM texts),
+runs AS (
+    SELECT side, id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS feature FROM words),
+tallied AS (SELECT side, id, feature, count(*) AS n FROM runs GROUP BY ALL),
+hashed AS (
+    SELECT feature, xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(feature), '..'), lambda x: CAST('0x' || x AS BIGINT))),
+                                    lambda c, b: xor(c >> 8, step[(xor(c, b) & 255) + 1])), 4294967295) % 10000 AS bucket
+    FROM (SELECT DISTINCT feature FROM tallied), step),
+sums AS (SELECT bucket, sum(CASE WHEN side = 0 THEN n ELSE 0 END) AS s, sum(CASE WHEN side = 1 THEN n ELSE 0 END) AS t
+         FROM tallied JOIN hashed USING (feature) GROUP BY bucket),
+gains AS (
+    SELECT bucket, CAST(floor(1000 * ln(((t + 1)::DOUBLE * (sum(s) OVER () + 10000)) / ((s + 1)::DOUBLE * (sum(t) OVER () + 10000)))) AS BIGINT) AS gain
+    FROM sums),
+weights AS (
+    SELECT id, CAST(sum(n) AS BIGINT) AS n_features, CAST(floor(sum(n * gain)::DOUBLE / sum(n)) AS BIGINT) AS weight
+    FROM tallied JOIN hashed USING (feature) JOIN gains USING (bucket) WHERE side = 0 GROUP BY id),
+scored AS (
+    SELECT w.id AS doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, len(w.w) >= 20 AS able,
+           coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || left(sha256('7:' || CAST(w.id AS VARCHAR)), 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score
+    FROM words w LEFT JOIN weights USING (id) WHERE w.side = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY able ORDER BY score DESC, doc_id) AS r, count(*) OVER (PARTITION BY able) AS n FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN able AND r <= 25 * n // 100 THEN r END AS rank FROM ranked
+"""
+
+
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
 
@@ -124,10 +155,31 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_scan.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
 
 
+OP13_SQL = r"""
+WITH texts AS (SELECT 0 AS side, doc_id AS id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark),
+words AS (
+    SELECT side, id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                               '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM texts),
+asked AS (SELECT DISTINCT id AS item_id, term FROM words WHERE side = 1),
+held AS (SELECT id AS doc_id, term, count(*) AS tf FROM words WHERE side = 0 GROUP BY ALL),
+sizes AS (SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM held GROUP BY doc_id),
+whole AS (SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS total FROM sizes),
+weights AS (
+    SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1))) AS BIGINT) AS w
+    FROM (SELECT term, count(*) AS df FROM held WHERE term IN (SELECT term FROM asked) GROUP BY term), whole),
+scores AS (
+    SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // total)))) AS BIGINT) AS score
+    FROM asked JOIN weights USING (term) JOIN held USING (term) JOIN sizes USING (doc_id), whole GROUP BY item_id, doc_id)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM scores WHERE score > 0 QUALIFY rank <= 10
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_graph_ann": op1, "op2_suffix_dedup": op2, "op3_language_id": op3, "op4_token_files": op4,
     "op5_exact_dedup": op5, "op6_source_mixing": op6, "op7_simhash_dedup": op7, "op8_line_crf": op8,
     "op9_license_scan": op9, "op10_packing": op10, "op11_importance_resampling": op11, "op12_secret_scan": op12,
     "op13_lexical_search": op13,
 }
-ORACLE: dict[str, str] = {"op5_exact_dedup": OP5_SQL, "op6_source_mixing": OP6_SQL}
+ORACLE: dict[str, str] = {"op5_exact_dedup": OP5_SQL, "op6_source_mixing": OP6_SQL, "op11_importance_resampling": OP11_SQL,
+                          "op13_lexical_search": OP13_SQL}
