@@ -6,7 +6,9 @@ a whole step) start every T/2, so any stretch of at most 3T/2 shingles lies whol
 them, wherever it begins; a copy that insertions make longer than that may be cut.  A window
 of W shingles that contains k of the template's has a Jaccard similarity with it of at least
 k / (W + T - k); the number of bands follows from the least such bound and the wanted
-probability that such a window shares a band.  Windows retrieved so are compared shingle by
+probability that such a window shares a band.  A band holds ROWS minima and is looked up in one sorted
+table of all templates' bands, so more templates cost no more passes.  A window without any shingle of a
+template shares no minimum with it, so signatures are computed for the other windows only.  Windows retrieved are compared shingle by
 shingle.  Templates of different licenses that share shingles (versions of one license, say) are
 rivals: of their matches on the same stretch of text only those of the best containment stay.
 """
@@ -15,19 +17,22 @@ from __future__ import annotations
 
 import bisect
 import math
+import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.bytewords import column_bytes
+from quarry.llm.memory import tidy
 from quarry.session import checkpoint_dir
 
-SHINGLE, LEAST, PROBABILITY, ROWS = 5, 0.8, 0.9999, 1
-#: Bytes of text worked on at once.
-CHUNK = 4 << 20
+SHINGLE, LEAST, PROBABILITY, ROWS = 5, 0.8, 0.9999, 2
+#: Bytes of text worked on at once; shingles of windows signed at once; longer words than LONG bytes are in no template.
+CHUNK, SIGNED, LONG = 1 << 20, 1 << 20, 1024
 
 # Well-known public license notices, by license and form (``-header``, ``-notice``).
 TEMPLATES = {
@@ -37,6 +42,7 @@ TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at",
     "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0-notice-released": "Released under the Apache License 2.0",
+    "Apache-2.0-notice-bare": "Licensed under Apache License 2.0",
     "Apache-2.0-notice-short": "Licensed under the Apache License 2.0",
     "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
     "BSD-notice": "Licensed under the BSD License",
@@ -61,6 +67,9 @@ TEMPLATES = {
     "CC0-1.0-header-waiver": "has waived all copyright and related or neighboring rights to this work",
     "CC0-1.0-notice": "Licensed under CC0 1.0 Universal",
     "CC0-1.0-notice-short": "CC0 1.0 Universal Public Domain Dedication",
+    "EPL-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0",
+    "EPL-2.0-notice": "Licensed under the Eclipse Public License 2.0",
+    "EPL-2.0-notice-v": "Eclipse Public License - v 2.0",
     "GPL-2.0": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
     "GPL-2.0-header-only": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.",
     "GPL-2.0-notice": "GNU General Public License, version 2",
@@ -95,6 +104,7 @@ TEMPLATES = {
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[c for c in range(256) if c >= 128 or chr(c).isalnum()]] = True
+_BREAK = re.compile(rb"[^0-9a-z\x80-\xff]")
 
 
 def words_of(text: str) -> list[bytes]:
@@ -108,6 +118,12 @@ def license_of(name: str) -> str:
     return name.split("-notice")[0].split("-header")[0]
 
 
+def with_identifiers(templates: dict[str, str]) -> dict[str, str]:
+    """Also the SPDX line of each license whose line has a shingle of its own."""
+    lines = {f"{of}-notice-spdx": f"SPDX-License-Identifier: {of}" for of in map(license_of, templates)}
+    return {**templates, **{k: v for k, v in lines.items() if len(words_of(v)) >= SHINGLE}}
+
+
 def shingles_of(words: list[bytes]) -> set[tuple[bytes, ...]]:
     return {tuple(words[i:i + SHINGLE]) for i in range(len(words) - SHINGLE + 1)}
 
@@ -155,59 +171,101 @@ def shingle_hashes(words: np.ndarray) -> np.ndarray:
 
 
 class Templates:
-    """Band signatures of templates, by window length."""
+    """Bands of templates in one table a band, and the shingles of all of them."""
 
     def __init__(self, texts: dict[str, str], least: float = LEAST, probability: float = PROBABILITY, rows: int = ROWS):
         known = {name: words_of(text) for name, text in sorted(texts.items())}
         for name, words in known.items():
-            if len(words) < SHINGLE:
-                raise ValueError(f"template {name!r} has fewer than {SHINGLE} words")
-        self.least, self.rows = least, rows
-        self.bands = bands_needed([len(w) - SHINGLE + 1 for w in known.values()], least, probability, rows)
-        self.seeds = np.random.default_rng(7).integers(0, 1 << 63, self.bands * rows, dtype=np.uint64)
-        self.shingles, self.steps, self.size = {}, {}, {}
+            if len(words) < SHINGLE or max(map(len, words)) >= LONG:
+                raise ValueError(f"template {name!r} has fewer than {SHINGLE} words or a word of {LONG} bytes")
+        self.least, self.rows, self.names = least, rows, list(known)
+        self.shingles = {name: shingles_of(words) for name, words in known.items()}
+        self.size = {name: len(words) - SHINGLE + 1 for name, words in known.items()}
+        self.sizes = sorted(set(self.size.values()))
+        need = {size: bands_needed([size], least, probability, rows) for size in self.sizes}
+        self.bands = max(need.values(), default=0)
+        self.seeds = np.random.default_rng(7).integers(0, 1 << 63, (self.bands, rows), dtype=np.uint64)
+        hashes = {}
         for name, words in known.items():
             raw = np.frombuffer(b" ".join(words), np.uint8)
             end = np.cumsum([len(w) + 1 for w in words]) - 1
-            h = shingle_hashes(_word_hashes(raw, end - [len(w) for w in words], end))
-            self.shingles[name], self.size[name] = shingles_of(words), len(h)
-            self.steps.setdefault(len(h), []).append((name, np.array([_mix(h ^ s).min() for s in self.seeds])))
-
+            hashes[name] = shingle_hashes(_word_hashes(raw, end - [len(w) for w in words], end))
+        self.known = np.unique(np.concatenate([*hashes.values(), np.zeros(0, np.uint64)]))
+        self.quick = np.zeros(1 << 20, bool)
+        self.quick[self.known >> np.uint64(44)] = True
+        self.held = np.zeros((len(self.sizes), len(self.known)), bool)  # which size of template holds a shingle
+        for name, h in hashes.items():
+            self.held[self.sizes.index(self.size[name]), np.searchsorted(self.known, h)] = True
+        self.tables = []
+        for band in range(self.bands):
+            own = [i for i, name in enumerate(self.names) if band < need[self.size[name]]]
+            number = np.array([self.sizes.index(self.size[self.names[i]]) for i in own])
+            keys = np.concatenate([self._keys(hashes[self.names[i]], np.zeros(1, np.int64), band, number[[j]]) for j, i in enumerate(own)])
+            order = np.argsort(keys, kind="stable")
+            self.tables.append((keys[order], np.array(own)[order]))
+        self.overlap = max((self.span(name) for name in self.names), default=0)
         self.rivals = {a: [b for b in known if license_of(a) != license_of(b) and self.shingles[a] & self.shingles[b]] for a in known}
 
-    def candidates(self, h: np.ndarray, first: np.ndarray, n: np.ndarray) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
-        """h: shingle hashes of texts end to end; first, n: where each text's begin, how many.
-        Yields (template, text of each retrieved window, its first shingle within the text)."""
-        use = np.flatnonzero(n)
-        if not len(use):
-            return
-        grids = {}
-        for size in self.steps:
+    def _keys(self, h: np.ndarray, at: np.ndarray, band: int, number: np.ndarray) -> np.ndarray:
+        """Key of a band's minima of each window that begins ``at`` in h, with the number of its window length."""
+        out = number.astype(np.uint64) + np.uint64(1)
+        for seed in self.seeds[band]:
+            out = _mix(out * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(_mix(h ^ seed), at))
+        return out
+
+    def _windows(self, h: np.ndarray, first: np.ndarray, n: np.ndarray, base: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(number of the window length, text, first shingle within it) of all windows that hold a
+        shingle of a template of that length."""
+        pos = np.flatnonzero(self.quick[h >> np.uint64(44)])
+        at = np.searchsorted(self.known, h[pos])
+        at[at == len(self.known)] = 0
+        same = self.known[at] == h[pos] if len(pos) else np.zeros(0, bool)
+        pos, at = pos[same], at[same]
+        text = np.searchsorted(first, pos, side="right") - 1
+        inner = pos - first[text]
+        whole = inner < n[text]  # not across two texts
+        at, text, inner = at[whole], text[whole], inner[whole]
+        out = [np.zeros((3, 0), np.int64)]
+        for number, size in enumerate(self.sizes):
+            use = np.flatnonzero(self.held[number, at])
+            if not len(use):
+                continue
             step, wide = grid_of(size)
-            blocks = -(-n[use] // step)
-            text = np.repeat(use, blocks)
-            nth = np.arange(len(text)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-            last = np.repeat(np.cumsum(blocks), blocks) - 1
-            follow = [np.minimum(np.arange(len(text)) + i, last) for i in range(1, wide)]
-            grids[size] = (text, nth * step, first[text] + nth * step, follow)
-        hit = {(s, name): np.zeros(len(grids[s][0]), bool) for s, of in self.steps.items() for name, _ in of}
-        for band in range(self.bands):
-            same = {k: np.ones(len(v), bool) for k, v in hit.items()}
-            for row in range(band * self.rows, (band + 1) * self.rows):
-                p = _mix(h ^ self.seeds[row])
-                for step, (_, _, at, follow) in grids.items():
-                    low = np.minimum.reduceat(p, at)
-                    wide = low
-                    for i in follow:
-                        wide = np.minimum(wide, low[i])
-                    for name, signature in self.steps[step]:
-                        same[step, name] &= wide == signature[row]
-            for k, v in same.items():
-                hit[k] |= v
-        for (step, name), v in hit.items():
-            w = np.flatnonzero(v)
-            if len(w):
-                yield name, grids[step][0][w], grids[step][1][w]
+            t = np.tile(text[use], wide)
+            k = ((base[text[use]] + inner[use]) // step - np.arange(wide)[:, None]).ravel()
+            begin = k * step - base[t]
+            ok = (begin >= 0) & (begin < starts[t])
+            key = np.unique(t[ok] << 40 | begin[ok])
+            out.append(np.stack([np.full(len(key), number), key >> 40, key & (1 << 40) - 1]))
+        return tuple(np.concatenate(out, axis=1))
+
+    def candidates(self, h: np.ndarray, first: np.ndarray, n: np.ndarray, base: np.ndarray, starts: np.ndarray) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+        """h: shingle hashes of pieces of texts end to end; first, n: where each piece's begin, how many;
+        base: its first shingle within its text; starts: windows begin before this shingle of the piece.
+        Yields (template, piece of each retrieved window, its first shingle within the piece)."""
+        number, text, begin = self._windows(h, first, n, base, starts)
+        if not len(text):
+            return
+        width = np.array([step * wide for step, wide in map(grid_of, self.sizes)])
+        size = np.minimum(width[number], n[text] - begin)
+        found, low, total = [], 0, np.cumsum(size)
+        while low < len(size):
+            high = max(low + 1, int(np.searchsorted(total, total[low] - size[low] + SIGNED, side="right")))
+            of = size[low:high]
+            edge = np.cumsum(of) - of
+            own = h[np.repeat((first[text] + begin)[low:high] - edge, of) + np.arange(of.sum())]
+            for band, (keys, template) in enumerate(self.tables):
+                key = self._keys(own, edge, band, number[low:high])
+                a, b = np.searchsorted(keys, key), np.searchsorted(keys, key, side="right")
+                hit = np.flatnonzero(b > a)
+                times = b[hit] - a[hit]
+                entry = np.repeat(a[hit] - (np.cumsum(times) - times), times) + np.arange(times.sum())
+                found.append(template[entry] * len(size) + low + np.repeat(hit, times))
+            low = high
+        pairs = np.unique(np.concatenate(found))
+        for i in np.unique(pairs // len(size)).tolist():
+            w = pairs[pairs // len(size) == i] % len(size)
+            yield self.names[i], text[w], begin[w]
 
     def span(self, name: str) -> int:
         """Words of a window of this template."""
@@ -253,29 +311,67 @@ def without_rivals(matches: list[tuple], templates: Templates) -> Iterator[tuple
             yield match
 
 
-def scan_texts(texts: list[str], templates: Templates) -> Iterator[tuple[int, str, float, int, int]]:
+def _spans(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    turn = np.flatnonzero(np.diff(np.concatenate([[False], _LETTER[np.frombuffer(data, np.uint8)], [False]])))
+    return turn[::2], turn[1::2]
+
+
+def _pieces(texts: Iterable[bytes], overlap: int) -> Iterator[tuple]:
+    """Lower-cased texts in pieces of about CHUNK bytes: (bytes, starts and ends of words, first word of each
+    part, text of each part, its first word within the text, windows begin before this word of the part).
+    Short texts share a piece.  A longer one is cut between words, each piece with the last words of the one before;
+    of words beyond LONG bytes only the beginning is carried on, and of one beyond CHUNK bytes only that is read."""
+    held, of, size = [], [], 0
+
+    def together():
+        data = b"\n".join(held)
+        start, end = _spans(data)
+        word_at = np.searchsorted(start, np.cumsum([0, *(len(t) + 1 for t in held)]))
+        return data, start, end, word_at, np.array(of), np.zeros(len(of), np.int64), np.diff(word_at)
+
+    for i, raw in enumerate(texts):
+        if held and size + len(raw) > CHUNK:
+            yield together()
+            held, of, size = [], [], 0
+        if len(raw) <= CHUNK:
+            held.append(raw.lower())
+            of.append(i)
+            size += len(raw) + 1
+            continue
+        raw, at, carried, base = raw.lower(), 0, b"", 0
+        while at < len(raw):
+            cut = _BREAK.search(raw, min(at + CHUNK, len(raw)))
+            cut = cut.start() if cut else len(raw)
+            data = carried + raw[at:min(cut, at + 2 * CHUNK)]
+            start, end = _spans(data)
+            own = len(start) if cut == len(raw) else max(0, len(start) - overlap + 1)
+            yield data, start, end, np.array([0, len(start)]), np.array([i]), np.array([base]), np.array([own])
+            carried = b"".join(data[a:min(b, a + LONG)] + b" " for a, b in zip(start[own:].tolist(), end[own:].tolist(), strict=True))
+            base += own
+            at = cut
+    if held:
+        yield together()
+
+
+def scan_bytes(texts: Iterable[bytes], templates: Templates) -> Iterator[tuple[int, str, float, int, int]]:
     """(text, template, best containment, first word of the best window, windows that match)."""
-    raw = "\n".join(texts).encode().lower()
-    data = np.frombuffer(raw, np.uint8)
-    turn = np.flatnonzero(np.diff(np.concatenate([[False], _LETTER[data], [False]])))
-    start, end = turn[::2], turn[1::2]
-    size = np.cumsum([len(t.encode()) + 1 for t in texts])
-    word_at = np.searchsorted(start, np.concatenate([[0], size]))
-    hashes = shingle_hashes(_word_hashes(data, start, end))
-    n = np.maximum(np.diff(word_at) - SHINGLE + 1, 0)
     matches = defaultdict(list)
-    for name, text, place in templates.candidates(hashes, word_at[:-1], n):
-        want, span = templates.shingles[name], templates.span(name)
-        for t, p in zip(text.tolist(), place.tolist(), strict=True):
-            a, b = word_at[t] + p, min(word_at[t] + p + span, word_at[t + 1])
-            own = [raw[i:j] for i, j in zip(start[a:b].tolist(), end[a:b].tolist(), strict=True)]
-            share = len(want & shingles_of(own)) / len(want)
-            if share >= templates.least:
-                lo, hi = stretch(own, want)
-                matches[t].append((name, share, p, (p + lo, p + hi)))
+    for data, start, end, word_at, of, base, starts in _pieces(texts, templates.overlap):
+        hashes = shingle_hashes(_word_hashes(np.frombuffer(data, np.uint8), start, end))
+        n = np.maximum(np.diff(word_at) - SHINGLE + 1, 0)
+        for name, text, place in templates.candidates(hashes, word_at[:-1], n, base, starts):
+            want, span = templates.shingles[name], templates.span(name)
+            for t, p in zip(text.tolist(), place.tolist(), strict=True):
+                a, b = word_at[t] + p, min(word_at[t] + p + span, word_at[t + 1])
+                own = [data[i:j] for i, j in zip(start[a:b].tolist(), end[a:b].tolist(), strict=True)]
+                share = len(want & shingles_of(own)) / len(want)
+                if share >= templates.least:
+                    lo, hi = stretch(own, want)
+                    p += int(base[t])
+                    matches[int(of[t])].append((name, share, p, (p + lo, p + hi)))
     found: dict[tuple[int, str], list] = {}
-    for t, of in matches.items():
-        for name, share, p, _ in without_rivals(of, templates):
+    for t, hits in matches.items():
+        for name, share, p, _ in without_rivals(hits, templates):
             best = found.setdefault((t, name), [0.0, 0, 0])
             best[2] += 1
             if share > best[0]:
@@ -284,40 +380,31 @@ def scan_texts(texts: list[str], templates: Templates) -> Iterator[tuple[int, st
         yield t, name, share, p, times
 
 
+def scan_texts(texts: list[str], templates: Templates) -> Iterator[tuple[int, str, float, int, int]]:
+    """As scan_bytes, of strings."""
+    return scan_bytes((t.encode() for t in texts), templates)
+
+
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, least: float = LEAST,
                   id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a document and license found in it: id_col, license, containment (best window's),
-    first_word (of that window), n_windows.
+    """One row a document and template found in it: id_col, license, template (the form of the license),
+    containment (best window's; the first one's among equals), first_word (of that window), n_windows.
 
     Null, empty and short texts match nothing; null ids stay null; repeated rows are reported
-    each time; an empty table gives an empty result; other columns are not read.  Templates are
-    a short list of texts of at least five words."""
+    each time; an empty table gives an empty result; very long texts are scanned whole, in overlapping pieces, with the
+    result that one piece would give; other columns are not read.  ``templates`` are texts of at least five words by name (a license and
+    its form, see license_of); by default TEMPLATES and the SPDX lines of its licenses."""
     checkpoint_dir(docs.sparkSession)
-    known = Templates(TEMPLATES if templates is None else templates, least)
+    known = Templates(with_identifiers(TEMPLATES) if templates is None else templates, least)
     src = docs.select(F.col(id_col).cast("bigint").alias(id_col), F.col(text_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, out, part, own, size = b.column(0).to_pylist(), [], [], [], 0
-
-            def flush():
-                out.extend((own[t], *rest) for t, *rest in scan_texts(part, known)) if part else None
-                part.clear()
-                own.clear()
-
-            for i, t in zip(ids, b.column(1), strict=True):
-                s = t.as_py()
-                if not s:
-                    continue
-                part.append(s)
-                own.append(i)
-                size += len(s)
-                if size > CHUNK:
-                    flush()
-                    size = 0
-            flush()
-            cols = list(zip(*out, strict=True)) if out else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.int64()), strict=True)],
-                                             [id_col, "license", "containment", "first_word", "n_windows"])
-
-    return src.mapInArrow(run, f"`{id_col}` bigint, license string, containment double, first_word bigint, n_windows bigint")
+            out = list(scan_bytes(column_bytes(b.column(1)), known))
+            at, name, *rest = zip(*out, strict=True) if out else [()] * 5
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).take(pa.array(at, pa.int64())), pa.array(map(license_of, name), pa.string()), pa.array(name, pa.string()),
+                 *(pa.array(c, k) for c, k in zip(rest, (pa.float64(), pa.int64(), pa.int64()), strict=True))],
+                [id_col, "license", "template", "containment", "first_word", "n_windows"])
+
+    return src.mapInArrow(tidy(run), f"`{id_col}` bigint, license string, template string, containment double, first_word bigint, n_windows bigint")

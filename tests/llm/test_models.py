@@ -1,7 +1,10 @@
 """Language and quality models, nearest neighbours and license scans."""
 
 import itertools
+import subprocess
+import sys
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -13,6 +16,7 @@ from quarry.sources.tables import table
 from .conftest import prose, rows_of
 
 SF = "/root/testdata/sf0.01"
+ROOT = Path(__file__).resolve().parents[2]
 
 
 def rest(doc_id, parts):
@@ -182,7 +186,7 @@ def test_license_scan(spark, docs, clashing, none):
     words = mit.split()
     rows = [(1, prose(1, 200) + " " + mit + " " + prose(2, 90)), (2, gpl.upper().replace(" ", "\n")), (3, " ".join(words[:60] + ["altered"] + words[60:])),
             (4, " ".join(words[:30])), (5, prose(3, 500)), (6, None), (7, ""), (8, "MIT License"), (9, gpl + " " + prose(4, 3000) + " " + mit), (9, "x " + gpl)]
-    got = rows_of(license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id bigint, text string")), "doc_id", "license")
+    got = rows_of(license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id bigint, text string")), "doc_id", "template")
     assert got == [(1, "MIT"), (2, "GPL-3.0-notice"), (3, "MIT"), (9, "GPL-3.0-notice"), (9, "GPL-3.0-notice"), (9, "MIT")]
     assert license_scan.scan_licenses(none).count() == 0
     own = {"t": " ".join(docs.where("doc_id = 3").first().text.split()[5:25])}
@@ -195,17 +199,15 @@ def test_license_scan(spark, docs, clashing, none):
 
 def test_license_scan_against_all_windows(spark):
     rows = table(spark, SF, "documents").select("doc_id", "text").collect()
-    t = license_scan.Templates(license_scan.TEMPLATES)
+    t = license_scan.Templates(license_scan.with_identifiers(license_scan.TEMPLATES))
     want = set()
     for r in rows:
         words = license_scan.words_of(r.text)
         every = license_scan.shingles_of(words)
-        for step, of in t.steps.items():
-            for name, _ in of:
-                need = t.shingles[name]
-                if need & every and any(len(need & license_scan.shingles_of(words[p:p + 2 * step + 4])) >= 0.8 * len(need) for p in range(0, len(words) - 4, step)):
-                    want.add((r.doc_id, name))
-    got = set(rows_of(license_scan.scan_licenses(table(spark, SF, "documents")), "doc_id", "license"))
+        for name, need in t.shingles.items():
+            if need & every and any(len(need & license_scan.shingles_of(words[p:p + 2 * len(need) + 4])) >= 0.8 * len(need) for p in range(len(words) - 4)):
+                want.add((r.doc_id, name))
+    got = set(rows_of(license_scan.scan_licenses(table(spark, SF, "documents")), "doc_id", "template"))
     assert got == want and got
 
 
@@ -224,14 +226,56 @@ def test_license_scan_at_every_place():
         assert [(n, s) for _, n, s, _, _ in license_scan.scan_texts([whole], t)] == [("GPL-3.0", best)]
 
 
+def test_license_scan_of_long_texts(monkeypatch):
+    """Cut into overlapping pieces, with words longer than a piece, the result is that of one piece."""
+    t = license_scan.Templates(license_scan.with_identifiers(license_scan.TEMPLATES))
+    forms = list(license_scan.TEMPLATES.values())
+    texts = ["; ".join(f"{prose(100 * seed + i, 37 + 11 * i)} {f}" for i, f in enumerate(forms[seed::4])) for seed in range(4)]
+    texts[1] = texts[1].replace(" ", " " + "x" * 9000 + " ", 3) + "y" * 20_000 + " " + forms[0]
+    want = list(license_scan.scan_texts(texts, t))
+    monkeypatch.setattr(license_scan, "SIGNED", 50)
+    for chunk in (700, 3001):
+        monkeypatch.setattr(license_scan, "CHUNK", chunk)
+        assert list(license_scan.scan_texts(texts, t)) == want
+    assert len(want) >= len(forms) - 12
+
+
+def test_license_scan_memory():
+    """A text of 100 million characters takes a small multiple of its bytes."""
+    code = """
+import resource, sys
+from quarry.llm import license_scan as s
+t = s.Templates(s.TEMPLATES)
+text = b"some words that nobody licensed to anyone " * 2_400_000
+text += s.TEMPLATES["MIT"].encode()
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+assert [m[1] for m in s.scan_bytes([text], t)] == ["MIT"]
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) >> 10)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=ROOT, check=True)
+    assert int(out.stdout) < 400
+
+
+def test_band_tables():
+    """Windows are found by their bands alone: as often as the bound on the similarity asks for."""
+    many = {f"t{i}": prose(i, 12 + i % 60) for i in range(600)}
+    t = license_scan.Templates(many)
+    assert t.rows == 2 and t.bands >= license_scan.bands_needed([40], 0.8, 0.9999, 2)
+    texts = [f"{prose(1000 + i, 50)} {text} {prose(2000 + i, 30)}" for i, text in enumerate(many.values())]
+    got = {(i, n) for i, n, *_ in license_scan.scan_texts(texts, t)}
+    assert got >= {(i, n) for i, n in enumerate(many)}
+
+
 @pytest.mark.parametrize(("text", "licenses"), [
+    ("This project is licensed under Apache License 2.0", {"Apache-2.0"}), ("SPDX-License-Identifier: BSD-3-Clause", {"BSD-3-Clause"}),
+    ("made available under the terms of the Eclipse Public License - v 2.0", {"EPL-2.0"}),
     ("Licensed under the MIT License.", {"MIT"}), ("Licensed under CC BY 4.0", {"CC-BY-4.0"}), ("Licensed under the ISC License", {"ISC"}),
     ("Licensed under CC0 1.0 Universal", {"CC0-1.0"}), ("This library is under the GNU Lesser General Public License, version 2.1.", {"LGPL-2.1"}),
     ("Licensed under the BSD 3-Clause License", {"BSD-3-Clause"}), ("Licensed under the Mozilla Public License, version 2.0", {"MPL-2.0"}),
     ("This work is licensed under the GNU General Public License, version 2.", {"GPL-2.0"}),
     ("This work is licensed under the GNU General Public License, version 3.", {"GPL-3.0"}), ("under the GNU General Public License v2", {"GPL-2.0"})])
 def test_license_notices(text, licenses):
-    t = license_scan.Templates(license_scan.TEMPLATES)
+    t = license_scan.Templates(license_scan.with_identifiers(license_scan.TEMPLATES))
     for whole in (text, prose(1, 45) + " " + text + " " + prose(2, 70)):
         assert {license_scan.license_of(n) for _, n, *_ in license_scan.scan_texts([whole], t)} == licenses
 
