@@ -3,7 +3,8 @@
 Every line is good or bad.  A line is described by its own features and those of its
 neighbours; the chain weighs whether good or bad lines follow each other.  Training lines
 carry their document's label.  A document's score is the mean of its lines' marginal
-probability of being good, by forward-backward, weighted by line length.
+probability of being good, by forward-backward, weighted by line length.  A text beyond CHUNK
+characters is scored in runs of lines, a line beyond it in pieces, with the chain's state carried on.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ from quarry.session import bounded, checkpoint_dir
 
 #: Documents of either label in the training sample, on average, and the longest text in it.
 SAMPLE, LONGEST = 1000, 100_000
-#: Characters of text whose lines are scored at once.
-CHUNK = 2 << 20
+#: Characters of text whose lines are scored at once; lines of a long text whose marginals are taken at once.
+CHUNK, BLOCK = 2 << 20, 1 << 16
 GOOD_FROM = 0.3
 
 UPPER, LOWER, DIGIT, SPACE, STOP, SIGN, WIDE = range(7)
@@ -42,11 +43,12 @@ KIND = _kinds()
 NAMES = ("bias", "empty", "log_length", "log_words", "word_length", "upper", "digits", "spaces", "stops", "signs", "wide",
          "signs_a_word", "all_caps_words", "doubled_signs", "pipes", "same_line_share", "same_word_share", "ends_stop",
          "starts_upper", "starts_lower", "long_word", "first", "last", "alone")
+SAME, FIRST, LAST, ALONE = (NAMES.index(n) for n in ("same_line_share", "first", "last", "alone"))
 
 
-def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(features of every line, characters of every line, lines of every text); a text has at
-    least one line."""
+def _counted(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(features that need no other line, characters of every line, lines of every text, 32-bit hash of every
+    line); a text has at least one line."""
     joined = "\n".join(texts)
     code = np.frombuffer((joined + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
     kind = KIND[np.minimum(code, 0x250)]
@@ -55,7 +57,6 @@ def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     length = (end - start).astype(np.float64)
     size = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
     lines = np.diff(np.searchsorted(start, np.concatenate([[0], np.cumsum(size)])))
-    doc = np.repeat(np.arange(len(texts)), lines)
 
     line = np.repeat(np.arange(len(end), dtype=np.int32), (end + 1 - start))
     count = np.bincount(line * np.int32(8) + kind, minlength=8 * len(end)).reshape(-1, 8).astype(np.float64)
@@ -64,15 +65,9 @@ def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     def total(mask: np.ndarray) -> np.ndarray:
         return np.bincount(line[np.flatnonzero(mask)], minlength=len(end)).astype(np.float64)
 
-    solid = kind != SPACE
-    turn = np.flatnonzero(solid[1:] != solid[:-1]) + 1
-    if solid[0]:
-        turn = np.concatenate([[0], turn])
-    at, stop = turn[::2], turn[1::2]  # words; the text ends with a line's end
+    at, stop = _words(kind)  # the text ends with a line's end
     of = line[at]
     words = np.bincount(of, minlength=len(end)).astype(np.float64)
-    per = np.maximum(length, 1)
-    n_upper, n_lower, n_signs = count[:, UPPER], count[:, LOWER], count[:, SIGN]
     sign = kind == SIGN
     # Words by a hash, to see repeats inside a line.
     sums = _sums(code)
@@ -83,25 +78,105 @@ def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     if len(at):
         begin = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
         longest[of[begin]] = np.maximum.reduceat(stop - at, begin)
-    # Lines by a hash, to see lines that the same text repeats.
-    whole = (doc.astype(np.uint64) << np.uint64(32)) | _spans(sums, start, end)
-    _, number, times = np.unique(whole, return_inverse=True, return_counts=True)
     head = kind[np.minimum(start, len(kind) - 1)]
     tail = kind[np.maximum(end - 1, 0)]
+    x = _assembled(length, words, count, total(sign[1:] & sign[:-1]), total(code == 124), distinct, longest, head, tail)
+    return x, length, lines, _spans(sums, start, end)
+
+
+def _words(kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of each run of signs other than space; one that reaches the end has its end there."""
+    solid = np.concatenate([[False], kind != SPACE, [False]])
+    turn = np.flatnonzero(solid[1:] != solid[:-1])
+    return turn[::2], turn[1::2]
+
+
+def _assembled(length, words, count, doubled, pipes, distinct, longest, head, tail) -> np.ndarray:
+    """Features NAMES of lines; the share of equal lines and the place in the text are zero yet."""
+    per, none = np.maximum(length, 1), np.zeros(len(length))
+    n_upper, n_lower, n_signs = count[:, UPPER], count[:, LOWER], count[:, SIGN]
     some = length > 0
-    edge = np.cumsum(lines)
-    first, last = np.zeros(len(end)), np.zeros(len(end))
-    first[edge - lines], last[edge - 1] = 1, 1
-    x = np.stack([
-        np.ones(len(end)), ~some, np.log1p(length) / 8, np.log1p(words) / 6, np.minimum(length / np.maximum(words, 1), 40) / 20,
+    return np.stack([
+        np.ones(len(length)), ~some, np.log1p(length) / 8, np.log1p(words) / 6, np.minimum(length / np.maximum(words, 1), 40) / 20,
         n_upper / per * 2, count[:, DIGIT] / per * 2, count[:, SPACE] / per * 2, count[:, STOP] / per * 4, n_signs / per * 4,
         count[:, WIDE] / per, np.minimum(n_signs / np.maximum(words, 1), 4) / 2, (n_upper > 2 * n_lower) & (n_upper > 2),
-        total(sign[1:] & sign[:-1]) / per * 4, total(code == 124) / per * 8,
-        (times[number] - 1) / np.maximum(lines[doc], 1) * some, 1 - distinct / np.maximum(words, 1), some & (tail == STOP),
-        some & (head == UPPER), some & (head == LOWER), np.minimum(longest, 60) / 30, first, last, first * last], axis=1).astype(np.float32)
+        doubled / per * 4, pipes / per * 8, none, 1 - distinct / np.maximum(words, 1), some & (tail == STOP),
+        some & (head == UPPER), some & (head == LOWER), np.minimum(longest, 60) / 30, none, none, none], axis=1).astype(np.float32)
+
+
+def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(features of every line, characters of every line, lines of every text); a text has at
+    least one line."""
+    x, length, lines, key = _counted(texts)
+    doc = np.repeat(np.arange(len(texts)), lines)
+    # Lines by a hash, to see lines that the same text repeats.
+    _, number, times = np.unique((doc.astype(np.uint64) << np.uint64(32)) | key, return_inverse=True, return_counts=True)
+    x[:, SAME] = (times[number] - 1) / np.maximum(lines[doc], 1) * (length > 0)
+    edge = np.cumsum(lines)
+    x[edge - lines, FIRST], x[edge - 1, LAST] = 1, 1
+    x[:, ALONE] = x[:, FIRST] * x[:, LAST]
     return x, length, lines
 
 
+def _long_line(text: str, start: int, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As _counted for text[start:end], one line of any length, a piece of CHUNK characters at a time."""
+    count, doubled, pipes, longest, words = np.zeros(8), 0, 0, 0, 0
+    keys, head, tail = np.zeros(0, np.uint64), None, SPACE
+    whole, word = _Span(), _Span()
+    for at in range(start, end, CHUNK):
+        code = np.frombuffer(text[at:min(end, at + CHUNK)].encode("utf-32-le", "surrogatepass"), np.uint32)
+        kind = KIND[np.minimum(code, 0x250)]
+        count += np.bincount(kind, minlength=8)
+        sign = kind == SIGN
+        doubled += int(np.count_nonzero(sign[1:] & sign[:-1])) + int(tail == SIGN and sign[0])
+        pipes += int(np.count_nonzero(code == 124))
+        head = kind[0] if head is None else head
+        sums = _sums(code)
+        whole.extend(sums, 0, len(code))
+        a, b = _words(kind)
+        done = []
+        if word.length and (not len(a) or a[0] > 0):  # the open word ended with the piece before
+            done.append(word)
+            word = _Span()
+        if len(a):
+            longest = max(longest, int((b - a).max()))
+            lone = [0] if word.length else []
+            if b[-1] == len(code) and lone != [len(a) - 1]:
+                lone.append(len(a) - 1)  # may go on in the next piece
+            inner = slice(len(lone) and int(lone[0] == 0), len(a) - int(bool(lone) and lone[-1] == len(a) - 1))
+            for i in lone:
+                word.extend(sums, int(a[i]), int(b[i]))
+                if b[i] < len(code):
+                    done.append(word)
+                    word = _Span()
+            keys = np.unique(np.concatenate([keys, _spans(sums, a[inner], b[inner])]))
+            words += len(a[inner])
+        tail = kind[-1]
+        for w in done:
+            words, longest, keys = words + 1, max(longest, w.length), np.append(keys, w.key())
+    if word.length:
+        words, longest, keys = words + 1, max(longest, word.length), np.append(keys, word.key())
+    one = lambda v: np.array([v], np.float64)
+    x = _assembled(one(end - start), one(words), count[None], one(doubled), one(pipes), one(len(np.unique(keys))), one(longest),
+                   np.array([head]), np.array([tail]))
+    return x, one(end - start), np.array([1]), np.array([whole.key()], np.uint64)
+
+
+class _Span:
+    """Hash of a span of code points that is read in pieces, equal to that of _spans."""
+
+    def __init__(self):
+        self.sum, self.length = 0, 0
+
+    def extend(self, sums: tuple[np.ndarray, np.ndarray], start: int, end: int) -> None:
+        flat, placed = (int(v[end]) - int(v[start]) for v in sums)
+        self.sum += placed + flat * (self.length - start)
+        self.length += end - start
+
+    def key(self) -> np.uint64:
+        return _closed(np.array([self.sum & (1 << 64) - 1], np.uint64), np.array([self.length]))[0]
+
+
 def _sums(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Running sums of hashed characters, plain and weighed by their place."""
     h = (code.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
@@ -116,8 +191,11 @@ def _sums(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _spans(sums: tuple[np.ndarray, np.ndarray], start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """32-bit hash of each span of code points, from differences of the running sums."""
     flat, placed = sums
-    out = (placed[end] - placed[start]) - (flat[end] - flat[start]) * start.astype(np.uint64)
-    out += (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    return _closed((placed[end] - placed[start]) - (flat[end] - flat[start]) * start.astype(np.uint64), end - start)
+
+
+def _closed(out: np.ndarray, length: np.ndarray) -> np.ndarray:
+    out = out + length.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
     return (out ^ (out >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(32)
 
 
@@ -167,17 +245,90 @@ def marginals(unary: np.ndarray, step: np.ndarray, lines: np.ndarray) -> tuple[n
     return one, pair, second
 
 
+def _runs(text: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """_counted of runs of whole lines of about CHUNK characters."""
+    at = 0
+    while at <= len(text):
+        cut = len(text) if len(text) - at <= CHUNK else text.rfind("\n", at, at + CHUNK)
+        if cut >= 0:
+            yield _counted([text[at:cut]])
+        else:
+            cut = text.find("\n", at + CHUNK)
+            cut = len(text) if cut < 0 else cut
+            yield _long_line(text, at, cut)
+        at = cut + 1
+
+
+def chain_means(unary: np.ndarray, step: np.ndarray, weight: np.ndarray) -> float:
+    """Weighted mean of the second state's marginals in one chain, BLOCK lines at a time."""
+    t = np.exp(step - step.max())
+
+    def moves(low: int, high: int) -> np.ndarray:
+        own = unary[low:high]
+        m = t[None] * np.exp(own - own.max(axis=1, keepdims=True))[:, None, :]
+        if low == 0:
+            m[0] = m[0] / t * 0.5
+        return m / m.sum(axis=(1, 2), keepdims=True)
+
+    starts, before, forward = range(0, len(unary), BLOCK), np.ones(2), []
+    for low in starts:
+        forward.append(before)
+        m = moves(low, low + BLOCK)
+        before = before @ _running(m, np.arange(len(m)))[-1]
+        before = before / before.sum()
+    total, after = 0.0, np.ones(2)
+    for low in reversed(starts):
+        m = moves(low, low + BLOCK)
+        alpha = forward[low // BLOCK] @ _running(m, np.arange(len(m)))
+        back = _running(m.transpose(0, 2, 1)[::-1], np.arange(len(m)))[::-1]  # products to the block's end, transposed
+        reach = after @ back
+        beta = np.concatenate([reach[1:] / reach[1:].sum(axis=1, keepdims=True), after[None]])
+        one = alpha * beta
+        total += float((one[:, 1] / one.sum(axis=1) * weight[low:low + BLOCK]).sum())
+        after = reach[0] / reach[0].sum()
+    return total / float(weight.sum())
+
+
 @dataclass
 class LineCrf:
     weights: np.ndarray  # features x 2
     step: np.ndarray  # 2 x 2, from row to column; 1 is good
 
     def scores(self, texts: list[str]) -> np.ndarray:
-        x, length, lines = line_features(texts)
+        """Score of each text; the result does not depend on the texts beside it, nor on CHUNK but for rounding."""
+        out = np.array([self._long(t) if len(t) > CHUNK else 0.0 for t in texts])
+        short = [i for i, t in enumerate(texts) if len(t) <= CHUNK]
+        if not short:
+            return out
+        x, length, lines = line_features([texts[i] for i in short])
         one, _, _ = marginals(with_neighbours(x, lines) @ self.weights, self.step, lines)
         weight = length + (np.repeat(np.add.reduceat(length, np.cumsum(lines) - lines), lines) == 0)
         at = np.cumsum(lines) - lines
-        return np.clip(np.add.reduceat(one[:, 1] * weight, at) / np.add.reduceat(weight, at), 0, 1)
+        out[short] = np.add.reduceat(one[:, 1] * weight, at) / np.add.reduceat(weight, at)
+        return np.clip(out, 0, 1)
+
+    def _long(self, text: str) -> float:
+        n = text.count("\n") + 1
+        key, length, at = np.zeros(n, np.uint32), np.zeros(n, np.int64), 0
+        for _, size, _, own in _runs(text):
+            key[at:at + len(own)], length[at:at + len(own)] = own, size
+            at += len(own)
+        known, times = np.unique(key, return_counts=True)
+        unary, at, k = np.zeros((n, 2)), 0, len(NAMES)
+        for x, size, _, own in _runs(text):
+            x[:, SAME] = (times[np.searchsorted(known, own.astype(np.uint32))] - 1) / n * (size > 0)
+            if at == 0:
+                x[0, FIRST] = 1
+            if at + len(x) == n:
+                x[-1, LAST] = 1
+            x[:, ALONE] = x[:, FIRST] * x[:, LAST]
+            end = at + len(x)
+            unary[at:end] += x @ self.weights[:k]
+            unary[at + 1:end + 1] += x[:n - at - 1] @ self.weights[k:2 * k]  # as the line before
+            unary[max(0, at - 1):end - 1] += x[at == 0:] @ self.weights[2 * k:]  # as the line after
+            at = end
+        weight = length.astype(np.float64) if length.any() else np.ones(n)
+        return min(1.0, max(0.0, chain_means(unary, self.step, weight)))
 
 
 def train_crf(texts: list[str], label: np.ndarray, rounds: int = 150, rate: float = 0.05, l2: float = 1e-4) -> LineCrf:
@@ -266,7 +417,7 @@ def held_out(remainder: int, parts: int):
 def quality(docs: DataFrame, labels: DataFrame, good_from: float = GOOD_FROM) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, score, predicted.  Learns labels only from rows
     that are not held out; labels, lang, source and doc_id play no part in a score.  Repeated
-    rows stay repeated, an empty table gives an empty result, other columns are not read."""
+    rows stay repeated, an empty table gives an empty result, very long texts are scored whole, other columns are not read."""
     rows = docs.withColumn("held_out", held_out(0, 5))
     model = train(docs, labels.where(~held_out(0, 5)))
     out = score(rows, model, ("doc_id", "held_out"))

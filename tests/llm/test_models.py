@@ -126,6 +126,41 @@ def test_chain_marginals():
         at += n
 
 
+def test_scores_of_long_texts(monkeypatch):
+    """In runs of lines and pieces of lines, a text has the score that it has at once."""
+    rng = np.random.default_rng(3)
+    model = line_crf.LineCrf(rng.normal(0, 0.7, (3 * len(line_crf.NAMES), 2)), rng.normal(0, 1, (2, 2)))
+    texts = ["\n".join(f"{prose(10 * k + i, 3 + 17 * (i % 4))}{'||' * (i % 3)}" + "\n" * (i % 5 == 4) for i in range(40)) for k in range(3)]
+    texts += ["\n" * 500, "x" * 700 + " " + "ab! " * 300 + "y" * 999, "  " + "Ünter " * 400 + "\n" + "!!" * 600 + "\n", "same line here\n" * 60 + "中" * 400]
+    want = model.scores(texts)
+    for chunk, block in ((64, 7), (101, 1), (300, 64)):
+        monkeypatch.setattr(line_crf, "CHUNK", chunk)
+        monkeypatch.setattr(line_crf, "BLOCK", block)
+        assert np.allclose(model.scores(texts), want, rtol=0, atol=1e-6)
+        for t in texts:  # features of one long line, pieces against whole
+            line = t.replace("\n", " ")
+            got, whole = line_crf._long_line(line, 0, len(line)), line_crf._counted([line])
+            assert all(np.array_equal(a, b) for a, b in zip(got, whole, strict=True))
+
+
+@pytest.mark.parametrize("text", ['"some words of a line, and more of them\\n" * 600_000', '"no end of words " * 6_000_000', '"x" * 100_000_000'])
+def test_score_memory(text):
+    """Texts of 25 and 100 million characters take a small multiple of their size."""
+    code = f"""
+import resource
+import numpy as np
+from quarry.llm import line_crf as c
+rng = np.random.default_rng(3)
+model = c.LineCrf(rng.normal(0, 0.7, (3 * len(c.NAMES), 2)), rng.normal(0, 1, (2, 2)))
+text = {text}
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+assert 0 <= model.scores([text])[0] <= 1
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) >> 10)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=ROOT, check=True)
+    assert int(out.stdout) < 700
+
+
 def test_scores_do_not_depend_on_neighbours_in_the_batch():
     texts = [prose(i, 20) + "\n" + prose(-i, 9).upper() for i in range(12)] + ["", "\n\n"]
     crf = line_crf.train_crf(texts, np.arange(14) % 2, rounds=5)
