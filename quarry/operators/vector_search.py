@@ -18,6 +18,7 @@ payload columns for the k winners only.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator, Sequence
 
@@ -275,6 +276,11 @@ def cosine_expr(a: str, b: str):
     return F.when((na > 0) & (nb > 0), dot / (na * nb))
 
 
+def sign_planes(n: int, dim: int, seed: int) -> np.ndarray:
+    """n x dim of 1 and -1: 1 where the md5 of ``seed|plane|component`` begins with 8 to f."""
+    return np.array([[1.0 if hashlib.md5(f"{seed}|{i}|{j}".encode()).digest()[0] >> 7 else -1.0 for j in range(dim)] for i in range(n)]).reshape(n, dim)
+
+
 def lsh_signatures(df: DataFrame, id_cols, vector_col: str, dim: int, bands: int = 8, bits: int = 8,
                    seed: int = 17, probes: int = 1) -> DataFrame:
     """Sign-random-projection signatures (Charikar 2002): one row per (row, band, signature).
@@ -282,11 +288,11 @@ def lsh_signatures(df: DataFrame, id_cols, vector_col: str, dim: int, bands: int
     With ``probes`` above 1 each band also has the neighbouring signatures (at most two bits
     flipped) whose flipped projections are the smallest (Lv et al. 2007).
 
-    The hyperplanes are a seeded (bands*bits x dim) matrix, tiny and fixed by the
-    parameters, so it travels in the task closure; numpy does the projection per
-    Arrow batch.
+    The hyperplanes are a (bands*bits x dim) matrix of signs (Achlioptas 2003), each from an md5 of
+    its place, so that SQL can state them.  The matrix is tiny and fixed by the parameters: it travels in the
+    task closure, and numpy does the projection per Arrow batch.
     """
-    planes = np.random.default_rng(seed).standard_normal((bands * bits, dim))
+    planes = sign_planes(bands * bits, dim, seed)
     weights = (1 << np.arange(bits)).astype(np.int64)
     masks = np.array([0, *(1 << i for i in range(bits)), *(1 << i | 1 << j for i in range(bits) for j in range(i))])
     probes = min(probes, len(masks))

@@ -12,7 +12,7 @@ from quarry.plans import fixtures as fx
 from quarry.plans.registry import register
 from quarry.session import cut_lineage
 from quarry.plans.sql_fragments import (
-    LINE_INDEX_SQL, SEARCH_QUERIES_SQL, bucket_counts_sql, lexical_sql, postings_sql, query_terms_sql,
+    LINE_INDEX_SQL, SEARCH_QUERIES_SQL, VECTOR_INDEX_SQL, bucket_counts_sql, lexical_sql, postings_sql, query_terms_sql,
 )
 
 LEX_CTE = lexical_sql(postings_sql("SELECT * FROM idx"), query_terms_sql("SELECT * FROM q"))
@@ -123,7 +123,33 @@ def q_hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
                               "vector_rank", "lexical_rank", "hybrid_score", "hybrid_rank"))
 
 
-@register("vector_topk_lsh")
+# 16 bands of 6 planes; a query also looks where either of its two least certain bits is flipped.
+LSH_CTES = f"""
+WITH idx AS (SELECT source_path, chunk_index, embedding FROM ({VECTOR_INDEX_SQL}) WHERE embedding IS NOT NULL),
+plane AS (
+    SELECT p, list(CASE WHEN md5('17|' || p || '|' || j) >= '8' THEN 1::DOUBLE ELSE -1::DOUBLE END ORDER BY j) AS signs
+    FROM (SELECT unnest(range(96)) AS p), (SELECT unnest(range((SELECT max(len(embedding)) FROM embeddings))) AS j) GROUP BY p),
+side AS (
+    SELECT vec_id, p // 6 AS band, p % 6 AS bit, list_dot_product(CAST(embedding AS DOUBLE[]), signs) AS s FROM embeddings, plane),
+sig AS (SELECT vec_id, band, sum(CASE WHEN s > 0 THEN 1 << bit ELSE 0 END) AS sig FROM side GROUP BY ALL),
+flip AS (
+    SELECT vec_id, band, 1 << bit AS mask FROM side QUALIFY row_number() OVER (PARTITION BY vec_id, band ORDER BY s * s, bit) <= 2
+    UNION ALL SELECT vec_id, band, 0 FROM sig),
+item AS (SELECT source_path, chunk_index, band, sig FROM ({VECTOR_INDEX_SQL.replace("e.embedding", "e.embedding, e.vec_id")}) JOIN sig USING (vec_id)),
+cand AS (
+    SELECT DISTINCT f.vec_id AS query_id, i.source_path, i.chunk_index
+    FROM flip f JOIN sig s ON f.vec_id = s.vec_id AND f.band = s.band
+         JOIN item i ON i.band = f.band AND i.sig = xor(CAST(s.sig AS BIGINT), CAST(f.mask AS BIGINT))),
+scored AS (
+    SELECT query_id, source_path, chunk_index, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(i.embedding AS DOUBLE[])) AS sim
+    FROM cand JOIN embeddings q ON q.vec_id = query_id JOIN idx i USING (source_path, chunk_index)),
+near AS (
+    SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, source_path, chunk_index) AS INTEGER) AS rank
+    FROM scored QUALIFY rank <= 5)
+"""
+
+
+@register("vector_topk_lsh", f"{LSH_CTES} SELECT query_id, rank, source_path, chunk_index, round(sim, 6) AS similarity FROM near")
 def q_vector_topk_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Approximate top-5 with sign-random-projection bands, re-ranked exactly."""
     from quarry.operators.vector_search import vector_topk_lsh
@@ -131,7 +157,13 @@ def q_vector_topk_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("similarity", F.round("similarity", 6))
 
 
-@register("lsh_recall")
+@register("lsh_recall", f"""{LSH_CTES},
+exact AS (
+    SELECT q.vec_id AS query_id, source_path, chunk_index FROM embeddings q, idx i
+    QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(i.embedding AS DOUBLE[])) DESC,
+                                                             source_path, chunk_index) <= 5)
+SELECT count(*) AS exact_rows, count(n.rank) AS found, count(n.rank) / count(*) AS recall
+FROM exact e LEFT JOIN near n USING (query_id, source_path, chunk_index)""")
 def q_lsh_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recall@5 of the LSH search against the exact search over the same tables."""
     from quarry.operators.vector_search import recall_at_k, vector_topk, vector_topk_lsh

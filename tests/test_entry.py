@@ -2,7 +2,7 @@
 
 import __spark_entry__ as entry_mod
 
-ROWS_ONLY = {"cell_search", "lsh_recall", "vector_topk_lsh"}
+ROWS_ONLY = {"cell_search"}
 
 
 def test_entry_runs(spark):
