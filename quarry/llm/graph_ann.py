@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 
 from quarry.session import checkpoint_dir, write_table
 
-#: Rows of a shard and of a query block on average; edges of a vector; beam while building and while searching.
-SHARD, QUERIES, DEGREE, BEAM, SEARCH_BEAM = 4096, 512, 32, 64, 96
+#: Rows of a shard and of a query block (about as many bytes as a shard's graph) on average; edges of a vector;
+#: beam while building and while searching.
+SHARD, QUERIES, DEGREE, BEAM, SEARCH_BEAM = 4096, 4096, 32, 64, 96
 ALPHA = 1.2
 _BATCH = 256
 
@@ -165,7 +166,9 @@ def build_index(rows: DataFrame, shard_rows: int = SHARD, degree: int = DEGREE,
 
 
 def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Row by row, in double precision."""
+    """Row by row, in double precision.  Powers of two scale each row to components of at most 1, exactly, so
+    that no square overflows or vanishes."""
+    a, b = (np.ldexp(v, -np.frexp(np.abs(v).max(axis=1, keepdims=True))[1]) if v.size else v for v in (a, b))
     return np.einsum("ij,ij->i", a, b) / (np.sqrt(np.einsum("ij,ij->i", a, a)) * np.sqrt(np.einsum("ij,ij->i", b, b)))
 
 

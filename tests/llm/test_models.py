@@ -207,6 +207,15 @@ def test_nearest(spark, vectors):
     assert graph_ann.nearest(vectors.limit(0), F.col("id") % 50 == 0).count() == 0
 
 
+def test_cosine_of_any_length():
+    rng = np.random.default_rng(5)
+    a, b = rng.normal(size=(50, 7)), rng.normal(size=(50, 7))
+    want = graph_ann.cosine(a, b)
+    assert np.allclose(want, (a * b).sum(axis=1) / np.linalg.norm(a, axis=1) / np.linalg.norm(b, axis=1))
+    for x, y in ((1e300, 1e-200), (1e-300, 1e308), (2.0 ** 500, 2.0 ** -900)):
+        assert np.allclose(graph_ann.cosine(a / 9 * x, b / 9 * y), want, atol=1e-9)
+
+
 def test_recall_on_the_embeddings(spark):
     e = table(spark, SF, "embeddings")
     want = cosine_brute(e, 50, 5)
