@@ -143,10 +143,13 @@ def build_index(rows: DataFrame, shard_rows: int = SHARD, degree: int = DEGREE,
     sizes = {r["dim"]: r["count"] for r in rows.groupBy("dim").count().collect()}  # one row a dimension
     if not sizes:
         return rows.sparkSession.createDataFrame([], "dim int, shard int, graph binary")
-    shards = F.create_map(*[F.lit(x) for d, n in sizes.items() for x in (d, max(1, -(-n // shard_rows)))])
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("id"), shards[F.col("dim")]).cast("int"))
+    many = {d: max(1, -(-n // shard_rows)) for d, n in sorted(sizes.items())}
+    before = {d: sum(m for e, m in many.items() if e < d) for d in many}
+    of = lambda numbers: F.create_map(*[F.lit(x) for item in numbers.items() for x in item])[F.col("dim")]
+    # Rows of a repeated id are dealt by their vectors too.
+    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("id", "vec"), of(many)).cast("int")).withColumn("cell", of(before) + F.col("shard"))
 
-    def build(key: tuple, table: pa.Table) -> pa.Table:
+    def build(table: pa.Table) -> pa.Table:
         ids = table["id"].to_numpy()
         vec = table["vec"].combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
         order = np.argsort(ids, kind="stable")
@@ -158,11 +161,10 @@ def build_index(rows: DataFrame, shard_rows: int = SHARD, degree: int = DEGREE,
         unit = (unit / np.sqrt((unit * unit).sum(axis=1, keepdims=True))).astype(np.float32)
         edges, start = build_graph(unit, degree, beam, alpha)
         graph = _bytes(unit=unit, own=own, edges=edges, start=np.array(start), ids=ids[by_node], at=np.searchsorted(node[by_node], np.arange(len(first) + 1)))
-        return pa.table({"dim": pa.array([key[0].as_py()], pa.int32()), "shard": pa.array([key[1].as_py()], pa.int32()), "graph": [graph]})
+        return pa.table({"dim": table["dim"][:1], "shard": table["shard"][:1], "graph": [graph]})
 
-    # Bytes do not show the work of a shard: each has a partition of its own, which is not merged with others.
-    n = sum(max(1, -(-c // shard_rows)) for c in sizes.values())
-    return dealt.repartition(n, "dim", "shard").groupBy("dim", "shard").applyInArrow(build, "dim int, shard int, graph binary")
+    # Bytes do not show the work of a shard: each has a partition of its own, by number and not by hash.
+    return dealt.repartitionById(sum(many.values()), "cell").groupBy("cell").applyInArrow(build, "dim int, shard int, graph binary")
 
 
 def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
