@@ -29,7 +29,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarry.session import cut_lineage
+
 DEFAULT_BROADCAST_BYTES = 256 << 20
+LSH_ROWS = 8192  # queries or items of a bucket scored in one task
 SCORE_CELLS = 1 << 22  # entries of one query x item score block (32 MB of float64)
 
 
@@ -297,10 +300,9 @@ def lsh_signatures(df: DataFrame, id_cols, vector_col: str, dim: int, bands: int
     masks = np.array([0, *(1 << i for i in range(bits)), *(1 << i | 1 << j for i in range(bits) for j in range(i))])
     probes = min(probes, len(masks))
     flips = (masks[:, None] >> np.arange(bits)) & 1
-    ids = list(id_cols)
+    ids = list(id_cols)  # may hold the vector too
     schema = T.StructType([*[df.schema[c] for c in ids], T.StructField("band", T.IntegerType()),
                            T.StructField("sig", T.LongType())])
-    arrow_schema = pa.schema([pa.field(f.name, _arrow_type(f.dataType)) for f in schema.fields])
 
     def project(batches):
         for batch in batches:
@@ -316,9 +318,9 @@ def lsh_signatures(df: DataFrame, id_cols, vector_col: str, dim: int, bands: int
             cols = [batch.column(c).take(pa.array(rows)) for c in ids]
             yield pa.RecordBatch.from_arrays(
                 cols + [pa.array(np.tile(np.repeat(np.arange(bands, dtype=np.int32), probes), batch.num_rows)),
-                        pa.array(sig.reshape(-1).astype(np.int64))], schema=arrow_schema)
+                        pa.array(sig.reshape(-1).astype(np.int64))], names=[*ids, "band", "sig"])
 
-    return df.where(F.col(vector_col).isNotNull()).select(*ids, vector_col).mapInArrow(project, schema)
+    return df.where(F.col(vector_col).isNotNull()).select(*dict.fromkeys([*ids, vector_col])).mapInArrow(project, schema)
 
 
 def vector_topk_lsh(index: DataFrame, queries: DataFrame, k: int = 5, *,
@@ -326,19 +328,42 @@ def vector_topk_lsh(index: DataFrame, queries: DataFrame, k: int = 5, *,
                     query_id: str = "query_id", query_vector: str = "embedding",
                     bands: int = 16, bits: int = 6, seed: int = 17, probes: int = 3) -> DataFrame:
     """Approximate top-k: candidates share a (band, signature) bucket with the query or
-    one of its ``probes`` likeliest buckets a band (an equi-join; AQE splits hot buckets), then exact cosine re-rank.  Returns
+    one of its ``probes`` likeliest buckets a band.  A bucket is counted and cut into blocks of bounded rows on either side; each pair of
+    blocks is scored exactly in one task and gives its queries' first k only, so no candidate pair is ever shuffled.  Returns
     query_id, rank, keys, similarity; recall is measured against ``vector_topk``."""
     keys = list(key_cols)
     dim_row = queries.select(F.size(query_vector).alias("d")).head(1)
     if not dim_row:
         return index.sparkSession.createDataFrame([], _output_schema(index, queries, query_id, keys))
     dim = dim_row[0]["d"]
-    qs = lsh_signatures(queries, [query_id], query_vector, dim, bands, bits, seed, probes)
-    ix = lsh_signatures(index, keys, vector_col, dim, bands, bits, seed)
-    cand = qs.join(ix, ["band", "sig"]).select(query_id, *keys).distinct()
-    scored = (cand.join(queries.select(query_id, F.col(query_vector).alias("_qv")), query_id)
-              .join(index.select(*keys, F.col(vector_col).alias("_iv")), keys)
-              .withColumn("similarity", cosine_expr("_qv", "_iv")).where(F.col("similarity").isNotNull()))
+    schema = _output_schema(index, queries, query_id, keys)
+    qs = lsh_signatures(queries.select(query_id, F.col(query_vector).alias("_qv")), [query_id, "_qv"], "_qv", dim, bands, bits, seed, probes)
+    ix = lsh_signatures(index.select(*keys, F.col(vector_col).alias("_iv")), [*keys, "_iv"], "_iv", dim, bands, bits, seed)
+
+    def parts(rows: DataFrame, name: str) -> DataFrame:
+        return rows.groupBy("band", "sig").agg(F.ceil(F.count(F.lit(1)) / F.lit(LSH_ROWS)).alias(name))
+
+    # At most bands * 2**bits buckets, whatever the rows.
+    blocks = F.broadcast(cut_lineage(parts(qs, "_nq").join(parts(ix, "_ni"), ["band", "sig"])))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    q_side = qs.join(blocks, ["band", "sig"]).withColumn("_qb", F.pmod(F.xxhash64(query_id, "_qv"), "_nq")).withColumn("_ib", every("_ni"))
+    i_side = ix.join(blocks, ["band", "sig"]).withColumn("_ib", F.pmod(F.xxhash64(*keys, "_iv"), "_ni")).withColumn("_qb", every("_nq"))
+
+    def cell(own: pa.Table, items: pa.Table) -> pa.Table:
+        if not own.num_rows or not items.num_rows:
+            return out_schema.empty_table()
+        qm, xm = _list_matrix(own["_qv"], dim), _list_matrix(items["_iv"], dim)
+        place = _key_order(items, keys)
+        qi, ri, sims = _block_candidates(qm, _norms(qm), xm, _norms(xm), place, k)
+        keep = _first_k(qi, sims, place[ri], k)
+        qi, ri, sims = qi[keep], ri[keep], sims[keep]
+        return pa.table([own[query_id].take(pa.array(qi)), *(items[c].take(pa.array(ri)) for c in keys), pa.array(sims)], names=out_schema.names)
+
+    out_schema = pa.schema([pa.field(f.name, _arrow_type(f.dataType)) for f in schema.fields])
+    cells = ["band", "sig", "_qb", "_ib"]
+    found = q_side.groupBy(*cells).cogroup(i_side.groupBy(*cells)).applyInArrow(cell, schema)
+    # A pair may have met in several bands.
+    scored = found.groupBy(query_id, *keys).agg(F.max("similarity").alias("similarity"))
     w = Window.partitionBy(query_id).orderBy(F.col("similarity").desc(), *[F.col(c).asc() for c in keys])
     return (scored.withColumn("rank", F.row_number().over(w).cast("int")).where(F.col("rank") <= k)
             .select(query_id, "rank", *keys, "similarity"))

@@ -76,3 +76,12 @@ def test_lsh_recall(spark):
     """Of the whole embedding table's true top 5 at least 0.9 are found."""
     from quarry.plans.q_retrieval import q_lsh_recall
     assert q_lsh_recall(spark, "/root/testdata/sf0.01").first().recall >= 0.9
+
+
+def test_lsh_blocks_of_a_bucket(spark, monkeypatch):
+    """Buckets cut into small blocks give the result of whole ones."""
+    from quarry.operators import vector_search as vs
+    idx, q, _, _ = _data(spark)
+    want = sorted(map(tuple, vs.vector_topk_lsh(idx, q, 4, bands=3, bits=2).collect()))
+    monkeypatch.setattr(vs, "LSH_ROWS", 5)
+    assert sorted(map(tuple, vs.vector_topk_lsh(idx, q, 4, bands=3, bits=2).collect())) == want and want
