@@ -22,6 +22,8 @@ from quarry.functions.text import tokens
 
 # Fixed value: vector dimension of the reference's default configuration.
 DEFAULT_DIM = 384
+#: Rows of an Arrow batch that are counted at a time.
+COUNTED_ROWS = 512
 
 
 def hash_bucket(token: Column, dim: int) -> Column:
@@ -36,14 +38,18 @@ def hash_buckets(text: Column | str, dim: int = DEFAULT_DIM) -> Column:
 def _bincount_udf(dim: int):
     @F.arrow_udf("array<float>")
     def bincount(buckets: pa.Array) -> pa.Array:
-        """All rows of an Arrow batch at once: one bincount over (row * dim + bucket)."""
+        """Rows of an Arrow batch, slice by slice: one bincount over (row * dim + bucket)."""
         if isinstance(buckets, pa.ChunkedArray):
             buckets = buckets.combine_chunks()
         n = len(buckets)
-        lengths = pc.fill_null(pc.list_value_length(buckets), 0).to_numpy(zero_copy_only=False)
-        values = pc.list_flatten(buckets).to_numpy(zero_copy_only=False).astype(np.int64)
-        rows = np.repeat(np.arange(n, dtype=np.int64), lengths)
-        counts = np.bincount(rows * dim + values, minlength=n * dim).astype(np.float32)
+        counts = np.empty((n, dim), np.float32)
+        for i in range(0, n, COUNTED_ROWS):  # a slice's tokens at a time, however long the texts of a batch
+            part = buckets.slice(i, COUNTED_ROWS)
+            lengths = pc.fill_null(pc.list_value_length(part), 0).to_numpy(zero_copy_only=False)
+            values = pc.list_flatten(part).to_numpy(zero_copy_only=False).astype(np.int64)
+            rows = np.repeat(np.arange(len(part), dtype=np.int64), lengths)
+            counts[i:i + len(part)] = np.bincount(rows * dim + values, minlength=len(part) * dim).reshape(len(part), dim)
+        counts = counts.reshape(-1)
         offsets = pa.array(np.arange(0, (n + 1) * dim, dim, dtype=np.int32))
         return pa.ListArray.from_arrays(offsets, pa.array(counts), mask=buckets.is_null())
     return bincount

@@ -32,8 +32,10 @@ from pyspark.sql import types as T
 from quarry.session import cut_lineage
 
 DEFAULT_BROADCAST_BYTES = 256 << 20
-LSH_ROWS = 8192  # queries or items of a bucket scored in one task
-SCORE_CELLS = 1 << 22  # entries of one query x item score block (32 MB of float64)
+LSH_ROWS = 4096  # queries or items of a bucket scored in one task
+SCORE_CELLS, QUERY_TILE = 1 << 20, 1024  # entries of one query x item score block (8 MB of float64), its queries
+SIGNED_ROWS = 1024  # rows given LSH signatures at a time
+OUT_ROWS = 1 << 16  # rows of an Arrow batch given back
 
 
 def _norms(m: np.ndarray) -> np.ndarray:
@@ -76,33 +78,44 @@ def _first_k(qi: np.ndarray, sims: np.ndarray, place: np.ndarray, k: int) -> np.
     return order[nth < k]
 
 
-def _block_candidates(qm: np.ndarray, qnorm: np.ndarray, xm: np.ndarray, xnorm: np.ndarray, place: np.ndarray, kmax: int):
-    """Each query's first ``kmax`` items of every score block, equal scores by place.
+def _block_candidates(qm: np.ndarray, qnorm: np.ndarray, xm: np.ndarray, xnorm: np.ndarray, place: np.ndarray, kmax: int,
+                      least: np.ndarray | None = None):
+    """Each query's first ``kmax`` items, by query, falling score and place; scores under a query's ``least`` are left out.
 
-    cosine = dot / (|q| |x|): exact dot products stay exact (integer-count
-    vectors), so equal vectors always tie exactly.
+    Queries and items meet in tiles of SCORE_CELLS scores, and a tile's queries are cut to ``kmax`` before the next ones
+    begin, so what is held grows with neither side.  cosine = dot / (|q| |x|): exact dot products stay exact
+    (integer-count vectors), so equal vectors always tie exactly.
     """
     q, n = qm.shape[0], xm.shape[0]
-    if q == 0 or n == 0:
+    found = []
+    step = max(64, SCORE_CELLS // QUERY_TILE)
+    for low in range(0, q if n else 0, QUERY_TILE):
+        own, own_norm = qm[low:low + QUERY_TILE].astype(np.float64, copy=False), qnorm[low:low + QUERY_TILE]
+        floor = np.full(len(own), -np.inf) if least is None else least[low:low + QUERY_TILE].copy()
+        parts = []
+        for start in range(0, n, step):
+            block = xm[start:start + step]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                s = (own @ block.T) / (own_norm[:, None] * xnorm[None, start:start + step])
+            s[~np.isfinite(s)] = -np.inf
+            if block.shape[0] > kmax:
+                floor = np.maximum(floor, -np.partition(-s, kmax - 1, axis=1)[:, kmax - 1])
+            qi, ri = np.nonzero((s >= floor[:, None]) & np.isfinite(s))
+            sims = s[qi, ri]
+            keep = _first_k(qi, sims, place[ri + start], kmax)
+            parts.append((qi[keep], ri[keep] + start, sims[keep]))
+        qi, ri, sims = (np.concatenate(x) for x in zip(*parts, strict=True))
+        keep = _first_k(qi, sims, place[ri], kmax)
+        found.append((qi[keep] + low, ri[keep], sims[keep]))
+    if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    step = max(64, SCORE_CELLS // max(q, 1))
-    qi_all, ri_all, s_all = [], [], []
-    for start in range(0, n, step):
-        block = xm[start:start + step]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            s = (qm @ block.T) / (qnorm[:, None] * xnorm[None, start:start + step])
-        s[~np.isfinite(s)] = -np.inf
-        if block.shape[0] > kmax:
-            kth = -np.partition(-s, kmax - 1, axis=1)[:, kmax - 1]
-            qi, ri = np.nonzero((s >= kth[:, None]) & np.isfinite(s))
-            keep = _first_k(qi, s[qi, ri], place[ri + start], kmax)
-            qi, ri = qi[keep], ri[keep]
-        else:
-            qi, ri = np.nonzero(np.isfinite(s))
-        qi_all.append(qi)
-        ri_all.append(ri + start)
-        s_all.append(s[qi, ri])
-    return np.concatenate(qi_all), np.concatenate(ri_all), np.concatenate(s_all)
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _raise_least(least: np.ndarray, qi: np.ndarray, sims: np.ndarray, k: int) -> None:
+    """The k-th score of each query that has k rows; rows are by query and falling score, at most k a query."""
+    kth = np.flatnonzero(qi[k - 1:] == qi[:max(0, len(qi) - k + 1)]) + k - 1
+    least[qi[kth]] = np.maximum(least[qi[kth]], sims[kth])
 
 
 def _output_schema(index: DataFrame, queries: DataFrame, query_id: str,
@@ -121,46 +134,49 @@ def _broadcast_candidates(index: DataFrame, queries: DataFrame, kmax: int, key_c
     qids = qtab.column(0).combine_chunks() if qtab.num_rows else pa.array([], type=qtab.schema.field(0).type)
     qmat = _list_matrix(qtab.column(1), None) if qtab.num_rows else np.zeros((0, 0))
     dim = qmat.shape[1] if qtab.num_rows else None
-    bc = spark.sparkContext.broadcast((qids, qmat, _norms(qmat), dim))
+    norms = _norms(qmat)
+    if qtab.num_rows and pa.types.is_float32(qtab.schema.field(1).type.value_type):
+        qmat = qmat.astype(np.float32)  # as stored; a tile of it becomes double when it is scored
+    bc = spark.sparkContext.broadcast((qids, qmat, norms, dim))
     arrow_schema = pa.schema([pa.field(f.name, _arrow_type(f.dataType)) for f in schema.fields])
     keys = list(key_cols)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, qn, qnorm, d = bc.value
-        pending: list[pa.Table] = []
-        pending_rows = 0
-
-        def compact(tables: list[pa.Table]) -> pa.Table:
-            tab = pa.concat_tables(tables)
-            qi = tab.column("_qi").to_numpy()
-            sims = tab.column("similarity").to_numpy()
-            return tab.take(pa.array(_first_k(qi, sims, _key_order(tab, keys), kmax)))
+        least = np.full(len(qn), -np.inf)
+        seen: list[pa.RecordBatch] = []  # the keys of the rows so far; a candidate is three numbers
+        n_seen = n_found = 0
+        found: list[tuple] = []
+
+        def compact() -> tuple:
+            place = _key_order(pa.Table.from_batches(seen), keys)
+            qi, ri, sims = (np.concatenate(x) for x in zip(*found, strict=True))
+            keep = _first_k(qi, sims, place[ri], kmax)
+            qi, ri, sims = qi[keep], ri[keep], sims[keep]
+            _raise_least(least, qi, sims, kmax)
+            return qi, ri, sims
 
         for batch in batches:
             if batch.num_rows == 0 or qn.shape[0] == 0:
                 continue
             x = _list_matrix(batch.column(vector_col), d)
-            qi, ri, sims = _block_candidates(qn, qnorm, x, _norms(x), _key_order(batch, keys), kmax)
-            if len(qi) == 0:
-                continue
-            cols = {"_qi": pa.array(qi)}
-            ridx = pa.array(ri)
-            for c in keys:
-                cols[c] = batch.column(c).take(ridx)
-            cols["similarity"] = pa.array(sims, pa.float64())
-            pending.append(pa.table(cols))
-            pending_rows += len(qi)
-            if pending_rows > 4 * kmax * max(qn.shape[0], 1) + 65536:
-                pending = [compact(pending)]
-                pending_rows = pending[0].num_rows
-        if not pending:
+            qi, ri, sims = _block_candidates(qn, qnorm, x, _norms(x), _key_order(batch, keys), kmax, least)
+            _raise_least(least, qi, sims, kmax)
+            seen.append(batch.select(keys))
+            found.append((qi.astype(np.int32), (ri + n_seen).astype(np.int32), sims))
+            n_seen += batch.num_rows
+            n_found += len(qi)
+            if n_found > 2 * kmax * qn.shape[0] + 65536:
+                found = [compact()]
+                n_found = len(found[0][0])
+        if not found:
             return
-        tab = compact(pending)
-        out = {query_id: ids.take(tab.column("_qi").combine_chunks())}
-        for c in keys:
-            out[c] = tab.column(c).combine_chunks()
-        out["similarity"] = tab.column("similarity").combine_chunks()
-        yield from pa.Table.from_pydict(out, schema=arrow_schema).to_batches()
+        qi, ri, sims = compact()
+        key_rows = pa.Table.from_batches(seen)
+        for i in range(0, len(qi), OUT_ROWS):
+            rows = key_rows.take(pa.array(ri[i:i + OUT_ROWS]))
+            out = {query_id: ids.take(pa.array(qi[i:i + OUT_ROWS])), **{c: rows.column(c) for c in keys}, "similarity": pa.array(sims[i:i + OUT_ROWS])}
+            yield from pa.Table.from_pydict(out, schema=arrow_schema).to_batches()
 
     return index.select(*keys, vector_col).mapInArrow(score, schema)
 
@@ -305,9 +321,8 @@ def lsh_signatures(df: DataFrame, id_cols, vector_col: str, dim: int, bands: int
                            T.StructField("sig", T.LongType())])
 
     def project(batches):
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
+        # A row is given back bands * probes times, vector and all: a slice of a batch at a time.
+        for batch in (b.slice(i, SIGNED_ROWS) for b in batches for i in range(0, b.num_rows, SIGNED_ROWS)):
             x = _list_matrix(batch.column(vector_col), dim)
             side = (x @ planes.T).reshape(batch.num_rows, bands, bits)
             sig = ((side > 0) * weights).sum(axis=2)[:, :, None]

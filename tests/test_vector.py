@@ -1,8 +1,10 @@
 """Exact top-k: broadcast and grid plans equal a numpy brute force; theta join; dimension check."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from quarry.operators import embedding, vector_search
 from quarry.operators.vector_search import vector_topk
 
 
@@ -85,3 +87,25 @@ def test_lsh_blocks_of_a_bucket(spark, monkeypatch):
     want = sorted(map(tuple, vs.vector_topk_lsh(idx, q, 4, bands=3, bits=2).collect()))
     monkeypatch.setattr(vs, "LSH_ROWS", 5)
     assert sorted(map(tuple, vs.vector_topk_lsh(idx, q, 4, bands=3, bits=2).collect())) == want and want
+
+
+def test_candidates_of_a_query_do_not_grow_with_the_blocks(monkeypatch):
+    monkeypatch.setattr(vector_search, "SCORE_CELLS", 64)
+    r = np.random.default_rng(3)
+    q, x, place = r.integers(0, 3, (10, 6)) + 0.0, r.integers(0, 3, (300, 6)) + 0.0, r.permutation(300)
+    qi, ri, sims = vector_search._block_candidates(q, vector_search._norms(q), x, vector_search._norms(x), place, 3)
+    assert np.array_equal(qi, np.repeat(np.arange(10), 3))
+    with np.errstate(all="ignore"):
+        full = (q @ x.T) / (vector_search._norms(q)[:, None] * vector_search._norms(x)[None])
+    for i in range(10):
+        want = sorted((-s, p) for s, p in zip(full[i], place, strict=True) if np.isfinite(s))[:3]
+        assert [(-s, place[j]) for s, j in zip(sims[qi == i], ri[qi == i], strict=True)] == want
+
+
+def test_buckets_of_a_batch_are_counted_in_slices(monkeypatch):
+    widest, count = [], np.bincount
+    monkeypatch.setattr(np, "bincount", lambda x, minlength=0: widest.append(minlength) or count(x, minlength=minlength))
+    rows = [[i % 8, (i * 3) % 8, 2] if i % 5 else None for i in range(2000)]
+    got = embedding._bincount_udf(8).func(pa.array(rows, pa.list_(pa.int32()))).to_pylist()
+    assert got == [None if r is None else [float(r.count(b)) for b in range(8)] for r in rows]
+    assert max(widest) <= 512 * 8
