@@ -252,6 +252,14 @@ def running_history(items: DataFrame, budget: int, session: str = "session_id",
     return out.where("_own").drop("_part", "_own")
 
 
+def whole_history(turns: DataFrame, session: str = "session_id", order: str = "question_number", asked: str = "asked") -> DataFrame:
+    """Every row of ``turns`` (question, answer, is_correct) with ``history``: all earlier rows that ask something, in
+    order, as (question, answer, correct).  Nothing is cut; the list of a row grows with its session, as the prompt does."""
+    earlier = Window.partitionBy(session).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    item = F.struct("question", "answer", F.col("is_correct").alias("correct"))
+    return turns.withColumn("history", F.collect_list(F.when(F.col(asked), item)).over(earlier))
+
+
 def start_rows(starts: DataFrame) -> DataFrame:
     """Start events as rows of the session table: nothing answered, not finished (OP-S10)."""
     return starts.select("id", "anonymous_session_id", "started_at", F.lit(None).cast(starts.schema["started_at"].dataType).alias("completed_at"),

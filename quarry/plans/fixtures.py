@@ -388,10 +388,24 @@ def graded_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations")
     asked = c.where("role = 'user'").select(F.col("conv_id").alias("session_id"), F.col("turn").alias("question_number"), F.col("text").alias("question"))
     said = c.where("role = 'assistant'").select(F.col("conv_id").alias("session_id"), (F.col("turn") - 1).alias("question_number"), F.col("text").alias("answer"))
-    k = F.pmod(F.col("session_id") + F.col("question_number"), F.lit(9))
-    grade = (F.when(k == 0, F.lit('{"is_correct": "yes"}')).when(k % 2 == 0, F.lit('{"is_correct": true}'))
-             .otherwise(F.lit('{"is_correct": false}')))
-    return asked.join(said, ["session_id", "question_number"]).withColumn("grade_text", grade)
+    return asked.join(said, ["session_id", "question_number"]).withColumn("grade_text", _grade_text("session_id", "question_number"))
+
+
+def _grade_text(session: str, question: str):
+    k = F.pmod(F.col(session) + F.col(question), F.lit(9))
+    return (F.when(k == 0, F.lit('{"is_correct": "yes"}')).when(k % 2 == 0, F.lit('{"is_correct": true}'))
+            .otherwise(F.lit('{"is_correct": false}')))
+
+
+def all_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn of every conversation; those of a user ask, and the reply in the next turn is the answer (null: none,
+    and no grade)."""
+    from pyspark.sql import Window
+    c = table(spark, sf_dir, "conversations")
+    after = Window.partitionBy("conv_id").orderBy("turn").rangeBetween(1, 1)
+    reply = F.min(F.when(F.col("role") == "assistant", F.col("text"))).over(after)
+    turns = c.select("conv_id", "turn", F.coalesce(F.col("role") == "user", F.lit(False)).alias("asked"), F.col("text").alias("question"), reply.alias("answer"))
+    return turns.withColumn("grade_text", F.when(F.col("answer").isNotNull(), _grade_text("conv_id", "turn")))
 
 
 # --- prices as a table ------------------------------------------------------------------

@@ -267,13 +267,22 @@ def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ss.history_items(graded.select("session_id", "question_number", "question", "answer", F.col("parsed.is_correct").alias("is_correct")))
 
 
-@register("running_history", f"""
-SELECT session_id, question_number, question, answer, is_correct, "offset", min(question_number) {FRAME_SQL} AS first_item,
-       count(*) {FRAME_SQL} AS n_items FROM ({ITEMS_SQL})
+@register("running_history", """
+SELECT conv_id, turn, coalesce(list(text) FILTER (WHERE role = 'user') OVER earlier, []) AS history,
+       coalesce(list(reply) FILTER (WHERE role = 'user') OVER earlier, []) AS answers,
+       coalesce(list(CASE WHEN reply IS NULL OR (conv_id + turn) % 9 = 0 THEN NULL ELSE ((conv_id + turn) % 9) % 2 = 0 END)
+                FILTER (WHERE role = 'user') OVER earlier, []) AS correct
+FROM (SELECT *, min(CASE WHEN role = 'assistant' THEN text END) OVER (
+                    PARTITION BY conv_id ORDER BY turn RANGE BETWEEN 1 FOLLOWING AND 1 FOLLOWING) AS reply FROM conversations)
+WINDOW earlier AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 """)
 def q_running_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Graded questions with the range of earlier ones that a prompt of the budget takes."""
-    return ss.running_history(_items(spark, sf_dir), fx.HISTORY_BUDGET)
+    """Every turn with all questions asked before it, their answers and whether these were correct (null: not graded)."""
+    graded = q.grade_records(fx.all_turns(spark, sf_dir))
+    correct = F.when(F.col("grade_error").isNull(), F.col("parsed.is_correct"))
+    out = ss.whole_history(graded.select("conv_id", "turn", "asked", "question", "answer", correct.alias("is_correct")), "conv_id", "turn")
+    return out.select("conv_id", "turn", F.col("history.question").alias("history"), F.col("history.answer").alias("answers"),
+                      F.col("history.correct").alias("correct"))
 
 
 @register("history_prompt", f"""

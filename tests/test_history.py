@@ -31,3 +31,17 @@ def test_prices_do_not_shuffle_the_log(spark):
                                 "response_id string, created_at string, operation string, model string, usage_json string").repartition(4)
     plan = accounting.usage_cost(log, accounting.pricing_table(spark, '{"m0": {"input": 2, "cached_input": 1, "output": 8}}'))._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "hashpartitioning(model" not in plan
+
+
+def test_registered_history_is_whole(spark, tmp_path):
+    from quarry.plans.catalog import QUERIES
+    rows = [(c, t, "user" if t % 2 == 0 else "assistant", f"{c}-{t} " + "x" * 900) for c in range(3) for t in range(12) if (c, t) != (1, 5)]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {(x.conv_id, x.turn): x for x in QUERIES["running_history"](spark, str(tmp_path)).collect()}
+    assert set(got) == {r[:2] for r in rows}  # every turn, also replies
+    text = {r[:2]: r[3] for r in rows}
+    for (c, t), x in got.items():
+        asked = [u for u in range(0, t, 2)]
+        assert x.history == [text[c, u] for u in asked]  # far beyond any budget
+        assert x.answers == [text.get((c, u + 1)) for u in asked]
+        assert x.correct == [None if (c, u + 1) not in text or (c + u) % 9 == 0 else (c + u) % 9 % 2 == 0 for u in asked]
