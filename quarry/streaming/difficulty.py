@@ -7,6 +7,9 @@ State of a session, kept on disk by the state store:
   is the difficulty after the child for each difficulty before it, so composing tables
   along a path of the tree gives the difficulty at any question.
 
+A session whose answers all lie in the first block is one value, read once and written once; its block moves
+to the tree when an answer of another block comes.
+
 An answer reads and writes its own block and one node a level.  What is emitted are the answers whose
 difficulty changed: an answer at the end changes itself; a late one changes what follows it,
 up to the point where old and new difficulty meet again.
@@ -19,17 +22,22 @@ from collections.abc import Iterator
 from datetime import date
 
 import pandas as pd
+from pyspark.sql import Row
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from quarry.operators.sessions import MAX_DIFFICULTY, MIN_DIFFICULTY, START_DIFFICULTY
 
 BLOCK, FAN = 64, 64
+#: Sessions of neighbouring ids that are one key of the state.
+GROUP = 16
 STATES = range(MIN_DIFFICULTY, MAX_DIFFICULTY + 1)
 SAME = list(STATES)
 
 KEY = T.StructType([T.StructField("level", T.IntegerType()), T.StructField("node", T.LongType())])
+NODE = T.StructType([T.StructField("session", T.StringType()), *KEY.fields])
 TEXT = T.StructType([T.StructField("v", T.StringType())])
+COLUMNS = {"path": ["question_number", "is_correct", "assigned_difficulty", "next_difficulty"], "counters": ["answered_questions", "correct_answers"]}
 
 
 def step(state: int, correct: bool) -> int:
@@ -108,15 +116,25 @@ class SessionAnswers(StatefulProcessor):
             summary["levels"] = level
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802 (Spark's name)
-        self.held, self.changed = {}, set()
-        known = json.loads(self.session.get()[0]) if self.session.exists() else {"levels": 0, "last": -1, "answered": 0, "correct": 0}
+        def answers():
+            for part in rows:
+                orders = zip(*([_plain(v) for v in part[c]] for c in self.order_cols), strict=True)
+                yield from zip(part["question_number"], part["is_correct"], orders, strict=True)
         best: dict[int, list] = {}
-        for part in rows:
-            orders = zip(*([_plain(v) for v in part[c]] for c in self.order_cols), strict=True)
-            for q, correct, order in zip(part["question_number"], part["is_correct"], orders, strict=True):
-                one = [list(order), bool(correct) if correct is not None and not pd.isna(correct) else None]
-                if int(q) not in best or _rank(one[0]) < _rank(best[int(q)][0]):
-                    best[int(q)] = one
+        for row in answers():
+            _keep_first(best, *row)
+        out = self.take(key[0], best)
+        if out:
+            yield pd.DataFrame(out, columns=[self.key_col, *COLUMNS[self.emit]])
+
+    def take(self, session, best: dict[int, list]) -> list[tuple]:
+        """What the first writes of some questions of a session change, as rows of the output."""
+        self.held, self.changed = {}, set()
+        value = self.session.get()
+        known = json.loads(value[0]) if value else {"levels": 0, "last": -1, "answered": 0, "correct": 0, "first": {}}
+        inline = known.pop("first", None)
+        if inline is not None:  # nothing is in the tree yet
+            self.held[0, 0] = inline
         summary, moved = dict(known), {}
         for q, one in sorted(best.items()):
             answers = self._get(0, q // BLOCK)
@@ -127,20 +145,24 @@ class SessionAnswers(StatefulProcessor):
             summary["correct"] += bool(one[1]) - bool(old[1] if old else False)
             moved.setdefault(q // BLOCK, {})[str(q)] = one
         if not moved:
-            return
+            return []
         if self.emit == "counters":
             for block, new in moved.items():
                 self._put(0, block, {**self._get(0, block), **new})
-            out = pd.DataFrame({self.key_col: [key[0]], "answered_questions": [summary["answered"]], "correct_answers": [summary["correct"]]})
+            out = [(session, summary["answered"], summary["correct"])]
         else:
-            out = self._path(key[0], summary, moved)
-        for level, node in sorted(self.changed):
-            self.tree.updateValue((level, node), (json.dumps(self.held[level, node]),))
+            out = self._path(session, summary, moved)
+        if inline is not None and set(moved) == {0}:
+            summary["first"] = self.held[0, 0]
+        else:
+            if inline:
+                self.changed.add((0, 0))
+            for level, node in sorted(self.changed):
+                self.tree.updateValue((level, node), (json.dumps(self.held[level, node]),))
         self.session.update((json.dumps(summary),))
-        if len(out):
-            yield out
+        return out
 
-    def _path(self, session, summary: dict, moved: dict[int, dict]) -> pd.DataFrame:
+    def _path(self, session, summary: dict, moved: dict[int, dict]) -> list[tuple]:
         before = {b: dict(self._get(0, b)) for b in moved}
         for b in moved:
             self._grow(summary, b)
@@ -168,7 +190,7 @@ class SessionAnswers(StatefulProcessor):
                     break
                 if todo and todo[0] == block:
                     todo.pop(0)
-        return pd.DataFrame(out, columns=[self.key_col, "question_number", "is_correct", "assigned_difficulty", "next_difficulty"])
+        return out
 
     def _next(self, block: int, last: int) -> int | None:
         for b in range(block + 1, last + 1):
@@ -177,6 +199,66 @@ class SessionAnswers(StatefulProcessor):
         return None
 
 
+class SessionRows(SessionAnswers):
+    """The same over plain rows, and GROUP sessions of neighbouring ids as one key: their short sessions are one value,
+    so a call to the state store serves all of them.  Nodes of the trees are kept by session."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.nodes = handle.getMapState("tree", NODE, TEXT)
+        self.group = handle.getValueState("sessions", TEXT)
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802 (Spark's name)
+        best: dict = {}
+        for r in rows:
+            _keep_first(best.setdefault(r[self.key_col], {}), r["question_number"], r["is_correct"], [_plain(r[c]) for c in self.order_cols])
+        value = self.group.get()
+        sessions = json.loads(value[0]) if value else {}
+        names, changed = [self.key_col, *COLUMNS[self.emit]], False
+        for session, answers in best.items():
+            self.tree, self.session = _Nodes(self.nodes, str(session)), _Held(sessions, str(session))
+            out = self.take(session, answers)
+            changed |= bool(out) or self.session.changed
+            for x in out:
+                yield Row(**dict(zip(names, x, strict=True)))
+        if changed:
+            self.group.update((json.dumps(sessions),))
+
+
+class _Nodes:
+    """The nodes of one session in a map of many sessions."""
+
+    def __init__(self, nodes, session: str):
+        self.nodes, self.session = nodes, session
+
+    def containsKey(self, node: tuple) -> bool:  # noqa: N802 (Spark's name)
+        return self.nodes.containsKey((self.session, *node))
+
+    def getValue(self, node: tuple) -> tuple:  # noqa: N802 (Spark's name)
+        return self.nodes.getValue((self.session, *node))
+
+    def updateValue(self, node: tuple, value: tuple) -> None:  # noqa: N802 (Spark's name)
+        self.nodes.updateValue((self.session, *node), value)
+
+
+class _Held:
+    """The value of one session in the value of its group."""
+
+    def __init__(self, sessions: dict, session: str):
+        self.sessions, self.session, self.changed = sessions, session, False
+
+    def get(self) -> tuple | None:
+        return (self.sessions[self.session],) if self.session in self.sessions else None
+
+    def update(self, value: tuple) -> None:
+        self.sessions[self.session], self.changed = value[0], True
+
+
+def _keep_first(best: dict[int, list], q, correct, order) -> None:
+    one = [list(order), bool(correct) if correct is not None and not pd.isna(correct) else None]
+    if int(q) not in best or _rank(one[0]) < _rank(best[int(q)][0]):
+        best[int(q)] = one
+
+
 def _plain(v):
     """A JSON value that orders as the column does."""
     if v is None or (isinstance(v, float) and v != v) or v is pd.NaT:

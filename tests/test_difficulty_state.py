@@ -96,3 +96,29 @@ def test_replay_of_seen_answers_emits_nothing():
     frame = pd.DataFrame([(1, True, 5), (2, False, 6)], columns=["question_number", "is_correct", "at"])
     assert len(list(p.handleInputRows((1,), iter([frame]), None))) == 1
     assert list(p.handleInputRows((1,), iter([frame]), None)) == []
+
+
+class Counted(Held):
+    calls = 0
+
+    def __getattribute__(self, name):
+        if name in ("containsKey", "getValue", "updateValue"):
+            Counted.calls += 1
+        return super().__getattribute__(name)
+
+
+@pytest.mark.parametrize("emit", ["path", "counters"])
+def test_a_short_session_is_one_value(emit):
+    held = Counted()
+    p = d.SessionRows(("at",), emit)
+    p.init(held)
+    rows = [d.Row(session_id=s, question_number=q, is_correct=q % 2 == 0, at=q) for q in (1, 2, 5) for s in (1, 2)]
+    assert len(list(p.handleInputRows((0,), iter(rows), None))) == (6 if emit == "path" else 2)
+    assert list(p.handleInputRows((0,), iter(rows), None)) == []
+    assert Counted.calls == 0 and held.m == {}
+    new = d.Row(session_id=2, question_number=d.BLOCK * 3, is_correct=True, at=9)  # outgrows its value
+    late = list(p.handleInputRows((0,), iter([new]), None))
+    assert late[-1].session_id == 2 and (late[-1].answered_questions == 4 if emit == "counters" else late[-1].question_number == d.BLOCK * 3)
+    assert ("2", 0, 0) in held.m and not any(k[0] == "1" for k in held.m)
+    assert list(p.handleInputRows((0,), iter(rows), None)) == []
+    Counted.calls = 0
