@@ -31,7 +31,9 @@ from quarry.session import checkpoint_dir, write_table
 #: Rows of the training sample, most centroids, rounds of k-means.
 SAMPLE, MOST_CELLS, ROUNDS = 16_384, 2048, 10
 #: Rows of a chunk of a cell, and of a block of its visitors.
-MAX_ROWS = 8192
+MAX_ROWS = 4096
+#: Rows that meet the centroids at a time, and rows of an Arrow batch given back.
+SLICE, OUT_ROWS = 512, 4096
 #: Rows of a cell of the join, on average: below that, sending a visitor costs more than scoring it.
 JOIN_ROWS = 1024
 #: Slack of angle bounds, well above the rounding of arccos.
@@ -40,6 +42,13 @@ SLACK = 1e-6
 BLOCK = 1 << 20
 
 
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of at most SLICE rows, so that rows x cells stays small."""
+    for b in batches:
+        for i in range(0, b.num_rows, SLICE):
+            yield b.slice(i, SLICE)
+
+
 def unit(m: np.ndarray) -> np.ndarray:
     """Rows of length one; rows without a direction are NaN."""
     with np.errstate(invalid="ignore", divide="ignore"):
@@ -95,9 +104,7 @@ def assign_cells(rows: DataFrame, centroids: np.ndarray, vector_col: str) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = held.value
-        for b in batches:
-            if not b.num_rows or not len(c):
-                continue
+        for b in slices(batches) if len(c) else ():
             s = unit(_list_matrix(b.column(at), c.shape[1])) @ c.T
             use = np.flatnonzero(~np.isnan(s).any(axis=1))
             s = s[use]
@@ -161,9 +168,8 @@ def _visits(rows: DataFrame, row_id: str, vector_col: str, choose, chunks: np.nd
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(n_cells, np.int64)
-        for b in batches:
-            if b.num_rows:
-                n += np.bincount(sent(b)[1], minlength=n_cells)
+        for b in slices(batches):
+            n += np.bincount(sent(b)[1], minlength=n_cells)
         held = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(held.astype(np.int32)), pa.array(n[held])], ["cell", "n"])
 
@@ -175,17 +181,17 @@ def _visits(rows: DataFrame, row_id: str, vector_col: str, choose, chunks: np.nd
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunks, blocks = held.value
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in slices(batches):
             row, cell, value = sent(b)
             block = (b.column(deal_at).to_numpy()[row] % blocks[cell]).astype(np.int32)
             n = chunks[cell]
             copy = np.repeat(np.arange(len(cell)), n)
             chunk = (np.arange(len(copy)) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [*b.take(pa.array(row[copy])).columns, pa.array(cell[copy].astype(np.int32)), pa.array(chunk), pa.array(block[copy]), pa.array(value[copy])],
-                [*b.schema.names, "cell", "chunk", "block", "value"])
+            for i in range(0, len(copy), OUT_ROWS):  # a row goes out once a cell and chunk, vector and all
+                part = copy[i:i + OUT_ROWS]
+                yield pa.RecordBatch.from_arrays(
+                    [*b.take(pa.array(row[part])).columns, pa.array(cell[part].astype(np.int32)), pa.array(chunk[i:i + OUT_ROWS]), pa.array(block[part]), pa.array(value[part])],
+                    [*b.schema.names, "cell", "chunk", "block", "value"])
 
     schema = T.StructType([*rows.schema.fields, *[T.StructField(c, T.IntegerType()) for c in ("cell", "chunk", "block")], T.StructField("value", T.DoubleType())])
     return rows.mapInArrow(deal, schema), blocks

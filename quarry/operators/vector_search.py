@@ -196,27 +196,22 @@ def _grid_candidates(index: DataFrame, queries: DataFrame, kmax: int, key_cols,
               .withColumn("_ib", F.pmod(F.xxhash64(*keys), F.lit(bi)))
               .withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(bq - 1)))))
 
-    def cell(qpdf, ipdf):
-        import pandas as pd
-        if len(qpdf) == 0 or len(ipdf) == 0:
-            return pd.DataFrame({f.name: [] for f in schema.fields})
-        qm = np.stack(qpdf["_qv"].to_numpy()).astype(np.float64)
-        xm = np.stack(ipdf["_iv"].to_numpy()).astype(np.float64)
-        if xm.shape[1] != qm.shape[1]:
-            raise ValueError(f"embedding dimension {xm.shape[1]} does not match the expected {qm.shape[1]}")
-        place = np.empty(len(ipdf), np.int64)
-        place[ipdf.reset_index(drop=True).sort_values(keys).index.to_numpy()] = np.arange(len(ipdf))
-        qi, ri, sims = _block_candidates(qm, _norms(qm), xm, _norms(xm), place, kmax)
-        keep = _first_k(qi, sims, place[ri], kmax)
-        qi, ri, sims = qi[keep], ri[keep], sims[keep]
-        out = {query_id: qpdf[query_id].to_numpy()[qi]}
-        for c in keys:
-            out[c] = ipdf[c].to_numpy()[ri]
-        out["similarity"] = sims
-        return pd.DataFrame(out)
+    return q_side.groupBy("_qb", "_ib").cogroup(i_side.groupBy("_qb", "_ib")).applyInArrow(_cell_scorer(schema, query_id, keys, kmax), schema)
+
+
+def _cell_scorer(schema: T.StructType, query_id: str, keys: Sequence[str], k: int):
+    """Scores the queries (``_qv``) of a cell against its items (``_iv``): each query's first ``k``."""
+    out = pa.schema([pa.field(f.name, _arrow_type(f.dataType)) for f in schema.fields])
+
+    def cell(own: pa.Table, items: pa.Table) -> pa.Table:
+        if not own.num_rows or not items.num_rows:
+            return out.empty_table()
+        qm = _list_matrix(own["_qv"], None)
+        xm = _list_matrix(items["_iv"], qm.shape[1])
+        qi, ri, sims = _block_candidates(qm, _norms(qm), xm, _norms(xm), _key_order(items, keys), k)
+        return pa.table([own[query_id].take(pa.array(qi)), *(items[c].take(pa.array(ri)) for c in keys), pa.array(sims)], schema=out)
 
-    return (q_side.groupBy("_qb", "_ib").cogroup(i_side.groupBy("_qb", "_ib"))
-            .applyInPandas(cell, schema))
+    return cell
 
 
 def _arrow_type(dt: T.DataType) -> pa.DataType:
@@ -364,19 +359,8 @@ def vector_topk_lsh(index: DataFrame, queries: DataFrame, k: int = 5, *,
     q_side = qs.join(blocks, ["band", "sig"]).withColumn("_qb", F.pmod(F.xxhash64(query_id, "_qv"), "_nq")).withColumn("_ib", every("_ni"))
     i_side = ix.join(blocks, ["band", "sig"]).withColumn("_ib", F.pmod(F.xxhash64(*keys, "_iv"), "_ni")).withColumn("_qb", every("_nq"))
 
-    def cell(own: pa.Table, items: pa.Table) -> pa.Table:
-        if not own.num_rows or not items.num_rows:
-            return out_schema.empty_table()
-        qm, xm = _list_matrix(own["_qv"], dim), _list_matrix(items["_iv"], dim)
-        place = _key_order(items, keys)
-        qi, ri, sims = _block_candidates(qm, _norms(qm), xm, _norms(xm), place, k)
-        keep = _first_k(qi, sims, place[ri], k)
-        qi, ri, sims = qi[keep], ri[keep], sims[keep]
-        return pa.table([own[query_id].take(pa.array(qi)), *(items[c].take(pa.array(ri)) for c in keys), pa.array(sims)], names=out_schema.names)
-
-    out_schema = pa.schema([pa.field(f.name, _arrow_type(f.dataType)) for f in schema.fields])
     cells = ["band", "sig", "_qb", "_ib"]
-    found = q_side.groupBy(*cells).cogroup(i_side.groupBy(*cells)).applyInArrow(cell, schema)
+    found = q_side.groupBy(*cells).cogroup(i_side.groupBy(*cells)).applyInArrow(_cell_scorer(schema, query_id, keys, k), schema)
     # A pair may have met in several bands.
     scored = found.groupBy(query_id, *keys).agg(F.max("similarity").alias("similarity"))
     w = Window.partitionBy(query_id).orderBy(F.col("similarity").desc(), *[F.col(c).asc() for c in keys])

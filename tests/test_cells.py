@@ -1,6 +1,7 @@
 """Cells: the exact join equals brute force, the search finds what its probe list holds, cells stay bounded."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -85,3 +86,19 @@ def test_search_of_nothing(spark):
     index = cells.build_cells(frame(spark, clustered(20)).limit(0), ["id"])
     q = frame(spark, clustered(9), "query_id")
     assert cells.search_cells(index, q).count() == 0 and cells.calibrated_probes(index, q) == 1
+
+
+def test_rows_meet_the_centroids_in_slices():
+    b = pa.record_batch([pa.array(range(1300))], ["x"])
+    got = list(cells.slices(iter([b, b.slice(0, 0), b.slice(0, 5)])))
+    assert [x.num_rows for x in got] == [512, 512, 276, 5]
+    assert [v for x in got for v in x.column(0).to_pylist()] == [*range(1300), *range(5)]
+
+
+def test_visits_go_out_in_bounded_batches(spark, monkeypatch):
+    """Every row visits every chunk of every cell: each pair is there once, and no batch holds them all."""
+    most, make = [0], pa.RecordBatch.from_arrays
+    rows = spark.createDataFrame([(i, [float(i % 7 + 1), 1.0]) for i in range(600)], "id long, embedding array<float>").coalesce(1)
+    monkeypatch.setattr(cells, "OUT_ROWS", 100)
+    visits, _ = cells._visits(rows, "id", "embedding", lambda u, b: (np.ones((len(u), 3), bool), np.zeros((len(u), 3))), np.array([1, 2, 1]), 4096)
+    assert visits.count() == visits.select("id", "cell", "chunk").distinct().count() == 600 * 4
