@@ -10,6 +10,10 @@
   position, groups by counting matched items, NOT by an anti condition.
 * ``cover_density``: ts_rank_cd-style score from minimal covers, with window
   functions only (no per-chunk Python).
+
+``build_postings`` keeps the postings of a chunk together, as the tokens in its row: then match and score
+come from one scan of the chunks (``chunk_scan``) with the query terms broadcast, whose number must be known.
+Chunks whose keys are not whole or not unique, and terms beyond the broadcast bound, take the joins.
 """
 
 from __future__ import annotations
@@ -20,10 +24,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.text import is_stop_word, s_stem, tokens
+from quarry.operators.chunk_scan import DEFAULT_WEIGHT, parsed, scan
 from quarry.session import bounded
 
-# Fixed value: weight of unlabelled text in cover-density ranking.
-DEFAULT_WEIGHT = 0.1
 # Query items: an optionally negated quoted phrase (an open quote runs to the end),
 # or a run of characters that are neither space nor quote.
 ITEM_PATTERN = r'(-?"[^"]*"?|[^\s"]+)'
@@ -41,11 +44,33 @@ def postings(chunks: DataFrame, key_cols: Sequence[str] = ("source_path", "chunk
 
 def build_postings(chunks: DataFrame, key_cols: Sequence[str] = ("source_path", "chunk_index"),
                    text_col: str = "content") -> DataFrame:
-    """Postings kept for the jobs that probe them repeatedly: persisted (memory, then
-    disk), so they are tokenised once; a lost block is rebuilt from lineage.  A
-    deployment that serves many query batches stores them as a table instead."""
-    from pyspark import StorageLevel
-    return postings(chunks, key_cols, text_col).persist(StorageLevel.MEMORY_AND_DISK)
+    """Postings by chunk: key columns and ``tokens`` (stop words in place, not stemmed).  One row a chunk, which the
+    jobs below read once or twice; ``exploded`` gives the flat form."""
+    return chunks.select(*key_cols, tokens(text_col).alias("tokens"))
+
+
+def exploded(post: DataFrame) -> DataFrame:
+    """Postings by chunk as inverted-index rows."""
+    keys = [c for c in post.columns if c != "tokens"]
+    rows = post.select(*keys, F.posexplode("tokens").alias("pos", "token")).where(~is_stop_word("token"))
+    return rows.select(*keys, (F.col("pos") + 1).cast("int").alias("pos"), s_stem("token").alias("lexeme"))
+
+
+def _by_chunk(post: DataFrame, term_rows: int | None) -> bool:
+    return "tokens" in post.columns and term_rows is not None and term_rows <= MAX_BROADCAST_TERMS
+
+
+def _parted(post: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame | None]:
+    """Postings by chunk of the chunks whose keys are whole and unique, and those of the others (None: there are none)."""
+    from quarry.session import cut_lineage
+    none = F.greatest(*[F.col(c).isNull() for c in keys]) if len(keys) > 1 else F.col(keys[0]).isNull()
+    counts = post.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    odd = cut_lineage(counts.where((F.col("_n") > 1) | none).select(*keys))
+    if odd.isEmpty():
+        return post, None
+    whole = post.where(~none)
+    odd = bounded(odd.where(~none))
+    return whole.join(odd, keys, "left_anti"), whole.join(odd, keys, "left_semi").unionByName(post.where(none))
 
 
 ITEM_STRIDE = 1 << 32
@@ -172,10 +197,26 @@ def _match_from_hits(hits: DataFrame, terms: DataFrame, keys: list[str], query_i
 
 def lexical_match(post: DataFrame, terms: DataFrame, key_cols: Sequence[str] = ("source_path", "chunk_index"),
                   query_id: str = "query_id", term_rows: int | None = None,
-                  hits: DataFrame | None = None, chunks: DataFrame | None = None) -> DataFrame:
+                  hits: DataFrame | None = None, chunks: DataFrame | None = None, scored: bool = False) -> DataFrame:
     """(query_id, *keys) for every chunk that satisfies the query (``@@``).  ``chunks`` holds the keys of
-    every chunk, also of those without a lexeme: an OR group of negated items only matches among them."""
+    every chunk, also of those without a lexeme: an OR group of negated items only matches among them.
+    With ``scored`` the cover density that ``cover_density`` gives comes along (null: no cover)."""
     keys = list(key_cols)
+    if _by_chunk(post, term_rows) and hits is None:
+        own, odd = _parted(post, keys)
+        queries, of = parsed(terms, query_id)
+        found = scan(own, queries, keys, by_absence=chunks is not None).join(F.broadcast(of), "_shape")
+        score = F.when(F.col("lexical_score") > 0, F.col("lexical_score")).alias("lexical_score")
+        found = found.select(query_id, *keys, *([score] if scored else []))
+        if odd is None:
+            return found
+        others = lexical_match(exploded(odd), terms, keys, query_id, term_rows, None, None if chunks is None else odd.select(*keys), scored)
+        return found.unionByName(others)
+    if "tokens" in post.columns:
+        post = exploded(post)
+    if scored:
+        found = lexical_match(post, terms, keys, query_id, term_rows, hits, chunks)
+        return found.join(cover_density(post, terms, found, keys, query_id, term_rows), [query_id, *keys], "left")
     h = hits if hits is not None else candidate_hits(post, terms, keys, query_id, term_rows)
     out = _match_from_hits(h, terms, keys, query_id, term_rows)
     if chunks is None or not negated_groups(terms, query_id).head(1):
@@ -194,8 +235,13 @@ def cover_density(post: DataFrame, terms: DataFrame, matched: DataFrame,
     group's lexemes of their latest position <= r.  Covers are (left, r) for the
     first r of each distinct left; score = sum 0.1 / (1 + noise), noise =
     (r - left) - (hit positions inside the cover - 1); returned as float4.
+    Scores that ``lexical_match`` found with its matches are taken from there.
     """
     keys = list(key_cols)
+    if "lexical_score" in matched.columns:
+        return matched.where(F.col("lexical_score").isNotNull()).select(query_id, *keys, "lexical_score")
+    if "tokens" in post.columns:
+        post = exploded(post)
     part = [query_id, *keys]
     pos_terms = terms.where(~F.col("negated")).select(query_id, "group_id", "lexeme").distinct()
     qlex = pos_terms.select(query_id, "lexeme").distinct()
@@ -237,13 +283,35 @@ def lexical_topk(post: DataFrame, terms: DataFrame, k: int,
     """Matching chunks ranked by cover density, first ``k`` per query (ties: key order); a chunk
     matched only by the absence of words (``chunks``, see ``lexical_match``) scores 0."""
     keys = list(key_cols)
+    by_chunk = _by_chunk(post, term_rows)
+    own, odd = _parted(post, keys) if by_chunk else (None, exploded(post) if "tokens" in post.columns else post)
+    found = None
+    if by_chunk:
+        queries, of = parsed(terms, query_id)
+        found = first_of_shapes(scan(own, queries, keys, k, chunks is not None), of, k, keys, query_id)
+        if odd is None:
+            return found
+        chunks = None if chunks is None else odd.select(*keys)
+        odd = exploded(odd)
     from quarry.session import cut_lineage
-    hits = candidate_hits(post, terms, keys, query_id, term_rows)
-    matched = cut_lineage(lexical_match(post, terms, keys, query_id, term_rows, hits, chunks))
-    scored = cover_density(post, terms, matched, keys, query_id, term_rows)
+    hits = candidate_hits(odd, terms, keys, query_id, term_rows)
+    matched = cut_lineage(lexical_match(odd, terms, keys, query_id, term_rows, hits, chunks))
+    scored = cover_density(odd, terms, matched, keys, query_id, term_rows)
     if chunks is not None and negated_groups(terms, query_id).head(1):
         scored = matched.join(scored, [query_id, *keys], "left").fillna(0.0, ["lexical_score"])
+    if found is not None:
+        scored = found.drop("lexical_rank").unionByName(scored.select(query_id, *keys, "lexical_score"))
+    return _ranked(scored, k, keys, query_id)
+
+
+def _ranked(scored: DataFrame, k: int, keys: list[str], query_id: str) -> DataFrame:
     w = Window.partitionBy(query_id).orderBy(F.col("lexical_score").desc(), *[F.col(c).asc() for c in keys])
     return (scored.withColumn("lexical_rank", F.row_number().over(w))
             .where(F.col("lexical_rank") <= k)
             .withColumn("lexical_rank", F.col("lexical_rank").cast("long")))
+
+
+def first_of_shapes(found: DataFrame, of: DataFrame, k: int, keys: list[str], query_id: str) -> DataFrame:
+    """The first ``k`` chunks of each query from those that the tasks of a scan found for each query shape."""
+    top = _ranked(found.where(F.col("possible").isNull()).select("_shape", *keys, "lexical_score"), k, keys, "_shape")
+    return top.join(F.broadcast(of), "_shape").select(query_id, *keys, "lexical_score", "lexical_rank")

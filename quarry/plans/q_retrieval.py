@@ -10,7 +10,6 @@ from quarry.operators import lexical as lx
 from quarry.operators.embedding import embed_hashing
 from quarry.plans import fixtures as fx
 from quarry.plans.registry import register
-from quarry.session import cut_lineage
 from quarry.plans.sql_fragments import (
     LINE_INDEX_SQL, SEARCH_QUERIES_SQL, VECTOR_INDEX_SQL, bucket_counts_sql, lexical_sql, postings_sql, query_terms_sql,
 )
@@ -40,7 +39,7 @@ SELECT query_id, source_path, chunk_index, round(lexical_score, 6) AS lexical_sc
 def q_cover_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     terms, n = lx.prepared_terms(fx.search_queries(spark, sf_dir))
     post = lx.build_postings(fx.line_index(spark, sf_dir))
-    matched = cut_lineage(lx.lexical_match(post, terms, term_rows=n))
+    matched = lx.lexical_match(post, terms, term_rows=n, scored=True)
     return (lx.cover_density(post, terms, matched, term_rows=n)
             .withColumn("lexical_score", F.round("lexical_score", 6)))
 
@@ -114,10 +113,8 @@ def rounded(df: DataFrame, cols=SCORES) -> DataFrame:
 
 @register("hybrid_search", HYBRID_SQL)
 def q_hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark import StorageLevel
-    # The built index (line chunks + vectors) feeds scoring, postings and both payload
-    # joins: kept once for the job (memory, then disk; lost blocks rebuild from lineage).
-    index = fx.hybrid_index(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
+    # Line chunks feed scoring, postings and both payload joins; a vector is made for scoring alone and never kept.
+    index = fx.hybrid_index(spark, sf_dir)
     out = hy.hybrid_search(index, fx.hybrid_queries(spark, sf_dir), k=5)
     return rounded(out.select("query_id", "source_path", "chunk_index", "content", *SCORES[:2],
                               "vector_rank", "lexical_rank", "hybrid_score", "hybrid_rank"))
@@ -187,6 +184,6 @@ def q_lexical_syntax(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Phrase and OR forms of every benchmark passage: match + cover density."""
     terms, n = lx.prepared_terms(fx.search_query_variants(spark, sf_dir))
     post = lx.build_postings(fx.line_index(spark, sf_dir))
-    matched = cut_lineage(lx.lexical_match(post, terms, term_rows=n))
+    matched = lx.lexical_match(post, terms, term_rows=n, scored=True)
     return (lx.cover_density(post, terms, matched, term_rows=n)
             .withColumn("lexical_score", F.round("lexical_score", 6)))
