@@ -1,14 +1,15 @@
 """Text embedding (OP-C12) and the vector text codec (OP-C13).
 
-Default embedder: feature hashing.  Tokens are hashed JVM-side (md5 prefix ->
-bucket); an Arrow UDF turns a whole batch of bucket arrays into count vectors
-with a single ``numpy.bincount``.  A model embedder plugs in through
+Default embedder: feature hashing.  The JVM splits tokens; an Arrow UDF hashes each
+distinct one of a batch (md5 prefix -> bucket) and counts the buckets of all rows with
+``numpy.bincount``.  A model embedder plugs in through
 ``embed_with`` (iterator pandas UDF, model loaded once per task); both check
 the dimension.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -24,40 +25,57 @@ from quarry.functions.text import tokens
 DEFAULT_DIM = 384
 #: Rows of an Arrow batch that are counted at a time.
 COUNTED_ROWS = 512
+#: Rows whose tokens are told apart at a time.
+HASHED_ROWS = 4096
 
 
-def hash_bucket(token: Column, dim: int) -> Column:
+def hash_bucket(token: str, dim: int) -> int:
     """First 32 bits of md5(token) modulo dim (same rule in DuckDB for the oracle)."""
-    return F.pmod(F.conv(F.substring(F.md5(token), 1, 8), 16, 10).cast("long"), F.lit(dim))
+    return int.from_bytes(hashlib.md5(token.encode()).digest()[:4], "big") % dim
 
 
-def hash_buckets(text: Column | str, dim: int = DEFAULT_DIM) -> Column:
-    return F.transform(tokens(text), lambda t: hash_bucket(t, dim).cast("int"))
+def _counts(buckets: pa.Array, dim: int) -> pa.Array:
+    """Count vectors of bucket lists (null: null), slice by slice: one bincount over (row * dim + bucket)."""
+    n = len(buckets)
+    counts = np.empty((n, dim), np.float32)
+    for i in range(0, n, COUNTED_ROWS):  # a slice's tokens at a time, however long the texts of a batch
+        part = buckets.slice(i, COUNTED_ROWS)
+        lengths = pc.fill_null(pc.list_value_length(part), 0).to_numpy(zero_copy_only=False)
+        values = pc.list_flatten(part).to_numpy(zero_copy_only=False).astype(np.int64)
+        rows = np.repeat(np.arange(len(part), dtype=np.int64), lengths)
+        counts[i:i + len(part)] = np.bincount(rows * dim + values, minlength=len(part) * dim).reshape(len(part), dim)
+    counts = counts.reshape(-1)
+    offsets = pa.array(np.arange(0, (n + 1) * dim, dim, dtype=np.int32))
+    return pa.ListArray.from_arrays(offsets, pa.array(counts), mask=buckets.is_null())
 
 
 def _bincount_udf(dim: int):
     @F.arrow_udf("array<float>")
     def bincount(buckets: pa.Array) -> pa.Array:
-        """Rows of an Arrow batch, slice by slice: one bincount over (row * dim + bucket)."""
-        if isinstance(buckets, pa.ChunkedArray):
-            buckets = buckets.combine_chunks()
-        n = len(buckets)
-        counts = np.empty((n, dim), np.float32)
-        for i in range(0, n, COUNTED_ROWS):  # a slice's tokens at a time, however long the texts of a batch
-            part = buckets.slice(i, COUNTED_ROWS)
-            lengths = pc.fill_null(pc.list_value_length(part), 0).to_numpy(zero_copy_only=False)
-            values = pc.list_flatten(part).to_numpy(zero_copy_only=False).astype(np.int64)
-            rows = np.repeat(np.arange(len(part), dtype=np.int64), lengths)
-            counts[i:i + len(part)] = np.bincount(rows * dim + values, minlength=len(part) * dim).reshape(len(part), dim)
-        counts = counts.reshape(-1)
-        offsets = pa.array(np.arange(0, (n + 1) * dim, dim, dtype=np.int32))
-        return pa.ListArray.from_arrays(offsets, pa.array(counts), mask=buckets.is_null())
+        return _counts(buckets.combine_chunks() if isinstance(buckets, pa.ChunkedArray) else buckets, dim)
     return bincount
 
 
+def _hashing_udf(dim: int):
+    @F.arrow_udf("array<float>")
+    def embed(words: pa.Array) -> pa.Array:
+        """A token that occurs often in a batch is hashed once."""
+        words = words.combine_chunks() if isinstance(words, pa.ChunkedArray) else words
+        parts = []
+        for i in range(0, len(words), HASHED_ROWS):
+            part = words.slice(i, HASHED_ROWS)
+            found = pc.list_flatten(part).dictionary_encode()
+            bucket = np.array([hash_bucket(t, dim) for t in found.dictionary.to_pylist()], np.int32)
+            lengths = pc.fill_null(pc.list_value_length(part), 0).to_numpy(zero_copy_only=False)
+            offsets = pa.array(np.r_[0, np.cumsum(lengths)].astype(np.int32))
+            parts.append(_counts(pa.ListArray.from_arrays(offsets, pa.array(bucket[found.indices.to_numpy()]), mask=part.is_null()), dim))
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.float32()))
+    return embed
+
+
 def embed_hashing(df: DataFrame, text_col: str, out_col: str = "embedding", dim: int = DEFAULT_DIM) -> DataFrame:
     """Term-count vector over ``dim`` hashed buckets (cosine-ready, no normalisation needed)."""
-    return df.withColumn(out_col, _bincount_udf(dim)(hash_buckets(F.col(text_col), dim)))
+    return df.withColumn(out_col, _hashing_udf(dim)(tokens(text_col)))
 
 
 def embed_with(df: DataFrame, text_col: str, load_model: Callable[[], Callable[[list[str]], np.ndarray]],

@@ -29,9 +29,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.session import cut_lineage
+from quarry.session import cut_lineage, write_table
 
 DEFAULT_BROADCAST_BYTES = 256 << 20
+GRID_ROWS, GRID_CELLS = 1 << 16, 2  # most rows of a side of a grid cell, and cells for each task that can run
 LSH_ROWS = 4096  # queries or items of a bucket scored in one task
 SCORE_CELLS, QUERY_TILE = 1 << 20, 1024  # entries of one query x item score block (8 MB of float64), its queries
 SIGNED_ROWS = 1024  # rows given LSH signatures at a time
@@ -40,12 +41,16 @@ OUT_ROWS = 1 << 16  # rows of an Arrow batch given back
 
 def _norms(m: np.ndarray) -> np.ndarray:
     """Row norms; zero or NaN rows get NaN so they never score."""
-    n = np.sqrt(np.einsum("ij,ij->i", m, m)) if m.size else np.zeros(m.shape[0])
+    n = np.zeros(m.shape[0])
+    for i in range(0, len(m) if m.size else 0, 4096):  # in double, whatever the type of ``m``
+        x = m[i:i + 4096].astype(np.float64, copy=False)
+        n[i:i + 4096] = np.sqrt(np.einsum("ij,ij->i", x, x))
     n[~(n > 0)] = np.nan
     return n
 
 
-def _list_matrix(arr: pa.Array, dim: int | None) -> np.ndarray:
+def _list_matrix(arr: pa.Array, dim: int | None, as_stored: bool = False) -> np.ndarray:
+    """Rows of a list column as double, or with ``as_stored`` in the column's own type."""
     if isinstance(arr, pa.ChunkedArray):
         arr = arr.combine_chunks()
     n = len(arr)
@@ -56,8 +61,8 @@ def _list_matrix(arr: pa.Array, dim: int | None) -> np.ndarray:
     if not np.all(lengths == d):
         bad = int(lengths[lengths != d][0])
         raise ValueError(f"embedding dimension {bad} does not match the expected {d}")
-    flat = arr.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
-    return flat.reshape(n, d)
+    flat = arr.flatten().to_numpy(zero_copy_only=False)
+    return (flat if as_stored else flat.astype(np.float64, copy=False)).reshape(n, d)
 
 
 def _key_order(table: pa.Table | pa.RecordBatch, keys: Sequence[str]) -> np.ndarray:
@@ -94,13 +99,18 @@ def _block_candidates(qm: np.ndarray, qnorm: np.ndarray, xm: np.ndarray, xnorm:
         floor = np.full(len(own), -np.inf) if least is None else least[low:low + QUERY_TILE].copy()
         parts = []
         for start in range(0, n, step):
-            block = xm[start:start + step]
+            block = xm[start:start + step].astype(np.float64, copy=False)
             with np.errstate(divide="ignore", invalid="ignore"):
                 s = (own @ block.T) / (own_norm[:, None] * xnorm[None, start:start + step])
-            s[~np.isfinite(s)] = -np.inf
-            if block.shape[0] > kmax:
-                floor = np.maximum(floor, -np.partition(-s, kmax - 1, axis=1)[:, kmax - 1])
-            qi, ri = np.nonzero((s >= floor[:, None]) & np.isfinite(s))
+            hit = s >= floor[:, None]  # never for a NaN
+            many = np.flatnonzero(np.count_nonzero(hit, axis=1) > kmax)
+            if len(many):
+                t = np.where(hit[many] & np.isfinite(s[many]), s[many], -np.inf)
+                floor[many] = -np.partition(-t, kmax - 1, axis=1)[:, kmax - 1]
+                hit[many] = t >= floor[many, None]
+            qi, ri = np.nonzero(hit)
+            use = np.isfinite(s[qi, ri])
+            qi, ri = qi[use], ri[use]
             sims = s[qi, ri]
             keep = _first_k(qi, sims, place[ri + start], kmax)
             parts.append((qi[keep], ri[keep] + start, sims[keep]))
@@ -149,16 +159,27 @@ def _broadcast_candidates(index: DataFrame, queries: DataFrame, kmax: int, key_c
         found: list[tuple] = []
 
         def compact() -> tuple:
-            place = _key_order(pa.Table.from_batches(seen), keys)
+            """The best so far; only their keys are kept."""
+            nonlocal seen, n_seen
+            rows = pa.Table.from_batches(seen)
             qi, ri, sims = (np.concatenate(x) for x in zip(*found, strict=True))
-            keep = _first_k(qi, sims, place[ri], kmax)
+            held, ri = np.unique(ri, return_inverse=True)
+            rows = rows.take(pa.array(held))
+            keep = _first_k(qi, sims, _key_order(rows, keys)[ri], kmax)
             qi, ri, sims = qi[keep], ri[keep], sims[keep]
             _raise_least(least, qi, sims, kmax)
-            return qi, ri, sims
+            held, ri = np.unique(ri, return_inverse=True)
+            seen = rows.take(pa.array(held)).combine_chunks().to_batches()
+            n_seen = len(held)
+            return qi.astype(np.int32), ri.astype(np.int32), sims
 
         for batch in batches:
             if batch.num_rows == 0 or qn.shape[0] == 0:
                 continue
+            if batch.column(vector_col).null_count:
+                batch = batch.filter(batch.column(vector_col).is_valid())
+                if batch.num_rows == 0:
+                    continue
             x = _list_matrix(batch.column(vector_col), d)
             qi, ri, sims = _block_candidates(qn, qnorm, x, _norms(x), _key_order(batch, keys), kmax, least)
             _raise_least(least, qi, sims, kmax)
@@ -166,10 +187,12 @@ def _broadcast_candidates(index: DataFrame, queries: DataFrame, kmax: int, key_c
             found.append((qi.astype(np.int32), (ri + n_seen).astype(np.int32), sims))
             n_seen += batch.num_rows
             n_found += len(qi)
-            if n_found > 2 * kmax * qn.shape[0] + 65536:
+            if n_found > 2 * kmax * qn.shape[0] + 65536 or n_seen > 2 * kmax * qn.shape[0] + 262144:
                 found = [compact()]
                 n_found = len(found[0][0])
-        if not found:
+            del batch, x
+            pa.default_memory_pool().release_unused()
+        if not n_found:
             return
         qi, ri, sims = compact()
         key_rows = pa.Table.from_batches(seen)
@@ -178,14 +201,21 @@ def _broadcast_candidates(index: DataFrame, queries: DataFrame, kmax: int, key_c
             out = {query_id: ids.take(pa.array(qi[i:i + OUT_ROWS])), **{c: rows.column(c) for c in keys}, "similarity": pa.array(sims[i:i + OUT_ROWS])}
             yield from pa.Table.from_pydict(out, schema=arrow_schema).to_batches()
 
+    # Rows without a vector are left out here: a filter in the plan would make every vector once more.
     return index.select(*keys, vector_col).mapInArrow(score, schema)
 
 
 def _grid_candidates(index: DataFrame, queries: DataFrame, kmax: int, key_cols,
                      vector_col: str, query_id: str, query_vector: str,
                      schema: T.StructType, n_queries: int,
-                     query_rows: int, item_rows: int) -> DataFrame:
+                     query_rows: int | None, item_rows: int | None) -> DataFrame:
+    """Each query goes out once for every item block and each item once for every query block, so the blocks are as
+    large as a task can hold (GRID_ROWS), but not so large that there are too few cells for the cluster's tasks."""
+    queries = write_table(queries.select(query_id, query_vector), "grid-queries")  # made once, counted and dealt
+    index = write_table(index.select(*key_cols, vector_col), "grid-items")
     n_items = index.count()
+    side = math.isqrt(max(1, n_queries * n_items) // (GRID_CELLS * index.sparkSession.sparkContext.defaultParallelism)) + 1
+    query_rows, item_rows = (x or min(GRID_ROWS, max(4096, side)) for x in (query_rows, item_rows))
     bq = max(1, math.ceil(n_queries / query_rows))
     bi = max(1, math.ceil(n_items / item_rows))
     keys = list(key_cols)
@@ -206,8 +236,8 @@ def _cell_scorer(schema: T.StructType, query_id: str, keys: Sequence[str], k: in
     def cell(own: pa.Table, items: pa.Table) -> pa.Table:
         if not own.num_rows or not items.num_rows:
             return out.empty_table()
-        qm = _list_matrix(own["_qv"], None)
-        xm = _list_matrix(items["_iv"], qm.shape[1])
+        qm = _list_matrix(own["_qv"], None, as_stored=True)
+        xm = _list_matrix(items["_iv"], qm.shape[1], as_stored=True)
         qi, ri, sims = _block_candidates(qm, _norms(qm), xm, _norms(xm), _key_order(items, keys), k)
         return pa.table([own[query_id].take(pa.array(qi)), *(items[c].take(pa.array(ri)) for c in keys), pa.array(sims)], schema=out)
 
@@ -235,8 +265,8 @@ def vector_topk(index: DataFrame, queries: DataFrame, k: int = 5, *,
                 limit_col: str | None = None,
                 strategy: str = "auto",
                 max_broadcast_bytes: int = DEFAULT_BROADCAST_BYTES,
-                grid_query_rows: int = 4096,
-                grid_item_rows: int = 16384) -> DataFrame:
+                grid_query_rows: int | None = None,
+                grid_item_rows: int | None = None) -> DataFrame:
     """Exact cosine top-k of ``index`` rows for every row of ``queries``.
 
     Output: ``query_id, rank, *key_cols, *payload_cols, similarity``; ranks are
@@ -257,7 +287,7 @@ def vector_topk(index: DataFrame, queries: DataFrame, k: int = 5, *,
     if strategy == "auto":
         strategy = "broadcast" if n_queries * max(dim, 1) * 8 <= max_broadcast_bytes else "grid"
     if strategy == "broadcast":
-        cand = _broadcast_candidates(idx, q, k, keys, vector_col, query_id, query_vector, schema)
+        cand = _broadcast_candidates(index, q, k, keys, vector_col, query_id, query_vector, schema)
     elif strategy == "grid":
         cand = _grid_candidates(idx, q, k, keys, vector_col, query_id, query_vector, schema,
                                 n_queries, grid_query_rows, grid_item_rows)

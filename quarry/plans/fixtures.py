@@ -38,10 +38,9 @@ def vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 def line_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lexical/hybrid index: every line of every document is one chunk.
 
-    Building an index repartitions the corpus by document once, so the explode and
-    the embedding run in parallel even when the input has few row groups."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
-    docs = docs.repartition(doc_path())
+    Only a corpus of few row groups is dealt out anew, so that the explode and the embedding run in
+    parallel; a large one is read where it lies, since the index is derived again by each pass over it."""
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text"))
     return (docs.select(doc_path().alias("source_path"),
                         F.posexplode(F.split(F.col("text"), NL)).alias("chunk_index", "content"))
             .select("source_path", F.col("chunk_index").cast("int"), "content"))
@@ -329,8 +328,8 @@ def topic_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def session_retrieval(spark: SparkSession, sf_dir: str, mode: str = "vector") -> DataFrame:
     from quarry.operators.embedding import embed_hashing
     from quarry.operators.retrieval import multi_topic_retrieve
-    from pyspark import StorageLevel
-    index = hybrid_index(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)  # scored, then re-read for payload
+    # Vectors are as wide as many lines: scored as they are made, never kept; the payload is read from the lines again.
+    index = hybrid_index(spark, sf_dir)
     return multi_topic_retrieve(index, topic_sessions(spark, sf_dir),
                                 total_col="total_results", mode=mode,
                                 topic_vector_fn=lambda df, c: embed_hashing(df, c))
