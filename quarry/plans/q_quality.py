@@ -10,6 +10,7 @@ from quarry.operators import quality as q
 from quarry.plans import fixtures as fx
 from quarry.plans.registry import register
 from quarry.plans.sql_fragments import LINE_INDEX_SQL
+from quarry.session import write_table
 
 WS = r"[\t\n\x{0B}\f\r\x{1C}-\x{1F}\x{85}\p{Z}]"
 
@@ -173,12 +174,13 @@ JOIN (SELECT slot_id, min(attempt_number) FILTER (WHERE attempt_error IS NULL) A
 """)
 def q_approved_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.operators.bank import approved_only
-    outcomes = fx.judged_attempts(spark, sf_dir)
+    # Outputs are parsed and judged once; what is joined afterwards has no texts.
+    outcomes = write_table(fx.judged_attempts(spark, sf_dir).select(
+        "slot_id", "attempt_number", F.col("parsed.question_type").alias("question_type"), "assigned_difficulty", "ok", "attempt_error"), "outcomes")
     first = q.first_passing_attempt(outcomes, ["slot_id"])
     chosen = (outcomes.join(first.select("slot_id", F.col("passing_attempt").alias("attempt_number"),
                                          F.col("passed").alias("slot_passed")), ["slot_id", "attempt_number"])
-              .select("slot_id", "attempt_number", F.col("parsed.question_type").alias("question_type"),
-                      "assigned_difficulty", F.col("slot_passed").alias("judge_passed")))
+              .select("slot_id", "attempt_number", "question_type", "assigned_difficulty", F.col("slot_passed").alias("judge_passed")))
     return approved_only(chosen, "judge_passed").drop("judge_passed")
 
 
