@@ -5,6 +5,8 @@ All are built-in Spark expressions (JVM side, codegen where Spark allows).
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,7 +33,8 @@ _WS_CLASS = "[" + "".join(f"\\x{{{ord(c):04x}}}" for c in PY_WHITESPACE) + "]"
 
 TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
 # Python str.splitlines() boundaries (after \r\n has been folded to \n).
-LINE_SPLIT = "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x85\\u2028\\u2029]"
+LINE_BREAKS = "\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
+LINE_SPLIT = "[\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x85\\u2028\\u2029]"
 UNICODE_SPACE = r"(?U)\s+"
 
 
@@ -95,11 +98,10 @@ def topic_label(c) -> Column:
 def split_lines(c) -> Column:
     """``str.splitlines()`` as an array: no trailing empty line after a final break."""
     text = F.replace(col(c), F.lit("\r\n"), F.lit("\n"))
-    parts = F.split(text, LINE_SPLIT)
-    ends_with_break = F.regexp_like(text, F.lit("(" + LINE_SPLIT + ")$"))
+    open_end = F.when(F.substring(text, -1, 1).isin(*LINE_BREAKS), F.substring(text, F.lit(1), F.length(text) - 1)).otherwise(text)
+    only_newlines = reduce(lambda a, b: a & b, [~text.contains(x) for x in LINE_BREAKS if x != "\n"])
     return (F.when(F.length(text) == 0, F.array().cast("array<string>"))
-            .when(ends_with_break, F.slice(parts, F.lit(1), F.size(parts) - 1))
-            .otherwise(parts))
+            .when(only_newlines, F.split(open_end, "\n")).otherwise(F.split(open_end, LINE_SPLIT)))
 
 
 def source_paths(c) -> Column:

@@ -171,8 +171,8 @@ def markdown_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def markdown_rows(docs: DataFrame) -> DataFrame:
     """Projection of document rows (batch or stream) to Markdown files."""
     text = F.col("text")
-    paragraphs = F.regexp_replace(text, NL, NL + NL)
-    loose_list = F.concat(F.lit("- "), F.regexp_replace(text, NL, NL + NL + "- "))
+    paragraphs = F.replace(text, F.lit(NL), F.lit(NL + NL))
+    loose_list = F.concat(F.lit("- "), F.replace(text, F.lit(NL), F.lit(NL + NL + "- ")))
     fenced = F.concat(F.lit("```text" + NL), paragraphs, F.lit(NL + "```" + NL + NL + "***" + NL + NL
                                                               + "### end" + NL + NL + "where"))
     body = (F.when(F.col("doc_id") % 4 == 0, text).when(F.col("doc_id") % 4 == 1, paragraphs)

@@ -4,7 +4,9 @@ import random
 
 import brute
 from conftest import SF_SMALL
+from pyspark.sql import functions as F
 
+from quarry.functions.text import split_lines
 from quarry.operators import chunking
 from quarry.operators.chunking import chunk_markdown
 from quarry.plans import fixtures as fx
@@ -92,3 +94,29 @@ def test_segments_match_rule(spark, monkeypatch):
         monkeypatch.setattr(chunking, "SEGMENT_LINES", lines)
         monkeypatch.setattr(chunking, "NUMBERED", lines)
         assert run(spark, texts) == want
+
+
+def test_lines_are_not_sorted_or_shuffled(spark):
+    """A document of few characters is one row until its chunks go out: no window, no sort, one shuffle."""
+    df = spark.createDataFrame([("a.md", "# A\n\ntext")], "source_path string, content string")
+    plan = chunk_markdown(df)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and " Sort " not in plan and plan.count("Exchange") == 1
+
+
+def test_files_of_one_path_are_one_document(spark):
+    """Equal and null paths: the files' lines by number, in one document with one numbering."""
+    rows = [("twice.md", "# A\n\nb\n\nc"), ("twice.md", "# A\n\nb\n\nc"), (None, "x\n\ny"), (None, "x\n\ny"), ("no.md", None), ("one.md", "z")]
+    df = spark.createDataFrame(rows, "source_path string, content string")
+    want = {("twice.md", i, c) for i, c in enumerate(brute.chunk("# A\n# A\n\n\nb\nb\n\n\nc\nc"))} | {(None, 0, "x\nx"), (None, 1, "y\ny"), ("one.md", 0, "z")}
+    got = [tuple(r) for r in chunk_markdown(df).collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_strip_and_lines_of_any_break(spark):
+    spaces = [chr(i) for i in range(1, 0x3100)]
+    df = spark.createDataFrame([(c,) for c in spaces], "c string")
+    padded = F.concat("c", F.lit("a"), "c")
+    assert df.where(chunking._strip(padded) != F.regexp_replace(padded, r"(?U)^\s+|\s+$", "")).count() == 0
+    texts = ["", "\n", "a", "a\n", "a\r\nb", "a\x1cb\x85", "\u2028", "a\r\r\n\nb\u2029", "é\x0b\x0cz\n\n"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", split_lines("t").alias("x")).collect()
+    assert [(r.t, r.x) for r in got] == [(t, t.splitlines()) for t in texts]
