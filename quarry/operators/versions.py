@@ -51,7 +51,10 @@ def _live(spark: SparkSession, root: str, entries: list, schema: T.StructType) -
 def _write_part(spark: SparkSession, root: str, part: int, rows: DataFrame, sources: DataFrame, buckets: int, schema: T.StructType) -> dict[int, tuple[int, int]]:
     """Write rows and sources by bucket; (rows, sources) of each bucket."""
     b = _bucket(buckets)
-    rows.select(*schema.names).withColumn("bucket", b).repartition("bucket", "source_path").write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/chunks/part={part}")
+    # A bucket goes to a few tasks, not to all: files are then about as many as tasks, not tasks x buckets.
+    tasks = max(1, -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // buckets))
+    share = F.pmod(F.xxhash64("source_path", F.lit(1)), F.lit(tasks))
+    rows.select(*schema.names).withColumn("bucket", b).repartition("bucket", share).write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/chunks/part={part}")
     sources.select("source_path").distinct().withColumn("bucket", b).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/sources/part={part}")
     bucket = T.StructField("bucket", T.IntegerType())
     n = spark.read.schema(T.StructType([*schema.fields, bucket])).parquet(f"{root}/chunks/part={part}").groupBy("bucket").agg(F.count(F.lit(1)).alias("rows"))

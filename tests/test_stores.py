@@ -120,3 +120,12 @@ def test_constraint_counts(spark):
         df, "t", {"difficulty": constraints.between("difficulty", 1, 5), "loose": constraints.between("difficulty", 1, 5, nullable=True),
                   "text": constraints.missing("text")}, [("id",)]).collect()}
     assert got == {"t_difficulty": 2, "t_loose": 1, "t_text": 1, "t_unique_id": 1}
+
+
+def test_part_files_do_not_multiply_with_tasks(spark, tmp_path):
+    """A part has about as many files as buckets (or tasks, if those are more), not a file a bucket and task."""
+    rows = spark.range(4000).select(F.concat(F.lit("p"), F.col("id").cast("string")).alias("source_path"), F.lit(0).alias("chunk_index"), F.lit("x").alias("content"))
+    root = str(tmp_path / "index")
+    versions.create_index(root, rows, buckets=8)
+    assert len(list((tmp_path / "index" / "chunks").rglob("*.parquet"))) == 8
+    assert versions.read_index(spark, root).count() == 4000
