@@ -25,7 +25,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.operators.vector_search import _arrow_type, _list_matrix, _norms
+from quarry.operators.vector_search import (
+    DEFAULT_BROADCAST_BYTES, _arrow_type, _block_candidates, _keep_best, _key_order, _list_matrix, _norms, _raise_least, vector_topk,
+)
 from quarry.session import checkpoint_dir, write_table
 
 #: Rows of the training sample, most centroids, rounds of k-means.
@@ -34,6 +36,10 @@ SAMPLE, MOST_CELLS, ROUNDS = 16_384, 2048, 10
 MAX_ROWS = 4096
 #: Rows that meet the centroids at a time, and rows of an Arrow batch given back.
 SLICE, OUT_ROWS = 512, 4096
+#: Centroids a row that single precision cannot tell apart, on average, up to which they are compared one by one.
+TIED = 16
+#: Chunks of a cell that are written to one file.
+FILE_CHUNKS = 8
 #: Rows of a cell of the join, on average: below that, sending a visitor costs more than scoring it.
 JOIN_ROWS = 1024
 #: Slack of angle bounds, well above the rounding of arccos.
@@ -76,14 +82,21 @@ def kmeans(points: np.ndarray, k: int, rounds: int = ROUNDS, seed: int = 11) ->
     return centroids
 
 
-def train_cells(vectors: DataFrame, vector_col: str, n_cells: int | None = None, sample: int = SAMPLE) -> np.ndarray:
-    """Centroids (cells x dimension) from the ``sample`` vectors of least hash; about twice the square root
-    of the number of rows, at most MOST_CELLS, unless ``n_cells`` says how many."""
+def train_cells(vectors: DataFrame, vector_col: str, n_cells: int | None = None, sample: int = SAMPLE, hash_col: str | None = None) -> np.ndarray:
+    """Centroids (cells x dimension) from the ``sample`` vectors of least hash (``hash_col``, if the rows hold it); about twice
+    the square root of the number of rows, at most MOST_CELLS, unless ``n_cells`` says how many.
+
+    The hashes are counted by their first twelve bits, so that only the vectors of the least ones are sorted: else each
+    task would send ``sample`` vectors to the one that draws."""
     checkpoint_dir(vectors.sparkSession)
-    rows = vectors.where(F.col(vector_col).isNotNull()).select(F.col(vector_col).alias("v"))
-    n = rows.count()
+    rows = vectors.where(F.col(vector_col).isNotNull()).select(F.col(vector_col).alias("v"), (F.col(hash_col) if hash_col else F.xxhash64(vector_col)).alias("h"))
+    counts = sorted(rows.groupBy(F.shiftright("h", 52).alias("b")).count().collect())  # at most 4096 rows
+    n = sum(r["count"] for r in counts)
     k = n_cells or max(1, min(MOST_CELLS, 2 * math.isqrt(n)))
-    drawn = rows.withColumn("h", F.xxhash64("v")).orderBy("h").limit(sample)
+    enough = np.searchsorted(np.cumsum([r["count"] for r in counts]), min(n, sample))  # the bucket that fills the sample
+    if enough + 1 < len(counts):
+        rows = rows.where(F.shiftright("h", 52) <= counts[enough]["b"])
+    drawn = rows.orderBy("h").limit(sample)
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [unit(_list_matrix(b.column(0), None)) for b in batches if b.num_rows]
@@ -97,6 +110,26 @@ def train_cells(vectors: DataFrame, vector_col: str, n_cells: int | None = None,
     return np.frombuffer(got[0]["c"]).reshape(got[0]["n"], -1) if got else np.zeros((0, 0))
 
 
+def nearest(u: np.ndarray, centroids: np.ndarray, single: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Cell of each unit vector, the first of its nearest centroids, and the cosine to it.  ``single``: the centroids in
+    single precision, in which the cosines are made; rows whose best two its rounding could swap are told apart in double."""
+    s = u.astype(np.float32) @ single.T
+    own, cell = np.arange(len(s)), s.argmax(axis=1)
+    close = s[own, cell] - 2 * (u.shape[1] + 2) * np.finfo(np.float32).eps
+    best = s[own, cell]
+    s[own, cell] = -np.inf
+    many = np.flatnonzero(s.max(axis=1, initial=-np.inf) >= close)
+    s[own, cell] = best
+    row, of = np.nonzero(s[many] >= close[many, None])
+    if len(row) > TIED * len(many):  # nearly equal centroids
+        cell[many] = (u[many] @ centroids.T).argmax(axis=1)
+    elif len(many):
+        exact = np.einsum("ij,ij->i", u[many[row]], centroids[of])
+        order = np.lexsort((of, -exact, row))
+        cell[many] = of[order[np.flatnonzero(np.diff(row, prepend=-1))]]
+    return cell, np.einsum("ij,ij->i", u, centroids[cell])
+
+
 def assign_cells(rows: DataFrame, centroids: np.ndarray, vector_col: str) -> DataFrame:
     """``rows`` with cell and angle (to the cell's centroid); rows without a direction drop out."""
     held = rows.sparkSession.sparkContext.broadcast(centroids)  # at most MOST_CELLS vectors
@@ -104,19 +137,23 @@ def assign_cells(rows: DataFrame, centroids: np.ndarray, vector_col: str) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = held.value
+        single = c.astype(np.float32)
         for b in slices(batches) if len(c) else ():
-            s = unit(_list_matrix(b.column(at), c.shape[1])) @ c.T
-            use = np.flatnonzero(~np.isnan(s).any(axis=1))
-            s = s[use]
-            cell = s.argmax(axis=1)
+            u = unit(_list_matrix(b.column(at), c.shape[1]))
+            use = np.flatnonzero(~np.isnan(u).any(axis=1))
+            cell, cosine = nearest(u[use], c, single)
             b = b.take(pa.array(use))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell.astype(np.int32)), pa.array(angle(s[np.arange(len(use)), cell]))],
-                                             [*b.schema.names, "cell", "angle"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell.astype(np.int32)), pa.array(angle(cosine))], [*b.schema.names, "cell", "angle"])
 
     schema = T.StructType([*rows.schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("angle", T.DoubleType())])
     return rows.where(F.col(vector_col).isNotNull()).mapInArrow(run, schema)
 
 
+def _per_cell(numbers: np.ndarray):
+    """The number of the row's cell, from one literal array (a map would be searched entry by entry)."""
+    return F.get(F.split(F.lit(",".join(map(str, numbers)) or "1"), ",").cast("array<bigint>"), F.col("cell"))
+
+
 @dataclass
 class CellIndex:
     """A stored table partitioned by cell (key columns, vector, angle, chunk), its centroids, and each
@@ -131,23 +168,21 @@ class CellIndex:
 
 
 def build_cells(index: DataFrame, key_cols: Sequence[str], vector_col: str = "embedding", centroids: np.ndarray | None = None,
-                n_cells: int | None = None, max_rows: int = MAX_ROWS) -> CellIndex:
-    """Assign every row of ``index`` to a cell and store it, partitioned by cell."""
+                n_cells: int | None = None, max_rows: int = MAX_ROWS, hash_col: str | None = None) -> CellIndex:
+    """Assign every row of ``index`` to a cell and store it, partitioned by cell; ``hash_col`` as in ``train_cells``."""
     spark = index.sparkSession
     keys = tuple(key_cols)
     if centroids is None:
-        centroids = train_cells(index, vector_col, n_cells)
+        centroids = train_cells(index, vector_col, n_cells, hash_col=hash_col)
     flat = write_table(assign_cells(index.select(*keys, vector_col), centroids, vector_col), "assigned")
     n = len(centroids)
     rows, radius = np.zeros(n, np.int64), np.zeros(n)
     for r in flat.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("angle").alias("r")).collect():  # a row a cell
         rows[r["cell"]], radius[r["cell"]] = r["n"], r["r"]
     chunks = np.maximum(1, -(-rows // max_rows))
-    per_cell = F.create_map(*[x for i in np.flatnonzero(chunks > 1) for x in (F.lit(int(i)), F.lit(int(chunks[i])))]) if (chunks > 1).any() else None
-    many = F.coalesce(per_cell[F.col("cell")], F.lit(1)) if per_cell is not None else F.lit(1)
-    flat = flat.withColumn("chunk", F.pmod(F.xxhash64(*keys), many).cast("int"))
+    flat = flat.withColumn("chunk", F.pmod(F.xxhash64(*keys), _per_cell(chunks)).cast("int"))
     path = f"{checkpoint_dir(spark).rstrip('/')}/tables/cells-{uuid.uuid4().hex}"
-    flat.repartition("cell", "chunk").write.partitionBy("cell").parquet(path)
+    flat.repartition("cell", F.floor(F.col("chunk") / FILE_CHUNKS)).write.partitionBy("cell").parquet(path)
     schema = T.StructType([*[f for f in flat.schema.fields if f.name != "cell"], T.StructField("cell", T.IntegerType())])
     return CellIndex(spark.read.schema(schema).parquet(path), keys, vector_col, centroids, rows, chunks, radius)
 
@@ -199,11 +234,9 @@ def _visits(rows: DataFrame, row_id: str, vector_col: str, choose, chunks: np.nd
 
 def _homes(index: CellIndex, blocks: np.ndarray) -> DataFrame:
     """The stored rows, once for every block of their cell's visitors."""
-    many = np.flatnonzero(blocks > 1)
-    if not len(many):
+    if not (blocks > 1).any():
         return index.table.withColumn("block", F.lit(0))
-    per_cell = F.create_map(*[x for i in many for x in (F.lit(int(i)), F.lit(int(blocks[i])))])
-    return index.table.withColumn("block", F.explode(F.sequence(F.lit(0), F.coalesce(per_cell[F.col("cell")], F.lit(1)) - 1)))
+    return index.table.withColumn("block", F.explode(F.sequence(F.lit(0), (_per_cell(blocks) - 1).cast("int"))))
 
 
 def cosine_join(left: DataFrame, right: DataFrame | None, threshold: float, *, left_id: str = "left_id", right_id: str = "right_id",
@@ -278,11 +311,13 @@ def cosine_join(left: DataFrame, right: DataFrame | None, threshold: float, *, l
 
 
 def search_cells(index: CellIndex, queries: DataFrame, k: int = 5, probes: int = 8, *, query_id: str = "query_id",
-                 query_vector: str = "embedding", max_rows: int = MAX_ROWS, counted: bool = False) -> DataFrame:
+                 query_vector: str = "embedding", max_rows: int = MAX_ROWS, counted: bool = False,
+                 max_broadcast_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
     """(query_id, rank, keys, similarity): the ``k`` nearest rows of each query's ``probes`` nearest cells, equal
     ones by key; with ``counted`` a row per query of all that were scored (query_id, scored) instead.
 
-    Query ids name the queries.  Only the cells that are probed are read."""
+    Query ids name the queries.  Only the cells that are probed are read.  Queries and probe lists of up to
+    ``max_broadcast_bytes`` are sent to the stored rows, which then are not shuffled; more of them meet the rows by cell."""
     centroids = index.centroids
     full = np.flatnonzero(index.rows > 0)
     probes = min(probes, len(full))
@@ -300,6 +335,15 @@ def search_cells(index: CellIndex, queries: DataFrame, k: int = 5, probes: int =
         return mask, s
 
     own = write_table(queries.where(F.col(query_vector).isNotNull()).select(query_id, query_vector), "queries")
+    schema = pa.schema([pa.field(f.name, _arrow_type(f.dataType)) for f in out_type.fields])
+    w = Window.partitionBy(query_id).orderBy(F.desc("similarity"), *index.keys)
+
+    def first(found: DataFrame) -> DataFrame:
+        return (found.withColumn("rank", F.row_number().over(w).cast("int")).where(F.col("rank") <= k)
+                .select(query_id, "rank", *index.keys, "similarity"))
+
+    if not counted and own.count() * (centroids.shape[1] * 8 + probes * 4) <= max_broadcast_bytes:
+        return first(_search_sent(index, own.toArrow(), k, choose, query_id, schema, out_type))
     visits, blocks = _visits(own, query_id, query_vector, choose, index.chunks, max_rows)
     visits = write_table(visits, "probes")
     if counted:
@@ -307,7 +351,6 @@ def search_cells(index: CellIndex, queries: DataFrame, k: int = 5, probes: int =
         return visits.where("chunk = 0").join(F.broadcast(size), "cell").groupBy(query_id).agg(F.sum("n").alias("scored"))
     probed = [r["cell"] for r in visits.select("cell").distinct().collect()]  # at most MOST_CELLS numbers
     homes = _homes(index, blocks).where(F.col("cell").isin(probed))
-    schema = pa.schema([pa.field(f.name, _arrow_type(f.dataType)) for f in out_type.fields])
     vector, keys = index.vector, index.keys
 
     def score(come: pa.Table, stay: pa.Table) -> pa.Table:
@@ -328,10 +371,49 @@ def search_cells(index: CellIndex, queries: DataFrame, k: int = 5, probes: int =
         return pa.Table.from_arrays([come[query_id].take(row), *(stay[c].take(col) for c in keys), pa.array(np.concatenate(sims))], schema=schema)
 
     by = ("cell", "chunk", "block")
-    found = visits.groupBy(*by).cogroup(homes.groupBy(*by)).applyInArrow(score, out_type)
-    w = Window.partitionBy(query_id).orderBy(F.desc("similarity"), *keys)
-    return (found.withColumn("rank", F.row_number().over(w).cast("int")).where(F.col("rank") <= k)
-            .select(query_id, "rank", *keys, "similarity"))
+    return first(visits.groupBy(*by).cogroup(homes.groupBy(*by)).applyInArrow(score, out_type))
+
+
+def _search_sent(index: CellIndex, queries: pa.Table, k: int, choose, query_id: str, schema: pa.Schema, out_type: T.StructType) -> DataFrame:
+    """Candidates of each task's rows for the ``queries`` (id, vector), a bounded table, that ``choose`` sends to the rows' cells."""
+    x = _list_matrix(queries.column(1), None)
+    visitors: list[list[np.ndarray]] = [[] for _ in index.centroids]
+    for i in range(0, len(x), SLICE):
+        row, cell = np.nonzero(choose(unit(x[i:i + SLICE]), None)[0].T)[::-1]  # by cell
+        for c, part in zip(*_runs(cell), strict=True):
+            visitors[c].append((row[part] + i).astype(np.int32))
+    visitors = [np.concatenate(v) if v else np.zeros(0, np.int32) for v in visitors]
+    ids = queries.column(0).combine_chunks() if queries.num_rows else pa.array([], queries.schema.field(0).type)
+    held = index.table.sparkSession.sparkContext.broadcast((ids, x, _norms(x), visitors))
+    vector, keys = index.vector, list(index.keys)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, x, norms, visitors = held.value
+
+        def candidates(batch: pa.RecordBatch, least: np.ndarray):
+            y = _list_matrix(batch.column(vector), x.shape[1])
+            ny, place = _norms(y), _key_order(batch, keys)
+            cell = batch.column("cell").to_numpy()
+            order = np.argsort(cell, kind="stable")
+            found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+            for c, part in zip(*_runs(cell[order]), strict=True):
+                q, rows = visitors[c], order[part]
+                if len(q):
+                    qi, ri, sims = _block_candidates(x[q], norms[q], y[rows], ny[rows], place[rows], k, least[q])
+                    _raise_least(least, q[qi], sims, k)
+                    found.append((q[qi], rows[ri], sims))
+            return tuple(np.concatenate(f) for f in zip(*found, strict=True))
+
+        yield from _keep_best(batches, candidates, ids, k, vector, query_id, keys, schema)
+
+    probed = [i for i, v in enumerate(visitors) if len(v)]  # at most MOST_CELLS numbers
+    return index.table.where(F.col("cell").isin(probed)).select(*keys, vector, "cell").mapInArrow(score, out_type)
+
+
+def _runs(cell: np.ndarray) -> tuple[list[int], list[slice]]:
+    """The distinct numbers of a sorted array, and where each stands."""
+    starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]) if len(cell) else np.zeros(0, np.int64)
+    return cell[starts].tolist(), [slice(a, b) for a, b in zip(starts, [*starts[1:], len(cell)], strict=True)]
 
 
 def calibrated_probes(index: CellIndex, queries: DataFrame, recall: float = 0.95, k: int = 5, sample: int = 200, *,
@@ -343,30 +425,12 @@ def calibrated_probes(index: CellIndex, queries: DataFrame, recall: float = 0.95
     if not q.num_rows or not (index.rows > 0).any():
         return 1
     u = unit(_list_matrix(q.column(1), None))
-    held = queries.sparkSession.sparkContext.broadcast(u)
-    at = index.table.columns.index(index.vector)
-    cell_at = index.table.columns.index("cell")
-
-    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        u, best = held.value, None
-        for b in batches:
-            if not b.num_rows:
-                continue
-            s = np.nan_to_num(u @ unit(_list_matrix(b.column(at), u.shape[1])).T, nan=-2.0)
-            cell = np.broadcast_to(b.column(cell_at).to_numpy(), s.shape)
-            if best is not None:
-                s, cell = np.concatenate([best[0], s], axis=1), np.concatenate([best[1], cell], axis=1)
-            top = np.argsort(-s, axis=1, kind="stable")[:, :k]
-            best = np.take_along_axis(s, top, 1), np.take_along_axis(cell, top, 1)
-        if best is not None:
-            q = np.repeat(np.arange(len(u)), best[0].shape[1])
-            yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(best[0].ravel()), pa.array(best[1].ravel().astype(np.int64))], ["q", "s", "cell"])
-
-    w = Window.partitionBy("q").orderBy(F.desc("s"))
-    true = index.table.mapInArrow(nearest, "q bigint, s double, cell bigint").withColumn("r", F.row_number().over(w)).where(F.col("r") <= k)
+    asked = queries.sparkSession.createDataFrame(pa.table({"q": pa.array(range(q.num_rows)), index.vector: q.column(1)}))
+    true = vector_topk(index.table, asked, k, key_cols=(*index.keys, "cell"), payload_cols=(), vector_col=index.vector,
+                       query_id="q", query_vector=index.vector)
     full = np.flatnonzero(index.rows > 0)
     place = np.full((len(u), len(index.centroids)), len(full))
     near = full[np.argsort(-np.nan_to_num(u @ index.centroids.T, nan=-2.0)[:, full], axis=1, kind="stable")]
     np.put_along_axis(place, near, np.broadcast_to(np.arange(len(full)), near.shape), axis=1)
-    needed = np.sort([place[r["q"], r["cell"]] for r in true.where("s >= -1.5").collect()])  # k rows a sampled query
+    needed = np.sort([place[r["q"], r["cell"]] for r in true.collect()])  # k rows a sampled query
     return int(needed[min(len(needed) - 1, max(0, math.ceil(recall * len(needed)) - 1))]) + 1 if len(needed) else 1

@@ -18,6 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry.functions.text import tokens
 
@@ -34,6 +35,13 @@ def hash_bucket(token: str, dim: int) -> int:
     return int.from_bytes(hashlib.md5(token.encode()).digest()[:4], "big") % dim
 
 
+def _buckets(words: pa.Array, dim: int) -> np.ndarray:
+    """``hash_bucket`` of each word."""
+    md5 = hashlib.md5
+    digests = b"".join([md5(w).digest() for w in words.cast(pa.binary()).to_pylist()])
+    return (np.frombuffer(digests, ">u4")[::4] % dim).astype(np.int32)
+
+
 def _counts(buckets: pa.Array, dim: int) -> pa.Array:
     """Count vectors of bucket lists (null: null), slice by slice: one bincount over (row * dim + bucket)."""
     n = len(buckets)
@@ -65,7 +73,7 @@ def _hashing_udf(dim: int):
         for i in range(0, len(words), HASHED_ROWS):
             part = words.slice(i, HASHED_ROWS)
             found = pc.list_flatten(part).dictionary_encode()
-            bucket = np.array([hash_bucket(t, dim) for t in found.dictionary.to_pylist()], np.int32)
+            bucket = _buckets(found.dictionary, dim)
             lengths = pc.fill_null(pc.list_value_length(part), 0).to_numpy(zero_copy_only=False)
             offsets = pa.array(np.r_[0, np.cumsum(lengths)].astype(np.int32))
             parts.append(_counts(pa.ListArray.from_arrays(offsets, pa.array(bucket[found.indices.to_numpy()]), mask=part.is_null()), dim))
@@ -78,6 +86,31 @@ def embed_hashing(df: DataFrame, text_col: str, out_col: str = "embedding", dim:
     return df.withColumn(out_col, _hashing_udf(dim)(tokens(text_col)))
 
 
+def _sparse(vectors: pa.Array) -> pa.Array:
+    size = pc.fill_null(pc.list_value_length(vectors), 0).to_numpy(zero_copy_only=False).astype(np.int32)
+    flat = pc.list_flatten(vectors).to_numpy(zero_copy_only=False)
+    at, ends = np.flatnonzero(flat), np.cumsum(size, dtype=np.int64)
+    row = np.searchsorted(ends, at, side="right")
+    offsets = pa.array(np.r_[0, np.searchsorted(at, ends)].astype(np.int32))
+    parts = {"size": pa.array(size), "indices": pa.ListArray.from_arrays(offsets, pa.array((at - (ends - size)[row]).astype(np.int32))),
+             "values": pa.ListArray.from_arrays(offsets, pa.array(flat[at].astype(np.float32)))}
+    return pa.StructArray.from_arrays(list(parts.values()), names=list(parts), mask=vectors.is_null())
+
+
+def sparse_vectors(df: DataFrame, vector_col: str = "embedding") -> DataFrame:
+    """The array<float> ``vector_col`` as its size and the indices and values of what is not zero (null: null): a line
+    has a few tens of tokens and 384 components, all of which would be written, shuffled and turned into Arrow by every
+    pass.  The searches and cells take either form.  One pass over batches, so that an embedder below runs once."""
+    at = df.columns.index(vector_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([_sparse(c) if i == at else c for i, c in enumerate(b.columns)], b.schema.names)
+
+    kind = T.StructType([T.StructField("size", T.IntegerType()), T.StructField("indices", T.ArrayType(T.IntegerType())), T.StructField("values", T.ArrayType(T.FloatType()))])
+    return df.mapInArrow(run, T.StructType([T.StructField(f.name, kind) if f.name == vector_col else f for f in df.schema.fields]))
+
+
 def embed_with(df: DataFrame, text_col: str, load_model: Callable[[], Callable[[list[str]], np.ndarray]],
                dim: int, out_col: str = "embedding") -> DataFrame:
     """Pluggable model embedder: ``load_model()`` runs once per task, then batches of texts."""

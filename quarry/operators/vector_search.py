@@ -50,17 +50,25 @@ def _norms(m: np.ndarray) -> np.ndarray:
 
 
 def _list_matrix(arr: pa.Array, dim: int | None, as_stored: bool = False) -> np.ndarray:
-    """Rows of a list column as double, or with ``as_stored`` in the column's own type."""
+    """Rows of a list column, or of one of ``embedding.sparse_vectors``, as double, or with ``as_stored`` in the column's own type."""
     if isinstance(arr, pa.ChunkedArray):
         arr = arr.combine_chunks()
     n = len(arr)
     if n == 0:
         return np.zeros((0, dim or 0))
-    lengths = pc.list_value_length(arr).to_numpy(zero_copy_only=False)
+    sparse = pa.types.is_struct(arr.type)
+    lengths = (pc.struct_field(arr, "size") if sparse else pc.list_value_length(arr)).to_numpy(zero_copy_only=False)
     d = dim if dim is not None else int(lengths[0])
     if not np.all(lengths == d):
         bad = int(lengths[lengths != d][0])
         raise ValueError(f"embedding dimension {bad} does not match the expected {d}")
+    if sparse:
+        at, values = (pc.struct_field(arr, c) for c in ("indices", "values"))
+        rows = np.repeat(np.arange(n), pc.list_value_length(at).to_numpy(zero_copy_only=False))
+        values = values.flatten().to_numpy(zero_copy_only=False)
+        m = np.zeros((n, d), values.dtype if as_stored else np.float64)
+        m[rows, at.flatten().to_numpy(zero_copy_only=False)] = values
+        return m
     flat = arr.flatten().to_numpy(zero_copy_only=False)
     return (flat if as_stored else flat.astype(np.float64, copy=False)).reshape(n, d)
 
@@ -136,6 +144,57 @@ def _output_schema(index: DataFrame, queries: DataFrame, query_id: str,
     return T.StructType(fields)
 
 
+def _keep_best(batches: Iterator[pa.RecordBatch], candidates, ids: pa.Array, kmax: int, vector_col: str, query_id: str,
+               keys: Sequence[str], arrow_schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Each query's first ``kmax`` rows of all ``batches``.  ``candidates`` (batch, least) gives query, row of the batch and
+    score, by query, and raises ``least``, the scores that a row of each query needs by then."""
+    least = np.full(len(ids), -np.inf)
+    seen: list[pa.RecordBatch] = []  # the keys of the rows so far; a candidate is three numbers
+    n_seen = n_found = 0
+    found: list[tuple] = []
+
+    def compact() -> tuple:
+        """The best so far; only their keys are kept."""
+        nonlocal seen, n_seen
+        rows = pa.Table.from_batches(seen)
+        qi, ri, sims = (np.concatenate(x) for x in zip(*found, strict=True))
+        held, ri = np.unique(ri, return_inverse=True)
+        rows = rows.take(pa.array(held))
+        keep = _first_k(qi, sims, _key_order(rows, keys)[ri], kmax)
+        qi, ri, sims = qi[keep], ri[keep], sims[keep]
+        _raise_least(least, qi, sims, kmax)
+        held, ri = np.unique(ri, return_inverse=True)
+        seen = rows.take(pa.array(held)).combine_chunks().to_batches()
+        n_seen = len(held)
+        return qi.astype(np.int32), ri.astype(np.int32), sims
+
+    for batch in batches:
+        if batch.num_rows == 0 or len(ids) == 0:
+            continue
+        if batch.column(vector_col).null_count:
+            batch = batch.filter(batch.column(vector_col).is_valid())
+            if batch.num_rows == 0:
+                continue
+        qi, ri, sims = candidates(batch, least)
+        seen.append(batch.select(keys))
+        found.append((qi.astype(np.int32), (ri + n_seen).astype(np.int32), sims))
+        n_seen += batch.num_rows
+        n_found += len(qi)
+        if n_found > 2 * kmax * len(ids) + 65536 or n_seen > 2 * kmax * len(ids) + 262144:
+            found = [compact()]
+            n_found = len(found[0][0])
+        del batch
+        pa.default_memory_pool().release_unused()
+    if not n_found:
+        return
+    qi, ri, sims = compact()
+    key_rows = pa.Table.from_batches(seen)
+    for i in range(0, len(qi), OUT_ROWS):
+        rows = key_rows.take(pa.array(ri[i:i + OUT_ROWS]))
+        out = {query_id: ids.take(pa.array(qi[i:i + OUT_ROWS])), **{c: rows.column(c) for c in keys}, "similarity": pa.array(sims[i:i + OUT_ROWS])}
+        yield from pa.Table.from_pydict(out, schema=arrow_schema).to_batches()
+
+
 def _broadcast_candidates(index: DataFrame, queries: DataFrame, kmax: int, key_cols,
                           vector_col: str, query_id: str, query_vector: str,
                           schema: T.StructType) -> DataFrame:
@@ -153,53 +212,14 @@ def _broadcast_candidates(index: DataFrame, queries: DataFrame, kmax: int, key_c
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, qn, qnorm, d = bc.value
-        least = np.full(len(qn), -np.inf)
-        seen: list[pa.RecordBatch] = []  # the keys of the rows so far; a candidate is three numbers
-        n_seen = n_found = 0
-        found: list[tuple] = []
-
-        def compact() -> tuple:
-            """The best so far; only their keys are kept."""
-            nonlocal seen, n_seen
-            rows = pa.Table.from_batches(seen)
-            qi, ri, sims = (np.concatenate(x) for x in zip(*found, strict=True))
-            held, ri = np.unique(ri, return_inverse=True)
-            rows = rows.take(pa.array(held))
-            keep = _first_k(qi, sims, _key_order(rows, keys)[ri], kmax)
-            qi, ri, sims = qi[keep], ri[keep], sims[keep]
-            _raise_least(least, qi, sims, kmax)
-            held, ri = np.unique(ri, return_inverse=True)
-            seen = rows.take(pa.array(held)).combine_chunks().to_batches()
-            n_seen = len(held)
-            return qi.astype(np.int32), ri.astype(np.int32), sims
-
-        for batch in batches:
-            if batch.num_rows == 0 or qn.shape[0] == 0:
-                continue
-            if batch.column(vector_col).null_count:
-                batch = batch.filter(batch.column(vector_col).is_valid())
-                if batch.num_rows == 0:
-                    continue
+
+        def candidates(batch: pa.RecordBatch, least: np.ndarray):
             x = _list_matrix(batch.column(vector_col), d)
-            qi, ri, sims = _block_candidates(qn, qnorm, x, _norms(x), _key_order(batch, keys), kmax, least)
-            _raise_least(least, qi, sims, kmax)
-            seen.append(batch.select(keys))
-            found.append((qi.astype(np.int32), (ri + n_seen).astype(np.int32), sims))
-            n_seen += batch.num_rows
-            n_found += len(qi)
-            if n_found > 2 * kmax * qn.shape[0] + 65536 or n_seen > 2 * kmax * qn.shape[0] + 262144:
-                found = [compact()]
-                n_found = len(found[0][0])
-            del batch, x
-            pa.default_memory_pool().release_unused()
-        if not n_found:
-            return
-        qi, ri, sims = compact()
-        key_rows = pa.Table.from_batches(seen)
-        for i in range(0, len(qi), OUT_ROWS):
-            rows = key_rows.take(pa.array(ri[i:i + OUT_ROWS]))
-            out = {query_id: ids.take(pa.array(qi[i:i + OUT_ROWS])), **{c: rows.column(c) for c in keys}, "similarity": pa.array(sims[i:i + OUT_ROWS])}
-            yield from pa.Table.from_pydict(out, schema=arrow_schema).to_batches()
+            found = _block_candidates(qn, qnorm, x, _norms(x), _key_order(batch, keys), kmax, least)
+            _raise_least(least, found[0], found[2], kmax)
+            return found
+
+        yield from _keep_best(batches, candidates, ids, kmax, vector_col, query_id, keys, arrow_schema)
 
     # Rows without a vector are left out here: a filter in the plan would make every vector once more.
     return index.select(*keys, vector_col).mapInArrow(score, schema)

@@ -14,7 +14,7 @@ from quarry.operators import retrieval as rt
 from quarry.operators import schedule as sc
 from quarry.operators import sessions as ss
 from quarry.operators import versions
-from quarry.operators.embedding import DEFAULT_DIM, check_dimension, embed_hashing
+from quarry.operators.embedding import DEFAULT_DIM, check_dimension, embed_hashing, sparse_vectors
 from quarry.operators.vector_search import cosine_expr, recall_at_k, vector_topk
 from quarry.plans import fixtures as fx
 from quarry.plans.chunk_sql import chunk_sql
@@ -87,9 +87,10 @@ CELL_RECALL, CELL_K = 0.92, 5
 
 
 def _cell_search(spark: SparkSession, sf_dir: str):
-    index = write_table(fx.hybrid_index(spark, sf_dir), "index")
+    lines = fx.hybrid_index(spark, sf_dir).select("source_path", "chunk_index", "embedding", F.xxhash64("embedding").alias("hash"))
+    index = write_table(sparse_vectors(lines), "index")
     queries = write_table(fx.hybrid_queries(spark, sf_dir).select("query_id", "embedding"), "queries")
-    held = cells.build_cells(index, ("source_path", "chunk_index"))
+    held = cells.build_cells(index, ("source_path", "chunk_index"), hash_col="hash")
     probes = cells.calibrated_probes(held, queries, CELL_RECALL, CELL_K)
     return index, queries, held, probes
 

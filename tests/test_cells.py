@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.operators import cells
+from quarry.operators.embedding import embed_hashing, hash_bucket, sparse_vectors
+from quarry.operators.vector_search import _list_matrix, vector_topk
 
 
 def clustered(n, dim=12, groups=9, seed=4):
@@ -102,3 +104,97 @@ def test_visits_go_out_in_bounded_batches(spark, monkeypatch):
     monkeypatch.setattr(cells, "OUT_ROWS", 100)
     visits, _ = cells._visits(rows, "id", "embedding", lambda u, b: (np.ones((len(u), 3), bool), np.zeros((len(u), 3))), np.array([1, 2, 1]), 4096)
     assert visits.count() == visits.select("id", "cell", "chunk").distinct().count() == 600 * 4
+
+
+def test_sparse_vectors_hold_the_same_numbers(spark):
+    rows = [(0, [0.0, 1.5, 0.0, -2.0]), (1, None), (2, [0.0] * 4), (3, [float("nan"), 0.0, 3.0, 4.0])]
+    got = sparse_vectors(spark.createDataFrame(rows, "id long, embedding array<float>").coalesce(1)).orderBy("id").toArrow()
+    assert got["embedding"].is_null().to_pylist() == [False, True, False, False] and got["embedding"][0].as_py()["indices"] == [1, 3]
+    held = got.filter(got["embedding"].is_valid())["embedding"].combine_chunks()
+    for part, first in ((held, 0), (held.slice(1, 2), 1)):
+        np.testing.assert_array_equal(_list_matrix(part, 4), np.array([rows[i][1] for i in (0, 2, 3)][first:first + len(part)]))
+    assert _list_matrix(held, 4, as_stored=True).dtype == np.float32
+    with pytest.raises(ValueError, match="dimension 4"):
+        _list_matrix(held, 5)
+
+
+def test_sparse_and_plain_index_give_the_same(spark):
+    v, q = np.round(clustered(300)), np.round(clustered(30, seed=8))
+    v[np.abs(v) < 3] = 0
+    plain, queries = frame(spark, v), frame(spark, q, "query_id")
+    sparse = sparse_vectors(plain.withColumn("hash", F.xxhash64("embedding")))
+    a, b = (cells.build_cells(x, ["id"], n_cells=12, max_rows=25, hash_col=h) for x, h in ((plain, None), (sparse, "hash")))
+    assert np.array_equal(a.centroids, b.centroids) and np.array_equal(a.rows, b.rows)
+    assert [r[1:] for r in vector_topk(plain, queries, 4, key_cols=("id",), payload_cols=()).orderBy("query_id", "rank").collect()] == \
+        [r[1:] for r in vector_topk(sparse, queries, 4, key_cols=("id",), payload_cols=()).orderBy("query_id", "rank").collect()]
+    # the queries sent to the rows, and met by cell, in blocks
+    want = sorted(cells.search_cells(a, queries, 4, probes=5, max_rows=9, max_broadcast_bytes=0).collect())
+    assert want and want == sorted(cells.search_cells(a, queries, 4, probes=5).collect())
+    assert want == sorted(cells.search_cells(b, queries, 4, probes=5).collect())
+    assert want == sorted(cells.search_cells(b, queries, 4, probes=5, max_rows=9, max_broadcast_bytes=0).collect())
+
+
+def test_a_search_by_few_queries_does_not_shuffle_the_rows(spark):
+    index = cells.build_cells(frame(spark, clustered(200)), ["id"], n_cells=8)
+    found = cells.search_cells(index, frame(spark, clustered(10, seed=8), "query_id"), 5, probes=3)
+    assert "FlatMapCoGroupsInArrow" not in found._jdf.queryExecution().toString()
+
+
+def test_only_the_least_hashes_are_sorted_for_training(spark, monkeypatch):
+    """The centroids are those of the sample of least hash, and no task sorts vectors far beyond it."""
+    v = np.random.default_rng(3).normal(size=(6000, 6)).astype(np.float32)
+    rows = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "id long, embedding array<float>").repartition(8)
+    drawn = rows.withColumn("h", F.xxhash64("embedding")).orderBy("h").limit(100).toArrow()
+    points = cells.unit(_list_matrix(drawn["embedding"], 6))
+    sorted_rows, order = [], type(rows).orderBy
+    monkeypatch.setattr(type(rows), "orderBy", lambda df, *c: sorted_rows.append(df.count()) or order(df, *c))
+    got = cells.train_cells(rows, "embedding", 9, sample=100)
+    np.testing.assert_allclose(got, cells.kmeans(points, 9))
+    assert 100 <= sorted_rows[0] < 200
+    monkeypatch.undo()
+    everything = cells.train_cells(rows.limit(50), "embedding", 9, sample=100)
+    assert everything.shape == (9, 6)
+
+
+def test_single_precision_decides_no_near_tie(monkeypatch):
+    rng = np.random.default_rng(5)
+    c = cells.unit(rng.normal(size=(64, 20)))
+    c[1] = cells.unit(c[:1] + 1e-5 * rng.normal(size=(1, 20)))[0]  # one in single precision
+    c[9] = c[8]  # equal: the first counts
+    u = cells.unit(np.concatenate([c[[0, 1, 8, 9]], rng.normal(size=(500, 20)), c[:2] + 1e-5 * rng.normal(size=(2, 20))]))
+    for tied in (16, 0):
+        monkeypatch.setattr(cells, "TIED", tied)
+        cell, cosine = cells.nearest(u, c, c.astype(np.float32))
+        s = u @ c.T
+        np.testing.assert_allclose(s[np.arange(len(u)), cell], s.max(axis=1), rtol=0, atol=1e-15)
+        assert cell[:4].tolist() == [0, 1, 8, 8]
+        np.testing.assert_allclose(cosine, s.max(axis=1), rtol=0, atol=1e-15)
+    assert [len(x) for x in cells.nearest(u[:0], c, c.astype(np.float32))] == [0, 0]
+
+
+def test_a_cell_has_few_files(spark):
+    """Chunks bound what meets in a task; they are not files of their own."""
+    same = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(400)], "id bigint, embedding array<float>")
+    index = cells.build_cells(same, ["id"], n_cells=1, max_rows=10)
+    assert index.chunks.tolist() == [40] and index.table.select("chunk").distinct().count() > 30
+    assert len(index.table.inputFiles()) <= 40 // cells.FILE_CHUNKS
+
+
+def test_words_hash_as_one_by_one(spark):
+    text = "one two é日本 " + "x" * 300
+    got = embed_hashing(spark.createDataFrame([(text,), (None,), ("",)], "t string"), "t", dim=16).select("embedding").collect()
+    want = [0.0] * 16
+    for w in text.split():
+        want[hash_bucket(w, 16)] += 1
+    assert [r[0] for r in got] == [want, None, [0.0] * 16]
+
+
+def test_calibration_counts_the_rows_of_the_exact_search(spark):
+    """Of equally near rows in two cells the one of the smaller key is meant, as in the exact search."""
+    index = cells.build_cells(spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0])], "id bigint, embedding array<float>"), ["id"], n_cells=2)
+    for first, near in ((0, 1e-12), (0, -1e-12)):
+        q = spark.createDataFrame([(5, [1.0, 1.0])], "query_id long, embedding array<float>")
+        home = int(index.table.where(f"id = {first}").first()["cell"])
+        index.centroids = index.centroids + np.array([[near], [-near]]) * (1 if home else -1)
+        place = np.argsort(-(cells.unit(np.ones((1, 2))) @ index.centroids.T)[0], kind="stable").tolist().index(home)
+        assert cells.calibrated_probes(index, q, 1.0, 1) == place + 1
