@@ -385,7 +385,7 @@ def _search_sent(index: CellIndex, queries: pa.Table, k: int, choose, query_id:
     visitors = [np.concatenate(v) if v else np.zeros(0, np.int32) for v in visitors]
     ids = queries.column(0).combine_chunks() if queries.num_rows else pa.array([], queries.schema.field(0).type)
     held = index.table.sparkSession.sparkContext.broadcast((ids, x, _norms(x), visitors))
-    vector, keys = index.vector, list(index.keys)
+    vector, keys, most = index.vector, list(index.keys), int(index.chunks.max())
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, x, norms, visitors = held.value
@@ -393,21 +393,21 @@ def _search_sent(index: CellIndex, queries: pa.Table, k: int, choose, query_id:
         def candidates(batch: pa.RecordBatch, least: np.ndarray):
             y = _list_matrix(batch.column(vector), x.shape[1])
             ny, place = _norms(y), _key_order(batch, keys)
-            cell = batch.column("cell").to_numpy()
-            order = np.argsort(cell, kind="stable")
+            chunk = batch.column("cell").to_numpy() * most + batch.column("chunk").to_numpy()
+            order = np.argsort(chunk, kind="stable")
             found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
-            for c, part in zip(*_runs(cell[order]), strict=True):
-                q, rows = visitors[c], order[part]
+            for c, part in zip(*_runs(chunk[order]), strict=True):  # of equal scores a chunk gives rows without a key last
+                q, rows = visitors[c // most], order[part]
                 if len(q):
                     qi, ri, sims = _block_candidates(x[q], norms[q], y[rows], ny[rows], place[rows], k, least[q])
                     _raise_least(least, q[qi], sims, k)
                     found.append((q[qi], rows[ri], sims))
             return tuple(np.concatenate(f) for f in zip(*found, strict=True))
 
-        yield from _keep_best(batches, candidates, ids, k, vector, query_id, keys, schema)
+        yield from _keep_best(batches, candidates, ids, k, vector, query_id, keys, schema, "at_start")
 
     probed = [i for i, v in enumerate(visitors) if len(v)]  # at most MOST_CELLS numbers
-    return index.table.where(F.col("cell").isin(probed)).select(*keys, vector, "cell").mapInArrow(score, out_type)
+    return index.table.where(F.col("cell").isin(probed)).select(*keys, vector, F.col("cell").cast("long").alias("cell"), "chunk").mapInArrow(score, out_type)
 
 
 def _runs(cell: np.ndarray) -> tuple[list[int], list[slice]]:

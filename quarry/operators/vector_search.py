@@ -73,10 +73,10 @@ def _list_matrix(arr: pa.Array, dim: int | None, as_stored: bool = False) -> np.
     return (flat if as_stored else flat.astype(np.float64, copy=False)).reshape(n, d)
 
 
-def _key_order(table: pa.Table | pa.RecordBatch, keys: Sequence[str]) -> np.ndarray:
-    """Place of each row in ascending order of its key columns."""
+def _key_order(table: pa.Table | pa.RecordBatch, keys: Sequence[str], nulls: str = "at_end") -> np.ndarray:
+    """Place of each row in ascending order of its key columns; ``nulls`` "at_start" is Spark's order."""
     place = np.empty(table.num_rows, np.int64)
-    place[pc.sort_indices(table.select(list(keys)), [(c, "ascending") for c in keys]).to_numpy()] = np.arange(table.num_rows)
+    place[pc.sort_indices(table.select(list(keys)), [(c, "ascending") for c in keys], null_placement=nulls).to_numpy()] = np.arange(table.num_rows)
     return place
 
 
@@ -145,7 +145,7 @@ def _output_schema(index: DataFrame, queries: DataFrame, query_id: str,
 
 
 def _keep_best(batches: Iterator[pa.RecordBatch], candidates, ids: pa.Array, kmax: int, vector_col: str, query_id: str,
-               keys: Sequence[str], arrow_schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+               keys: Sequence[str], arrow_schema: pa.Schema, nulls: str = "at_end") -> Iterator[pa.RecordBatch]:
     """Each query's first ``kmax`` rows of all ``batches``.  ``candidates`` (batch, least) gives query, row of the batch and
     score, by query, and raises ``least``, the scores that a row of each query needs by then."""
     least = np.full(len(ids), -np.inf)
@@ -160,7 +160,7 @@ def _keep_best(batches: Iterator[pa.RecordBatch], candidates, ids: pa.Array, kma
         qi, ri, sims = (np.concatenate(x) for x in zip(*found, strict=True))
         held, ri = np.unique(ri, return_inverse=True)
         rows = rows.take(pa.array(held))
-        keep = _first_k(qi, sims, _key_order(rows, keys)[ri], kmax)
+        keep = _first_k(qi, sims, _key_order(rows, keys, nulls)[ri], kmax)
         qi, ri, sims = qi[keep], ri[keep], sims[keep]
         _raise_least(least, qi, sims, kmax)
         held, ri = np.unique(ri, return_inverse=True)

@@ -198,3 +198,14 @@ def test_calibration_counts_the_rows_of_the_exact_search(spark):
         index.centroids = index.centroids + np.array([[near], [-near]]) * (1 if home else -1)
         place = np.argsort(-(cells.unit(np.ones((1, 2))) @ index.centroids.T)[0], kind="stable").tolist().index(home)
         assert cells.calibrated_probes(index, q, 1.0, 1) == place + 1
+
+
+def test_equal_rows_without_a_key_come_first(spark):
+    """Once they are among the first of a chunk: there, keys come before nulls."""
+    rows = [(f"{i:02d}" if i % 4 else None, i, [1.0, float(i % 2 + 1), float(i % 2)]) for i in range(40)]
+    index = cells.build_cells(spark.createDataFrame(rows, "a string, b int, embedding array<float>").repartition(5), ["a", "b"], n_cells=2)
+    q = spark.createDataFrame([(1, [1.0, 0.0, 0.0])], "query_id long, embedding array<float>")
+    for k, want in ((22, [(None, b) for b in range(0, 40, 4)] + [(f"{b:02d}", b) for b in range(2, 40, 4)]), (5, [(f"{b:02d}", b) for b in range(2, 22, 4)])):
+        for limit in (0, 1 << 20):
+            got = cells.search_cells(index, q, k, probes=2, max_broadcast_bytes=limit).orderBy("rank").collect()
+            assert [(r.a, r.b) for r in got][:20] == want
