@@ -6,10 +6,9 @@ the row, so no task holds more than that many rows of the index and as many visi
 
 * ``search_cells`` sends each query to the cells whose centroids are nearest (its probe list).
   ``calibrated_probes`` chooses the length of the list by measured recall on a bounded sample of queries.
-* ``cosine_join`` finds all pairs at or above a threshold.  By the triangle inequality of angles a
-  row can only be similar to rows of cells whose centroid is within the threshold's angle plus the
-  cell's radius, and within a cell only to rows whose angle to the centroid differs from its own by
-  at most the threshold's angle.  Cells beyond the bound never meet, and each pair meets once.
+* ``cosine_join`` finds all pairs at or above a threshold.  Rows are dealt into large blocks, and each
+  pair of blocks meets once, in one task, where rows lie in tiles by cell and angle.  By the triangle inequality the
+  angles of two similar rows to any centroid differ by at most the threshold's angle; tiles beyond that never meet.
 """
 
 from __future__ import annotations
@@ -26,7 +25,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.operators.vector_search import (
-    DEFAULT_BROADCAST_BYTES, _arrow_type, _block_candidates, _keep_best, _key_order, _list_matrix, _norms, _raise_least, vector_topk,
+    DEFAULT_BROADCAST_BYTES, GRID_CELLS, _arrow_type, _block_candidates, _dots, _keep_best, _key_order, _list_matrix, _norms, _raise_least, _single_reach,
+    vector_topk,
 )
 from quarry.session import checkpoint_dir, write_table
 
@@ -40,8 +40,8 @@ SLICE, OUT_ROWS = 512, 4096
 TIED = 16
 #: Chunks of a cell that are written to one file.
 FILE_CHUNKS = 8
-#: Rows of a cell of the join, on average: below that, sending a visitor costs more than scoring it.
-JOIN_ROWS = 1024
+#: Rows of a cell of the join, on average; most of its cells, and most rows of a side of its blocks.
+JOIN_ROWS, PIVOTS, JOIN_BLOCK = 1024, 64, 3 << 14
 #: Slack of angle bounds, well above the rounding of arccos.
 SLACK = 1e-6
 #: Entries of a score block.
@@ -239,70 +239,96 @@ def _homes(index: CellIndex, blocks: np.ndarray) -> DataFrame:
     return index.table.withColumn("block", F.explode(F.sequence(F.lit(0), (_per_cell(blocks) - 1).cast("int"))))
 
 
+def _tiles(x: np.ndarray, norms: np.ndarray, centroids: np.ndarray, most: int) -> tuple[np.ndarray, list[slice], np.ndarray, np.ndarray]:
+    """Rows by nearest centroid and angle to it, cut into tiles of one centroid and at most ``most`` rows: the order, the
+    tiles, and each tile's least and largest angle to every centroid.  Rows without a direction are left out."""
+    use = np.flatnonzero(np.isfinite(norms))
+    theta = np.empty((len(use), len(centroids)))
+    for i in range(0, len(use), SLICE):
+        part = use[i:i + SLICE]
+        theta[i:i + SLICE] = angle(x[part].astype(np.float64) / norms[part, None] @ centroids.T)
+    cell = theta.argmin(axis=1)
+    order = np.lexsort((theta[np.arange(len(use)), cell], cell))
+    edge = np.array([i for p in _runs(cell[order])[1] for i in range(p.start, p.stop, most)], np.int64)
+    if not len(edge):
+        return use, [], np.zeros((0, len(centroids))), np.zeros((0, len(centroids)))
+    theta = theta[order]
+    return use[order], [slice(a, b) for a, b in zip(edge, [*edge[1:], len(use)], strict=True)], np.minimum.reduceat(theta, edge), np.maximum.reduceat(theta, edge)
+
+
+def _alike(x: np.ndarray, y: np.ndarray, centroids: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows of x, rows of y, cosines of x rows x y rows), tile by tile, of all tiles that can hold a pair at ``threshold``: by
+    the triangle inequality the angles of such a pair to any centroid differ by no more than the threshold's angle."""
+    reach = math.acos(max(-1.0, min(1.0, threshold))) + SLACK
+    nx, ny = _norms(x), _norms(y)
+    (px, tx, low_x, high_x), (py, ty, low_y, high_y) = _tiles(x, nx, centroids, SLICE), _tiles(y, ny, centroids, 2 * SLICE)
+    x, y, nx, ny = x[px], y[py], nx[px], ny[py]
+    reaches = [_single_reach(y[t], ny[t]) for t in ty]
+    for i, a in enumerate(tx):
+        gap = np.maximum(low_x[i] - high_y, low_y - high_x[i]).max(axis=1, initial=-np.inf)
+        own = _single_reach(x[a], nx[a])
+        for j in np.flatnonzero(gap <= reach):
+            b = ty[j]
+            yield px[a], py[b], _dots(x[a], y[b], own, reaches[j]) / (nx[a, None] * ny[None, b])
+
+
+def _join_sides(left: DataFrame, right: DataFrame | None, left_id: str, vector_col: str, right_id: str, n_cells: int | None, max_rows: int | None):
+    """Both sides stored and dealt by a hash of their ids into blocks, each row once for every block of the other side that it
+    meets (``right`` None: each pair of blocks once), and the centroids."""
+    def stored(rows: DataFrame, name: str) -> tuple[DataFrame, int]:
+        kept = write_table(rows.where(F.col(vector_col).isNotNull()).select(F.col(name).alias("_id"), F.col(vector_col).alias("_v")), "join-side")
+        return kept, kept.count()
+
+    ours, n = stored(left, left_id)
+    theirs, m = (ours, n) if right is None else stored(right, right_id)
+    centroids = train_cells(theirs, "_v", n_cells or max(1, min(PIVOTS, m // JOIN_ROWS)))
+    tasks = GRID_CELLS * left.sparkSession.sparkContext.defaultParallelism
+    side = math.isqrt(n * m // (tasks * (1 if right is not None else 2))) + 1
+    rows = max_rows or min(JOIN_BLOCK, max(MAX_ROWS, side))
+    bl, br = max(1, -(-n // rows)), max(1, -(-m // rows))
+    block = lambda k: F.pmod(F.xxhash64("_id"), F.lit(k)).cast("int")
+    ours, theirs = ours.withColumn("_l", block(bl)), theirs.withColumn("_r", block(br))
+    ours = ours.withColumn("_r", F.explode(F.sequence(F.lit(0) if right is not None else F.col("_l"), F.lit(br - 1))))
+    theirs = theirs.withColumn("_l", F.explode(F.sequence(F.lit(0), F.lit(bl - 1) if right is not None else F.col("_r"))))
+    return ours.groupBy("_l", "_r").cogroup(theirs.groupBy("_l", "_r")), centroids
+
+
 def cosine_join(left: DataFrame, right: DataFrame | None, threshold: float, *, left_id: str = "left_id", right_id: str = "right_id",
-                vector_col: str = "embedding", n_cells: int | None = None, max_rows: int = MAX_ROWS) -> tuple[DataFrame, DataFrame]:
+                vector_col: str = "embedding", n_cells: int | None = None, max_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(pairs, work): every pair (left_id, right_id, similarity) with cosine >= threshold, and the pairs scored.
 
     ``right`` None joins ``left`` with itself: each unordered pair once, left_id < right_id, and no row with
-    itself.  Ids name the rows.  Null vectors and those without a direction match nothing."""
+    itself.  Ids name the rows.  Null vectors and those without a direction match nothing.  A row is sent once for each
+    block of ``max_rows`` rows of the other side; what a cell cannot hold is left out where two blocks meet."""
     both = right is not None
-    home = right if both else left.select(F.col(left_id).alias(right_id), vector_col)
-    if n_cells is None:
-        home = write_table(home, "homes")
-        n_cells = max(1, min(MOST_CELLS, home.count() // JOIN_ROWS))
-    index = build_cells(home, (right_id,), vector_col, n_cells=n_cells, max_rows=max_rows)
-    reach = math.acos(max(-1.0, min(1.0, threshold))) + SLACK
-    pair = T.StructType([T.StructField(left_id, left.schema[left_id].dataType), T.StructField(right_id, home.schema[right_id].dataType), T.StructField("similarity", T.DoubleType())])
-    if not len(index.centroids):
+    pair = T.StructType([T.StructField(left_id, left.schema[left_id].dataType), T.StructField(right_id, (right.schema[right_id] if both else left.schema[left_id]).dataType), T.StructField("similarity", T.DoubleType())])
+    met, centroids = _join_sides(left, right, left_id, vector_col, right_id, n_cells, max_rows)
+    if not len(centroids):
         none = left.sparkSession.createDataFrame([], pair)
         return none, none.agg(F.lit(0).cast("bigint").alias("pairs_scored"))
-    centroids, full, radius = index.centroids, index.rows > 0, index.radius
-
-    def choose(u: np.ndarray, b: pa.RecordBatch):
-        theta = angle(np.nan_to_num(u @ centroids.T, nan=-1.0))
-        mask = (theta <= reach + radius) & full & ~np.isnan(u).any(axis=1)[:, None]
-        if not both:  # the cells from its own on: a pair of two cells meets in the later one
-            mask &= np.arange(len(centroids)) >= b.column(2).to_numpy()[:, None]
-        return mask, theta
-
-    if both:
-        come = left.where(F.col(vector_col).isNotNull()).select(left_id, vector_col)
-    else:
-        come = index.table.select(F.col(right_id).alias(left_id), vector_col, F.col("cell").alias("home"))
-    visits, blocks = _visits(come, left_id, vector_col, choose, index.chunks, max_rows)
     out = pa.schema([*(pa.field(f.name, _arrow_type(f.dataType)) for f in pair.fields), pa.field("scored", pa.int64())])
 
     def meet(come: pa.Table, stay: pa.Table) -> pa.Table:
         if not len(come) or not len(stay):
             return out.empty_table()
-        come, stay = come.sort_by("value"), stay.sort_by("angle")
-        x, y = _list_matrix(come[vector_col], None), _list_matrix(stay[vector_col], None)
-        nx, ny, theta, alpha = _norms(x), _norms(y), come["value"].to_numpy(), stay["angle"].to_numpy()
-        a, b = come[left_id].combine_chunks(), stay[right_id].combine_chunks()
-        if not both:
+        a, b = come["_id"].combine_chunks(), stay["_id"].combine_chunks()
+        within = not both and come["_l"][0].as_py() == come["_r"][0].as_py()  # both rows are on both sides: the smaller id counts
+        if within:
             ka, kb = a.to_numpy(zero_copy_only=False), b.to_numpy(zero_copy_only=False)
-            own = come["home"].to_numpy() == stay["cell"][0].as_py()
-        found, scored = [], 0
-        step = 256
-        for i in range(0, len(x), step):
-            j = min(len(x), i + step)
-            lo, hi = np.searchsorted(alpha, theta[i] - reach), np.searchsorted(alpha, theta[j - 1] + reach, "right")
-            for k in range(lo, hi, max(1, BLOCK // step)):
-                m = min(hi, k + max(1, BLOCK // step))
-                scored += (j - i) * (m - k)
-                s = (x[i:j] @ y[k:m].T) / (nx[i:j, None] * ny[None, k:m])
-                hit = s >= threshold
-                if not both:  # within one cell both rows visit: the smaller id counts
-                    hit &= ~own[i:j, None] | (ka[i:j, None] < kb[None, k:m])
-                p, q = np.nonzero(hit)
-                found.append((p + i, q + k, s[p, q]))
-        p, q, s = (np.concatenate(v) for v in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2 + (np.zeros(0),)
+        found, scored = [(np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0))], 0
+        for i, j, s in _alike(_list_matrix(come["_v"], None, as_stored=True), _list_matrix(stay["_v"], None, as_stored=True), centroids, threshold):
+            scored += s.size
+            hit = s >= threshold
+            if within:
+                hit &= ka[i][:, None] < kb[j][None]
+            p, q = np.nonzero(hit)
+            if len(p):
+                found.append((i[p].astype(np.int32), j[q].astype(np.int32), s[p, q]))
+        p, q, s = (np.concatenate(v) for v in zip(*found, strict=True))
         cols = [pa.concat_arrays([c.take(pa.array(i)), pa.nulls(1, c.type)]) for c, i in ((a, p), (b, q))]
         return pa.Table.from_arrays([*cols, pa.array(np.append(s, np.nan)), pa.array(np.append(np.zeros(len(s), np.int64), scored))], schema=out)
 
-    by = ("cell", "chunk", "block")
-    met = write_table(visits.groupBy(*by).cogroup(_homes(index, blocks).groupBy(*by)).applyInArrow(
-        meet, T.StructType([*pair.fields, T.StructField("scored", T.LongType())])), "pairs")
+    met = write_table(met.applyInArrow(meet, T.StructType([*pair.fields, T.StructField("scored", T.LongType())])), "pairs")
     pairs = met.where(F.col(left_id).isNotNull()).select(*pair.names)
     if not both:
         low, high = F.least(left_id, right_id), F.greatest(left_id, right_id)
@@ -310,6 +336,27 @@ def cosine_join(left: DataFrame, right: DataFrame | None, threshold: float, *, l
     return pairs, met.agg(F.coalesce(F.sum("scored"), F.lit(0)).alias("pairs_scored"))
 
 
+def similar_ids(left: DataFrame, right: DataFrame, threshold: float, *, left_id: str = "left_id", right_id: str = "right_id",
+                vector_col: str = "embedding", n_cells: int | None = None, max_rows: int | None = None) -> DataFrame:
+    """The distinct ids of rows of ``left`` that have a pair in ``cosine_join``, without the pairs: a task gives each of its
+    rows back once, however many rows it is similar to."""
+    met, centroids = _join_sides(left, right, left_id, vector_col, right_id, n_cells, max_rows)
+    schema = T.StructType([T.StructField(left_id, left.schema[left_id].dataType)])
+    out = pa.schema([pa.field(left_id, _arrow_type(left.schema[left_id].dataType))])
+    if not len(centroids):
+        return left.sparkSession.createDataFrame([], schema)
+
+    def meet(come: pa.Table, stay: pa.Table) -> pa.Table:
+        if not len(come) or not len(stay):
+            return out.empty_table()
+        hit = np.zeros(len(come), bool)
+        for i, _, s in _alike(_list_matrix(come["_v"], None, as_stored=True), _list_matrix(stay["_v"], None, as_stored=True), centroids, threshold):
+            hit[i[(s >= threshold).any(axis=1)]] = True
+        return pa.Table.from_arrays([come["_id"].combine_chunks().filter(pa.array(hit))], schema=out)
+
+    return met.applyInArrow(meet, schema).distinct()
+
+
 def search_cells(index: CellIndex, queries: DataFrame, k: int = 5, probes: int = 8, *, query_id: str = "query_id",
                  query_vector: str = "embedding", max_rows: int = MAX_ROWS, counted: bool = False,
                  max_broadcast_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:

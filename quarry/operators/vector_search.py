@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from quarry.session import cut_lineage, write_table
 
 DEFAULT_BROADCAST_BYTES = 256 << 20
-GRID_ROWS, GRID_CELLS = 1 << 16, 2  # most rows of a side of a grid cell, and cells for each task that can run
+GRID_ROWS, GRID_CELLS = 3 << 14, 2  # most rows of a side of a grid cell, and cells for each task that can run
 LSH_ROWS = 4096  # queries or items of a bucket scored in one task
 SCORE_CELLS, QUERY_TILE = 1 << 20, 1024  # entries of one query x item score block (8 MB of float64), its queries
 SIGNED_ROWS = 1024  # rows given LSH signatures at a time
@@ -91,6 +91,18 @@ def _first_k(qi: np.ndarray, sims: np.ndarray, place: np.ndarray, k: int) -> np.
     return order[nth < k]
 
 
+def _single_reach(m: np.ndarray, norms: np.ndarray) -> float:
+    """The largest norm of whole-number rows, else infinity.  If the product of two sides' is under 2**24, single precision makes
+    their dot products exactly: every partial sum is a whole number of at most that size (Cauchy-Schwarz)."""
+    return float(np.nanmax(norms, initial=0.0)) if m.size and np.array_equal(m, np.rint(m), equal_nan=True) else math.inf
+
+
+def _dots(x: np.ndarray, y: np.ndarray, x_reach: float, y_reach: float) -> np.ndarray:
+    """Dot products of rows, as double would make them; in single precision where that is exact."""
+    kind = np.float32 if x_reach * y_reach < 1 << 24 else np.float64
+    return x.astype(kind, copy=False) @ y.astype(kind, copy=False).T
+
+
 def _block_candidates(qm: np.ndarray, qnorm: np.ndarray, xm: np.ndarray, xnorm: np.ndarray, place: np.ndarray, kmax: int,
                       least: np.ndarray | None = None):
     """Each query's first ``kmax`` items, by query, falling score and place; scores under a query's ``least`` are left out.
@@ -102,14 +114,16 @@ def _block_candidates(qm: np.ndarray, qnorm: np.ndarray, xm: np.ndarray, xnorm:
     q, n = qm.shape[0], xm.shape[0]
     found = []
     step = max(64, SCORE_CELLS // QUERY_TILE)
+    reaches = [_single_reach(xm[start:start + step], xnorm[start:start + step]) for start in range(0, n if q else 0, step)]
     for low in range(0, q if n else 0, QUERY_TILE):
-        own, own_norm = qm[low:low + QUERY_TILE].astype(np.float64, copy=False), qnorm[low:low + QUERY_TILE]
+        own, own_norm = qm[low:low + QUERY_TILE], qnorm[low:low + QUERY_TILE]
+        reach = _single_reach(own, own_norm)
+        own = own.astype(np.float64 if reach == math.inf else np.float32, copy=False)
         floor = np.full(len(own), -np.inf) if least is None else least[low:low + QUERY_TILE].copy()
         parts = []
         for start in range(0, n, step):
-            block = xm[start:start + step].astype(np.float64, copy=False)
             with np.errstate(divide="ignore", invalid="ignore"):
-                s = (own @ block.T) / (own_norm[:, None] * xnorm[None, start:start + step])
+                s = _dots(own, xm[start:start + step], reach, reaches[start // step]) / (own_norm[:, None] * xnorm[None, start:start + step])
             hit = s >= floor[:, None]  # never for a NaN
             many = np.flatnonzero(np.count_nonzero(hit, axis=1) > kmax)
             if len(many):
@@ -240,12 +254,14 @@ def _grid_candidates(index: DataFrame, queries: DataFrame, kmax: int, key_cols,
     bi = max(1, math.ceil(n_items / item_rows))
     keys = list(key_cols)
     q_side = (queries.select(F.col(query_id), F.col(query_vector).alias("_qv"))
-              .withColumn("_qb", F.pmod(F.xxhash64(query_id), F.lit(bq)))
+              .withColumn("_qb", F.pmod(F.xxhash64(query_id), F.lit(bq)).cast("int"))
               .withColumn("_ib", F.explode(F.sequence(F.lit(0), F.lit(bi - 1)))))
     i_side = (index.select(*keys, F.col(vector_col).alias("_iv"))
-              .withColumn("_ib", F.pmod(F.xxhash64(*keys), F.lit(bi)))
+              .withColumn("_ib", F.pmod(F.xxhash64(*keys), F.lit(bi)).cast("int"))
               .withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(bq - 1)))))
 
+    # Both sides number their blocks in the same type: the hash that deals out cells is not that of an equal bigint, and the
+    # two sides of a cell would lie in different tasks.
     return q_side.groupBy("_qb", "_ib").cogroup(i_side.groupBy("_qb", "_ib")).applyInArrow(_cell_scorer(schema, query_id, keys, kmax), schema)
 
 

@@ -208,12 +208,16 @@ def existing_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 BANK_THRESHOLD = 0.95  # fixed value: the default similarity threshold
 
 
-def question_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document as a generated question record: the whole text is the question, its vector
-    that of the question text.  Only a text without a token is never a duplicate."""
+def question_records(spark: SparkSession, sf_dir: str, how: str | None = None) -> DataFrame:
+    """Every document, or those with a label (``how`` left_semi) or without one (left_anti), as a generated question record:
+    the whole text is the question, its vector that of the question text.  Only a text without a token is never a duplicate."""
     from quarry.operators.bank import QUESTION_TYPES
     from quarry.operators.embedding import embed_hashing
-    docs = embed_hashing(spread(table(spark, sf_dir, "documents")), "text")
+    from quarry.session import bounded
+    docs = spread(table(spark, sf_dir, "documents"))
+    if how:  # the ids are sent to the texts, if a task can hold them, and vectors made for the texts that stay
+        docs = docs.join(bounded(table(spark, sf_dir, "labels").select("doc_id").distinct()), "doc_id", how)
+    docs = embed_hashing(docs, "text")
     qtype = F.element_at(F.array(*[F.lit(t) for t in QUESTION_TYPES]),
                          (F.pmod(F.col("doc_id"), F.lit(3)) + 1).cast("int"))
     options = F.when(qtype == "short_answer", F.array().cast("array<string>")) \
@@ -232,8 +236,7 @@ def question_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 def question_bank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stored bank: records of labelled documents, stamped one minute apart."""
     from quarry.operators.bank import normalize_records
-    labelled = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("candidate_id"))
-    recs = normalize_records(question_records(spark, sf_dir).join(labelled, "candidate_id", "left_semi"))
+    recs = normalize_records(question_records(spark, sf_dir, "left_semi"))
     return recs.select(F.col("candidate_id").alias("id"), "question_type", "question_text", "options",
                        "correct_answer", "explanation", F.col("paths").alias("source_paths"),
                        F.col("store_difficulty").alias("difficulty"), "embedding",
@@ -244,8 +247,7 @@ def question_bank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bank_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A new batch to store: records of the unlabelled documents, in doc order."""
-    labelled = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("candidate_id"))
-    return question_records(spark, sf_dir).join(labelled, "candidate_id", "left_anti")
+    return question_records(spark, sf_dir, "left_anti")
 
 
 # --- generation attempts and judge outputs ----------------------------------------------

@@ -108,6 +108,32 @@ def test_equal_vectors_join_once_and_equal_the_sequential_fold(spark):
     assert copies.count() > 40 and joined.count() < 10
 
 
+def test_long_batch_in_stretches_equals_the_sequential_fold(spark, monkeypatch):
+    """Groups of similar records that begin in different stretches; no pair of a group decided earlier is listed again."""
+    rng = random.Random(5)
+    places = [rng.randrange(min(6, 1 + i // 2)) * 0.25 + rng.random() * 0.2 for i in range(240)]
+    vectors = [None if i % 29 == 3 else [3 * x for x in _vec(a % 1.5)] for i, a in enumerate(places)]
+    cands = spark.createDataFrame([(i * 10, v) for i, v in enumerate(vectors)], "candidate_id long, embedding array<double>").repartition(3)
+    bank = spark.createDataFrame([(1, [-1.0, 0.0])], "id long, embedding array<double>")
+    unit = [v and [x / math.hypot(*v) for x in v] for v in vectors]
+    edges = [(a, b) for b in range(240) for a in range(b) if unit[a] and unit[b] and sum(x * y for x, y in zip(unit[a], unit[b])) >= 0.995]
+    monkeypatch.setattr(bk, "STRETCH", 20)
+    listed, join = [], bk.cosine_join
+    monkeypatch.setattr(bk, "cosine_join", lambda *a, **k: (listed.append((r := join(*a, **k))[0].count()), r)[1])
+    rows = bk.bank_store(cands, bank, 0.995).collect()
+    assert {r.candidate_id // 10 for r in rows if r.verdict == "inserted"} == _sequential(240, edges) and len(rows) == 240
+    assert len(listed) > 1 and sum(listed) < len(edges) / 4
+
+
+def test_texts_of_the_batch_are_not_stored_again(spark, monkeypatch):
+    stored, write = [], bk.write_table
+    monkeypatch.setattr(bk, "write_table", lambda df, *a: (stored.append(df.columns), write(df, *a))[1])
+    cands = spark.createDataFrame([(1, "text", [1.0, 0.0]), (2, "text", [1.0, 0.1])], "candidate_id long, question string, embedding array<double>")
+    bank = spark.createDataFrame([], "id long, embedding array<double>")
+    got = {r.candidate_id: (r.question, r.verdict) for r in bk.bank_store(cands, bank, 0.95).collect()}
+    assert got == {1: ("text", "inserted"), 2: ("text", "skipped")} and not any("question" in c for c in stored)
+
+
 @pytest.mark.parametrize("bad", [{"question_type": "essay"}, {"difficulty": 0}, {"limit": 501}, {"limit": True}])
 def test_list_filters_are_checked(bad):
     with pytest.raises(ValueError, match=next(iter(bad))):

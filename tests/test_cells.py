@@ -50,6 +50,23 @@ def test_join_of_two_sides(spark):
     assert all(abs(got[k] - s[k]) < 1e-9 for k in got)
 
 
+def test_similar_ids_are_those_of_the_join(spark):
+    a, b = clustered(150, seed=1), clustered(260, seed=2)
+    got = [r.x for r in cells.similar_ids(frame(spark, a, "x"), frame(spark, b, "y"), 0.9, left_id="x", right_id="y", n_cells=8, max_rows=40).collect()]
+    s = cosines(a, b)
+    s[7], s[:, 7] = -2, -2
+    assert len(got) == len(set(got)) and set(got) == set(np.flatnonzero((np.nan_to_num(s, nan=-2) >= 0.9).any(axis=1)))
+    assert cells.similar_ids(frame(spark, a, "x"), frame(spark, b, "y").limit(0), 0.9, left_id="x", right_id="y").count() == 0
+
+
+def test_a_row_is_sent_once_a_block(spark):
+    """1,000 rows in 4 blocks of about 250: 5 copies of each, not one for every cell within reach."""
+    rows = frame(spark, clustered(1000))
+    met, centroids = cells._join_sides(rows, None, "id", "embedding", "other", 40, 250)
+    sent = met._gd1._df.count() + met._gd2._df.count()
+    assert len(centroids) == 40 and sent == 999 * 5
+
+
 def test_join_of_equal_and_no_vectors(spark):
     same = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(90)], "id bigint, embedding array<float>")
     pairs, _ = cells.cosine_join(same, None, 0.95, left_id="id", right_id="other", max_rows=16)

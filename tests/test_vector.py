@@ -64,6 +64,33 @@ def test_dimension_mismatch_raises(spark):
         vector_topk(idx, bad, 2, payload_cols=()).collect()
 
 
+def test_grid_blocks_meet_in_any_number_of_partitions(spark):
+    """Both sides of a block pair are dealt to the same task, also where tasks are not merged."""
+    idx, q, items, qs = _data(spark)
+    settings = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "29"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        res = vector_topk(idx, q, 3, strategy="grid", grid_query_rows=7, grid_item_rows=50).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    got = {}
+    for r in sorted(res, key=lambda r: (r.query_id, r.rank)):
+        got.setdefault(r.query_id, []).append((r.source_path, r.chunk_index))
+    assert got == _brute(items, qs, 3)
+
+
+def test_single_precision_only_where_it_is_exact():
+    rng = np.random.default_rng(2)
+    for x, kind in ((rng.integers(0, 40, (50, 384)), np.float32), (rng.integers(0, 4000, (50, 384)), np.float64), (rng.normal(size=(50, 384)), np.float64)):
+        x = x.astype(np.float32)
+        reach = vector_search._single_reach(x, vector_search._norms(x))
+        s = vector_search._dots(x, x, reach, reach)
+        assert s.dtype == kind and np.array_equal(s, x.astype(float) @ x.astype(float).T)
+
+
 @pytest.mark.parametrize("strategy", ["broadcast", "grid"])
 def test_ties_are_cut_by_key(spark, strategy):
     """Thousands of equal vectors: the first keys win in either plan."""
