@@ -134,6 +134,25 @@ def test_texts_of_the_batch_are_not_stored_again(spark, monkeypatch):
     assert got == {1: ("text", "inserted"), 2: ("text", "skipped")} and not any("question" in c for c in stored)
 
 
+def test_stats_of_a_batch_that_meets_the_bank_in_blocks(spark, monkeypatch):
+    """Records whose only similar bank record lies in another block than their own are skipped too."""
+    settings = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "23"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        plan = bk.vector_topk
+        monkeypatch.setattr(bk, "vector_topk", lambda *a, **k: plan(*a, **k, strategy="grid", grid_query_rows=6, grid_item_rows=6))
+        vectors = [[float(j == i) for j in range(40)] for i in range(40)]
+        cands = spark.createDataFrame([(i, v) for i, v in enumerate(vectors)], "candidate_id long, embedding array<double>")
+        bank = spark.createDataFrame([(i, vectors[i]) for i in range(25)], "id long, embedding array<double>")
+        got = bk.bank_store_stats(bk.bank_store(cands, bank, 0.95)).head()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert (got.inserted, got.skipped) == (15, 25)
+
+
 @pytest.mark.parametrize("bad", [{"question_type": "essay"}, {"difficulty": 0}, {"limit": 501}, {"limit": True}])
 def test_list_filters_are_checked(bad):
     with pytest.raises(ValueError, match=next(iter(bad))):
