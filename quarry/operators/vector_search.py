@@ -29,12 +29,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.session import cut_lineage, write_table
+from quarry.session import write_table
 
 DEFAULT_BROADCAST_BYTES = 256 << 20
 GRID_ROWS, GRID_CELLS = 3 << 14, 2  # most rows of a side of a grid cell, and cells for each task that can run
-LSH_ROWS = 4096  # queries or items of a bucket scored in one task
+LSH_ROWS, LSH_BYTES, LSH_QUERIES = 4096, 32 << 20, 4096  # least rows of a block of the LSH search, bytes of its vectors, queries answered at a time
 SCORE_CELLS, QUERY_TILE = 1 << 20, 1024  # entries of one query x item score block (8 MB of float64), its queries
+PAIRS = 8192  # pairs of rows scored one by one at a time
 SIGNED_ROWS = 1024  # rows given LSH signatures at a time
 OUT_ROWS = 1 << 16  # rows of an Arrow batch given back
 
@@ -103,37 +104,63 @@ def _dots(x: np.ndarray, y: np.ndarray, x_reach: float, y_reach: float) -> np.nd
     return x.astype(kind, copy=False) @ y.astype(kind, copy=False).T
 
 
+def _unit_single(m: np.ndarray, norms: np.ndarray) -> np.ndarray:
+    """Rows of length one in single precision; NaN where there is no direction."""
+    with np.errstate(invalid="ignore", divide="ignore", over="ignore"):
+        return (m / norms[:, None]).astype(np.float32)
+
+
+def _pair_cosines(qm: np.ndarray, qnorm: np.ndarray, xm: np.ndarray, xnorm: np.ndarray, qi: np.ndarray, ri: np.ndarray) -> np.ndarray:
+    """Cosines of the pairs (qi, ri) in double: dot / (|q| |x|), so exact dot products stay exact (integer-count vectors) and
+    equal vectors always tie exactly."""
+    sims = np.empty(len(qi))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        for i in range(0, len(qi), PAIRS):
+            q, r = qi[i:i + PAIRS], ri[i:i + PAIRS]
+            sims[i:i + PAIRS] = np.einsum("ij,ij->i", qm[q].astype(np.float64, copy=False), xm[r].astype(np.float64, copy=False)) / (qnorm[q] * xnorm[r])
+    return sims
+
+
 def _block_candidates(qm: np.ndarray, qnorm: np.ndarray, xm: np.ndarray, xnorm: np.ndarray, place: np.ndarray, kmax: int,
                       least: np.ndarray | None = None):
     """Each query's first ``kmax`` items, by query, falling score and place; scores under a query's ``least`` are left out.
 
     Queries and items meet in tiles of SCORE_CELLS scores, and a tile's queries are cut to ``kmax`` before the next ones
-    begin, so what is held grows with neither side.  cosine = dot / (|q| |x|): exact dot products stay exact
-    (integer-count vectors), so equal vectors always tie exactly.
+    begin, so what is held grows with neither side.  A tile is scored in single precision; where that is not exact, what its
+    rounding (at most ``slack``) leaves open is scored again in double: the result is that of double throughout.
     """
     q, n = qm.shape[0], xm.shape[0]
     found = []
     step = max(64, SCORE_CELLS // QUERY_TILE)
+    slack = 2 * (qm.shape[1] + 4) * float(np.finfo(np.float32).eps)  # four times the bound of the rounding of a dot product of unit rows
     reaches = [_single_reach(xm[start:start + step], xnorm[start:start + step]) for start in range(0, n if q else 0, step)]
     for low in range(0, q if n else 0, QUERY_TILE):
         own, own_norm = qm[low:low + QUERY_TILE], qnorm[low:low + QUERY_TILE]
         reach = _single_reach(own, own_norm)
-        own = own.astype(np.float64 if reach == math.inf else np.float32, copy=False)
-        floor = np.full(len(own), -np.inf) if least is None else least[low:low + QUERY_TILE].copy()
+        own = own.astype(np.float32, copy=False) if reach < 1 << 24 else own
+        asked = np.full(len(own), -np.inf) if least is None else least[low:low + QUERY_TILE]
+        floor, unit = asked.copy(), _unit_single(own, own_norm)
         parts = []
         for start in range(0, n, step):
-            with np.errstate(divide="ignore", invalid="ignore"):
-                s = _dots(own, xm[start:start + step], reach, reaches[start // step]) / (own_norm[:, None] * xnorm[None, start:start + step])
-            hit = s >= floor[:, None]  # never for a NaN
+            block, block_norm = xm[start:start + step], xnorm[start:start + step]
+            exact = reach * reaches[start // step] < 1 << 24
+            if exact:
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    s = _dots(own, block, reach, reaches[start // step]) / (own_norm[:, None] * block_norm[None])
+            else:
+                s = unit @ _unit_single(block, block_norm).T
+            off = 0.0 if exact else slack
+            hit = s >= (floor - off).astype(s.dtype)[:, None]  # never for a NaN
             many = np.flatnonzero(np.count_nonzero(hit, axis=1) > kmax)
             if len(many):
-                t = np.where(hit[many] & np.isfinite(s[many]), s[many], -np.inf)
-                floor[many] = -np.partition(-t, kmax - 1, axis=1)[:, kmax - 1]
-                hit[many] = t >= floor[many, None]
+                t = np.where(hit[many], s[many], s.dtype.type(-np.inf))
+                kth = -np.partition(-t, kmax - 1, axis=1)[:, kmax - 1].astype(np.float64)  # kmax true scores reach kth - off
+                hit[many] = t >= (kth - 2 * off).astype(s.dtype)[:, None]
+                floor[many] = np.maximum(floor[many], kth - off)
             qi, ri = np.nonzero(hit)
-            use = np.isfinite(s[qi, ri])
-            qi, ri = qi[use], ri[use]
-            sims = s[qi, ri]
+            sims = s[qi, ri] if exact else _pair_cosines(own, own_norm, block, block_norm, qi, ri)
+            use = np.isfinite(sims) & (sims >= asked[qi])
+            qi, ri, sims = qi[use], ri[use], sims[use]
             keep = _first_k(qi, sims, place[ri + start], kmax)
             parts.append((qi[keep], ri[keep] + start, sims[keep]))
         qi, ri, sims = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -361,6 +388,24 @@ def sign_planes(n: int, dim: int, seed: int) -> np.ndarray:
     return np.array([[1.0 if hashlib.md5(f"{seed}|{i}|{j}".encode()).digest()[0] >> 7 else -1.0 for j in range(dim)] for i in range(n)]).reshape(n, dim)
 
 
+def _signer(dim: int, bands: int, bits: int, seed: int, probes: int):
+    """A function that gives rows their signatures: rows x bands x (own one and the likeliest others, ``probes`` in all)."""
+    planes = sign_planes(bands * bits, dim, seed)
+    weights = (1 << np.arange(bits)).astype(np.int64)
+    masks = np.array([0, *(1 << i for i in range(bits)), *(1 << i | 1 << j for i in range(bits) for j in range(i))])
+    probes = min(probes, len(masks))
+    flips = (masks[:, None] >> np.arange(bits)) & 1
+
+    def sign(x: np.ndarray) -> np.ndarray:
+        side = (x @ planes.T).reshape(len(x), bands, bits)
+        sig = ((side > 0) * weights).sum(axis=2)[:, :, None]
+        if probes > 1:
+            sig = sig ^ masks[np.argsort(side ** 2 @ flips.T, axis=2, kind="stable")[:, :, :probes]]
+        return sig
+
+    return sign
+
+
 def lsh_signatures(df: DataFrame, id_cols, vector_col: str, dim: int, bands: int = 8, bits: int = 8,
                    seed: int = 17, probes: int = 1) -> DataFrame:
     """Sign-random-projection signatures (Charikar 2002): one row per (row, band, signature).
@@ -372,11 +417,7 @@ def lsh_signatures(df: DataFrame, id_cols, vector_col: str, dim: int, bands: int
     its place, so that SQL can state them.  The matrix is tiny and fixed by the parameters: it travels in the
     task closure, and numpy does the projection per Arrow batch.
     """
-    planes = sign_planes(bands * bits, dim, seed)
-    weights = (1 << np.arange(bits)).astype(np.int64)
-    masks = np.array([0, *(1 << i for i in range(bits)), *(1 << i | 1 << j for i in range(bits) for j in range(i))])
-    probes = min(probes, len(masks))
-    flips = (masks[:, None] >> np.arange(bits)) & 1
+    sign = _signer(dim, bands, bits, seed, probes)
     ids = list(id_cols)  # may hold the vector too
     schema = T.StructType([*[df.schema[c] for c in ids], T.StructField("band", T.IntegerType()),
                            T.StructField("sig", T.LongType())])
@@ -384,16 +425,12 @@ def lsh_signatures(df: DataFrame, id_cols, vector_col: str, dim: int, bands: int
     def project(batches):
         # A row is given back bands * probes times, vector and all: a slice of a batch at a time.
         for batch in (b.slice(i, SIGNED_ROWS) for b in batches for i in range(0, b.num_rows, SIGNED_ROWS)):
-            x = _list_matrix(batch.column(vector_col), dim)
-            side = (x @ planes.T).reshape(batch.num_rows, bands, bits)
-            sig = ((side > 0) * weights).sum(axis=2)[:, :, None]
-            if probes > 1:
-                near = np.argsort(side ** 2 @ flips.T, axis=2, kind="stable")[:, :, :probes]
-                sig = sig ^ masks[near]
-            rows = np.repeat(np.arange(batch.num_rows), bands * probes)
+            sig = sign(_list_matrix(batch.column(vector_col), dim))
+            each = sig.shape[2]
+            rows = np.repeat(np.arange(batch.num_rows), bands * each)
             cols = [batch.column(c).take(pa.array(rows)) for c in ids]
             yield pa.RecordBatch.from_arrays(
-                cols + [pa.array(np.tile(np.repeat(np.arange(bands, dtype=np.int32), probes), batch.num_rows)),
+                cols + [pa.array(np.tile(np.repeat(np.arange(bands, dtype=np.int32), each), batch.num_rows)),
                         pa.array(sig.reshape(-1).astype(np.int64))], names=[*ids, "band", "sig"])
 
     return df.where(F.col(vector_col).isNotNull()).select(*dict.fromkeys([*ids, vector_col])).mapInArrow(project, schema)
@@ -404,8 +441,9 @@ def vector_topk_lsh(index: DataFrame, queries: DataFrame, k: int = 5, *,
                     query_id: str = "query_id", query_vector: str = "embedding",
                     bands: int = 16, bits: int = 6, seed: int = 17, probes: int = 3) -> DataFrame:
     """Approximate top-k: candidates share a (band, signature) bucket with the query or
-    one of its ``probes`` likeliest buckets a band.  A bucket is counted and cut into blocks of bounded rows on either side; each pair of
-    blocks is scored exactly in one task and gives its queries' first k only, so no candidate pair is ever shuffled.  Returns
+    one of its ``probes`` likeliest buckets a band.  Queries and items are dealt into blocks by a hash; two blocks meet in one task,
+    which makes their signatures, scores the rows of its buckets exactly and gives each query's first k only.  So a vector is sent
+    once for each block of the other side, not for every bucket, and no candidate pair is ever shuffled.  Returns
     query_id, rank, keys, similarity; recall is measured against ``vector_topk``."""
     keys = list(key_cols)
     dim_row = queries.select(F.size(query_vector).alias("d")).head(1)
@@ -413,27 +451,81 @@ def vector_topk_lsh(index: DataFrame, queries: DataFrame, k: int = 5, *,
         return index.sparkSession.createDataFrame([], _output_schema(index, queries, query_id, keys))
     dim = dim_row[0]["d"]
     schema = _output_schema(index, queries, query_id, keys)
-    qs = lsh_signatures(queries.select(query_id, F.col(query_vector).alias("_qv")), [query_id, "_qv"], "_qv", dim, bands, bits, seed, probes)
-    ix = lsh_signatures(index.select(*keys, F.col(vector_col).alias("_iv")), [*keys, "_iv"], "_iv", dim, bands, bits, seed)
-
-    def parts(rows: DataFrame, name: str) -> DataFrame:
-        return rows.groupBy("band", "sig").agg(F.ceil(F.count(F.lit(1)) / F.lit(LSH_ROWS)).alias(name))
+    qs = write_table(queries.where(F.col(query_vector).isNotNull()).select(query_id, F.col(query_vector).alias("_qv")), "lsh-queries")
+    ix = write_table(index.where(F.col(vector_col).isNotNull()).select(*keys, F.col(vector_col).alias("_iv")), "lsh-items")
+    nq, ni = qs.count(), ix.count()
+    side = math.isqrt(max(1, nq * ni) // (GRID_CELLS * index.sparkSession.sparkContext.defaultParallelism)) + 1
+    rows = min(max(1, LSH_BYTES // (4 * max(1, dim))), max(LSH_ROWS, side))
+    bq, bi = max(1, math.ceil(nq / rows)), max(1, math.ceil(ni / rows))
+    block = lambda n, *of: F.pmod(F.xxhash64(*of), F.lit(n)).cast("int")
+    q_side = qs.withColumn("_qb", block(bq, query_id, "_qv")).withColumn("_ib", F.explode(F.sequence(F.lit(0), F.lit(bi - 1))))
+    i_side = ix.withColumn("_ib", block(bi, *keys, "_iv")).withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(bq - 1))))
+    out = pa.schema([pa.field(f.name, _arrow_type(f.dataType)) for f in schema.fields])
 
-    # At most bands * 2**bits buckets, whatever the rows.
-    blocks = F.broadcast(cut_lineage(parts(qs, "_nq").join(parts(ix, "_ni"), ["band", "sig"])))
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
-    q_side = qs.join(blocks, ["band", "sig"]).withColumn("_qb", F.pmod(F.xxhash64(query_id, "_qv"), "_nq")).withColumn("_ib", every("_ni"))
-    i_side = ix.join(blocks, ["band", "sig"]).withColumn("_ib", F.pmod(F.xxhash64(*keys, "_iv"), "_ni")).withColumn("_qb", every("_nq"))
+    def meet(own: pa.Table, items: pa.Table) -> pa.Table:
+        if not own.num_rows or not items.num_rows:
+            return out.empty_table()
+        qm, xm = _list_matrix(own["_qv"], dim, as_stored=True), _list_matrix(items["_iv"], dim, as_stored=True)
+        found = _bucket_candidates(qm, xm, _key_order(items, keys), _key_numbers(items, keys), k, _signer(dim, bands, bits, seed, 1), _signer(dim, bands, bits, seed, probes))
+        qi, ri, sims = (np.concatenate(x) for x in zip(*found, strict=True))
+        return pa.table([own[query_id].take(pa.array(qi)), *(items[c].take(pa.array(ri)) for c in keys), pa.array(sims)], schema=out)
 
-    cells = ["band", "sig", "_qb", "_ib"]
-    found = q_side.groupBy(*cells).cogroup(i_side.groupBy(*cells)).applyInArrow(_cell_scorer(schema, query_id, keys, k), schema)
-    # A pair may have met in several bands.
+    found = q_side.groupBy("_qb", "_ib").cogroup(i_side.groupBy("_qb", "_ib")).applyInArrow(meet, schema)
+    # Rows of equal keys, or of equal query ids, count once.
     scored = found.groupBy(query_id, *keys).agg(F.max("similarity").alias("similarity"))
     w = Window.partitionBy(query_id).orderBy(F.col("similarity").desc(), *[F.col(c).asc() for c in keys])
     return (scored.withColumn("rank", F.row_number().over(w).cast("int")).where(F.col("rank") <= k)
             .select(query_id, "rank", *keys, "similarity"))
 
 
+def _key_numbers(table: pa.Table, keys: Sequence[str]) -> np.ndarray:
+    """A number for each row in order of its keys, the same for equal keys."""
+    order = pc.sort_indices(table.select(list(keys)), [(c, "ascending") for c in keys])
+    new = np.zeros(table.num_rows, bool)
+    for c in keys:
+        code = table[c].combine_chunks().dictionary_encode(null_encoding="encode").indices.take(order).to_numpy(zero_copy_only=False)
+        new[1:] |= code[1:] != code[:-1]
+    number = np.empty(table.num_rows, np.int64)
+    number[order.to_numpy()] = np.cumsum(new)
+    return number
+
+
+def _bucket_candidates(qm: np.ndarray, xm: np.ndarray, place: np.ndarray, number: np.ndarray, k: int, own_sign, probe_sign) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Each query's first ``k`` of the items that share a bucket with it, as (query, item, score), some queries at a time.  Of items
+    of one ``number`` the best counts."""
+    buckets = []  # of each band: items by signature, the signatures and where they end
+    sig = np.concatenate([own_sign(xm[i:i + SIGNED_ROWS].astype(np.float64))[:, :, 0] for i in range(0, len(xm), SIGNED_ROWS)])
+    for band in range(sig.shape[1]):
+        order = np.argsort(sig[:, band], kind="stable")
+        value, first = np.unique(sig[order, band], return_index=True)
+        buckets.append((dict(zip(value.tolist(), zip(first.tolist(), [*first[1:].tolist(), len(order)], strict=True), strict=True)), order))
+    norms = _norms(xm)
+    alone = int(number.max()) + 1 == len(number)  # no two items of one number: what a query has found bounds what it needs
+    for low in range(0, len(qm), LSH_QUERIES):
+        x = qm[low:low + LSH_QUERIES]
+        x_norms, least = _norms(x), np.full(len(x), -np.inf)
+        probed = np.concatenate([probe_sign(x[i:i + SIGNED_ROWS].astype(np.float64)) for i in range(0, len(x), SIGNED_ROWS)])
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        for band, (places, order) in enumerate(buckets):
+            flat = probed[:, band].ravel()
+            by = np.argsort(flat, kind="stable")
+            value, first = np.unique(flat[by], return_index=True)
+            for v, i, j in zip(value.tolist(), first, [*first[1:], len(by)], strict=True):
+                if v in places:
+                    q, rows = by[i:j] // probed.shape[2], order[slice(*places[v])]
+                    qi, ri, sims = _block_candidates(x[q], x_norms[q], xm[rows], norms[rows], place[rows], k, least[q])
+                    if alone:
+                        _raise_least(least, q[qi], sims, k)
+                    found.append((q[qi], rows[ri], sims))
+        qi, ri, sims = (np.concatenate(f) for f in zip(*found, strict=True))
+        order = np.lexsort((-sims, number[ri], qi))  # a pair may have met in several bands
+        qi, ri, sims = qi[order], ri[order], sims[order]
+        new = np.flatnonzero((np.diff(qi, prepend=-1) != 0) | (np.diff(number[ri], prepend=-1) != 0))
+        qi, ri, sims = qi[new], ri[new], sims[new]
+        keep = _first_k(qi, sims, number[ri], k)
+        yield qi[keep] + low, ri[keep], sims[keep]
+
+
 def recall_at_k(approx: DataFrame, exact: DataFrame, query_id: str, keys) -> DataFrame:
     """Share of exact top-k rows that the approximate search also returned."""
     hit = exact.join(approx.select(query_id, *keys).withColumn("_hit", F.lit(1)), [query_id, *keys], "left")

@@ -116,6 +116,22 @@ def test_lsh_blocks_of_a_bucket(spark, monkeypatch):
     assert sorted(map(tuple, vs.vector_topk_lsh(idx, q, 4, bands=3, bits=2).collect())) == want and want
 
 
+def test_lsh_sends_a_vector_once_a_block(spark, monkeypatch):
+    """Not once for each of its buckets: 300 items and 40 queries in blocks of 200 rows; and as many found as by signatures."""
+    from pyspark.sql.pandas.group_ops import PandasCogroupedOps
+    idx, q, items, qs = _data(spark)
+    sent, apply = [], PandasCogroupedOps.applyInArrow
+    monkeypatch.setattr(PandasCogroupedOps, "applyInArrow", lambda self, *a: (sent.append((self._gd1._df.count(), self._gd2._df.count())), apply(self, *a))[1])
+    monkeypatch.setattr(vector_search, "LSH_BYTES", 200 * 4 * 16)
+    got = {(r.query_id, r["rank"]): r.chunk_index for r in vector_search.vector_topk_lsh(idx, q, 4, bands=4, bits=3, probes=2).collect()}
+    assert sent == [(80, 300)]
+    qs_, ix_ = (vector_search.lsh_signatures(d, [c], "embedding", 16, 4, 3, probes=p) for d, c, p in ((q, "query_id", 2), (idx, "chunk_index", 1)))
+    pairs = {(r.query_id, r.chunk_index) for r in qs_.join(ix_, ["band", "sig"]).select("query_id", "chunk_index").distinct().collect()}
+    for j in range(40):
+        order = sorted(((-(qs[j] @ items[i]) / np.linalg.norm(items[i]), f"p{i % 7}", i) for i in range(300) if (j, i) in pairs and i != 9))[:4]
+        assert [got.get((j, n)) for n in range(1, len(order) + 1)] == [o[2] for o in order]
+
+
 def test_candidates_of_a_query_do_not_grow_with_the_blocks(monkeypatch):
     monkeypatch.setattr(vector_search, "SCORE_CELLS", 64)
     r = np.random.default_rng(3)
@@ -129,6 +145,24 @@ def test_candidates_of_a_query_do_not_grow_with_the_blocks(monkeypatch):
         assert [(-s, place[j]) for s, j in zip(sims[qi == i], ri[qi == i], strict=True)] == want
 
 
+def test_single_precision_decides_nothing(monkeypatch):
+    """Scores closer than single precision can tell, ties and rows without a direction: the order is that of double."""
+    r = np.random.default_rng(8)
+    base = r.normal(size=64)
+    x = base + r.normal(size=(600, 64)) * 1e-7
+    x[7], x[9], x[11], x[13] = x[3], 0, np.nan, np.inf
+    q, place = np.stack([base, r.normal(size=64), np.zeros(64), x[3]]), r.permutation(600)
+    monkeypatch.setattr(vector_search, "SCORE_CELLS", 1 << 17)
+    got = vector_search._block_candidates(q, vector_search._norms(q), x, vector_search._norms(x), place, 6, np.array([-np.inf, -1, 0, 0.5]))
+    with np.errstate(all="ignore"):
+        full = np.array([[np.einsum("i,i->", a, b) for b in x] for a in q]) / (vector_search._norms(q)[:, None] * vector_search._norms(x)[None])
+    for i, low in enumerate([-np.inf, -1, 0, 0.5]):
+        want = sorted((-s, p) for s, p in zip(full[i], place, strict=True) if np.isfinite(s) and s >= low)[:6]
+        mine = got[0] == i
+        assert np.allclose(-got[2][mine], [w[0] for w in want], rtol=0, atol=1e-15) and len(want) == (0 if i == 2 else 6)
+    assert vector_search._unit_single(x, vector_search._norms(x)).dtype == np.float32
+
+
 def test_buckets_of_a_batch_are_counted_in_slices(monkeypatch):
     widest, count = [], np.bincount
     monkeypatch.setattr(np, "bincount", lambda x, minlength=0: widest.append(minlength) or count(x, minlength=minlength))
