@@ -201,3 +201,16 @@ def test_suffix_buckets_are_even():
     size = np.bincount(bucket[number], block.count, 64)
     assert size.max() < 2 * size.mean()
     assert np.all(np.diff(bucket) >= 0)
+
+
+def test_blocks_send_buckets_few_cheap_rows(monkeypatch):
+    """No bucket count above the nearest power of two, and no codec made for each array that a bucket gets."""
+    assert [suffix_dedup.bucket_bits(n << 20, 8 << 20) for n in (0, 8, 9, 11, 12, 840, 10_000)] == [0, 0, 0, 0, 1, 7, 10]
+    made = []
+    for name in ("ZstdCompressor", "ZstdDecompressor"):
+        kind = getattr(suffix_dedup.zstandard, name)
+        monkeypatch.setattr(suffix_dedup.zstandard, name, lambda *a, kind=kind, **k: (made.append(kind), kind(*a, **k))[1])
+    for i in range(50):
+        a = np.arange(i, dtype=np.uint16)
+        assert np.array_equal(suffix_dedup._unzip(suffix_dedup._zip(a), np.uint16), a)
+    assert len(made) <= 2
