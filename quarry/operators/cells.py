@@ -41,7 +41,7 @@ TIED = 16
 #: Chunks of a cell that are written to one file.
 FILE_CHUNKS = 8
 #: Rows of a cell of the join, on average; most of its cells, and most rows of a side of its blocks.
-JOIN_ROWS, PIVOTS, JOIN_BLOCK = 1024, 64, 3 << 14
+JOIN_ROWS, PIVOTS, JOIN_BLOCK = 1024, 64, 1 << 15
 #: Slack of angle bounds, well above the rounding of arccos.
 SLACK = 1e-6
 #: Entries of a score block.

@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from quarry.session import write_table
 
 DEFAULT_BROADCAST_BYTES = 256 << 20
-GRID_ROWS, GRID_CELLS = 3 << 14, 2  # most rows of a side of a grid cell, and cells for each task that can run
+GRID_ROWS, GRID_CELLS = 1 << 15, 2  # most rows of a side of a grid cell, and cells for each task that can run
 LSH_ROWS, LSH_BYTES, LSH_QUERIES = 4096, 32 << 20, 4096  # least rows of a block of the LSH search, bytes of its vectors, queries answered at a time
 SCORE_CELLS, QUERY_TILE = 1 << 20, 1024  # entries of one query x item score block (8 MB of float64), its queries
 PAIRS = 8192  # pairs of rows scored one by one at a time
